@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import bpe, decontaminate, quality, tokencount
 from .shared import table
 
 SQL: dict[str, str] = {}
@@ -29,4 +29,17 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_decontaminate,)}
+
+def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digest(table(spark, sf, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.digest(table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op5_quality, op6_token_counts, op8_decontaminate)}
