@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, quality, tokencount
+from . import bpe, decontaminate, neardup, quality, substrings, tokencount
 from .shared import table
 
 SQL: dict[str, str] = {}
@@ -46,4 +46,8 @@ def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.digest(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op5_quality, op6_token_counts, op8_decontaminate, op10_near_duplicates)}
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.digest(table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op5_quality, op6_token_counts, op7_substring_dedup, op8_decontaminate, op10_near_duplicates)}
