@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, quality, substrings, tokencount
+from . import bpe, decontaminate, neardup, quality, substrings, tokencount, toxicity, warc
 from .shared import table
 
 SQL: dict[str, str] = {}
@@ -50,4 +50,20 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.digest(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op5_quality, op6_token_counts, op7_substring_dedup, op8_decontaminate, op10_near_duplicates)}
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.digest(table(spark, sf, "pages"))
+
+
+SQL["op1_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN n >= 1000 AND top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 1000 AND top > page_id THEN top END AS refers_to FROM q
+"""
+
+
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_bpe, op3_toxicity, op5_quality, op6_token_counts, op7_substring_dedup, op8_decontaminate, op10_near_duplicates)}
