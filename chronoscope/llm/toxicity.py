@@ -26,8 +26,10 @@ CELLS, INPUTS, FACTORS = 1 << 18, 2048, 4
 #: Lengths in bytes of the beginnings of words that are terms too.
 STEMS = (4, 5, 6)
 #: Tasks, rounds and passes of a task in each round.
-TASKS, ROUNDS, PASSES = 8, 6, 3
-RATE, DECAY, BATCH = 0.15, 1e-4, 128
+TASKS, ROUNDS, PASSES = 4, 10, 3
+RATE, DECAY, BATCH = 0.15, 1e-4, 32
+#: How much more a toxic row counts than another, as these are rare.
+WEIGHT = 4.0
 
 
 def terms(b: pa.RecordBatch):
@@ -120,7 +122,7 @@ def _train(state, seed: int):
                 for r, p in enumerate(pick):
                     x[r, xs[p]] = 1
                 z, s = raw_scores(x, w0, w, v)
-                d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
+                d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) * np.where(y[pick] > 0, WEIGHT, 1.0) / len(pick)
                 d0, dw = d.sum(), x.T @ d + DECAY * w
                 dv = x.T @ (d[:, None] * s) - v * (x.T @ d)[:, None] + DECAY * v
                 g0, gw, gv = g0 + d0**2, gw + dw**2, gv + dv**2
