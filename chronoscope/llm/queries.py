@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, neardup, quality, substrings, tokencount, toxicity, warc
+from . import bpe, decontaminate, licenses, neardup, quality, substrings, tokencount, toxicity, urlfilter, warc
 from .shared import table
 
 SQL: dict[str, str] = {}
@@ -66,4 +66,18 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_bpe, op3_toxicity, op5_quality, op6_token_counts, op7_substring_dedup, op8_decontaminate, op10_near_duplicates)}
+def op4_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return urlfilter.digest(table(spark, sf, "pages"))
+
+
+SQL["op4_url_filters"] = urlfilter.SQL
+
+
+def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.digest(table(spark, sf, "documents"), licenses.templates(spark))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_warc, op2_bpe, op3_toxicity, op4_url_filters, op5_quality, op6_token_counts, op7_substring_dedup, op8_decontaminate, op9_licenses, op10_near_duplicates)
+}
