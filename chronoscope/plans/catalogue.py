@@ -5,6 +5,457 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import scalars, vectors
+from ..operators import consolidate, flow, gestures, intervals, novelty, overlay, paging, scheduling, triage
+from ..sources import timeline as src
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+HOUR = 3_600_000_000
+
+#: Logical tables of the SQL side.
+TL = """tl AS (SELECT user_id AS session_id, event_id, event_type AS stream_type, epoch_us(ts) AS s, epoch_us(ts) + CASE WHEN event_type = 'click' THEN 0 ELSE round(value * 1000000)::BIGINT END AS e, value, props FROM events)"""
+FLOW = """fl AS (SELECT event_type AS stage, event_id, epoch_us(ts) AS us, CASE WHEN event_id % 2 = 1 THEN -round(value * 100)::BIGINT ELSE round(value * 100)::BIGINT END AS net FROM events)"""
+TICKS = """tk AS (SELECT user_id AS session_id, event_id, epoch_us(ts) AS us, sign(json_extract_string(props, '$.k')::INTEGER - 50)::INTEGER AS dy FROM events)"""
+LATENTS = """lt AS (SELECT vec_id // 50 AS page, vec_id AS frame, embedding::DOUBLE[] AS v, label FROM embeddings)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in cols})
+
+
+# --- intervals
+
+
+@query(f"""WITH {TL}, bp AS (SELECT DISTINCT session_id, t FROM (SELECT session_id, s AS t FROM tl UNION ALL SELECT session_id, e FROM tl)),
+iv AS (SELECT session_id, t AS a, lead(t) OVER (PARTITION BY session_id ORDER BY t) AS b FROM bp)
+SELECT iv.session_id, a AS start_us, b AS end_us, count(*) AS n_active, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS event_ids
+FROM iv JOIN tl ON tl.session_id = iv.session_id AND s <= a AND e > a WHERE b IS NOT NULL GROUP BY ALL""")
+def q_topology_counts(spark, sf):
+    t = intervals.topology(src.timeline(spark, sf))
+    return t.select("session_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "n_active", F.array_join(F.col("event_ids").cast("array<string>"), ",").alias("event_ids"))
+
+
+@query(f"""WITH {TL}, d AS (SELECT session_id, event_id, s, s + 20 * (e - s) AS e FROM tl), bp AS (SELECT DISTINCT session_id, t FROM (SELECT session_id, s AS t FROM d UNION ALL SELECT session_id, e FROM d)),
+iv AS (SELECT session_id, t AS a, lead(t) OVER (PARTITION BY session_id ORDER BY t) AS b FROM bp)
+SELECT n_active, count(*) AS n_intervals, sum(b - a)::BIGINT AS total_us FROM (SELECT iv.session_id, a, b, count(*) AS n_active FROM iv JOIN d ON d.session_id = iv.session_id AND s <= a AND e > a WHERE b IS NOT NULL GROUP BY ALL) GROUP BY n_active""")
+def q_topology_dense(spark, sf):
+    t = src.timeline(spark, sf)
+    dense = t.withColumn("end", F.col("start") + 20 * (F.col("end") - F.col("start")))
+    return intervals.topology(dense).groupBy("n_active").agg(F.count("*").alias("n_intervals"), F.sum(F.col("end") - F.col("start")).alias("total_us"))
+
+
+ISLANDS = f"""{TL}, p AS (SELECT session_id, s - {HOUR} AS a, s + {HOUR} AS b FROM tl WHERE value > 60),
+m AS (SELECT *, max(b) OVER (PARTITION BY session_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM p),
+g AS (SELECT *, sum(CASE WHEN prev IS NULL OR a > prev THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m),
+cl AS (SELECT session_id, min(a) AS start_us, max(b) AS end_us, count(*) AS n FROM g GROUP BY session_id, k)"""
+
+
+def _clips(spark, sf):
+    marks = src.timeline(spark, sf).where("value > 60").select("session_id", F.col("start").alias("us"))
+    return intervals.merge(intervals.pad(marks, "us", HOUR, HOUR).drop("us"))
+
+
+@query(f"WITH {ISLANDS} SELECT * FROM cl")
+def q_interval_merge(spark, sf):
+    return _clips(spark, sf).select("session_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "n")
+
+
+@query(f"""WITH {ISLANDS} SELECT cl.session_id, start_us, count(*) AS n_frames, min(s) AS first_us, max(s) AS last_us FROM cl JOIN tl ON tl.session_id = cl.session_id AND s BETWEEN start_us AND end_us GROUP BY ALL""")
+def q_clip_frames(spark, sf):
+    frames = src.timeline(spark, sf).select("session_id", F.col("start").alias("us"))
+    hit = intervals.band_join(_clips(spark, sf), frames, "us", 2 * HOUR)
+    return hit.groupBy("session_id", F.col("start").alias("start_us")).agg(F.count("*").alias("n_frames"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+@query(f"""WITH {ISLANDS} SELECT format('clip_{{}}_{{}}', start_us // 1000000, cl.session_id) AS clip, CASE WHEN max(s) > min(s) THEN round((count(*) - 1) * 1e6 / (max(s) - min(s)), 6) ELSE 30.0 END AS fps FROM cl JOIN tl ON tl.session_id = cl.session_id AND s BETWEEN start_us AND end_us GROUP BY cl.session_id, start_us""")
+def q_clip_names(spark, sf):
+    frames = src.timeline(spark, sf).select("session_id", F.col("start").alias("us"))
+    g = intervals.band_join(_clips(spark, sf), frames, "us", 2 * HOUR).groupBy("session_id", "start").agg(F.count("*").alias("n"), F.min("us").alias("a"), F.max("us").alias("b"))
+    name = F.format_string("clip_%s_%s", F.floor(F.col("start") / 1_000_000), F.col("session_id"))
+    return rounded(g.select(name.alias("clip"), paging.frame_rate(F.col("n"), F.col("a"), F.col("b"), 30.0).alias("fps")), "fps")
+
+
+# --- consolidation, filters, payloads
+
+
+@query("""SELECT event_id, event_type AS stream_type, value, CASE WHEN event_id % 10 < 8 THEN 'chunk' ELSE 'journal' END AS origin, CASE WHEN event_id % 10 < 8 THEN NULL ELSE 'w' || user_id::VARCHAR END AS window_title FROM events""")
+def q_journal_consolidate(spark, sf):
+    e = src.events(spark, sf)
+    journal = e.select("event_id", F.col("event_type").alias("stream_type"), "value", F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("window_title"))
+    return consolidate.consolidate(journal.where("event_id % 10 < 8").drop("window_title"), journal)
+
+
+@query("SELECT event_id, user_id AS session_id, value FROM events WHERE event_type = 'purchase'")
+def q_stream_filter(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("session_id"), "value")
+
+
+@query("SELECT event_type AS stream_type, count(*) AS n, round(sum(value), 2) AS total, round(max(value), 2) AS top FROM events GROUP BY event_type")
+def q_typed_counts(spark, sf):
+    return src.timeline(spark, sf).groupBy("stream_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.max("value"), 2).alias("top"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k, coalesce(json_extract_string(props, '$.button'), 'unknown') AS button FROM events")
+def q_json_payload(spark, sf):
+    p = src.events(spark, sf).withColumn("p", F.from_json("props", "k int, button string"))
+    return p.select("event_id", F.col("p.k").alias("k"), F.coalesce("p.button", F.lit("unknown")).alias("button"))
+
+
+@query("SELECT user_id AS session_id, event_id, event_type AS stream_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def q_first_per_session(spark, sf):
+    t = src.timeline(spark, sf)
+    return consolidate.first_of(t, ["session_id"], ["start", "event_id"]).select("session_id", "event_id", "stream_type")
+
+
+@query("""SELECT session_id, run, stream_type, count(*) AS n, min(us) AS start_us FROM (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM
+(SELECT user_id AS session_id, event_id, event_type AS stream_type, epoch_us(ts) AS us, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL""")
+def q_message_runs(spark, sf):
+    r = overlay.runs(src.timeline(spark, sf), "session_id", "start", "event_id", "stream_type")
+    return r.withColumnRenamed("start", "start_us")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN length(c_name) > 12 THEN left(c_name, 12) || '...' ELSE c_name END AS title, upper(left(c_mktsegment, 1)) AS initial FROM customer WHERE length(c_name) >= 2 AND lower(c_mktsegment) NOT IN ('building', 'machinery')""")
+def q_candidate_windows(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").where((F.length("c_name") >= 2) & ~F.lower("c_mktsegment").isin("building", "machinery"))
+    return c.select(F.col("c_custkey").alias("id"), scalars.ellipsis(F.col("c_name"), 12).alias("title"), scalars.key_label(F.left("c_mktsegment", F.lit(1))).alias("initial"))
+
+
+@query("SELECT p_partkey AS id FROM part WHERE contains(p_name, 'red') OR p_type = 'red' OR ends_with(p_name, 'red')")
+def q_exe_match(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.where(scalars.matches_exe("red", F.col("p_name"), F.col("p_type"))).select(F.col("p_partkey").alias("id"))
+
+
+# --- gestures
+
+
+GESTURES = f"""{TICKS}, n AS (SELECT *, CASE WHEN us - lag(us) OVER w > {HOUR // 2} THEN 1 WHEN lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM tk WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS k FROM n),
+t AS (SELECT *, CASE WHEN dy <> lag(dy) OVER (PARTITION BY session_id, k ORDER BY us, event_id) THEN 1 ELSE 0 END AS turn FROM g)"""
+
+
+@query(f"WITH {GESTURES} SELECT session_id, k AS session_no, min(us) AS start_us, max(us) AS end_us, sum(dy)::BIGINT AS total_dy, count(*) AS n_ticks, sum(turn)::BIGINT AS reversals FROM t GROUP BY session_id, k")
+def q_scroll_sessions(spark, sf):
+    g = gestures.scroll_gestures(src.ticks(spark, sf), HOUR // 2)
+    return g.withColumnsRenamed({"start": "start_us", "end": "end_us"})
+
+
+@query(f"WITH {TICKS} SELECT session_id, sum(CASE WHEN dy <> p THEN 1 ELSE 0 END)::BIGINT AS reversals FROM (SELECT *, lag(dy) OVER (PARTITION BY session_id ORDER BY us, event_id) AS p FROM tk) GROUP BY session_id")
+def q_scroll_reversals(spark, sf):
+    g = gestures.scroll_gestures(src.ticks(spark, sf), 10**18)
+    return g.select("session_id", "reversals")
+
+
+@query("""WITH a AS (SELECT user_id AS session_id, event_id, epoch_us(ts) AS us, CASE event_type WHEN 'view' THEN 'P' ELSE 'R' END AS action FROM events WHERE event_type IN ('view', 'click')),
+k AS (SELECT * FROM (SELECT *, coalesce(lag(action) OVER (PARTITION BY session_id ORDER BY us, event_id), 'R') AS was FROM a) WHERE action <> was),
+h AS (SELECT *, lead(us) OVER (PARTITION BY session_id ORDER BY us, event_id) AS rel FROM k)
+SELECT session_id, us AS pressed, rel AS released, rel - us AS held FROM h WHERE action = 'P' AND rel IS NOT NULL""")
+def q_key_pairing(spark, sf):
+    e = src.events(spark, sf).where("event_type in ('view', 'click')")
+    a = e.select(F.col("user_id").alias("session_id"), "event_id", "us", F.when(F.col("event_type") == "view", "P").otherwise("R").alias("action"))
+    return gestures.key_holds(a, ["session_id"])
+
+
+@query("""WITH f AS (SELECT user_id AS session_id, ts, event_type = 'signup' AS focused FROM events WHERE event_type IN ('signup', 'error')),
+e AS (SELECT user_id AS session_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'release' ELSE 'press' END AS kind FROM events WHERE event_type NOT IN ('signup', 'error'))
+SELECT e.session_id, event_id, kind, focused FROM e ASOF LEFT JOIN f ON e.session_id = f.session_id AND e.ts >= f.ts WHERE coalesce(focused, false) OR kind = 'release'""")
+def q_focus_asof(spark, sf):
+    e = src.events(spark, sf).withColumnRenamed("user_id", "session_id")
+    samples = e.where("event_type in ('signup', 'error')").select("session_id", "us", (F.col("event_type") == "signup").alias("focused"))
+    acts = e.where("event_type not in ('signup', 'error')").select("session_id", "us", "event_id", F.when(F.col("event_type") == "purchase", "release").otherwise("press").alias("kind"))
+    return gestures.focus_gate(acts, samples).select("session_id", "event_id", "kind", "focused")
+
+
+@query()
+def q_mouse_trajectories(spark, sf):
+    e = src.events(spark, sf)
+    k = F.get_json_object("props", "$.k").cast("int")
+    moves = e.select(F.col("user_id").alias("session_id"), (F.col("us") / 1e6).alias("ts"), F.floor(F.col("value") * 2).cast("int").alias("x"), (k * 5).cast("int").alias("y"), F.when(k % 7 == 0, "left").alias("button"))
+    return gestures.trajectories(moves)
+
+
+# --- pages
+
+
+@query("""SELECT session_id, (n // 16)::BIGINT AS page, count(*) AS n_frames, min(event_id) AS lo, max(event_id) AS hi FROM (SELECT user_id AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events) WHERE (n // 16 + 1) * 16 <= total GROUP BY ALL""")
+def q_pages(spark, sf):
+    f = src.events(spark, sf).select(F.col("user_id").alias("session_id"), "event_id", "us")
+    return paging.pages(f, 16).groupBy("session_id", "page").agg(F.count("*").alias("n_frames"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+
+
+@query("""WITH f AS (SELECT user_id AS session_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, count(*) OVER w AS c, epoch_us(min(ts) OVER w) AS a, epoch_us(max(ts) OVER w) AS b FROM events WINDOW w AS (PARTITION BY user_id)),
+s AS (SELECT *, CASE WHEN b > a THEN (c - 1) * 1000000 / (b - a) ELSE 60.0 END AS fps FROM f), t AS (SELECT *, CASE WHEN c < 2 OR fps <= 0.00001 THEN 1 ELSE ceil(fps / 0.00001)::BIGINT END AS step FROM s)
+SELECT session_id, event_id, step FROM t WHERE n % step = 0""")
+def q_decimate(spark, sf):
+    f = src.events(spark, sf).select(F.col("user_id").alias("session_id"), "event_id", "us")
+    return paging.decimate(f, 0.00001).select("session_id", "event_id", "step")
+
+
+# --- novelty
+
+
+DRIFT = f"""{LATENTS}, l AS (SELECT *, lag(v) OVER (PARTITION BY page ORDER BY frame) AS p FROM lt),
+dr AS (SELECT page, frame, label, CASE WHEN p IS NULL THEN 0.0 ELSE 1 - least(greatest(list_cosine_similarity(v, p), -1), 1) END AS score FROM l)"""
+
+
+@query(f"WITH {DRIFT} SELECT page, frame, round(score, 6) + 0.0 AS score FROM dr")
+def q_cosine_drift(spark, sf):
+    return rounded(novelty.drift(src.latents(spark, sf), ["page"]).select("page", "frame", "score"), "score")
+
+
+def _z_sql(frame: str) -> str:
+    return f"""WITH {DRIFT}, b AS (SELECT *, (frame % 50) // 10 AS batch FROM dr),
+w AS (SELECT *, count(score) OVER z AS n, avg(score) OVER z AS m, stddev_pop(score) OVER z AS s FROM b WINDOW z AS (PARTITION BY page ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND {frame}))
+SELECT page, frame, round(CASE WHEN n <= 1 OR s IS NULL OR s < 1e-12 THEN 0.0 ELSE (score - m) / (s + 1e-8) END, 4) + 0.0 AS z FROM w"""
+
+
+def _z(spark, sf, current):
+    d = novelty.drift(src.latents(spark, sf), ["page"]).withColumn("batch", F.floor(F.pmod("frame", F.lit(50)) / 10))
+    z = novelty.running_z(d, ["page"], "batch", current)
+    return z.select("page", "frame", (F.round("z", 4) + F.lit(0.0)).alias("z"))
+
+
+@query(_z_sql("CURRENT ROW"))
+def q_running_z(spark, sf):
+    return _z(spark, sf, True)
+
+
+@query(_z_sql("1 PRECEDING"))
+def q_naive_novelty(spark, sf):
+    return _z(spark, sf, False)
+
+
+@query(f"""WITH {LATENTS}, pg AS (SELECT page, count(*) AS n FROM lt GROUP BY page) SELECT page, i::INTEGER AS ordinal, (i * (n - 1)) // 5 AS idx FROM pg, range(6) r(i)""")
+def q_sentinels(spark, sf):
+    pages = src.latents(spark, sf).groupBy("page").agg(F.count("*").alias("n_frames"))
+    return triage.sentinels(pages).select("page", "ordinal", "idx")
+
+
+TRIAGE = f"""{LATENTS}, fr AS (SELECT *, page % 2 AS session_id, row_number() OVER (PARTITION BY page ORDER BY frame) - 1 AS idx, count(*) OVER (PARTITION BY page) AS n FROM lt),
+sn AS (SELECT session_id, page, i AS ordinal, idx, frame, v FROM fr, range(6) r(i) WHERE idx = (i * (n - 1)) // 5),
+sc AS (SELECT *, lag(v) OVER (PARTITION BY session_id ORDER BY page * 6 + ordinal) AS p FROM sn),
+s2 AS (SELECT *, CASE WHEN p IS NULL THEN 0.0 ELSE 1 - least(greatest(list_cosine_similarity(v, p), -1), 1) END AS score FROM sc),
+s3 AS (SELECT *, count(score) OVER z AS c, avg(score) OVER z AS m, stddev_pop(score) OVER z AS sd FROM s2 WINDOW z AS (PARTITION BY session_id ORDER BY page RANGE UNBOUNDED PRECEDING)),
+s4 AS (SELECT *, CASE WHEN c <= 1 OR sd IS NULL OR sd < 1e-12 THEN 0.0 ELSE (score - m) / (sd + 1e-8) END AS z FROM s3),
+s5 AS (SELECT *, lead(idx) OVER w AS next_idx, lead(z) OVER w AS nz FROM s4 WINDOW w AS (PARTITION BY session_id, page ORDER BY ordinal)),
+tri AS (SELECT *, coalesce(z > 0.3 OR nz > 0.3, false) AS hot, greatest(z, nz) AS span_z FROM s5)"""
+
+
+def _spans(spark, sf):
+    return triage.coarse_triage(src.latents(spark, sf).withColumn("session_id", F.pmod("page", F.lit(2))))
+
+
+@query(f"WITH {TRIAGE} SELECT session_id, page, round(max(z), 4) + 0.0 AS max_z, max(z) > 0.3 AS interesting, sum(hot::INTEGER)::BIGINT AS n_hot FROM tri GROUP BY session_id, page")
+def q_coarse_triage(spark, sf):
+    t = triage.interesting(_spans(spark, sf))
+    return t.withColumn("max_z", F.round("max_z", 4) + F.lit(0.0))
+
+
+@query(f"WITH {TRIAGE} SELECT session_id, page, idx AS lo, next_idx AS hi, round(span_z, 4) + 0.0 AS z FROM tri WHERE hot AND next_idx IS NOT NULL")
+def q_hot_regions(spark, sf):
+    return _spans(spark, sf).where("hot and next_idx is not null").select("session_id", "page", F.col("idx").alias("lo"), F.col("next_idx").alias("hi"), (F.round("span_z", 4) + F.lit(0.0)).alias("z"))
+
+
+@query(f"""WITH {TRIAGE}, r AS (SELECT *, bool_or(hot) OVER (PARTITION BY session_id, page) AS anyhot, row_number() OVER (PARTITION BY session_id, page ORDER BY round(span_z, 9) DESC, ordinal) AS rk FROM tri WHERE next_idx IS NOT NULL) SELECT session_id, page, ordinal::INTEGER AS ordinal, rk AS rank FROM r WHERE rk <= CASE WHEN anyhot THEN 2 ELSE 1 END""")
+def q_top_spans(spark, sf):
+    s = _spans(spark, sf).withColumn("span_z", F.round("span_z", 9))
+    return triage.top_spans(s, 2, 1).select("session_id", "page", "ordinal", F.col("rank").cast("long").alias("rank"))
+
+
+def _scored(spark, sf):
+    d = novelty.drift(src.latents(spark, sf), ["page"]).withColumn("session_id", F.pmod("page", F.lit(2)))
+    return d.withColumn("idx", F.pmod("frame", F.lit(50))).select("session_id", "page", "idx", "score")
+
+
+@query()
+def q_refine(spark, sf):
+    hot = _spans(spark, sf).where("hot and next_idx is not null").select("session_id", "page", F.col("idx").alias("lo"), F.col("next_idx").alias("hi"))
+    return triage.refine(_scored(spark, sf), hot)
+
+
+@query()
+def q_hierarchical_search(spark, sf):
+    return triage.hierarchical_search(_scored(spark, sf))
+
+
+@query()
+def q_pca_mahalanobis(spark, sf):
+    return rounded(novelty.pca_mahalanobis(src.latents(spark, sf)).select("page", "frame", "score"), "score")
+
+
+@query()
+def q_incremental_pca(spark, sf):
+    return novelty.tracked(src.latents(spark, sf).withColumn("session_id", F.pmod("page", F.lit(2))))
+
+
+@query(f"WITH {LATENTS} SELECT page, pos::INTEGER AS pos, round(avg(x), 6) + 0.0 AS x FROM (SELECT page, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS x FROM lt) GROUP BY page, pos")
+def q_token_pool(spark, sf):
+    p = novelty.pooled(src.latents(spark, sf), ["page"])
+    return rounded(p.select("page", F.posexplode("embedding").alias("pos", "x")), "x")
+
+
+@query(f"WITH {LATENTS} SELECT frame, round(list_sum(list_transform(v, lambda x: (x / sqrt(list_dot_product(v, v))) * (x / sqrt(list_dot_product(v, v))))), 6) AS length FROM lt")
+def q_normalised(spark, sf):
+    n = vectors.normalise(F.col("embedding"))
+    d = src.latents(spark, sf).withColumn("n", n)
+    return d.select("frame", F.round(vectors.dot(F.col("n"), F.col("n")), 6).alias("length"))
+
+
+# --- flow
+
+
+LEVELS = f"""{FLOW}, su AS (SELECT *, sum(net) OVER (PARTITION BY stage ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS s FROM fl),
+lv AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY stage ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)) AS level FROM su),
+ra AS (SELECT *, sum(net) OVER w / 3600.0 AS rate, count(*) OVER w AS nw, us - min(us) OVER w AS span FROM lv WINDOW w AS (PARTITION BY stage ORDER BY us RANGE BETWEEN {HOUR - 1} PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"WITH {LEVELS} SELECT event_id, stage, level FROM lv")
+def q_flow_level(spark, sf):
+    return flow.levels(src.flow_events(spark, sf)).select("event_id", "stage", "level")
+
+
+@query(f"WITH {LEVELS} SELECT event_id, stage, round(rate, 6) + 0.0 AS rate, nw AS n_window FROM ra")
+def q_flow_rate(spark, sf):
+    return rounded(flow.rates(src.flow_events(spark, sf), HOUR).select("event_id", "stage", "rate", "n_window"), "rate")
+
+
+@query(f"WITH {LEVELS} SELECT event_id, stage FROM ra WHERE nw >= 2 AND span >= 0.8 * {HOUR // 4} AND rate > 5")
+def q_unsustainable(spark, sf):
+    r = flow.unsustainable(flow.rates(src.flow_events(spark, sf), HOUR), 5.0, HOUR // 4)
+    return r.where("unsustainable").select("event_id", "stage")
+
+
+@query(f"WITH {LEVELS} SELECT stage, level, round(rate, 6) + 0.0 AS rate, round(CASE WHEN level >= 100000000 THEN 0.0 WHEN rate <= 0 THEN -1.0 ELSE (100000000 - level) / rate END, 4) AS eta FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY us DESC, event_id DESC) AS r FROM ra) WHERE r = 1")
+def q_overflow_eta(spark, sf):
+    o = flow.overflow(src.flow_events(spark, sf), HOUR, 100_000_000)
+    return o.withColumns({"rate": F.round("rate", 6) + F.lit(0.0), "eta": F.round("eta", 4)})
+
+
+# --- scheduling
+
+
+WORK = """wk AS (SELECT event_id AS page_id, CASE event_type WHEN 'view' THEN 'refine' WHEN 'click' THEN 'triage' ELSE 'evict' END AS work_type, value / 500 AS novelty, event_id % 50 = 0 AS paused, epoch_us(ts) AS created_at FROM events)"""
+
+
+def _work(spark, sf):
+    kind = F.when(F.col("event_type") == "view", "refine").when(F.col("event_type") == "click", "triage").otherwise("evict")
+    w = src.events(spark, sf).select(F.col("event_id").alias("page_id"), kind.alias("work_type"), (F.col("value") / 500).alias("novelty"), (F.col("event_id") % 50 == 0).alias("paused"), F.col("us").alias("created_at"))
+    return w.withColumn("priority", scheduling.priority(F.col("work_type"), F.col("novelty"), F.col("paused")))
+
+
+PRIORITY = "CASE WHEN work_type = 'triage' THEN 0.0 WHEN work_type = 'refine' AND paused THEN 0.9 WHEN work_type = 'refine' THEN 1.0 + (1.0 - least(novelty, 1.0)) ELSE 2.0 END"
+
+
+@query(f"WITH {WORK} SELECT page_id, work_type, round({PRIORITY}, 6) AS priority FROM wk ORDER BY {PRIORITY}, created_at, page_id LIMIT 25")
+def q_priority_topk(spark, sf):
+    return rounded(scheduling.next_work(_work(spark, sf), 25).select("page_id", "work_type", "priority"), "priority")
+
+
+@query(f"WITH {WORK} SELECT page_id, round({PRIORITY}, 6) AS priority FROM wk WHERE work_type = 'refine' ORDER BY {PRIORITY}, created_at, page_id LIMIT 25")
+def q_refinement_first(spark, sf):
+    return rounded(scheduling.next_work(_work(spark, sf), 25, "refine").select("page_id", "priority"), "priority")
+
+
+def _pages_state(spark, sf):
+    state = F.element_at(F.array(*[F.lit(s) for s in scheduling.STATES]), (F.col("event_id") % 7 + 1).cast("int"))
+    return src.events(spark, sf).select(F.col("event_id").alias("page_id"), state.alias("state"), F.col("us").alias("last_activity"), F.when(F.col("event_type") != "error", F.col("value")).alias("novelty"))
+
+
+NOW = 1_706_745_600_000_000
+
+
+@query(f"SELECT event_id AS page_id, {NOW} - epoch_us(ts) AS age FROM events WHERE event_id % 7 = 3 AND {NOW} - epoch_us(ts) > {10 * HOUR} ORDER BY age DESC, coalesce(CASE WHEN event_type <> 'error' THEN value END, 0), page_id LIMIT 2")
+def q_stale_evict(spark, sf):
+    return scheduling.evict(_pages_state(spark, sf), NOW, 10 * HOUR).select("page_id", "age")
+
+
+@query("SELECT CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(scheduling.STATES)) + " END AS state, count(*) AS n FROM events GROUP BY 1")
+def q_state_hist(spark, sf):
+    return _pages_state(spark, sf).groupBy("state").agg(F.count("*").alias("n"))
+
+
+STEPS = " UNION ALL ".join(f"SELECT {'NULL' if a is None else repr(a)} AS was, {b!r} AS state" for a, b in scheduling.STEPS)
+NAMES = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(scheduling.STATES)) + " END"
+
+
+@query(f"WITH st AS ({STEPS}), m AS (SELECT user_id AS page_id, event_id, {NAMES} AS state, lag({NAMES}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) SELECT page_id, event_id, m.state, m.was, st.state IS NOT NULL AS valid FROM m LEFT JOIN st ON st.state = m.state AND st.was IS NOT DISTINCT FROM m.was")
+def q_page_replay(spark, sf):
+    state = F.element_at(F.array(*[F.lit(s) for s in scheduling.STATES]), (F.col("event_id") % 7 + 1).cast("int"))
+    m = src.events(spark, sf).select(F.col("user_id").alias("page_id"), "event_id", F.struct("us", "event_id").alias("seq"), state.alias("state"))
+    return scheduling.replay(m).select("page_id", "event_id", "state", "was", "valid")
+
+
+@query(f"SELECT user_id AS block, epoch_us(max(ts)) AS last_seen, count(*) AS n_signs FROM events GROUP BY user_id HAVING (SELECT epoch_us(max(ts)) FROM events) - epoch_us(max(ts)) > {6 * HOUR}")
+def q_timeouts(spark, sf):
+    b = src.events(spark, sf).select(F.col("user_id").alias("block"), "us")
+    return scheduling.timeouts(b, 6 * HOUR).select("block", "last_seen", "n_signs")
+
+
+@query("""SELECT step, round(CASE WHEN step < 2 THEN 0.05 WHEN step < 26 THEN 0.05 + (0.12 - 0.05) * (step - 2) / 24.0 ELSE 0.12 END, 6) AS max_share, CASE WHEN step < 10 THEN 8.0 ELSE 4.0 END AS branching FROM range(60) r(step)""")
+def q_schedule(spark, sf):
+    s = spark.range(60).withColumnRenamed("id", "step")
+    at = lambda *a: scalars.scheduled(F.col("step"), *map(F.lit, a))
+    return s.select("step", F.round(at(0.05, 0.12, 2, 24), 6).alias("max_share"), at(8.0, 4.0, 10, 0).alias("branching"))
+
+
+# --- overlay
+
+
+@query(f"""WITH {TL} SELECT f.session_id, f.event_id AS frame_id, count(*) AS n_alive, max(f.s - t.e)::BIGINT AS oldest FROM tl f JOIN tl t ON t.session_id = f.session_id AND f.s >= t.s AND f.s <= t.e + {HOUR} WHERE f.stream_type = 'view' GROUP BY ALL""")
+def q_overlay_alive(spark, sf):
+    t = src.timeline(spark, sf)
+    frames = t.where("stream_type = 'view'").select("session_id", F.col("event_id").alias("frame_id"), F.col("start").alias("us"))
+    return overlay.alive(frames, t.select("session_id", "event_id", "start", "end"), 0, HOUR).groupBy("session_id", "frame_id").agg(F.count("*").alias("n_alive"), F.max("age").alias("oldest"))
+
+
+@query(f"""WITH {TL} SELECT session_id, frame_id, string_agg(event_id::VARCHAR, ' ' ORDER BY rk) AS keys FROM (SELECT f.session_id, f.event_id AS frame_id, t.event_id, row_number() OVER (PARTITION BY f.event_id ORDER BY t.s DESC, t.event_id DESC) AS rk FROM tl f JOIN tl t ON t.session_id = f.session_id AND f.s >= t.s AND f.s <= t.s + {24 * HOUR} WHERE f.stream_type = 'purchase') WHERE rk <= 8 GROUP BY ALL""")
+def q_last8_keys(spark, sf):
+    t = src.timeline(spark, sf)
+    frames = t.where("stream_type = 'purchase'").select("session_id", F.col("event_id").alias("frame_id"), F.col("start").alias("us"))
+    k = overlay.last_keys(frames, t.select("session_id", "event_id", "start"), 24 * HOUR)
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col("event_id").cast("string").alias("id")))), lambda x: x["id"])
+    return k.groupBy("session_id", "frame_id").agg(F.array_join(ids, " ").alias("keys"))
+
+
+@query("""WITH p AS (SELECT DISTINCT user_id % 4 AS screen, floor(value / 5)::INTEGER AS x, json_extract_string(props, '$.k')::INTEGER AS y, CASE WHEN event_type = 'click' THEN 3 ELSE 2 END AS r, CASE WHEN event_type = 'click' THEN 5.0 ELSE 1.0 END AS w FROM events),
+c AS (SELECT screen, x + dx AS x, y + dy AS y, max(w) AS value FROM p, range(-3, 4) a(dx), range(-3, 4) b(dy) WHERE dx * dx + dy * dy <= r * r GROUP BY ALL)
+SELECT screen, x::INTEGER AS x, y::INTEGER AS y, value, round(value / (SELECT max(value) FROM c WHERE x BETWEEN 0 AND 99 AND y BETWEEN 0 AND 99), 6) AS norm FROM c WHERE x BETWEEN 0 AND 99 AND y BETWEEN 0 AND 99""")
+def q_heatmap(spark, sf):
+    e = src.events(spark, sf)
+    click = F.col("event_type") == "click"
+    p = e.select((F.col("user_id") % 4).alias("screen"), F.floor(F.col("value") / 5).cast("int").alias("x"), F.get_json_object("props", "$.k").cast("int").alias("y"), F.when(click, 3).otherwise(2).alias("radius"), F.when(click, 5.0).otherwise(1.0).alias("weight"))
+    return overlay.normalised(overlay.heatmap(p, 100, 100, ["screen"])).withColumn("norm", F.round("norm", 6))
+
+
+@query("SELECT conv_id, turn, 'Text at ' || turn::VARCHAR || ': ' || left(text, 20) AS line FROM conversations WHERE role = 'user' AND text IS NOT NULL AND turn IS NOT NULL")
+def q_transcript(spark, sf):
+    c = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user' and text is not null and turn is not null")
+    return c.select("conv_id", "turn", F.concat(F.lit("Text at "), F.col("turn").cast("string"), F.lit(": "), F.left("text", F.lit(20))).alias("line"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN w * h <= 262144 THEN w ELSE floor((w / h) * floor(sqrt(262144 / (w / h))))::INTEGER END AS width, CASE WHEN w * h <= 262144 THEN h ELSE floor(sqrt(262144 / (w / h)))::INTEGER END AS height FROM (SELECT o_orderkey, (300 + o_orderkey % 1700)::INTEGER AS w, (200 + o_custkey % 1000)::INTEGER AS h FROM orders)""")
+def q_downscale(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 1700 + 300).cast("int").alias("w"), (F.col("o_custkey") % 1000 + 200).cast("int").alias("h"))
+    return o.withColumn("d", scalars.downscaled(F.col("w"), F.col("h"))).select("id", "d.width", "d.height")
+
+
+@query("""SELECT user_id AS session_id, count(*) AS n, CASE WHEN max(ts) > min(ts) THEN round((count(*) - 1) * 1e6 / (epoch_us(max(ts)) - epoch_us(min(ts))), 9) ELSE 60.0 END AS fps FROM events GROUP BY user_id""")
+def q_frame_rates(spark, sf):
+    e = src.events(spark, sf).groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("n"), F.min("us").alias("a"), F.max("us").alias("b"))
+    return e.select("session_id", "n", F.round(paging.frame_rate(F.col("n"), F.col("a"), F.col("b")), 9).alias("fps"))
+
+
