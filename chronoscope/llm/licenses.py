@@ -47,7 +47,11 @@ def shingles(ws: Column, k: int) -> Column:
 
 def bands(items: Column) -> Column:
     """``band, value`` for each band: the least of the shingles' values under its hash."""
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.array_min(F.transform(items, lambda x, b=b: F.xxhash64(x, F.lit(b)))).alias("value")) for b in range(BANDS)])
+
+    def least(b: int) -> Column:
+        return F.array_min(F.transform(items, lambda x: F.xxhash64(x, F.lit(b))))
+
+    return F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("value")) for b in range(BANDS)])
 
 
 def scan(docs: DataFrame, notices: DataFrame, contained: float = CONTAINED, limit: int = TEMPLATES) -> DataFrame:
