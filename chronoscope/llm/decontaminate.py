@@ -173,15 +173,15 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str =
 
     Null and empty texts have no words and no hits; an empty benchmark gives
     no hits; rows that repeat are judged one by one; all other columns pass
-    through, whatever their names (``_text``, ``_bits``, ``_items``, ``_n``
-    excepted).
+    through (``_text``, ``_bits``, ``_items``, ``_n`` excepted), those of a
+    name that is added are replaced.
     """
     spark = docs.sparkSession
     windows = item_windows(benchmark, width, item_col, item_text_col)
     item_type = windows.schema["item"].dataType
     total = windows.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
-    kept = docs.columns
+    kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "items")]
     out = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.lit(None).cast("binary").alias("_bits"), F.lit(None).cast(f"array<{item_type.simpleString()}>").alias("_items"), F.lit(0).cast("long").alias("_n"))
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     for k in range(blocks):

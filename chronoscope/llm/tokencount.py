@@ -132,10 +132,11 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` without ``text`` and with ``n_tokens`` added.
 
     Null and empty texts have no tokens; rows that repeat are counted alike;
-    other columns pass through.
+    other columns pass through, one named ``n_tokens`` is replaced.
     """
     path = path or public_tokenizers.path(MODEL)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
+    docs = docs.drop("n_tokens")
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     return docs.mapInArrow(_count(path, table), f"{schema}, n_tokens long" if rest else "n_tokens long")

@@ -176,8 +176,10 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
 
     Null and empty texts have no terms and get the machine's base rate; rows
     that repeat get equal scores; labels other than 0 and 1 are not used, and of
-    several labels of one document the larger counts. Other columns pass through.
+    several labels of one document the larger counts. Other columns pass through, one named
+    ``score`` is replaced.
     """
+    docs = docs.drop("score")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "score double"])
     return docs.mapInArrow(_score(model, arrow_schema(ddl)), ddl)

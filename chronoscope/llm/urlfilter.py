@@ -46,8 +46,10 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
 
     A capture without host or fetch day is not blocked; rows that repeat are
     judged alike; without entries nothing is blocked. Other columns pass through
-    (names that start with ``_`` excepted).
+    (names that start with ``_`` excepted), those of a name that is added are
+    replaced.
     """
+    captures = captures.drop("host", "blocked", "lists", "n_active", "listed_since")
     c = captures.withColumn("host", host_of(F.col(url))).withColumn("_day", F.col(fetched).cast("date"))
     pairs = c.where("host <> '' and _day is not null").select("host", "_day").distinct()
     keys = pairs.select("host", "_day", F.explode(domains_of(F.col("host"))).alias("domain"))

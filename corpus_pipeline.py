@@ -14,9 +14,19 @@ from chronoscope.llm import bpe, decontaminate, neardup, quality, substrings
 from chronoscope.llm.shared import stored, table
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and all other columns in one struct, so that no name can clash with an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`") for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the log-likelihood ratio pass; empty and null texts go."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    return _unpacked(quality.judge(_packed(docs), table(spark, sf_dir, "labels")).where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,22 +38,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of 13-word windows that a document of smaller id has too; texts that lose none stay as they are."""
-    out = substrings.deduplicate(docs)
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(new).select(docs.columns)
+    out = substrings.deduplicate(_packed(docs))
+    out = _unpacked(out.withColumn("text", F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))), docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth is in windows of benchmark items."""
-    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where(~decontaminate.contaminated()).select(docs.columns)
+    marked = decontaminate.mark(_packed(docs), table(spark, sf_dir, "benchmark"))
+    return _unpacked(marked.where(~decontaminate.contaminated()), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, and the digest of what these decode to."""
-    out = bpe.encode(docs, wanted=("n_tokens", "ids", "decoded_sha256"))
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
+    return bpe.encode(docs.select("doc_id", "text", "lang", "source"), wanted=("n_tokens", "ids", "decoded_sha256"))
 
 
 STAGES = [
