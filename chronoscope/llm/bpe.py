@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ def chunks(b: pa.RecordBatch, column: str = "text"):
             a = int(o[k])
             raw = d[a : int(o[k + 1])].tobytes()
             e = [int(x) - a for x in ends]
-            s = [0, *e[:-1]]
+            s = [0, *e][: len(e)]
             yield i + k, raw, [(hashlib.blake2b(raw[x:y], digest_size=16).digest(), x, y) for x, y in zip(s, e, strict=True)]
 
 
@@ -90,14 +91,17 @@ def _slots(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.int64)[::2] % BLOOM_BITS
 
 
-def _chunk_rows(batches):
-    """Each document's distinct chunks; those it holds twice count twice."""
+def _chunk_rows(batches, table=None):
+    """Each document's distinct chunks, or those that the filter may hold; ones it holds twice count twice."""
     for b in batches:
         rows, keys, n = [], [], []
         for row, _, parts in chunks(b):
             count: dict[bytes, int] = {}
             for k, _, _ in parts:
                 count[k] = count.get(k, 0) + 1
+            if table is not None:
+                at = _slots(list(count))
+                count = dict(compress(count.items(), (table[at >> 3] >> (at & 7) & 1).astype(bool)))
             keys += count
             n += count.values()
             rows += [row] * len(count)
@@ -170,8 +174,9 @@ class Encoder:
                 return window
             n *= 2
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.t.decode_batch(ids, skip_special_tokens=False)
+    def spelled(self, ids: np.ndarray) -> str:
+        """The ids in decimal, joined by one space."""
+        return " ".join([self.decimal[i] for i in ids.tolist()])
 
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -268,59 +273,73 @@ def _encode_owned(path: str):
     return run
 
 
-def _finish(path: str, names: list[str], raw_out: bool):
-    """Adds the results to each row, using ids of shared chunks in ``_have`` where there are any."""
+#: What encode() can add, with its type.
+RESULTS = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+DDL = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def _finish(path: str, names: list[str], wanted: list[str]):
+    """Adds the results to each row, using ids of shared chunks in ``_have`` where there are any; some text's worth of rows at a time."""
+
+    def result(b: pa.RecordBatch, first: int, new: list[dict]) -> pa.RecordBatch:
+        part = b.slice(first, len(new))
+        made = [pa.array([x[w] for x in new], RESULTS[w]) for w in wanted]
+        return pa.RecordBatch.from_arrays([*(part.column(b.schema.names.index(n)) for n in names), *made], [*names, *wanted])
 
     def run(batches):
         enc = encoder(path)
         for b in batches:
             have = b.column(b.schema.names.index("_have")) if "_have" in b.schema.names else None
-            ids = []
+            new, held, first = [], 0, 0
             for row, raw, parts in chunks(b):
                 known = {x["k"]: x["ids"] for x in (have[row].as_py() or ())} if have is not None else {}
-                ids.append(enc.stitch(raw, parts, known))
-            lists = [np.frombuffer(x, "<u4").tolist() for x in ids]
-            texts = enc.decode(lists)
-            keep = [b.column(b.schema.names.index(n)) for n in names]
-            if raw_out:
-                new = {"ids": pa.array(lists, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
-            else:
-                sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                dec = enc.decimal
-                new = {"n_tokens": pa.array(map(len, lists), pa.int64()), "ids_sha256": pa.array([sha(" ".join([dec[i] for i in x])) for x in lists]), "decoded_sha256": pa.array(map(sha, texts))}
-            yield pa.RecordBatch.from_arrays([*keep, *new.values()], [*names, *new])
+                packed = enc.stitch(raw, parts, known)
+                ids = np.frombuffer(packed, "<u4") if packed else np.zeros(0, "<u4")
+                text = enc.t.decode(ids.tolist(), skip_special_tokens=False)
+                every = {"ids": lambda: ids, "decoded": lambda: text, "n_tokens": lambda: len(ids), "ids_sha256": lambda: _sha(enc.spelled(ids)), "decoded_sha256": lambda: _sha(text)}  # noqa: B023
+                new.append({w: every[w]() for w in wanted})
+                held += len(raw) + 200
+                if held > wh.PIECE:
+                    yield result(b, first, new)
+                    first, new, held = row + 1, [], 0
+            if new:
+                yield result(b, first, new)
 
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, digests: bool = False) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``decoded`` in place of ``text``.
+def _sha(s: str) -> str:
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def encode(docs: DataFrame, path: str | None = None, wanted: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``docs`` with the ``wanted`` results in place of ``text``: any of ``RESULTS``.
 
-    With ``digests``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``
-    instead. Null and empty texts have no ids and decode to the empty string;
-    rows that repeat, also under one id, each get their own result; rows without
-    an id are encoded without reuse. Other columns pass through (names that
-    start with ``_`` excepted).
+    Null and empty texts have no ids and decode to the empty string; rows that
+    repeat, also under one id, each get their own result; rows without an id
+    are encoded without reuse. Other columns pass through (names that start
+    with ``_`` excepted), those of a wanted name are replaced.
     """
+    docs = docs.drop(*wanted)
     spark, path = docs.sparkSession, path or public_tokenizers.path(TOKENIZER)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(_chunk_rows, CHUNKS.format(id=id_type))
     shared = stored(rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("slot").alias("slot"), F.min("doc_id").alias("owner")).where("n > 1").drop("n"), "bpe-shared")
     table = spark.sparkContext.broadcast(bloom(shared))
 
-    moving = docs.mapInArrow(_travels(table, True), docs.schema).withColumn("_key", F.col("doc_id")).repartition("_key")
+    moving = docs.mapInArrow(_travels(table, True), docs.schema).withColumn("_key", F.col("doc_id")).where("_key is not null").repartition("_key")
     owned = shared.groupBy(F.col("owner").alias("_key")).agg(F.collect_list("key").alias("_owned"))
     encoded = moving.join(owned, "_key").mapInArrow(_encode_owned(path), "key binary, ids binary").dropDuplicates(["key"])
-    uses = moving.mapInArrow(_chunk_rows, CHUNKS.format(id=id_type)).select("key", "doc_id")
+    uses = moving.mapInArrow(lambda batches: _chunk_rows(batches, table.value), CHUNKS.format(id=id_type)).select("key", "doc_id")
     found = uses.join(encoded, "key")
     have = found.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct(F.col("key").alias("k"), "ids")).alias("_have"))
     names = [f.name for f in docs.schema.fields if f.name != "text"]
-    extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    extra = ", ".join(f"{w} {DDL[w]}" for w in wanted)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), extra])
-    alone = docs.mapInArrow(_travels(table, False), docs.schema).mapInArrow(_finish(path, names, not digests), schema)
-    return alone.unionByName(moving.join(have, "_key", "left").mapInArrow(_finish(path, names, not digests), schema))
+    alone = docs.mapInArrow(_travels(table, False), docs.schema).mapInArrow(_finish(path, names, list(wanted)), schema)
+    return alone.unionByName(moving.join(have, "_key", "left").mapInArrow(_finish(path, names, list(wanted)), schema))
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The contract's columns for each document."""
-    return encode(docs.select("doc_id", "text"), path, digests=True)
+    return encode(docs.select("doc_id", "text"), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
