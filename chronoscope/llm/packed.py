@@ -26,7 +26,7 @@ def deal(keys: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[tuple[
     order = np.argsort(b, kind="stable")
     b = b[order]
     start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, int)
-    for i, j in zip(start, np.append(start[1:], len(b)), strict=True):
+    for i, j in ranges(start, len(b)):
         at = order[i:j]
         yield int(b[i]), [keys[at].tobytes(), *(c[at].tobytes() for c in columns)]
 
@@ -43,6 +43,11 @@ def merged(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
 
 
+def ranges(start: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Begin and end of each group, from where they begin and the number of all values."""
+    return list(zip(start, np.append(start[1:], n), strict=True)) if len(start) else []
+
+
 def group_starts(*keys: np.ndarray) -> np.ndarray:
     """Where each group of equal keys begins, in sorted arrays."""
     n = len(keys[0])

@@ -6,7 +6,7 @@ neighbours are joined depends only on themselves, so equal passages get equal
 symbols but near their ends; each symbol knows the span of words that decided
 it. A window of words that holds such a span can only repeat if that symbol
 repeats, so symbols found in one document alone rule out nearly all windows.
-The remaining windows are verified by 128-bit fingerprints of their words, and
+The remaining windows are verified by 96-bit fingerprints of their words, and
 each learns the least document that has it.
 
 Documents are dealt into cells by their ids. Spark shuffles the texts once, and
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .packed import deal, group_starts, merged, rows
+from .packed import deal, group_starts, merged, ranges, rows
 from .shared import arrow_schema, buckets
 
 #: Rounds of pair naming, and words that a symbol spans at least to be tested.
 ROUNDS, SPAN = 3, 3
-PACKED = "bucket long, cell long, k binary, v binary"
+SYMBOLS = "bucket long, cell long, k binary"
+WINDOWS = "bucket long, cell long, k binary, k2 binary, lo binary, more binary"
+LEAST = "_cell long, k binary, k2 binary, lo binary"
 
 
 class Symbols:
@@ -136,7 +138,7 @@ def _symbol_rows(width: int, n: int):
             name, cell, more = name[start], cell[start], (doc[start] != doc[last]).astype(wh.U)
             each = np.append(group_starts(cell), len(cell))
             for x, y in zip(each[:-1], each[1:], strict=True):
-                yield rows(["k", "v"], list(deal(name[x:y] | more[x:y], [np.zeros(y - x, np.int8)], n)), cell=int(cell[x]))
+                yield rows(["k"], list(deal(name[x:y] | more[x:y], [], n)), cell=int(cell[x]))
 
     return run
 
@@ -147,12 +149,13 @@ def _cells(t: pa.Table, width: int) -> np.ndarray:
     return np.repeat(t.column("cell").to_numpy(), size)
 
 
-def _by_cell(cell: np.ndarray, key: np.ndarray, value: np.ndarray) -> pa.Table:
+def _by_cell(cell: np.ndarray, **columns: np.ndarray) -> pa.Table:
     order = np.argsort(cell, kind="stable")
-    cell, key, value = cell[order], key[order], value[order]
+    cell = cell[order]
     start = group_starts(cell)
-    cut = list(zip(start, np.append(start[1:], len(cell)), strict=True))
-    return pa.table({"_cell": pa.array(cell[start], pa.int64()), "k": pa.array([key[i:j].tobytes() for i, j in cut], pa.binary()), "v": pa.array([value[i:j].tobytes() for i, j in cut], pa.binary())})
+    cut = ranges(start, len(cell))
+    packed = {c: pa.array([v[order[i:j]].tobytes() for i, j in cut], pa.binary()) for c, v in columns.items()}
+    return pa.table({"_cell": pa.array(cell[start], pa.int64()), **packed})
 
 
 def _shared_symbols(t: pa.Table) -> pa.Table:
@@ -165,7 +168,7 @@ def _shared_symbols(t: pa.Table) -> pa.Table:
     size = np.diff(np.append(start, len(name)))
     # one cell's batches may report a symbol more than once, perhaps for one document: that only keeps a window in the race
     keep = np.repeat((size > 1) | ((key[start] & wh.U(1)) > 0), size)
-    return _by_cell(cell[keep], key[keep] & ~wh.U(1), np.zeros(int(keep.sum()), np.int8))
+    return _by_cell(cell[keep], k=key[keep] & ~wh.U(1))
 
 
 def _possible(h: np.ndarray, bounds: np.ndarray, shared: np.ndarray, width: int) -> np.ndarray:
@@ -184,21 +187,14 @@ def _possible(h: np.ndarray, bounds: np.ndarray, shared: np.ndarray, width: int)
     return np.flatnonzero(out & (np.arange(n) + width <= bounds[1:][row])) if n else np.zeros(0, np.int64)
 
 
-def fingerprints(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Two fingerprints of 64 bits of the windows that start at ``at``."""
-    out = np.zeros((len(at), 2), wh.U)
-    if len(at):
-        grid = h[at[:, None] + np.arange(width)].T.copy()
-        flat = [np.zeros(len(at), wh.U) + wh.U(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in (1, 2)]
-        for j in range(width):
-            for k, m in ((0, 0xFF51AFD7ED558CCD), (1, 0xC4CEB9FE1A85EC53)):
-                flat[k] = (flat[k] ^ (flat[k] >> wh.U(29))) * wh.U(m) + wh.mix(grid[j] + wh.U(k))
-        out[:, 0], out[:, 1] = wh.mix(flat[0]), wh.mix(flat[1])
-    return out
-
-
-def _ordered(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
-    return np.lexsort((*more[::-1], key[:, 1], key[:, 0]))
+def fingerprints(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of 64 and of 32 more bits of the windows that start at ``at``."""
+    flat = [np.full(len(at), 0x9E3779B97F4A7C15 * k % (1 << 64), wh.U) for k in (1, 2)]
+    for j in range(width):
+        word = h[at + j]
+        for k, m in ((0, 0xFF51AFD7ED558CCD), (1, 0xC4CEB9FE1A85EC53)):
+            flat[k] = (flat[k] ^ (flat[k] >> wh.U(29))) * wh.U(m) + (wh.mix(word) if k else word)
+    return wh.mix(flat[0]), (wh.mix(flat[1]) >> wh.U(32)).astype(np.uint32)
 
 
 def _window_rows(width: int, n: int):
@@ -214,43 +210,42 @@ def _window_rows(width: int, n: int):
                 at = _possible(h, bounds, shared, width)
                 row = wh.row_of(bounds)[at] + i
                 at, row = at[valid[row]], row[valid[row]]
-                got.append((fingerprints(h, at, width), ids[row]))
+                got.append((*fingerprints(h, at, width), ids[row]))
         if got:
-            key, doc = np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
-            order = _ordered(key, doc)
-            key, doc = key[order], doc[order]
-            start = group_starts(key[:, 0], key[:, 1])
+            key, key2, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+            order = np.lexsort((doc, key2, key))
+            key, key2, doc = key[order], key2[order], doc[order]
+            start = group_starts(key, key2)
             if len(start):
                 last = np.append(start[1:], len(doc)) - 1
-                keys = key[start]
-                doc = np.stack([doc[start], doc[last]], axis=1)
-                dealt = deal(keys[:, 0], [keys[:, 1].copy(), doc], n)
-                out = [(k, [np.stack([np.frombuffer(a, wh.U), np.frombuffer(c, wh.U)], axis=1).tobytes(), v]) for k, (a, c, v) in dealt]
+                out = list(deal(key[start], [key2[start], doc[start], doc[last] - doc[start]], n))
         cell = left.column("_cell")[0].as_py() if left.num_rows else 0
-        return pa.Table.from_batches([rows(["k", "v"], out, cell=cell)])
+        return pa.Table.from_batches([rows(["k", "k2", "lo", "more"], out, cell=cell)])
 
     return run
 
 
 def _least(t: pa.Table) -> pa.Table:
     """For each cell, its windows that a smaller document than its largest has, with the least document."""
-    key, doc, cell = merged(t, "k", wh.U).reshape(-1, 2), merged(t, "v", np.int64).reshape(-1, 2), _cells(t, 16)
-    order = _ordered(key, doc[:, 0])
-    key, doc, cell = key[order], doc[order], cell[order]
-    start = group_starts(key[:, 0], key[:, 1])
-    least = np.repeat(doc[start, 0], np.diff(np.append(start, len(doc)))) if len(start) else np.zeros(0, np.int64)
-    keep = least < doc[:, 1]
-    return _by_cell(cell[keep], key[keep], least[keep])
+    key, key2, cell = merged(t, "k", wh.U), merged(t, "k2", np.uint32), _cells(t, 8)
+    lo = merged(t, "lo", np.int64)
+    hi = lo + merged(t, "more", np.int64)
+    order = np.lexsort((lo, key2, key))
+    key, key2, lo, hi, cell = key[order], key2[order], lo[order], hi[order], cell[order]
+    start = group_starts(key, key2)
+    least = np.repeat(lo[start], np.diff(np.append(start, len(lo)))) if len(start) else lo
+    keep = least < hi
+    return _by_cell(cell[keep], k=key[keep], k2=key2[keep], lo=least[keep])
 
 
 def _covered(width: int, finish, schema: pa.Schema):
     """For one cell: marks the words of windows that a smaller document has, and passes each block on to ``finish``."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, least = merged(right, "k", wh.U).reshape(-1, 2), merged(right, "v", np.int64)
-        order = _ordered(key)
-        key, least = key[order], least[order]
-        heads = key[:, 0].copy()
+        key, key2, least = merged(right, "k", wh.U), merged(right, "k2", np.uint32), merged(right, "lo", np.int64)
+        order = np.lexsort((key2, key))
+        key, key2, least = key[order], key2[order], least[order]
+        twice = bool((key[1:] == key[:-1]).any())
         out = []
         for b in left.combine_chunks().to_batches():
             ids, valid = _documents(b)
@@ -258,13 +253,18 @@ def _covered(width: int, finish, schema: pa.Schema):
             for i, h, bounds, raw in blocks(b):
                 gone = np.zeros(len(h) + 1, np.int64)
                 row = wh.row_of(bounds)
-                if len(heads) and len(h):
+                if len(key) and len(h):
                     at = np.flatnonzero((np.arange(len(h)) + width <= bounds[1:][row]) & valid[i + row])
-                    f = fingerprints(h, at, width)
-                    lo = np.minimum(np.searchsorted(heads, f[:, 0]), len(heads) - 1)
-                    seen = np.flatnonzero(heads[lo] == f[:, 0])
-                    hit = np.array([_has(key, least, lo[x], f[x], ids[i + row[at[x]]]) for x in seen], bool) if len(seen) and len(np.unique(heads)) != len(heads) else (key[lo[seen], 1] == f[seen, 1]) & (least[lo[seen]] < ids[i + row[at[seen]]])
-                    hits = at[seen[hit]]
+                    f, f2 = fingerprints(h, at, width)
+                    lo = np.minimum(np.searchsorted(key, f), len(key) - 1)
+                    seen = np.flatnonzero(key[lo] == f)
+                    at, f, f2, lo = at[seen], f[seen], f2[seen], lo[seen]
+                    while twice and len(lo):  # past other windows of the same 64 bits
+                        on = (key2[lo] != f2) & (np.append(key[1:], ~key[-1:])[lo] == f)
+                        if not on.any():
+                            break
+                        lo = lo + on
+                    hits = at[(key2[lo] == f2) & (least[lo] < ids[i + row[at]])]
                     np.add.at(gone, hits, 1)
                     np.add.at(gone, hits + width, -1)
                 new += finish(bounds, np.cumsum(gone[:-1]) > 0, raw)
@@ -274,14 +274,6 @@ def _covered(width: int, finish, schema: pa.Schema):
     return run
 
 
-def _has(key, least, at, f, doc) -> bool:
-    while at < len(key) and key[at, 0] == f[0]:
-        if key[at, 1] == f[1]:
-            return bool(least[at] < doc)
-        at += 1
-    return False
-
-
 def _result(b: pa.RecordBatch, new: list, schema: pa.Schema) -> pa.RecordBatch:
     made = dict(zip(("_n_words", "_n_removed", "_kept"), zip(*new, strict=True), strict=True)) if new else {}
     return pa.RecordBatch.from_arrays([pa.array(made.get(f.name, []), f.type) if f.name in ("_n_words", "_n_removed", "_kept") else b.column(b.schema.names.index(f.name)).cast(f.type) for f in schema], schema=schema)
@@ -316,11 +308,11 @@ def deduplicate(docs: DataFrame, width: int = 13, digests: bool = False, cells:
     n = buckets(docs.sparkSession)
     cells = cells or n
     dealt = docs.withColumn("_cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells))).repartition(cells, "_cell")
-    found = dealt.mapInArrow(_symbol_rows(width, n), PACKED)
-    shared = found.groupBy("bucket").applyInArrow(_shared_symbols, "_cell long, k binary, v binary")
+    found = dealt.mapInArrow(_symbol_rows(width, n), SYMBOLS)
+    shared = found.groupBy("bucket").applyInArrow(_shared_symbols, "_cell long, k binary")
     by_cell = dealt.groupBy("_cell")
-    windows = by_cell.cogroup(shared.groupBy("_cell")).applyInArrow(_window_rows(width, n), PACKED)
-    least = windows.groupBy("bucket").applyInArrow(_least, "_cell long, k binary, v binary")
+    windows = by_cell.cogroup(shared.groupBy("_cell")).applyInArrow(_window_rows(width, n), WINDOWS)
+    least = windows.groupBy("bucket").applyInArrow(_least, LEAST)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _n_words long, _n_removed long, _kept string"
     finish = _digested if digests else _kept_words
     return by_cell.cogroup(least.groupBy("_cell")).applyInArrow(_covered(width, finish, arrow_schema(ddl)), ddl)
