@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import once
+
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 16
 #: Templates at most: their shingles and bands are broadcast.
 TEMPLATES = 2_000
@@ -54,6 +56,19 @@ def bands(items: Column) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("value")) for b in range(BANDS)])
 
 
+def _windows(n: int, k: int) -> Column:
+    """The windows for templates of ``n`` words that hold one of the places ``_at``; they start at multiples of the step."""
+    step = max(1, n // 4)
+    size = n + step - k  # shingles of a window
+
+    def around(p: Column) -> Column:
+        lo = F.greatest(F.ceil((p - size + 1) / step), F.lit(0)).cast("int")
+        return F.sequence(lo, F.greatest(F.floor(p / step).cast("int"), lo))
+
+    starts = F.array_distinct(F.flatten(F.transform("_at", around)))
+    return F.transform(starts, lambda s: F.struct(F.lit(n).alias("len"), s.alias("start"), (s * step).alias("first"), F.lit(size).alias("size")))
+
+
 def scan(docs: DataFrame, notices: DataFrame, contained: float = CONTAINED, limit: int = TEMPLATES) -> DataFrame:
     """``doc_id, license_id, places, containment`` for each document and license found in it.
 
@@ -66,28 +81,21 @@ def scan(docs: DataFrame, notices: DataFrame, contained: float = CONTAINED, limi
     lengths = [r["_len"] for r in t.groupBy("_len").count().orderBy("_len").collect()]
     if t.count() > limit:
         raise ValueError(f"more than {limit} templates")
-    words = docs.select("doc_id", tokens(F.col("text")).alias("_ws"))
+    words = once(docs.select("doc_id", "text"), _ws=tokens(F.col("text"))).drop("text")
     found = None
     for k in sorted({min(SHINGLE, n) for n in lengths}):
         own = [n for n in lengths if min(SHINGLE, n) == k]
         mine = t.where(F.col("_len").isin(own)).withColumn("_sh", F.array_distinct(shingles(F.col("_t"), k)))
         all_ = mine.select(F.explode("_sh").alias("h")).agg(F.collect_set("h").alias("a")).scalar()
-        d = words.withColumn("_sh", shingles(F.col("_ws"), k)).drop("_ws").withColumn("_all", all_).where(F.arrays_overlap("_sh", "_all"))
-        d = d.withColumn("_at", F.filter(F.transform("_sh", lambda h, i: F.when(F.array_contains(F.col("_all"), h), i)), lambda i: i.isNotNull())).drop("_all")
-        each = None
-        for n in own:
-            step = max(1, n // 4)
-            size = n + step - 1 - k + 1  # shingles of a window
-            # windows that start at a multiple of the step and hold one of the places
-            first = F.transform("_at", lambda p: F.greatest(F.ceil((p - size + 1) / step), F.lit(0)).cast("int"))  # noqa: B023
-            starts = F.array_distinct(F.flatten(F.transform(F.arrays_zip(first.alias("a"), F.col("_at").alias("b")), lambda x: F.sequence(x["a"], F.greatest((x["b"] / step).cast("int"), x["a"])))))  # noqa: B023
-            w = d.select("doc_id", "_sh", F.explode(starts).alias("_start")).select("doc_id", F.lit(n).alias("_len"), "_start", F.slice("_sh", F.col("_start") * step + 1, size).alias("_win")).where(F.size("_win") > 0)
-            each = w if each is None else each.unionByName(w)
-        keyed = each.withColumn("_band", F.explode(bands(F.col("_win"))))
+        d = once(words, _sh=shingles(F.col("_ws"), k)).drop("_ws").withColumn("_all", all_).where(F.arrays_overlap("_sh", "_all"))
+        d = once(d, _at=F.filter(F.transform("_sh", lambda h, i: F.when(F.array_contains(F.col("_all"), h), i)), lambda i: i.isNotNull())).drop("_all")
+        each = d.select("doc_id", "_sh", F.explode(F.flatten(F.array(*[_windows(n, k) for n in own]))).alias("_w"))
+        each = each.select("doc_id", F.col("_w.len").alias("_len"), F.col("_w.start").alias("_start"), F.slice("_sh", F.col("_w.first") + 1, F.col("_w.size")).alias("_win"))
+        keyed = each.withColumn("_band", F.explode(F.when(F.size("_win") > 0, bands(F.col("_win")))))
         marks = F.broadcast(mine.select("license_id", F.col("_len").alias("_tlen"), F.col("_sh").alias("_tsh"), F.explode(bands(F.col("_sh"))).alias("_tband")))
         met = keyed.join(marks, (F.col("_len") == F.col("_tlen")) & (F.col("_band") == F.col("_tband")))
         share = F.size(F.array_intersect("_win", "_tsh")) / F.size("_tsh")
-        hits = met.select("doc_id", "license_id", "_start", share.alias("_share")).where(F.col("_share") >= contained)
+        hits = once(met.select("doc_id", "license_id", "_start", "_win", "_tsh"), _share=share).drop("_win", "_tsh").where(F.col("_share") >= contained)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.select("doc_id", F.lit(None).cast("string").alias("license_id"), F.lit(0).cast("long").alias("places"), F.lit(0.0).alias("containment")).where("false")

@@ -58,6 +58,16 @@ def words(c):
     return F.filter(F.split(F.coalesce(c, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def once(df: DataFrame, **columns) -> DataFrame:
+    """``df`` with columns that are computed once a row.
+
+    A filter on a plain column is moved below it and repeats its expression,
+    within lambdas even once an element; it can't be moved below a generator.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], F.inline(F.array(made)))
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
