@@ -47,3 +47,14 @@ def band_join(intervals: DataFrame, points: DataFrame, at: str, width: int, key:
     bucket = lambda c: F.floor(F.col(c) / width)
     wide = intervals.withColumn("_b", F.explode(F.sequence(bucket("start"), bucket("end"))))
     return wide.join(points.withColumn("_b", bucket(at)), [key, "_b"]).where(F.col(at).between(F.col("start"), F.col("end"))).drop("_b")
+
+
+def breakpoints(events: DataFrame, key: str = "session_id") -> DataFrame:
+    """The distinct times at which an interval of a key begins or ends."""
+    return events.select(key, F.explode(F.array("start", "end")).alias("t")).distinct()
+
+
+def frames_around(marks: DataFrame, frames: DataFrame, at: str, reach: int, key: str = "session_id") -> DataFrame:
+    """For each mark the first and last frame number within ``reach`` of it; spans of one frame are left out."""
+    near = band_join(pad(marks.select(key, "mark_id", at), at, reach, reach).drop(at), frames.select(key, at, "idx"), at, 2 * reach, key)
+    return near.groupBy(key, "mark_id").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).where("lo < hi")

@@ -52,3 +52,15 @@ def timeouts(blocks: DataFrame, limit: int, at: str = "us") -> DataFrame:
     """Blocks whose last sign of life is older than ``limit`` at the latest time of all."""
     last = blocks.groupBy("block").agg(F.max(at).alias("last_seen"), F.count("*").alias("n_signs"))
     return last.withColumn("now", blocks.agg(F.max(at)).scalar()).where(F.col("now") - F.col("last_seen") > limit)
+
+
+def admitted(jobs: DataFrame, depth: int, capacity: int, key: list[str], order: list[str]) -> DataFrame:
+    """The jobs that a queue of ``depth`` waiting still takes, in order; the rest are shed."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    return jobs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= capacity - depth)
+
+
+def published(events: DataFrame, threshold: float, key: list[str], z: str = "z", seq: str = "seq") -> DataFrame:
+    """Events above the threshold with their place in the order of falling z, then of arrival."""
+    w = Window.partitionBy(*key).orderBy(F.desc(z), seq)
+    return events.where(F.col(z) > threshold).withColumn("place", F.row_number().over(w))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vectors
@@ -89,6 +89,26 @@ def q_clip_names(spark, sf):
     return rounded(g.select(name.alias("clip"), paging.frame_rate(F.col("n"), F.col("a"), F.col("b"), 30.0).alias("fps")), "fps")
 
 
+@query(f"WITH {TL} SELECT session_id, count(DISTINCT t) AS n_points, min(t) AS first_us, max(t) AS last_us FROM (SELECT session_id, s AS t FROM tl UNION ALL SELECT session_id, e FROM tl) GROUP BY session_id")
+def q_breakpoints(spark, sf):
+    b = intervals.breakpoints(src.timeline(spark, sf))
+    return b.groupBy("session_id").agg(F.count("*").alias("n_points"), F.min("t").alias("first_us"), F.max("t").alias("last_us"))
+
+
+@query(f"""WITH {TL}, f AS (SELECT session_id, event_id, s, value, row_number() OVER (PARTITION BY session_id ORDER BY s, event_id) - 1 AS idx FROM tl)
+SELECT m.session_id, m.event_id AS mark_id, min(f.idx) AS lo, max(f.idx) AS hi FROM f m JOIN f ON f.session_id = m.session_id AND f.s BETWEEN m.s - {6 * HOUR} AND m.s + {6 * HOUR} WHERE m.value > 150 GROUP BY ALL HAVING min(f.idx) < max(f.idx)""")
+def q_frames_around(spark, sf):
+    w = Window.partitionBy("session_id").orderBy("start", "event_id")
+    f = src.timeline(spark, sf).select("session_id", "event_id", "value", F.col("start").alias("us"), (F.row_number().over(w) - 1).cast("long").alias("idx"))
+    return intervals.frames_around(f.where("value > 150").withColumnRenamed("event_id", "mark_id"), f, "us", 6 * HOUR)
+
+
+@query(f"WITH {ISLANDS} SELECT session_id, start_us, rk AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_us) AS rk FROM cl) WHERE rk <= 6")
+def q_queue_drop(spark, sf):
+    c = scheduling.admitted(_clips(spark, sf), 4, 10, ["session_id"], ["start"])
+    return c.select("session_id", F.col("start").alias("start_us"), F.col("place").cast("long").alias("place"))
+
+
 # --- consolidation, filters, payloads
 
 
@@ -276,6 +296,12 @@ def q_top_spans(spark, sf):
     return triage.top_spans(s, 2, 1).select("session_id", "page", "ordinal", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {TRIAGE} SELECT session_id, page, frame, row_number() OVER (PARTITION BY session_id ORDER BY round(z, 9) DESC, frame) AS place FROM tri WHERE round(z, 9) > 0.3")
+def q_published(spark, sf):
+    p = scheduling.published(_spans(spark, sf).withColumn("z", F.round("z", 9)), 0.3, ["session_id"], "z", "frame")
+    return p.select("session_id", "page", "frame", F.col("place").cast("long").alias("place"))
+
+
 def _scored(spark, sf):
     d = novelty.drift(src.latents(spark, sf), ["page"]).withColumn("session_id", F.pmod("page", F.lit(2)))
     return d.withColumn("idx", F.pmod("frame", F.lit(50))).select("session_id", "page", "idx", "score")
