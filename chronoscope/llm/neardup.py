@@ -7,8 +7,9 @@ one hash from either collection is the key of a table, so t * t tables cost
 that share a key are candidates and are verified on their whole sets.
 
 A table's bucket is never expanded into all its pairs: each member meets the
-bucket's first. Verified links give components. Members of one bucket that are
-still apart then meet in an exact prefix-filtered join over rare shingles, so
+bucket's first. Verified links give components. Classes that candidates connect
+but links don't then meet the most typical of those that share a rare shingle
+with them, and what is still apart meets in an exact prefix-filtered join, so
 that no link of a large bucket is lost and none has to be capped.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .components import components
-from .packed import deal, group_starts, merged, rows
+from .packed import deal, group_starts, merged, ranges, rows
 from .shared import stored
 
 #: Minhash values in each hash, and the chance at most that a pair just at the threshold shares no key.
@@ -196,13 +197,18 @@ def _verified(percent: int):
     return run
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    left = sets.select(F.col("rep").alias(a), F.col("items").alias("items_a"))
+    right = sets.select(F.col("rep").alias(b), F.col("items").alias("items_b"))
+    return pairs.join(left, a).join(right, b)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("items").alias("items_b"))
-    sizes = pairs.join(left.drop("items_a"), "a").join(right.drop("items_b"), "b")
-    fit = sizes.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
-    return fit.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(_verified(percent), "a long, b long")
+    size = sets.select("rep", "n")
+    sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
+    fit = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
+    return _with_sets(fit, sets, "a", "b").select("a", "b", "items_a", "items_b").mapInArrow(_verified(percent), "a long, b long")
 
 
 def _tokens(n: int):
@@ -228,43 +234,101 @@ def _shared_tokens(t: pa.Table) -> pa.Table:
     order = np.argsort(reps, kind="stable")
     keys, reps, df = keys[order], reps[order], df[order].astype(np.int32)
     start = group_starts(reps)
-    cut = list(zip(start, np.append(start[1:], len(reps)), strict=True))
+    cut = ranges(start, len(reps))
     return pa.table({"rep": pa.array(reps[start]), "k": pa.array([keys[i:j].tobytes() for i, j in cut], pa.binary()), "d": pa.array([df[i:j].tobytes() for i, j in cut], pa.binary())})
 
 
 def _prefixes(percent: int):
-    """The tokens of each class's prefix in the order of rarity that others have too."""
+    """The tokens of each class's prefix in the order of rarity that others have too, with the class's size and its tokens that no other has."""
 
     def run(batches):
         for x in batches:
-            toks, reps, sizes = [], [], []
+            out = []
             for rep, n, k, d in zip(*(x.column(x.schema.names.index(c)).to_pylist() for c in ("rep", "n", "k", "d")), strict=True):
                 keys, df = np.frombuffer(b"".join(k), wh.U), np.frombuffer(b"".join(d), np.int32)
-                least = -(-n * percent // 100)
-                room = n - least + 1 - (n - len(keys))  # tokens that no other class has come first
+                own = n - len(keys)
+                room = n + (-n * percent // 100) + 1 - own  # the order begins with tokens that no other class has
                 if room > 0:
-                    got = keys[np.lexsort((keys, df))[:room]]
-                    toks.append(got.view(np.int64))
-                    reps += [rep] * len(got)
-                    sizes += [n] * len(got)
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64())], ["tok", "rep", "n"])
+                    out.append((rep, n, own, keys[np.lexsort((keys, df))[:room]].view(np.int64)))
+            if out:
+                reps, sizes, owns, toks = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (reps, sizes, owns)), pa.array(toks, pa.list_(pa.int64()))], ["rep", "n", "q", "toks"])
 
     return run
 
 
-def prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
-    """Pairs of classes in different components that share a token of both prefixes; every similar pair is among them."""
-    tokens = sets.join(apart.select("rep"), "rep").select("rep", "items").mapInArrow(_tokens(n), PACKED)
+def prefixes(apart: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """``rep, n, q, toks``: each class's size, how many of its tokens no other class has, and its prefix tokens that others have."""
+    tokens = sets.join(apart, "rep", "left_semi").select("rep", "items").mapInArrow(_tokens(n), PACKED)
     shared = tokens.groupBy("bucket").applyInArrow(_shared_tokens, "rep long, k binary, d binary")
     lists = shared.groupBy("rep").agg(F.collect_list(F.struct("k", "d")).alias("x")).select("rep", F.col("x.k").alias("k"), F.col("x.d").alias("d"))
-    first = lists.join(sets.select("rep", "n"), "rep").select("rep", "n", "k", "d").mapInArrow(_prefixes(percent), "tok long, rep long, n long").join(apart.select("rep", "comp"), "rep")
-    first = stored(first, "prefixes")
-    mixed = first.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    first = first.join(mixed, "tok")
-    other = first.select("tok", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"))
-    met = first.withColumnRenamed("rep", "a").join(other, "tok").where((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent))
-    return met.select("a", "b").distinct()
+    return lists.join(sets.select("rep", "n"), "rep").select("rep", "n", "k", "d").mapInArrow(_prefixes(percent), "rep long, n long, q long, toks array<long>")
+
+
+def leaders(first: DataFrame) -> DataFrame:
+    """``rep, lead`` for each class and each most typical one of those that share a prefix token with it: that with the least share of tokens of its own. ``best`` marks the most typical of all."""
+    rows = first.select("rep", F.struct((F.col("q") / F.col("n")).alias("share"), F.col("rep")).alias("me"), F.explode("toks").alias("tok"))
+    by = rows.groupBy("tok").agg(F.min("me").alias("lead"))
+    met = rows.join(by, "tok").select("rep", "lead").distinct()
+    best = met.groupBy("rep").agg(F.min("lead").alias("first"))
+    return met.join(best, "rep").select("rep", F.col("lead.rep").alias("lead"), (F.col("lead") == F.col("first")).alias("best"))
+
+
+def _against_lead(batches):
+    """A row for each prefix token of a class, with what its set has in common with its leader's.
+
+    ``a`` tokens are the leader's too; ``x`` are not, nor in the prefix, but
+    other classes have them; ``inside`` tells that the token is the leader's.
+    """
+    for t in batches:
+        cols: dict[str, list] = {c: [] for c in ("tok", "rep", "n", "q", "lead", "a", "x", "inside")}
+        for rep, n, q, toks, lead, p, r in zip(*(t.column(t.schema.names.index(c)) for c in ("rep", "n", "q", "toks", "lead", "items_a", "items_b")), strict=True):
+            mine, other = np.frombuffer(p.as_py(), wh.U), np.frombuffer(r.as_py(), wh.U)
+            tok = toks.values.to_numpy(zero_copy_only=False)
+            a = len(np.intersect1d(mine, other, assume_unique=True))
+            inside = np.isin(tok.view(wh.U), other)
+            k, alone = len(tok), 0 if rep.as_py() == lead.as_py() else q.as_py()
+            x = max(0, n.as_py() - a - alone - int((~inside).sum()))
+            for c, v in (("rep", rep.as_py()), ("n", n.as_py()), ("q", q.as_py()), ("lead", lead.as_py()), ("a", a), ("x", x)):
+                cols[c] += [v] * k
+            cols["tok"] += tok.tolist()
+            cols["inside"] += inside.tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.bool_() if c == "inside" else pa.int64()) for c, v in cols.items()], list(cols))
+
+
+PROFILE = ["tok", "lead", "inside", "n", "q", "a", "x"]
+
+
+def profiled(first: DataFrame, lead: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rep`` and ``PROFILE`` for each prefix token of each class."""
+    one = first.join(lead.where("best").select("rep", "lead"), "rep")
+    return _with_sets(one, sets, "rep", "lead").mapInArrow(_against_lead, "tok long, rep long, n long, q long, lead long, a long, x long, inside boolean")
+
+
+def prefix_pairs(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that share a token of both prefixes and may be similar; every similar pair is among them.
+
+    Of two classes with one leader, those that share a prefix token which it
+    lacks meet there; the others share at most what both have of it, and
+    tokens that a prefix doesn't show. Whether two may be similar depends on
+    their profiles alone, so profiles are paired first, and only classes of
+    those that pass are.
+    """
+    rows = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    mixed = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
+    rows = rows.join(mixed, "tok")
+    p = rows.groupBy(*PROFILE).agg(F.count("*").alias("c")).drop("c")
+    o = p.select("tok", *(F.col(c).alias(f"{c}_2") for c in PROFILE[1:]))
+    u = lambda c: F.col(c)
+    v = lambda c: F.col(f"{c}_2")
+    hidden = F.least(u("x") + v("x"), F.greatest(u("n") - u("a"), F.lit(0)), F.greatest(v("n") - v("a"), F.lit(0)))
+    most = F.when((u("lead") == v("lead")) & u("inside"), F.least(u("a"), v("a")) + hidden).otherwise(F.least(u("n") - u("q"), v("n") - v("q")))
+    most = F.least(most, u("n") - u("q"), v("n") - v("q"))
+    may = p.join(o, "tok").where(most * 100 >= (u("n") + v("n") - most) * percent)
+    left = rows.select(*PROFILE, F.col("rep").alias("a_rep"), "comp")
+    right = rows.select("tok", *(F.col(c).alias(f"{c}_2") for c in PROFILE[1:]), F.col("rep").alias("b_rep"), F.col("comp").alias("comp_2"))
+    met = may.join(left, PROFILE).join(right, ["tok", *(f"{c}_2" for c in PROFILE[1:])]).where("a_rep < b_rep and comp <> comp_2")
+    return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, n: int | None = None) -> DataFrame:
@@ -295,12 +359,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, n: int | Non
     where = family.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("comp"))
     where = stored(where, "families")
     open_ = where.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family")
-    apart = stored(where.join(open_, "family").select("rep", "comp"), "apart")
-    more = verify(prefix_pairs(apart, sets, percent, n).join(pairs, ["a", "b"], "left_anti"), sets, percent)
-    comp = stored(components(links.unionByName(more)), "components")
+    apart = where.join(open_, "family").select("rep")
+    first = stored(prefixes(apart, sets, percent, n), "prefixes")
+    lead = stored(leaders(first), "leaders")
+    typical = lead.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    typical = stored(typical.join(pairs, ["a", "b"], "left_anti"), "typical")
+    links = stored(links.unionByName(verify(typical, sets, percent)), "links")
+    comp = stored(components(links), "components")
+    rest = prefix_pairs(stored(profiled(first, lead, sets), "profiles"), comp, percent)
+    rest = rest.join(pairs.unionByName(typical), ["a", "b"], "left_anti")
+    comp = stored(components(links.unionByName(verify(rest, sets, percent))), "components")
 
     member = base.join(classes.select("print", "rep"), "print", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    out = member.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
