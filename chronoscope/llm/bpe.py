@@ -33,6 +33,7 @@ LEAST, AVERAGE_BITS = 64, 9
 MOST = 1 << 16
 #: Bits of the Bloom filter: 16 MB, whatever the corpus; where it fills up, more documents travel.
 BLOOM_BITS = 1 << 27
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that a worker keeps encoded, and the longest such word in bytes.
 CACHED, CACHED_BYTES = 400_000, 64
 CHUNKS = "key binary, slot long, doc_id {id}, n long"
@@ -110,6 +111,26 @@ def _chunk_rows(batches, table=None):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(_slots(keys)), ids, pa.array(n, pa.int64())], ["key", "slot", "doc_id", "n"])
 
 
+def parts_of(word: bytes) -> tuple[bytes, ...]:
+    """A word as parts that the tokenizer treats alone: a lower-case stem and the ASCII punctuation after it.
+
+    Only where both are certain: the stem ends in a letter or digit and is of
+    Latin letters whose case is plain, and neither a contraction's apostrophe
+    nor the mark of a special token is in the word. All other words are whole.
+    """
+    if b"'" in word or b"<|" in word:
+        return (word,)
+    stem = word.rstrip(PUNCTUATION)
+    try:
+        stem.decode().encode("latin-1")
+    except UnicodeEncodeError:
+        return (word,)
+    if not stem or not (stem[-1:].isalnum() or (stem[-2:-1] == b"\xc3" and stem[-1] not in b"\x97\xb7")):
+        return (word,)
+    low = stem.decode().lower().encode()
+    return (low, word[len(stem) :]) if len(stem) < len(word) else (low,)
+
+
 class Encoder:
     """The library's tokenizer, with a cache of words.
 
@@ -132,18 +153,25 @@ class Encoder:
 
     def encode(self, raw: bytes) -> bytes:
         """The ids of a text as packed 32-bit integers."""
-        ws, known = raw.split(), self.known
-        try:
-            return b"".join([known[w] for w in ws])
-        except KeyError:
-            new = [w for w in dict.fromkeys(ws) if w not in known]
-        if len(known) + len(new) > CACHED:
+        ws = raw.split()
+        got = list(map(self.known.get, ws))
+        if None in got:
+            fresh = self.learn([w for w, g in zip(ws, got, strict=True) if g is None])
+            got = [fresh[w] if g is None else g for w, g in zip(ws, got, strict=True)]
+        return b"".join(got)
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words; their parts are looked up first, and what is left goes to the library at once."""
+        known = self.known
+        if len(known) > CACHED:
             known.clear()
-            new = list(dict.fromkeys(ws))
-        got = self.t.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        fresh = {w: np.array(g.ids, "<u4").tobytes() for w, g in zip(new, got, strict=True)}
-        known.update((w, g) for w, g in fresh.items() if len(w) <= CACHED_BYTES)
-        return b"".join([fresh[w] if w in fresh else known[w] for w in ws])
+        split = {w: parts_of(w) for w in words}
+        new = list({p for ps in split.values() for p in ps if p not in known})
+        ids = [np.array(g.ids, "<u4").tobytes() for g in self.t.encode_batch([p.decode() for p in new], add_special_tokens=False)]
+        made = dict(zip(new, ids, strict=True))
+        out = {w: b"".join([made[p] if p in made else known[p] for p in ps]) for w, ps in split.items()}
+        known.update((w, g) for part in (made, out) for w, g in part.items() if len(w) <= CACHED_BYTES)
+        return out
 
     def stitch(self, raw: bytes, parts: list[tuple[bytes, int, int]], have: dict[bytes, bytes]) -> bytes:
         """The ids of a whole text from those of its chunks; ``have`` holds some chunks' ids."""
@@ -151,6 +179,9 @@ class Encoder:
         while k < len(parts):
             key, start, end = parts[k]
             right = have.get(key)
+            while right is None and k + 1 < len(parts) and parts[k + 1][0] not in have:  # one stretch, without a join
+                k += 1
+                end = parts[k][2]
             while k + 1 < len(parts) and not _breaks(raw, start, end):  # within a longer word
                 k += 1
                 end, right = parts[k][2], None
