@@ -11,17 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, words
+from .shared import SPACE, once, words
 
 SYMBOLS = "#*$%&|<>"
 #: Cells of the hashed multinomials: the size of what is broadcast is fixed by it.
 CELLS = 1 << 15
 #: Trusted documents at most that the target multinomial is fitted on (those whose hashed doc_id is smallest).
 TRUSTED = 50_000
-#: Pseudo-count of each cell.
-ALPHA = 0.5
+#: Pseudo-count of each cell, in words of the target.
+ALPHA = 1.0
 #: A document passes from this mean log ratio on.
-THRESHOLD = -0.15
+THRESHOLD = -0.08
 
 
 def grams(ws: Column, cells: int) -> Column:
@@ -45,16 +45,16 @@ def base_columns(docs: DataFrame, text: str = "_text", ws: str = "_ws") -> DataF
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     w = F.col(ws)
     windows = F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda c, i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), c).alias("h"), i.alias("p")))
-    docs = docs.select(
-        "*", F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(plain)).cast("long").alias("n_symbols"), lines.alias("_lines"), F.sort_array(windows).alias("_win"),
+    docs = once(
+        docs, n_words=F.size(ws).cast("long"), word_chars=F.length(F.array_join(ws, "")).cast("long"),
+        n_symbols=(F.length(t) - F.length(plain)).cast("long"), _lines=lines, _win=F.sort_array(windows),
     )
     s = F.col("_win")
     twice = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]).eqNullSafe(True) | (x["h"] == F.get(s, i + 1)["h"]).eqNullSafe(True))
-    docs = docs.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["p"])))
+    docs = once(docs, _at=F.sort_array(F.transform(twice, lambda x: x["p"])))
     at = F.col("_at")
     covered = F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return docs.withColumns({"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_repeat_words": covered.cast("long")}).drop("_lines", "_win", "_at")
+    return once(docs, n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), n_repeat_words=covered.cast("long")).drop("_lines", "_win", "_at")
 
 
 def trusted(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
@@ -66,29 +66,31 @@ def trusted(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
 def log_ratios(docs: DataFrame, target: DataFrame, cells: int = CELLS, alpha: float = ALPHA) -> DataFrame:
     """One row with an array of ``cells`` log ratios, counted over every document."""
     marks = F.broadcast(target.select(F.col("doc_id").alias("_good")))  # bounded: see trusted()
-    each = docs.select(F.col("doc_id"), words(F.col("text")).alias("_ws")).join(marks, F.col("doc_id") == F.col("_good"), "left")
+    each = once(docs.select("doc_id", "text"), _ws=words(F.col("text"))).drop("text").join(marks, F.col("doc_id") == F.col("_good"), "left")
     each = each.select(F.explode(grams(F.col("_ws"), cells)).alias("cell"), F.col("_good").isNotNull().cast("int").alias("good"))
     counts = each.groupBy("cell").agg(F.count("*").alias("n"), F.sum("good").alias("t"))
     full = docs.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left")
     rows = full.agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t")))).alias("c"), F.sum("n").alias("all_n"), F.sum("t").alias("all_t"))
-    smooth = lambda x, total: F.log((x + alpha) / (F.coalesce(total, F.lit(0)) + alpha * cells))
-    return rows.select(F.transform("c", lambda x: smooth(x["t"], F.col("all_t")) - smooth(x["n"], F.col("all_n"))).alias("ratios"))
+    # with the corpus scaled to the target's size, both have the same pseudo-counts and the same total
+    scale = F.coalesce(F.col("all_t") / F.nullif("all_n", F.lit(0)), F.lit(0.0))
+    return rows.select(F.transform("c", lambda x: F.log((x["t"] + alpha) / (x["n"] * scale + alpha))).alias("ratios"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, cells: int = CELLS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``score`` and ``kept`` added.
 
     Null and empty texts have no words, fail the base rules and have no score;
-    without trusted labels the target is uniform and the ratio still defined;
+    without trusted labels all ratios are 0;
     rows that repeat are judged alike; other columns pass through (names that
-    start with ``_`` excepted).
+    start with ``_`` excepted), those of a name that is added are replaced.
     """
     ratios = log_ratios(docs, trusted(labels), cells).scalar()
-    out = base_columns(docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_ws", words(F.col("text"))))
-    out = out.withColumn("_ratios", ratios).withColumn("_grams", grams(F.col("_ws"), cells))
-    out = out.withColumn("score", F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(F.col("_ratios"), g)) / F.nullif(F.size("_grams"), F.lit(0)))
+    out = base_columns(once(docs, _text=F.coalesce("text", F.lit("")), _ws=words(F.col("text"))))
+    out = once(out, _grams=grams(F.col("_ws"), cells)).withColumn("_ratios", ratios)
+    out = once(out, score=F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(F.col("_ratios"), g)) / F.nullif(F.size("_grams"), F.lit(0)))
+    out = out.drop("_text", "_ws", "_ratios", "_grams")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))).drop("_text", "_ws", "_ratios", "_grams")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
