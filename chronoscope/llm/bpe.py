@@ -35,7 +35,7 @@ MOST = 1 << 16
 BLOOM_BITS = 1 << 27
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that a worker keeps encoded, and the longest such word in bytes.
-CACHED, CACHED_BYTES = 400_000, 64
+CACHED, CACHED_BYTES = 150_000, 64
 CHUNKS = "key binary, slot long, doc_id {id}, n long"
 
 
@@ -309,8 +309,11 @@ RESULTS = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "n_tokens": pa.i
 DDL = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
-def _finish(path: str, names: list[str], wanted: list[str]):
-    """Adds the results to each row, using ids of shared chunks in ``_have`` where there are any; some text's worth of rows at a time."""
+def _finish(path: str, names: list[str], wanted: list[str], filter_=None):
+    """Adds the results to each row, using ids of shared chunks in ``_have`` where there are any; some text's worth of rows at a time.
+
+    With a filter, rows that travel by it are left out.
+    """
 
     def result(b: pa.RecordBatch, first: int, new: list[dict]) -> pa.RecordBatch:
         part = b.slice(first, len(new))
@@ -320,6 +323,8 @@ def _finish(path: str, names: list[str], wanted: list[str]):
     def run(batches):
         enc = encoder(path)
         for b in batches:
+            if filter_ is not None:
+                b = next(_travels(filter_, False)([b]))
             have = b.column(b.schema.names.index("_have")) if "_have" in b.schema.names else None
             new, held, first = [], 0, 0
             for row, raw, parts in chunks(b):
@@ -367,7 +372,7 @@ def encode(docs: DataFrame, path: str | None = None, wanted: tuple[str, ...] = (
     names = [f.name for f in docs.schema.fields if f.name != "text"]
     extra = ", ".join(f"{w} {DDL[w]}" for w in wanted)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), extra])
-    alone = docs.mapInArrow(_travels(table, False), docs.schema).mapInArrow(_finish(path, names, list(wanted)), schema)
+    alone = docs.mapInArrow(_finish(path, names, list(wanted), table), schema)
     return alone.unionByName(moving.join(have, "_key", "left").mapInArrow(_finish(path, names, list(wanted)), schema))
 
 
