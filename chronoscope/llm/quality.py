@@ -2,8 +2,11 @@
 
 Two multinomials over hashed 1- and 2-grams are estimated: one from trusted
 documents, one from all documents. A document's score is the mean over its
-n-grams of log p_trusted - log p_corpus, so its length does not matter; a fixed
-threshold decides. Everything runs as DataFrame expressions.
+n-grams of log p_trusted - log p_corpus, so its length does not matter. The
+fewer documents are trusted, the more of a plain text's n-grams are unseen and
+the lower it scores, so the threshold is set between the labels: trusted
+documents are scored as if each were not trusted, and bad ones as they are.
+Everything runs as DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, once, words
+from .shared import SPACE, once, stored, words
 
 SYMBOLS = "#*$%&|<>"
 #: Cells of the hashed multinomials: the size of what is broadcast is fixed by it.
@@ -20,8 +23,10 @@ CELLS = 1 << 15
 TRUSTED = 50_000
 #: Pseudo-count of each cell, in words of the target.
 ALPHA = 1.0
-#: A document passes from this mean log ratio on.
+#: A document passes from this mean log ratio on where labels of one kind are missing; see ``parting``.
 THRESHOLD = -0.08
+#: The share of good documents that may fall below the threshold, and of bad ones that may lie above the edge of their scores.
+LOST = 0.01
 
 
 def grams(ws: Column, cells: int) -> Column:
@@ -63,20 +68,85 @@ def trusted(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def log_ratios(docs: DataFrame, target: DataFrame, cells: int = CELLS, alpha: float = ALPHA) -> DataFrame:
-    """One row with an array of ``cells`` log ratios, counted over every document."""
-    marks = F.broadcast(target.select(F.col("doc_id").alias("_good")))  # bounded: see trusted()
-    each = once(docs.select("doc_id", "text"), _ws=words(F.col("text"))).drop("text").join(marks, F.col("doc_id") == F.col("_good"), "left")
-    each = each.select(F.explode(grams(F.col("_ws"), cells)).alias("cell"), F.col("_good").isNotNull().cast("int").alias("good"))
+def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """``docs`` with ``_good``: whether the document is in the target."""
+    marks = F.broadcast(target.select(F.col("doc_id").alias("_id")))  # bounded: see trusted()
+    return docs.join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("_good", F.col("_id").isNotNull()).drop("_id")
+
+
+def cell_counts(docs: DataFrame, target: DataFrame, cells: int = CELLS) -> DataFrame:
+    """One row with arrays of ``cells`` counts, ``n`` over every document and ``t`` over the target, and their sums ``all_n`` and ``all_t``."""
+    each = once(marked(docs.select("doc_id", "text"), target), _ws=words(F.col("text")))
+    each = each.select(F.explode(grams(F.col("_ws"), cells)).alias("cell"), F.col("_good").cast("int").alias("good"))
     counts = each.groupBy("cell").agg(F.count("*").alias("n"), F.sum("good").alias("t"))
     full = docs.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left")
-    rows = full.agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t")))).alias("c"), F.sum("n").alias("all_n"), F.sum("t").alias("all_t"))
-    # with the corpus scaled to the target's size, both have the same pseudo-counts and the same total
-    scale = F.coalesce(F.col("all_t") / F.nullif("all_n", F.lit(0)), F.lit(0.0))
-    return rows.select(F.transform("c", lambda x: F.log((x["t"] + alpha) / (x["n"] * scale + alpha))).alias("ratios"))
+    rows = full.agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t")))).alias("c"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"), F.coalesce(F.sum("t"), F.lit(0)).alias("all_t"))
+    return rows.select(F.col("c.n").alias("n"), F.col("c.t").alias("t"), "all_n", "all_t")
+
+
+def log_ratio(t: Column, n: Column, all_t: Column, all_n: Column, alpha: float = ALPHA) -> Column:
+    """With the corpus scaled to the target's size, both have the same pseudo-counts and the same total."""
+    scale = F.coalesce(all_t / F.nullif(all_n, F.lit(0)), F.lit(0.0))
+    return F.log((t + alpha) / (n * scale + alpha))
+
+
+def held_out() -> Column:
+    """The score that a document of the target would have outside it: its own n-grams leave the target, not the corpus.
+
+    Runs of ``_sorted`` start at the places ``_starts`` and are the cells with their counts.
+    """
+    s, at, m = F.col("_sorted"), F.col("_starts"), F.col("_m")
+    rest = m["all_t"] - F.size(s)
+
+    def part(p: Column, i: Column) -> Column:
+        own, c = F.coalesce(F.get(at, i + 1), F.size(s)) - p, F.get(s, p)
+        return own * log_ratio(F.get(m["t"], c) - own, F.get(m["n"], c), rest, m["all_n"])
+
+    return F.aggregate(F.transform(at, part), F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(s), F.lit(0))
+
+
+def scored(docs: DataFrame, labels: DataFrame, cells: int = CELLS) -> DataFrame:
+    """``docs`` with the base counts, ``base_failed``, ``score`` and ``_held`` added, the score with the document's own n-grams held out of the target."""
+    target = trusted(labels)
+    counts = cell_counts(docs, target, cells).select(F.struct("n", "t", "all_n", "all_t", F.transform(F.arrays_zip("t", "n"), lambda x: log_ratio(x["t"], x["n"], F.col("all_t"), F.col("all_n"))).alias("ratios")))
+    out = base_columns(once(marked(docs, target), _text=F.coalesce("text", F.lit("")), _ws=words(F.col("text"))))
+    out = once(out, _grams=grams(F.col("_ws"), cells)).drop("_text", "_ws").withColumn("_m", counts.scalar())
+    out = once(out, _sorted=F.when(F.col("_good"), F.sort_array("_grams")), score=F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(F.col("_m.ratios"), g)) / F.nullif(F.size("_grams"), F.lit(0))).drop("_grams")
+    s = F.col("_sorted")
+    out = once(out, _starts=F.filter(F.transform(s, lambda x, i: F.when(x.eqNullSafe(F.get(s, i - 1)), None).otherwise(i)), lambda i: i.isNotNull()))
+    out = once(out, _held=F.when(F.col("_good"), held_out()).otherwise(F.col("score"))).drop("_sorted", "_starts", "_m", "_good")
+    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    return out.withColumn("base_failed", failed)
 
 
-def judge(docs: DataFrame, labels: DataFrame, cells: int = CELLS, threshold: float = THRESHOLD) -> DataFrame:
+def parting(scores: DataFrame, labels: DataFrame, lost: float = LOST) -> DataFrame:
+    """One row with the threshold between the labels, among documents that the base rules pass.
+
+    It is midway between the score below which ``lost`` of the good documents
+    lie, held out, and the one above which ``lost`` of the bad ones lie; where
+    these overlap it is the former, so plain text stays if there is too little
+    to tell it from junk.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_q"))
+    each = scores.where(~F.col("base_failed") & F.col("_held").isNotNull()).select("doc_id", "_held").join(known, "doc_id")
+    low = F.percentile_approx(F.when(F.col("_q") == 1, F.col("_held")), F.lit(lost), F.lit(10_000))
+    high = F.percentile_approx(F.when(F.col("_q") == 0, F.col("_held")), F.lit(1 - lost), F.lit(10_000))
+    edges = each.agg(low.alias("low"), high.alias("high"))
+    alone = F.least(F.col("low"), F.lit(THRESHOLD))
+    return edges.select(F.when(F.col("low").isNull() | F.col("high").isNull(), alone).when(F.col("high") < F.col("low"), (F.col("low") + F.col("high")) / 2).otherwise(F.col("low")))
+
+
+def verdicts(scores: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """``scores`` with ``kept`` added; without a threshold they are stored, and what they show of the labels gives it."""
+    if threshold is None:
+        scores = stored(scores, "quality-scores")
+        limit = parting(scores, labels).scalar()
+    else:
+        limit = F.lit(threshold)
+    return scores.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= limit, F.lit(False))).drop("_held")
+
+
+def judge(docs: DataFrame, labels: DataFrame, cells: int = CELLS, threshold: float | None = None) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``score`` and ``kept`` added.
 
     Null and empty texts have no words, fail the base rules and have no score;
@@ -84,15 +154,10 @@ def judge(docs: DataFrame, labels: DataFrame, cells: int = CELLS, threshold: flo
     rows that repeat are judged alike; other columns pass through (names that
     start with ``_`` excepted), those of a name that is added are replaced.
     """
-    ratios = log_ratios(docs, trusted(labels), cells).scalar()
-    out = base_columns(once(docs, _text=F.coalesce("text", F.lit("")), _ws=words(F.col("text"))))
-    out = once(out, _grams=grams(F.col("_ws"), cells)).withColumn("_ratios", ratios)
-    out = once(out, score=F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(F.col("_ratios"), g)) / F.nullif(F.size("_grams"), F.lit(0)))
-    out = out.drop("_text", "_ws", "_ratios", "_grams")
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    return verdicts(scored(docs, labels, cells), labels, threshold)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns for each document, and the score."""
-    return judge(docs.select("doc_id", "text"), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    out = verdicts(scored(docs.select("doc_id", "text"), labels).drop("text"), labels)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

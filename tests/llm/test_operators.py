@@ -259,6 +259,35 @@ def test_log_ratio_is_the_mean_over_grams(spark):
         assert got[i] == pytest.approx(sum(ratio[g] for g in grams(t)) / len(grams(t)))
 
 
+@pytest.mark.parametrize("n", [60, 300, 1200])
+def test_plain_text_stays_whatever_the_size(spark, n):
+    rng = random.Random(n)
+    vocab, junk = [f"w{i}" for i in range(4000)], [f"#{i}" for i in range(20)]
+    weight = [1 / (i + 5) for i in range(4000)]
+    plain = [(i, " ".join(rng.choices(vocab, weight, k=90))) for i in range(n)]
+    bad = [(10_000 + i, " ".join(rng.choices(junk, k=45) + rng.choices(vocab, weight, k=45))) for i in range(n // 10)]
+    lab = spark.createDataFrame([(i, 1) for i in range(n // 3)] + [(10_000 + i, 0) for i in range(n // 20)], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.judge(spark.createDataFrame(plain + bad, DOC), lab).where("kept").collect()}
+    assert len(kept & set(range(n // 3, n))) >= 0.95 * (n - n // 3)
+    assert not kept & {i for i, _ in bad}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_unlabelled_prose_stays_on_the_given_tables(spark, sf):
+    d, lab = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rest = quality.digest(d, lab).where("not base_failed").join(lab.where("quality is not null"), "doc_id", "left_anti")
+    n, gone = rest.agg(F.count("*"), F.count_if(~F.col("kept"))).first()
+    assert gone <= 0.09 * n
+
+
+def test_held_out_score_is_that_of_a_document_not_trusted(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, " ".join(rng.choices(VOCAB, k=60))) for i in range(12)], DOC)
+    lab = spark.createDataFrame([(i, 1) for i in range(6)], "doc_id long, quality int")
+    held = quality.scored(df, lab).where("doc_id = 3").first()["_held"]
+    assert held == pytest.approx(quality.scored(df, lab.where("doc_id <> 3")).where("doc_id = 3").first()["score"])
+
+
 # --- 6 token counts
 
 
