@@ -19,8 +19,6 @@ from .shared import SPACE, once, stored, words
 SYMBOLS = "#*$%&|<>"
 #: Cells of the hashed multinomials: the size of what is broadcast is fixed by it.
 CELLS = 1 << 15
-#: Trusted documents at most that the target multinomial is fitted on (those whose hashed doc_id is smallest).
-TRUSTED = 50_000
 #: Pseudo-count of each cell, in words of the target.
 ALPHA = 1.0
 #: A document passes from this mean log ratio on where labels of one kind are missing; see ``parting``.
@@ -62,15 +60,14 @@ def base_columns(docs: DataFrame, text: str = "_text", ws: str = "_ws") -> DataF
     return once(docs, n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), n_repeat_words=covered.cast("long")).drop("_lines", "_win", "_at")
 
 
-def trusted(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """The ids of at most ``limit`` documents of good quality; null labels and ids are none."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted(labels: DataFrame) -> DataFrame:
+    """The ids of all documents of good quality; null labels and ids are none."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
 def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
     """``docs`` with ``_good``: whether the document is in the target."""
-    marks = F.broadcast(target.select(F.col("doc_id").alias("_id")))  # bounded: see trusted()
+    marks = target.select(F.col("doc_id").alias("_id")).hint("shuffle_hash")  # texts are dealt by id, not sorted
     return docs.join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("_good", F.col("_id").isNotNull()).drop("_id")
 
 

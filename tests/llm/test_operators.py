@@ -288,6 +288,11 @@ def test_held_out_score_is_that_of_a_document_not_trusted(spark):
     assert held == pytest.approx(quality.scored(df, lab.where("doc_id <> 3")).where("doc_id = 3").first()["score"])
 
 
+def test_every_good_document_is_trusted(spark):
+    lab = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality.trusted(lab).count() == 60_000
+
+
 # --- 6 token counts
 
 
