@@ -309,8 +309,9 @@ def _scored(spark, sf):
 
 @query()
 def q_refine(spark, sf):
-    hot = _spans(spark, sf).where("hot and next_idx is not null").select("session_id", "page", F.col("idx").alias("lo"), F.col("next_idx").alias("hi"))
-    return triage.refine(_scored(spark, sf), hot)
+    spans = _spans(spark, sf)
+    hot = spans.where("hot and next_idx is not null").select("session_id", "page", F.col("idx").alias("lo"), F.col("next_idx").alias("hi"))
+    return triage.refine(_scored(spark, sf), hot, coarse=spans)
 
 
 @query()
