@@ -41,7 +41,7 @@ CHUNKS = "key binary, slot long, doc_id {id}, n long"
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each row of a piece, the byte positions where its chunks end."""
-    h = wh.byte_values(11, False)[data]
+    h = wh.byte_values(11)[data]
     m, step = wh.U(0x9E3779B97F4A7C15), 1
     while step < 16:  # a polynomial over the last 16 bytes, by doubling
         h[step:] = h[step:] + h[:-step] * m

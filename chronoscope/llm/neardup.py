@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import wordhash as wh
 from .components import components
 from .packed import deal, group_starts, merged, ranges, rows
-from .shared import stored
+from .shared import spread, stored
 
 #: Minhash values in each hash, and the chance at most that a pair just at the threshold shares no key.
 ROWS, MISS = 2, 1e-4
@@ -39,29 +39,34 @@ def collection_size(percent: int) -> int:
 
 
 def shingle_sets(b: pa.RecordBatch, k: int, column: str = "text"):
-    """Blocks of rows of a batch: (first row, sets as one array, n + 1 bounds). Each set is sorted."""
+    """Blocks of rows of a batch: (first row, sets as one array, a second fingerprint of each shingle, n + 1 bounds). Each set is sorted."""
     data, off = wh.text_buffers(b.column(b.schema.names.index(column)))
     for i, j in wh.pieces(off):
         d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         s, e, bounds = wh.word_bounds(d, o, "space")
-        h = wh.word_hashes(d, s, e, fold=True)
         n = np.diff(bounds)
-        w = wh.window_hashes(h, k)
-        first = np.arange(len(w))
-        row = np.searchsorted(bounds, first, "right") - 1
-        inside = first + k <= bounds[row + 1]
-        w, row = w[inside], row[inside]
+        row = wh.row_of(bounds)
+        whole = np.flatnonzero(np.arange(len(s)) + k <= bounds[1:][row]) if len(s) else np.zeros(0, np.int64)
         short = np.flatnonzero((n > 0) & (n < k))  # the whole sequence is the one shingle
-        if len(short):
-            w = np.concatenate([w, np.array([wh.window_hashes(h[bounds[r] : bounds[r + 1]], int(n[r]), seed=1)[0] for r in short], wh.U)])
-            row = np.concatenate([row, short])
+        w, w2 = (_shingles(wh.word_hashes(d, s, e, seed, fold=True), k, whole, bounds, n, short) for seed in (0, 1))
+        row = np.concatenate([row[whole], short])
         order = np.lexsort((w, row))
-        w, row = w[order], row[order]
+        w, w2, row = w[order], w2[order], row[order]
         if len(w):
             keep = np.ones(len(w), bool)
             keep[1:] = (w[1:] != w[:-1]) | (row[1:] != row[:-1])
-            w, row = w[keep], row[keep]
-        yield i, w, np.searchsorted(row, np.arange(j - i + 1))
+            w, w2, row = w[keep], w2[keep], row[keep]
+        yield i, w, w2, np.searchsorted(row, np.arange(j - i + 1))
+
+
+def _shingles(h: np.ndarray, k: int, whole: np.ndarray, bounds: np.ndarray, n: np.ndarray, short: np.ndarray) -> np.ndarray:
+    few = [wh.window_hashes(h[bounds[r] : bounds[r + 1]], int(n[r]), seed=1)[0] for r in short]
+    return np.concatenate([wh.window_hashes(h, k)[whole], np.array(few, wh.U)])
+
+
+def set_print(w: np.ndarray, w2: np.ndarray) -> bytes:
+    """The name of a set: BLAKE2 over two independent fingerprints of each shingle."""
+    return hashlib.blake2b(w.tobytes() + w2.tobytes(), digest_size=16).digest()
 
 
 def half_keys(sets: np.ndarray, bounds: np.ndarray, t: int, rows: int = ROWS) -> np.ndarray:
@@ -78,25 +83,27 @@ def half_keys(sets: np.ndarray, bounds: np.ndarray, t: int, rows: int = ROWS) ->
 
 
 PACKED = "bucket long, k binary, v binary"
+SKETCH = "doc_id long, row long, n_shingles long, print binary, halves binary"
 
 
 def _sketch(k: int, t: int):
-    """Size, fingerprint and half keys of each document's set."""
+    """Size, print and half keys of each document's set."""
 
     def run(batches):
         for b in batches:
             n, prints, halves = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
-            for i, sets, bounds in shingle_sets(b, k):
+            for i, sets, second, bounds in shingle_sets(b, k):
                 full = np.flatnonzero(np.diff(bounds) > 0)
                 if not len(full):
                     continue
                 n[i : i + len(bounds) - 1] = np.diff(bounds)
                 h = half_keys(sets, np.append(bounds[full], len(sets)), t)
                 for at, r in enumerate(full):
-                    prints[i + r] = hashlib.blake2b(sets[bounds[r] : bounds[r + 1]].tobytes(), digest_size=16).digest()
+                    x, y = bounds[r], bounds[r + 1]
+                    prints[i + r] = set_print(sets[x:y], second[x:y])
                     halves[i + r] = h[at].tobytes()
-            ids = b.column(b.schema.names.index("doc_id"))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(prints, pa.binary()), pa.array(halves, pa.binary())], ["doc_id", "n_shingles", "print", "halves"])
+            ids, row = (b.column(b.schema.names.index(c)) for c in ("doc_id", "row"))
+            yield pa.RecordBatch.from_arrays([ids, row, pa.array(n), pa.array(prints, pa.binary()), pa.array(halves, pa.binary())], ["doc_id", "row", "n_shingles", "print", "halves"])
 
     return run
 
@@ -156,17 +163,17 @@ def candidates(classes: DataFrame, n: int) -> DataFrame:
 
 
 def _sets(table, k: int):
-    """The sets of documents that a filter of fixed size may hold."""
+    """The sets of documents that a filter of fixed size may hold, with their texts."""
 
     def run(batches):
         bits = table.value
         for b in batches:
             at = b.column(b.schema.names.index("_slot")).to_numpy(zero_copy_only=False)
             b = b.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
-            for i, sets, bounds in shingle_sets(b, k):
-                ids = b.column(b.schema.names.index("doc_id")).slice(i, len(bounds) - 1)
-                out = [sets[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds).astype(np.int64)), pa.array(out, pa.binary())], ["rep", "n", "items"])
+            for i, sets, second, bounds in shingle_sets(b, k):
+                cut = list(zip(bounds[:-1], bounds[1:], strict=True))
+                out = [pa.array([set_print(sets[x:y], second[x:y]) for x, y in cut], pa.binary()), pa.array(np.diff(bounds).astype(np.int64)), pa.array([sets[x:y].tobytes() for x, y in cut], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*out, b.column(b.schema.names.index("text")).slice(i, len(cut))], ["print", "n", "items", "text"])
 
     return run
 
@@ -184,31 +191,50 @@ def bitmap(ids: DataFrame, c: str) -> np.ndarray:
     return out
 
 
-def _verified(percent: int):
+_FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def word_set(text: str, k: int) -> set[tuple[bytes, ...]]:
+    """A text's shingles as words."""
+    ws = text.encode().translate(_FOLD).split()
+    return set(zip(*(ws[i:] for i in range(k)), strict=False)) if len(ws) >= k else {tuple(ws)}
+
+
+def _similar(a: int, b: int, both: int, percent: int) -> bool:
+    return 100 * both >= percent * (a + b - both)
+
+
+def _verified(percent: int, k: int):
+    """The pairs that are similar by their fingerprints and then by their words."""
+
     def run(batches):
         for x in batches:
             keep = []
-            for p, q in zip(x.column(2), x.column(3), strict=True):
+            for p, q, s, t in zip(*(x.column(c) for c in ("items_a", "items_b", "text_a", "text_b")), strict=True):
                 p, q = np.frombuffer(p.as_py(), wh.U), np.frombuffer(q.as_py(), wh.U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                same = _similar(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True)), percent)
+                if same:
+                    u, v = word_set(s.as_py(), k), word_set(t.as_py(), k)
+                    same = _similar(len(u), len(v), len(u & v), percent)
+                keep.append(same)
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
-    left = sets.select(F.col("rep").alias(a), F.col("items").alias("items_a"))
-    right = sets.select(F.col("rep").alias(b), F.col("items").alias("items_b"))
+def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str, *more: str) -> DataFrame:
+    left = sets.select(F.col("rep").alias(a), *(F.col(c).alias(f"{c}_a") for c in ("items", *more)))
+    right = sets.select(F.col("rep").alias(b), *(F.col(c).alias(f"{c}_b") for c in ("items", *more)))
     return pairs.join(left, a).join(right, b)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     size = sets.select("rep", "n")
     sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b")
     fit = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
-    return _with_sets(fit, sets, "a", "b").select("a", "b", "items_a", "items_b").mapInArrow(_verified(percent), "a long, b long")
+    whole = _with_sets(fit, sets, "a", "b", "text").select("a", "b", "items_a", "items_b", "text_a", "text_b")
+    return whole.mapInArrow(_verified(percent, k), "a long, b long")
 
 
 def _tokens(n: int):
@@ -257,9 +283,11 @@ def _prefixes(percent: int):
     return run
 
 
-def prefixes(apart: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+def prefixes(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``rep, n, q, toks``: each class's size, how many of its tokens no other class has, and its prefix tokens that others have."""
-    tokens = sets.join(apart, "rep", "left_semi").select("rep", "items").mapInArrow(_tokens(n), PACKED)
+    mine = sets.join(apart, "rep", "left_semi")
+    n = spread(sets.sparkSession, 16 * (mine.agg(F.sum("n")).first()[0] or 0))
+    tokens = mine.select("rep", "items").mapInArrow(_tokens(n), PACKED)
     shared = tokens.groupBy("bucket").applyInArrow(_shared_tokens, "rep long, k binary, d binary")
     lists = shared.groupBy("rep").agg(F.collect_list(F.struct("k", "d")).alias("x")).select("rep", F.col("x.k").alias("k"), F.col("x.d").alias("d"))
     return lists.join(sets.select("rep", "n"), "rep").select("rep", "n", "k", "d").mapInArrow(_prefixes(percent), "rep long, n long, q long, toks array<long>")
@@ -296,85 +324,132 @@ def _against_lead(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.bool_() if c == "inside" else pa.int64()) for c, v in cols.items()], list(cols))
 
 
-PROFILE = ["tok", "lead", "inside", "n", "q", "a", "x"]
-
-
 def profiled(first: DataFrame, lead: DataFrame, sets: DataFrame) -> DataFrame:
-    """``rep`` and ``PROFILE`` for each prefix token of each class."""
+    """The profile of each class at each of its prefix tokens."""
     one = first.join(lead.where("best").select("rep", "lead"), "rep")
     return _with_sets(one, sets, "rep", "lead").mapInArrow(_against_lead, "tok long, rep long, n long, q long, lead long, a long, x long, inside boolean")
 
 
+def _most(u, v):
+    """What two classes' sets have in common at most, by their profiles."""
+    hidden = F.least(u("x_hi") + v("x_hi"), F.greatest(u("n_hi") - u("a_lo"), F.lit(0)), F.greatest(v("n_hi") - v("a_lo"), F.lit(0)))
+    own = F.least(u("n_hi") - u("q_lo"), v("n_hi") - v("q_lo"))
+    return F.when((u("lead") == v("lead")) & u("inside") & v("inside"), F.least(own, F.least(u("a_hi"), v("a_hi")) + hidden)).otherwise(own)
+
+
+def _may(u, v, percent: int):
+    """Whether any two classes of such profiles may be similar; profiles have bounds of ``n``, ``a``, ``x`` and ``q``."""
+    most = _most(u, v)
+    return most * 100 >= (u("n_lo") + v("n_lo") - most) * percent
+
+
+_BOUNDS = {"n_lo": F.min, "n_hi": F.max, "a_lo": F.min, "a_hi": F.max, "x_hi": F.max, "q_lo": F.min}
+
+
+def _named(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    return df.select(*keys, *(F.col(c).alias(c + suffix) for c in df.columns if c not in keys))
+
+
 def prefix_pairs(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components that share a token of both prefixes and may be similar; every similar pair is among them.
 
     Of two classes with one leader, those that share a prefix token which it
     lacks meet there; the others share at most what both have of it, and
     tokens that a prefix doesn't show. Whether two may be similar depends on
-    their profiles alone, so profiles are paired first, and only classes of
-    those that pass are.
-    """
-    rows = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    mixed = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    rows = rows.join(mixed, "tok")
-    p = rows.groupBy(*PROFILE).agg(F.count("*").alias("c")).drop("c")
-    o = p.select("tok", *(F.col(c).alias(f"{c}_2") for c in PROFILE[1:]))
-    u = lambda c: F.col(c)
-    v = lambda c: F.col(f"{c}_2")
-    hidden = F.least(u("x") + v("x"), F.greatest(u("n") - u("a"), F.lit(0)), F.greatest(v("n") - v("a"), F.lit(0)))
-    most = F.when((u("lead") == v("lead")) & u("inside"), F.least(u("a"), v("a")) + hidden).otherwise(F.least(u("n") - u("q"), v("n") - v("q")))
-    most = F.least(most, u("n") - u("q"), v("n") - v("q"))
-    may = p.join(o, "tok").where(most * 100 >= (u("n") + v("n") - most) * percent)
-    left = rows.select(*PROFILE, F.col("rep").alias("a_rep"), "comp")
-    right = rows.select("tok", *(F.col(c).alias(f"{c}_2") for c in PROFILE[1:]), F.col("rep").alias("b_rep"), F.col("comp").alias("comp_2"))
-    met = may.join(left, PROFILE).join(right, ["tok", *(f"{c}_2" for c in PROFILE[1:])]).where("a_rep < b_rep and comp <> comp_2")
-    return met.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, n: int | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
-
-    Sets are of ``k``-word shingles; links are at ``percent`` of the union or
-    more. Texts without words, null ones too, are linked with nothing. Rows of
-    one id count as one document, and rows that repeat are given alike; rows
-    without an id are kept and have no component. An empty table gives no rows.
+    their profiles alone. Profiles are rounded to cells, of which a token has
+    a bounded number for each leader, however many classes have it: cells are
+    paired first, components of cells that pass next, and classes of these last.
     """
-    from .shared import buckets
-
+    comp = comp.select(F.col("node").alias("rep"), "component")
+    rows = rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    share = lambda c: F.floor(F.col(c) * 50 / F.col("n"))
+    rows = rows.withColumn("cell", F.xxhash64("lead", "inside", F.floor(F.log("n") * 50), share("a"), share("q"), share("x")))
+    rows = rows.select("tok", "cell", "comp", "rep", "lead", "inside", *(F.col(c[0]).alias(c) for c in _BOUNDS))
+    rows = stored(rows, "profiles")
+    cells = rows.groupBy("tok", "cell", "lead", "inside").agg(*(f(c).alias(c) for c, f in _BOUNDS.items()), F.min("comp").alias("least"), F.max("comp").alias("last"))
+    u, v = (lambda c: F.col(f"{c}_1")), (lambda c: F.col(f"{c}_2"))
+    met = _named(cells, ["tok"], "_1").join(_named(cells, ["tok"], "_2"), "tok")
+    several = (u("least") != v("least")) | (u("least") != u("last")) | (v("least") != v("last"))
+    met = met.where((u("cell") <= v("cell")) & several & _may(u, v, percent)).select("tok", "cell_1", "cell_2").distinct()
+    groups = rows.select("tok", "cell", "comp").distinct()
+    met = met.join(groups.toDF("tok", "cell_1", "comp_1"), ["tok", "cell_1"]).join(groups.toDF("tok", "cell_2", "comp_2"), ["tok", "cell_2"])
+    met = met.where("comp_1 < comp_2 or cell_1 <> cell_2 and comp_1 <> comp_2")
+    met = met.join(rows.select("tok", *(F.col(c).alias(f"{c}_1") for c in rows.columns[1:])), ["tok", "cell_1", "comp_1"])
+    met = met.join(rows.select("tok", *(F.col(c).alias(f"{c}_2") for c in rows.columns[1:])), ["tok", "cell_2", "comp_2"]).where(_may(u, v, percent))
+    return met.select(F.least("rep_1", "rep_2").alias("a"), F.greatest("rep_1", "rep_2").alias("b")).distinct()
+
+
+def judged(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, row, n_shingles, component_id`` for each row of ``docs``; ``row`` is a hash of its text."""
     spark = docs.sparkSession
-    n = n or buckets(spark)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = stored(known.mapInArrow(_sketch(k, collection_size(percent)), "doc_id long, n_shingles long, print binary, halves binary"), "sketches")
+    t = collection_size(percent)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    base = stored(known.mapInArrow(_sketch(k, t), SKETCH), "sketches")
     full = base.where("doc_id is not null and n_shingles > 0")
-    classes = stored(full.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min("halves").alias("halves")), "classes")
+    classes = full.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("halves").alias("halves"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    n = spread(spark, 16 * t * t * classes.count())
     pairs = stored(candidates(classes, n), "candidates")
     inside = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    table = spark.sparkContext.broadcast(bitmap(inside, "rep"))
-    some = known.where("doc_id is not null").withColumn("_slot", slot("doc_id")).mapInArrow(_sets(table, k), "rep long, n long, items binary")
-    sets = stored(some.join(inside, "rep", "left_semi").dropDuplicates(["rep"]), "sets")
-    links = stored(verify(pairs, sets, percent), "links")
+    inside = stored(classes.select("rep", "print", "doc_id").join(inside, "rep", "left_semi"), "inside")
+    table = spark.sparkContext.broadcast(bitmap(inside, "doc_id"))
+    some = known.where("doc_id is not null").withColumn("_slot", slot("doc_id")).mapInArrow(_sets(table, k), "print binary, n long, items binary, text string")
+    sets = stored(some.join(inside.select("print", "rep"), "print").drop("print").dropDuplicates(["rep"]), "sets")
+    links = stored(verify(pairs, sets, k, percent), "links")
 
     comp = stored(components(links), "components")
     family = components(pairs)
     where = family.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("comp"))
     where = stored(where, "families")
     open_ = where.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family")
-    apart = where.join(open_, "family").select("rep")
-    first = stored(prefixes(apart, sets, percent, n), "prefixes")
+    apart = stored(where.join(open_, "family").select("rep"), "apart")
+    first = stored(prefixes(apart, sets, percent), "prefixes")
     lead = stored(leaders(first), "leaders")
     typical = lead.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     typical = stored(typical.join(pairs, ["a", "b"], "left_anti"), "typical")
-    links = stored(links.unionByName(verify(typical, sets, percent)), "links")
+    links = stored(links.unionByName(verify(typical, sets, k, percent)), "links")
     comp = stored(components(links), "components")
-    rest = prefix_pairs(stored(profiled(first, lead, sets), "profiles"), comp, percent)
+    rest = prefix_pairs(profiled(first, lead, sets), comp, percent)
     rest = rest.join(pairs.unionByName(typical), ["a", "b"], "left_anti")
-    comp = stored(components(links.unionByName(verify(rest, sets, percent))), "components")
+    links = links.unionByName(verify(rest, sets, k, percent))
+
+    member = stored(base.drop("halves").join(classes.select("print", "rep"), "print", "left").drop("print"), "members")
+    ids = member.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
+    texts = ids.where("a <> z").join(member.select("doc_id", "rep"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    comp = stored(components(links.unionByName(texts.distinct())), "components").withColumnRenamed("node", "rep")
+    comp = classes.select("rep", "doc_id").join(comp, "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
+    least = comp.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    names = comp.join(least, "component").select("rep", "component_id")
+    return member.join(names, "rep", "left").select("doc_id", "row", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
 
-    member = base.join(classes.select("print", "rep"), "print", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    out = member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
+
+    Sets are of ``k``-word shingles; links are at ``percent`` of the union or
+    more. Texts without words, null ones too, are linked with nothing. Rows of
+    one id are one document: each of its texts gives it links, and its rows
+    have one component. Rows that repeat are given alike; rows without an id
+    are kept and have no component. An empty table gives no rows; a long text's
+    set is whole. Columns but ``doc_id`` and ``text`` are not read.
+    """
+    out = judged(docs, k, percent).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, that of least id and then of the least hash of its text, and all rows without an id.
+
+    Of rows equal in id and text any one stays. Columns whose names begin with
+    ``_nd_`` are not for the caller.
+    """
+    best = judged(docs, k, percent).where("doc_id = component_id").groupBy("doc_id").agg(F.min("row").alias("_nd_row"))
+    best = best.withColumnRenamed("doc_id", "_nd_id")
+    own = docs.withColumn("_nd_id", F.col("doc_id").cast("long")).withColumn("_nd_row", F.xxhash64("text"))
+    kept = own.where("_nd_id is not null").join(best, ["_nd_id", "_nd_row"], "left_semi").dropDuplicates(["_nd_id", "_nd_row"])
+    return kept.unionByName(own.where("_nd_id is null")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns for each document: 3-word shingles, 85 percent."""
     return near_duplicates(docs.select("doc_id", "text"), k=3, percent=85)

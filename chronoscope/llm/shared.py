@@ -48,6 +48,15 @@ def buckets(spark: SparkSession) -> int:
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes that one group of a packed exchange holds.
+GROUP = 8 << 20
+
+
+def spread(spark: SparkSession, size: int, group: int = GROUP) -> int:
+    """How many groups ``size`` bytes are dealt into, so that a group's size doesn't depend on theirs."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // group))
+
+
 def ascii_lower(c):
     """A to Z in lower case, everything else unchanged."""
     return F.translate(c, UPPER, LOWER)

@@ -2,12 +2,14 @@
 
 All work is done on the UTF-8 bytes of a whole batch, in pieces of bounded
 size, so that neither the time nor the memory depends on Python objects per
-word. A fingerprint is a polynomial over random byte values, mixed; two seeds
-give two independent fingerprints.
+word. A fingerprint takes up a word's bytes eight at a time, each time through
+a mixing bijection; a long word's is BLAKE2. Two seeds give two independent
+fingerprints: words that agree in one still differ in the other.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,24 +30,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache
-def byte_values(seed: int, fold: bool) -> np.ndarray:
-    v = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed * 7919 + 1))
-    if fold:
-        v[65:91] = v[97:123]
-    return v
+#: Lanes of eight bytes that a word's hash reads; longer words are hashed by BLAKE2.
+LANES = 8
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] = np.arange(97, 123)
 
 
 @lru_cache
-def powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    m = (0x9E3779B97F4A7C15 + 2 * 0x632BE5AB * (seed + 1)) % (1 << 64) | 1
-    inv = pow(m, -1, 1 << 64)
-    out = []
-    for k in (m, inv):
-        a = np.full(size + 1, k, U)
-        a[0] = 1
-        out.append(np.cumprod(a, dtype=U))
-    return out[0], out[1]
+def byte_values(seed: int) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed * 7919 + 1))
 
 
 @lru_cache
@@ -101,29 +95,28 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, fold: bool) -> np.ndarray:
-    size = max(PIECE, 1 << int(len(data)).bit_length())
-    p, inv = powers(seed, size) if size <= 4 * PIECE else _powers_long(seed, size)
-    c = np.zeros(len(data) + 1, U)
-    np.cumsum(byte_values(seed, fold)[data] * p[: len(data)], out=c[1:])
-    return mix((c[ends] - c[starts]) * inv[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-
-
-def _powers_long(seed: int, size: int):
-    return powers.__wrapped__(seed, size)  # not kept: only a single huge word needs them
-
-
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, fold: bool = False) -> np.ndarray:
-    """A fingerprint of each word; ``fold`` takes A to Z as a to z. Long inputs go in pieces that end between words."""
-    if len(data) <= 2 * PIECE:
-        return _hash(data, starts, ends, seed, fold)
-    out, i = [], 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 2 * PIECE, "right")))
-        lo, hi = starts[i], ends[j - 1]
-        out.append(_hash(data[lo:hi], starts[i:j] - lo, ends[i:j] - lo, seed, fold))
-        i = j
-    return np.concatenate(out) if out else np.zeros(0, U)
+    """A fingerprint of each word; ``fold`` takes A to Z as a to z."""
+    size = ends - starts
+    h = mix((size.astype(U) + U(seed + 1)) * U(0x9E3779B97F4A7C15))
+    if not len(size):
+        return h
+    if fold:
+        data = _FOLD[data]
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    some = slice(None)
+    for k in range(LANES):
+        if k:
+            some = np.flatnonzero(size > 8 * k)
+            if not len(some):
+                break
+        x = lanes[starts[some] + 8 * k] & _LANE_MASK[np.minimum(size[some] - 8 * k, 8)]
+        h[some] = mix(h[some] ^ x) + U(0x632BE59BD9B4E019 * (2 * seed + 1) % (1 << 64))
+    for r in np.flatnonzero(size > 8 * LANES):
+        word = data[starts[r] : ends[r]].tobytes()
+        h[r] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

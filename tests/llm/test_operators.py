@@ -397,6 +397,55 @@ def test_near_duplicates_ids(spark):
     assert got == sorted([(3, 18, 3, True), (3, 18, 3, True), (5, 18, 3, False), (None, 18, None, True), (None, 0, None, True)], key=str)
 
 
+def thue_morse(n):
+    """Two words of a and b whose difference cancels in every polynomial modulo a power of two."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 256, 2048])
+def test_structured_words_have_their_own_fingerprints(n):
+    import pyarrow as pa
+
+    data, off = wordhash.text_buffers(pa.array(thue_morse(n)))
+    for seed in (0, 1, 2):
+        assert len(set(wordhash.word_hashes(data, off[:-1], off[1:], seed).tolist())) == 2
+
+
+def test_structured_words_are_no_duplicates(spark):
+    a, b = thue_morse(2048)
+    df = spark.createDataFrame([(1, a), (2, b), (3, " ".join([a] * 13)), (4, " ".join([b] * 13))], DOC)
+    assert neardup.near_duplicates(df, 3, 85).where("not kept").count() == 0
+    assert substrings.deduplicate(df).where("_n_removed > 0").count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    rng = random.Random(4)
+    a, b = prose(rng, 80), prose(rng, 80)
+    df = spark.createDataFrame([(1, a, "p"), (1, b, "q"), (3, b + " tail", "r"), (4, a + " tail", "s"), (5, a, "t"), (5, a, "t"), (6, prose(rng, 50), "u"), (None, a, "v")], DOC + ", score string")
+    for n in (1, 5):
+        got = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df.repartition(n), 3, 85).collect()}
+        assert got == {(1, 1), (3, 1), (4, 1), (5, 1), (6, 6), (None, None)}
+        left = sorted(neardup.survivors(df.repartition(n), 3, 85).collect(), key=str)
+        assert len(left) == 3 and {r["doc_id"] for r in left} == {1, 6, None} and {r["score"] for r in left if r["doc_id"] == 1} <= {"p", "q"}
+
+
+def test_pairs_of_a_large_group_are_not_all_made(spark):
+    """Copies apart from one another and from their leader meet by their cells, not one by one."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(200), 4 if i % 3 else 12):
+            w[at] = f"d{i}x{at}"
+        rows.append((i, " ".join(w)))
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, DOC).repartition(5), 3, 85).collect())
+    assert got == brute.near(rows, 3, 85)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 30)] + [(100, 101), (7, 7), (200, 101)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
