@@ -30,10 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, 0.8), the one of least id, and of rows with one id one row; rows without an id stay."""
-    gone = neardup.near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One row of each group of near duplicates (5-word shingles, 0.8), that of least id; rows of one id are one document, rows without an id stay."""
+    return _unpacked(neardup.survivors(_packed(docs), k=5, percent=80), docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
