@@ -7,10 +7,12 @@ one hash from either collection is the key of a table, so t * t tables cost
 that share a key are candidates and are verified on their whole sets.
 
 A table's bucket is never expanded into all its pairs: each member meets the
-bucket's first. Verified links give components. Classes that candidates connect
-but links don't then meet the most typical of those that share a rare shingle
-with them, and what is still apart meets in an exact prefix-filtered join, so
-that no link of a large bucket is lost and none has to be capped.
+bucket's first. Verified links give components. Where a candidate pair is in two
+components, all classes of both then meet the most typical of those that share
+a rare shingle with them, and what is still apart meets in an exact
+prefix-filtered join, so that no link of a large bucket is lost and none has to
+be capped: of two similar classes in a bucket, each is in a component that such
+a pair leaves.
 """
 
 from __future__ import annotations
@@ -302,44 +304,55 @@ def leaders(first: DataFrame) -> DataFrame:
     return met.join(best, "rep").select("rep", F.col("lead.rep").alias("lead"), (F.col("lead") == F.col("first")).alias("best"))
 
 
+#: Longs of bits that tell what a class lacks of its leader.
+LACKS = 4
+
+
 def _against_lead(batches):
     """A row for each prefix token of a class, with what its set has in common with its leader's.
 
     ``a`` tokens are the leader's too; ``x`` are not, nor in the prefix, but
     other classes have them; ``inside`` tells that the token is the leader's.
+    ``lacks`` has a bit set for each hash of a token that only the leader has.
     """
     for t in batches:
-        cols: dict[str, list] = {c: [] for c in ("tok", "rep", "n", "q", "lead", "a", "x", "inside")}
+        cols: dict[str, list] = {c: [] for c in ("tok", "rep", "n", "q", "lead", "a", "x", "inside", "lacks")}
         for rep, n, q, toks, lead, p, r in zip(*(t.column(t.schema.names.index(c)) for c in ("rep", "n", "q", "toks", "lead", "items_a", "items_b")), strict=True):
             mine, other = np.frombuffer(p.as_py(), wh.U), np.frombuffer(r.as_py(), wh.U)
             tok = toks.values.to_numpy(zero_copy_only=False)
-            a = len(np.intersect1d(mine, other, assume_unique=True))
+            lacks = other[~np.isin(other, mine, assume_unique=True)]
+            a = len(other) - len(lacks)
+            bits = np.zeros(64 * LACKS, np.uint8)
+            bits[((lacks >> wh.U(7)) % wh.U(64 * LACKS)).astype(np.int64)] = 1
             inside = np.isin(tok.view(wh.U), other)
             k, alone = len(tok), 0 if rep.as_py() == lead.as_py() else q.as_py()
             x = max(0, n.as_py() - a - alone - int((~inside).sum()))
-            for c, v in (("rep", rep.as_py()), ("n", n.as_py()), ("q", q.as_py()), ("lead", lead.as_py()), ("a", a), ("x", x)):
+            for c, v in (("rep", rep.as_py()), ("n", n.as_py()), ("q", q.as_py()), ("lead", lead.as_py()), ("a", a), ("x", x), ("lacks", np.packbits(bits).view(np.int64).tolist())):
                 cols[c] += [v] * k
             cols["tok"] += tok.tolist()
             cols["inside"] += inside.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.bool_() if c == "inside" else pa.int64()) for c, v in cols.items()], list(cols))
+        kinds = {"inside": pa.bool_(), "lacks": pa.list_(pa.int64())}
+        yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in cols.items()], list(cols))
 
 
 def profiled(first: DataFrame, lead: DataFrame, sets: DataFrame) -> DataFrame:
     """The profile of each class at each of its prefix tokens."""
     one = first.join(lead.where("best").select("rep", "lead"), "rep")
-    return _with_sets(one, sets, "rep", "lead").mapInArrow(_against_lead, "tok long, rep long, n long, q long, lead long, a long, x long, inside boolean")
+    return _with_sets(one, sets, "rep", "lead").mapInArrow(_against_lead, "tok long, rep long, n long, q long, lead long, a long, x long, inside boolean, lacks array<long>")
 
 
-def _most(u, v):
-    """What two classes' sets have in common at most, by their profiles."""
+def _most(u, v, each: bool):
+    """What two classes' sets have in common at most, by their profiles; ``each`` tells that these are of single classes."""
     hidden = F.least(u("x_hi") + v("x_hi"), F.greatest(u("n_hi") - u("a_lo"), F.lit(0)), F.greatest(v("n_hi") - v("a_lo"), F.lit(0)))
     own = F.least(u("n_hi") - u("q_lo"), v("n_hi") - v("q_lo"))
-    return F.when((u("lead") == v("lead")) & u("inside") & v("inside"), F.least(own, F.least(u("a_hi"), v("a_hi")) + hidden)).otherwise(own)
+    only = (lambda x, y: sum(F.bit_count(y("lacks")[k].bitwiseAND(F.bitwise_not(x("lacks")[k]))) for k in range(LACKS))) if each else lambda x, y: 0
+    theirs = F.least(u("a_hi") - only(u, v), v("a_hi") - only(v, u))  # of the leader's tokens; bits that one alone has are tokens that it alone lacks
+    return F.when((u("lead") == v("lead")) & u("inside") & v("inside"), F.least(own, theirs + hidden)).otherwise(own)
 
 
-def _may(u, v, percent: int):
+def _may(u, v, percent: int, each: bool = False):
     """Whether any two classes of such profiles may be similar; profiles have bounds of ``n``, ``a``, ``x`` and ``q``."""
-    most = _most(u, v)
+    most = _most(u, v, each)
     return most * 100 >= (u("n_lo") + v("n_lo") - most) * percent
 
 
@@ -360,11 +373,10 @@ def prefix_pairs(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     a bounded number for each leader, however many classes have it: cells are
     paired first, components of cells that pass next, and classes of these last.
     """
-    comp = comp.select(F.col("node").alias("rep"), "component")
-    rows = rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    rows = rows.join(comp, "rep")
     share = lambda c: F.floor(F.col(c) * 50 / F.col("n"))
     rows = rows.withColumn("cell", F.xxhash64("lead", "inside", F.floor(F.log("n") * 50), share("a"), share("q"), share("x")))
-    rows = rows.select("tok", "cell", "comp", "rep", "lead", "inside", *(F.col(c[0]).alias(c) for c in _BOUNDS))
+    rows = rows.select("tok", "cell", "comp", "rep", "lead", "inside", "lacks", *(F.col(c[0]).alias(c) for c in _BOUNDS))
     rows = stored(rows, "profiles")
     cells = rows.groupBy("tok", "cell", "lead", "inside").agg(*(f(c).alias(c) for c, f in _BOUNDS.items()), F.min("comp").alias("least"), F.max("comp").alias("last"))
     u, v = (lambda c: F.col(f"{c}_1")), (lambda c: F.col(f"{c}_2"))
@@ -375,10 +387,18 @@ def prefix_pairs(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     met = met.join(groups.toDF("tok", "cell_1", "comp_1"), ["tok", "cell_1"]).join(groups.toDF("tok", "cell_2", "comp_2"), ["tok", "cell_2"])
     met = met.where("comp_1 < comp_2 or cell_1 <> cell_2 and comp_1 <> comp_2")
     met = met.join(rows.select("tok", *(F.col(c).alias(f"{c}_1") for c in rows.columns[1:])), ["tok", "cell_1", "comp_1"])
-    met = met.join(rows.select("tok", *(F.col(c).alias(f"{c}_2") for c in rows.columns[1:])), ["tok", "cell_2", "comp_2"]).where(_may(u, v, percent))
+    met = met.join(rows.select("tok", *(F.col(c).alias(f"{c}_2") for c in rows.columns[1:])), ["tok", "cell_2", "comp_2"]).where(_may(u, v, percent, True))
     return met.select(F.least("rep_1", "rep_2").alias("a"), F.greatest("rep_1", "rep_2").alias("b")).distinct()
 
 
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (each class's component, and other columns) after links between classes join components."""
+    name = comp.select("rep", "comp")
+    edges = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    merged_ = components(edges).toDF("comp", "_least")
+    return stored(comp.join(merged_, "comp", "left").withColumn("comp", F.coalesce("_least", "comp")).select(comp.columns), "components")
+
+
 def judged(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, row, n_shingles, component_id`` for each row of ``docs``; ``row`` is a hash of its text."""
     spark = docs.sparkSession
@@ -395,31 +415,28 @@ def judged(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     table = spark.sparkContext.broadcast(bitmap(inside, "doc_id"))
     some = known.where("doc_id is not null").withColumn("_slot", slot("doc_id")).mapInArrow(_sets(table, k), "print binary, n long, items binary, text string")
     sets = stored(some.join(inside.select("print", "rep"), "print").drop("print").dropDuplicates(["rep"]), "sets")
-    links = stored(verify(pairs, sets, k, percent), "links")
-
-    comp = stored(components(links), "components")
-    family = components(pairs)
-    where = family.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("comp"))
-    where = stored(where, "families")
-    open_ = where.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family")
-    apart = stored(where.join(open_, "family").select("rep"), "apart")
-    first = stored(prefixes(apart, sets, percent), "prefixes")
-    lead = stored(leaders(first), "leaders")
-    typical = lead.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    typical = stored(typical.join(pairs, ["a", "b"], "left_anti"), "typical")
-    links = stored(links.unionByName(verify(typical, sets, k, percent)), "links")
-    comp = stored(components(links), "components")
-    rest = prefix_pairs(profiled(first, lead, sets), comp, percent)
-    rest = rest.join(pairs.unionByName(typical), ["a", "b"], "left_anti")
-    links = links.unionByName(verify(rest, sets, k, percent))
+    links = verify(pairs, sets, k, percent)
+    comp = joined(sets.select("rep", F.col("rep").alias("comp")), links)
+    parted = pairs.join(comp.toDF("a", "x"), "a").join(comp.toDF("b", "y"), "b").where("x <> y")
+    open_ = parted.select(F.explode(F.array("x", "y")).alias("comp")).distinct()
+    apart = stored(comp.join(open_, "comp", "left_semi").select("rep"), "apart")
+    if not apart.isEmpty():
+        first = stored(prefixes(apart, sets, percent), "prefixes")
+        lead = stored(leaders(first), "leaders")
+        typical = lead.where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+        typical = stored(typical.join(pairs, ["a", "b"], "left_anti"), "typical")
+        comp = joined(comp, verify(typical, sets, k, percent))
+        rest = prefix_pairs(profiled(first, lead, sets), comp, percent)
+        rest = rest.join(pairs.unionByName(typical), ["a", "b"], "left_anti")
+        comp = joined(comp, verify(rest, sets, k, percent))
 
     member = stored(base.drop("halves").join(classes.select("print", "rep"), "print", "left").drop("print"), "members")
     ids = member.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
     texts = ids.where("a <> z").join(member.select("doc_id", "rep"), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    comp = stored(components(links.unionByName(texts.distinct())), "components").withColumnRenamed("node", "rep")
-    comp = classes.select("rep", "doc_id").join(comp, "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("component"))
-    least = comp.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = comp.join(least, "component").select("rep", "component_id")
+    comp = classes.select("rep", "doc_id").join(comp, "rep", "left").select("rep", "doc_id", F.coalesce("comp", "rep").alias("comp"))
+    comp = joined(comp, texts.distinct())
+    least = comp.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    names = comp.join(least, "comp").select("rep", "component_id")
     return member.join(names, "rep", "left").select("doc_id", "row", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
