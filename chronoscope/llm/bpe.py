@@ -9,20 +9,27 @@ again, in a window that grows until its ids agree exactly with those on both
 sides.
 
 A Bloom filter of fixed size tells, on the map side, which documents may hold
-shared chunks. All others are finished in their scan; only those travel.
+shared chunks. All others are finished in their scan; only those travel, with
+the keys and ends of their chunks.
+
+Reuse needs a tokenizer that treats words between white space alone, and the
+cache of words one whose parts of words are known; both are read from its file.
+With any other tokenizer whole texts go to the library.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from itertools import compress
+import re
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wordhash as wh
 from .shared import stored
@@ -33,22 +40,33 @@ LEAST, AVERAGE_BITS = 64, 9
 MOST = 1 << 16
 #: Bits of the Bloom filter: 16 MB, whatever the corpus; where it fills up, more documents travel.
 BLOOM_BITS = 1 << 27
-PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words that a worker keeps encoded, and the longest such word in bytes.
-CACHED, CACHED_BYTES = 150_000, 64
+#: Words that a worker keeps encoded in each of two generations, and the longest such word in bytes.
+CACHED, CACHED_BYTES = 100_000, 64
+#: Parts of words that go to the library as one text.
+JOINED = 256
 CHUNKS = "key binary, slot long, doc_id {id}, n long"
+ROLLED = 16
+
+
+def _ends(data: np.ndarray) -> np.ndarray:
+    """Where the rolling hash ends a chunk, in pieces of bounded size."""
+    out, values = [], wh.byte_values(11)
+    for at in range(0, len(data), wh.PIECE):
+        lo = max(0, at - ROLLED)
+        h = values[data[lo : at + wh.PIECE]]
+        m, step = wh.U(0x9E3779B97F4A7C15), 1
+        while step < ROLLED:  # a polynomial over the last bytes, by doubling
+            h[step:] = h[step:] + h[:-step] * m
+            m, step = wh.U(int(m) * int(m) % (1 << 64)), step * 2
+        may = np.flatnonzero((wh.mix(h) >> wh.U(64 - AVERAGE_BITS)) == 0) + 1 + lo
+        out.append(may[may > at])
+    ends = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return ends[(ends == len(data)) | ((data[np.minimum(ends, len(data) - 1)] & 0xC0) != 0x80)]  # never within a character
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each row of a piece, the byte positions where its chunks end."""
-    h = wh.byte_values(11)[data]
-    m, step = wh.U(0x9E3779B97F4A7C15), 1
-    while step < 16:  # a polynomial over the last 16 bytes, by doubling
-        h[step:] = h[step:] + h[:-step] * m
-        m, step = wh.U(int(m) * int(m) % (1 << 64)), step * 2
-    may = (wh.mix(h) >> wh.U(64 - AVERAGE_BITS)) == 0
-    may[:-1] &= (data[1:] & 0xC0) != 0x80  # never within a character
-    at = np.flatnonzero(may) + 1
+    at = _ends(data)
     out = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         last, ends = a, []
@@ -74,17 +92,23 @@ def _boundary(data: np.ndarray, at: int) -> int:
     return int(at)
 
 
+def texts(b: pa.RecordBatch, column: str = "text"):
+    """(row, text bytes) of each row of a batch; null is empty."""
+    data, off = wh.text_buffers(b.column(b.schema.names.index(column)))
+    for row in range(len(off) - 1):
+        yield row, data[off[row] : off[row + 1]].tobytes()
+
+
 def chunks(b: pa.RecordBatch, column: str = "text"):
-    """(row, text bytes, [(key, start, end)]) of each row of a batch."""
+    """(row, text bytes, chunk keys, chunk ends) of each row of a batch."""
     data, off = wh.text_buffers(b.column(b.schema.names.index(column)))
     for i, j in wh.pieces(off):
         d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         for k, ends in enumerate(cuts(d, o)):
             a = int(o[k])
             raw = d[a : int(o[k + 1])].tobytes()
-            e = [int(x) - a for x in ends]
-            s = [0, *e][: len(e)]
-            yield i + k, raw, [(hashlib.blake2b(raw[x:y], digest_size=16).digest(), x, y) for x, y in zip(s, e, strict=True)]
+            e = (ends - a).tolist()
+            yield i + k, raw, [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip([0, *e], e, strict=False)], e
 
 
 def _slots(keys: list[bytes]) -> np.ndarray:
@@ -92,17 +116,20 @@ def _slots(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.int64)[::2] % BLOOM_BITS
 
 
-def _chunk_rows(batches, table=None):
-    """Each document's distinct chunks, or those that the filter may hold; ones it holds twice count twice."""
+def _maybe(table: np.ndarray, keys: list[bytes]) -> np.ndarray:
+    """Which keys the filter may hold."""
+    at = _slots(keys)
+    return (table[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def _chunk_rows(batches):
+    """Each document's distinct chunks; ones it holds twice count twice."""
     for b in batches:
         rows, keys, n = [], [], []
-        for row, _, parts in chunks(b):
+        for row, _, parts, _ in chunks(b):
             count: dict[bytes, int] = {}
-            for k, _, _ in parts:
+            for k in parts:
                 count[k] = count.get(k, 0) + 1
-            if table is not None:
-                at = _slots(list(count))
-                count = dict(compress(count.items(), (table[at >> 3] >> (at & 7) & 1).astype(bool)))
             keys += count
             n += count.values()
             rows += [row] * len(count)
@@ -111,31 +138,21 @@ def _chunk_rows(batches, table=None):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(_slots(keys)), ids, pa.array(n, pa.int64())], ["key", "slot", "doc_id", "n"])
 
 
-def parts_of(word: bytes) -> tuple[bytes, ...]:
-    """A word as parts that the tokenizer treats alone: a lower-case stem and the ASCII punctuation after it.
-
-    Only where both are certain: the stem ends in a letter or digit and is of
-    Latin letters whose case is plain, and neither a contraction's apostrophe
-    nor the mark of a special token is in the word. All other words are whole.
-    """
-    if b"'" in word or b"<|" in word:
-        return (word,)
-    stem = word.rstrip(PUNCTUATION)
-    try:
-        stem.decode().encode("latin-1")
-    except UnicodeEncodeError:
-        return (word,)
-    if not stem or not (stem[-1:].isalnum() or (stem[-2:-1] == b"\xc3" and stem[-1] not in b"\x97\xb7")):
-        return (word,)
-    low = stem.decode().lower().encode()
-    return (low, word[len(stem) :]) if len(stem) < len(word) else (low,)
+LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+#: Letters, digits one by one, and punctuation; words with an apostrophe or the mark of a special token go to the library whole.
+PARTS = re.compile(f"[{LATIN}]+|[0-9]|[!-&(-/:-@[-`{{-~]+")
+PLAIN = re.compile(f"(?:[{LATIN}]+|[0-9]|[!-&(-/:-@[-`{{-~]+)+")
+# The normaliser and the splitting pattern for which the above holds.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class Encoder:
     """The library's tokenizer, with a cache of words.
 
-    Both its normaliser and its pre-tokeniser work within words between ASCII
-    white space, so a text's ids are those of such words in turn.
+    Where both its normaliser and its pre-tokeniser work within words between
+    ASCII white space (``by_words``), a text's ids are those of such words in
+    turn, and a plain word's are those of its letters, digits and punctuation.
     """
 
     def __init__(self, path: str):
@@ -145,66 +162,112 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
-        self.known: dict[bytes, bytes] = {}
-        self.decimal = [str(i) for i in range(self.t.get_vocab_size(with_added_tokens=True))]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        n = self.t.get_vocab_size(with_added_tokens=True)
+        self.decimal = [str(i) for i in range(n)]
+        self.token = [self.t.id_to_token(i) for i in range(n)]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        mark = made["model"].get("end_of_word_suffix")
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        words = steps[0].get("pattern") == {"Regex": SPLIT} and [x.get("add_prefix_space") for x in steps[1:]] == [False]
+        added = all(x["content"].startswith("<|") and not x["normalized"] and not x["lstrip"] and not x["rstrip"] for x in made["added_tokens"])
+        self.by_words = bool(mark and words and added and made["normalizer"] == NORMAL and not made["post_processor"])
+        self.ends_word = np.array([bool(mark) and (x or "").endswith(mark) for x in self.token])
+        self.joins_tokens = made.get("decoder") is None
 
     def whole(self, raw: bytes) -> bytes:
         return np.array(self.t.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, raw: bytes) -> bytes:
         """The ids of a text as packed 32-bit integers."""
+        if not self.by_words:
+            return self.whole(raw)
         ws = raw.split()
-        got = list(map(self.known.get, ws))
+        got = list(map(self.young.get, ws))
         if None in got:
-            fresh = self.learn([w for w, g in zip(ws, got, strict=True) if g is None])
+            fresh = self.learn({w for w, g in zip(ws, got, strict=True) if g is None})
             got = [fresh[w] if g is None else g for w, g in zip(ws, got, strict=True)]
         return b"".join(got)
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of new words; their parts are looked up first, and what is left goes to the library at once."""
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        split = {w: parts_of(w) for w in words}
-        new = list({p for ps in split.values() for p in ps if p not in known})
-        ids = [np.array(g.ids, "<u4").tobytes() for g in self.t.encode_batch([p.decode() for p in new], add_special_tokens=False)]
-        made = dict(zip(new, ids, strict=True))
-        out = {w: b"".join([made[p] if p in made else known[p] for p in ps]) for w, ps in split.items()}
-        known.update((w, g) for part in (made, out) for w, g in part.items() if len(w) <= CACHED_BYTES)
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that aren't among the young: from the older ones, their parts, or the library."""
+        young, old, out, split = self.young, self.old, {}, {}
+        for w in words:
+            if (g := old.get(w)) is not None:
+                out[w] = g
+            else:
+                s = w.decode()
+                split[w] = [p.encode() for p in PARTS.findall(s.lower())] if PLAIN.fullmatch(s) and "<|" not in s else None
+        parts = {p for ps in split.values() if ps for p in ps}
+        ids = {p: g for p in parts if (g := young.get(p) or old.get(p)) is not None}
+        ids |= self.fresh([p for p in parts if p not in ids])
+        for w, ps in split.items():
+            out[w] = self.whole(w) if ps is None else b"".join([ids[p] for p in ps])
+        for made in (ids, out):
+            young.update((w, g) for w, g in made.items() if len(w) <= CACHED_BYTES)
+        if len(young) > CACHED:
+            self.old, self.young = young, {}
         return out
 
-    def stitch(self, raw: bytes, parts: list[tuple[bytes, int, int]], have: dict[bytes, bytes]) -> bytes:
+    def fresh(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of parts of words, many of which make one text: each ends with the token that ends a word."""
+        out = {}
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            ids = np.array(self.t.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends_word[ids]) + 1 if len(ids) else ids
+            if len(cut) == len(some):
+                packed, e = ids.tobytes(), (4 * cut).tolist()
+                out |= {p: packed[x:y] for p, x, y in zip(some, [0, *e], e, strict=False)}
+            else:
+                out |= {p: self.whole(p) for p in some}
+        return out
+
+    def stitch(self, raw: bytes, keys: list[bytes], ends: list[int], have: dict[bytes, bytes]) -> bytes:
         """The ids of a whole text from those of its chunks; ``have`` holds some chunks' ids."""
-        done, ids, k = 0, b"", 0
-        while k < len(parts):
-            key, start, end = parts[k]
-            right = have.get(key)
-            while right is None and k + 1 < len(parts) and parts[k + 1][0] not in have:  # one stretch, without a join
-                k += 1
-                end = parts[k][2]
-            while k + 1 < len(parts) and not _breaks(raw, start, end):  # within a longer word
+        done, out, k = 0, [], 0
+        while k < len(keys):
+            right = have.get(keys[k])
+            while right is None and k + 1 < len(keys) and keys[k + 1] not in have:  # one stretch, without a join
                 k += 1
-                end, right = parts[k][2], None
+            while k + 1 < len(keys) and not _breaks(raw, done, ends[k]):  # within a longer word
+                k, right = k + 1, None
             if right is None:
-                right = self.encode(raw[start:end])
-            ids = right if not done else self.repair(raw, done, end, ids, right)
-            done, k = end, k + 1
-        return ids
-
-    def repair(self, raw: bytes, at: int, end: int, left: bytes, right: bytes) -> bytes:
-        """The ids of ``raw[:end]`` from exact ids of ``raw[:at]`` and ``raw[at:end]``."""
-        n = 1
+                right = self.encode(raw[done : ends[k]])
+            if done:
+                self.repair(raw, done, ends[k], out, right)
+            else:
+                out.append(right)
+            done, k = ends[k], k + 1
+        return b"".join(out)
+
+    def repair(self, raw: bytes, at: int, end: int, out: list[bytes], right: bytes) -> None:
+        """Makes ``out`` the ids of ``raw[:end]``, from exact ids of ``raw[:at]`` in it and of ``raw[at:end]``; only its last pieces are touched."""
+        n, left = 1, b""
         while True:
             a, b = _back(raw, at, n + 1), _forth(raw, at, end, n + 1)
             tail, head = self.encode(raw[a:at]), self.encode(raw[at:b])
             window = self.whole(raw[a:b])
             kept_l, kept_r = self.encode(raw[a : _back(raw, at, 1)]), self.encode(raw[_forth(raw, at, end, 1) : b])
+            while len(left) < len(tail) and out:
+                left = out.pop() + left
             if left.endswith(tail) and right.startswith(head) and window.startswith(kept_l) and window.endswith(kept_r):
-                return left[: len(left) - len(tail)] + window + right[len(head) :]
+                out += [left[: len(left) - len(tail)], window, right[len(head) :]]
+                return
             if a == 0 and b == end:
-                return window
+                out[:] = [window]
+                return
             n *= 2
 
+    def decode(self, ids: np.ndarray) -> str:
+        """What the library's decode() gives; a tokenizer without a decoder joins tokens by spaces."""
+        if not self.joins_tokens:
+            return self.t.decode(ids.tolist(), skip_special_tokens=False)
+        token = self.token
+        return " ".join([token[i] for i in ids.tolist()])
+
     def spelled(self, ids: np.ndarray) -> str:
         """The ids in decimal, joined by one space."""
         return " ".join([self.decimal[i] for i in ids.tolist()])
@@ -263,22 +326,42 @@ def bloom(shared: DataFrame) -> np.ndarray:
     return out
 
 
-def _in_bloom(table: np.ndarray, keys: list[bytes]) -> bool:
-    if not keys:
-        return False
-    at = _slots(keys)
-    return bool((table[at >> 3] >> (at & 7) & 1).any())
+def _travels(filter_, fields: list[str]):
+    """The rows that may hold shared chunks, with their chunks' keys and ends; rows without an id never travel."""
 
+    def run(batches):
+        table = filter_.value
+        for b in batches:
+            ids = b.column(b.schema.names.index("doc_id"))
+            rows, keys, ends = [], [], []
+            for row, _, k, e in chunks(b):
+                if k and ids[row].is_valid and _maybe(table, k).any():
+                    rows.append(row)
+                    keys.append(b"".join(k))
+                    ends.append(e)
+            kept = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(kept.schema.names.index(n)) for n in fields), pa.array(keys, pa.binary()), pa.array(ends, pa.list_(pa.int64()))], [*fields, "keys", "ends"])
 
-def _travels(filter_, travel: bool):
-    """The rows that may hold shared chunks, or the others; rows without an id never travel."""
+    return run
+
+
+def _keys(packed: bytes) -> list[bytes]:
+    return [packed[i : i + 16] for i in range(0, len(packed), 16)]
+
+
+def _uses(filter_):
+    """The chunks of each travelling document that the filter may hold, once each."""
 
     def run(batches):
         table = filter_.value
         for b in batches:
-            ids = b.column(b.schema.names.index("doc_id"))
-            keep = [row for row, _, parts in chunks(b) if (ids[row].is_valid and _in_bloom(table, [k for k, _, _ in parts])) == travel]
-            yield b.take(pa.array(keep, pa.int64()))
+            rows, keys = [], []
+            for row, packed in enumerate(b.column(b.schema.names.index("keys")).to_pylist()):
+                mine = _keys(packed)
+                mine = list({k for k, m in zip(mine, _maybe(table, mine).tolist(), strict=True) if m})
+                keys += mine
+                rows += [row] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(b.schema.names.index("doc_id")).take(pa.array(rows, pa.int64()))], ["key", "doc_id"])
 
     return run
 
@@ -289,11 +372,12 @@ def _encode_owned(path: str):
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            owned = b.column(b.schema.names.index("_owned"))
+            column = lambda c: b.column(b.schema.names.index(c))  # noqa: E731, B023
+            owned, packed, ends = column("owned"), column("keys"), column("ends")
             keys, out = [], []
-            for row, raw, parts in chunks(b):
-                want = set(owned[row].as_py())
-                for key, x, y in parts:
+            for row, raw in texts(b):
+                want, e = set(owned[row].as_py()), ends[row].as_py()
+                for key, x, y in zip(_keys(packed[row].as_py()), [0, *e], e, strict=False):
                     if key in want:
                         want.discard(key)
                         keys.append(key)
@@ -306,40 +390,53 @@ def _encode_owned(path: str):
 
 #: What encode() can add, with its type.
 RESULTS = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-DDL = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+TYPES = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
 
 def _finish(path: str, names: list[str], wanted: list[str], filter_=None):
-    """Adds the results to each row, using ids of shared chunks in ``_have`` where there are any; some text's worth of rows at a time.
+    """Adds the results to each row; some text's worth of rows at a time.
 
-    With a filter, rows that travel by it are left out.
+    Without a filter, rows have the keys and ends of their chunks and, in
+    ``have``, the ids of shared ones. With it, rows that travel by it are left out.
     """
 
-    def result(b: pa.RecordBatch, first: int, new: list[dict]) -> pa.RecordBatch:
-        part = b.slice(first, len(new))
+    def result(b: pa.RecordBatch, rows: list[int], new: list[dict]) -> pa.RecordBatch:
+        part = b.take(pa.array(rows, pa.int64()))
         made = [pa.array([x[w] for x in new], RESULTS[w]) for w in wanted]
         return pa.RecordBatch.from_arrays([*(part.column(b.schema.names.index(n)) for n in names), *made], [*names, *wanted])
 
+    def packed_ids(enc: Encoder, b: pa.RecordBatch):
+        column = lambda c: b.column(b.schema.names.index(c))
+        if filter_ is None:
+            keys, ends, have = column("keys"), column("ends"), column("have")
+            for row, raw in texts(b):
+                known = {x["k"]: x["ids"] for x in have[row].as_py() or ()}
+                yield row, raw, enc.stitch(raw, _keys(keys[row].as_py()), ends[row].as_py(), known)
+        elif not enc.by_words:
+            for row, raw in texts(b):
+                yield row, raw, enc.whole(raw)
+        else:
+            ids = column("doc_id")
+            for row, raw, keys, _ in chunks(b):
+                if not (keys and ids[row].is_valid and _maybe(filter_.value, keys).any()):
+                    yield row, raw, enc.encode(raw)
+
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            if filter_ is not None:
-                b = next(_travels(filter_, False)([b]))
-            have = b.column(b.schema.names.index("_have")) if "_have" in b.schema.names else None
-            new, held, first = [], 0, 0
-            for row, raw, parts in chunks(b):
-                known = {x["k"]: x["ids"] for x in (have[row].as_py() or ())} if have is not None else {}
-                packed = enc.stitch(raw, parts, known)
-                ids = np.frombuffer(packed, "<u4") if packed else np.zeros(0, "<u4")
-                text = enc.t.decode(ids.tolist(), skip_special_tokens=False)
+            rows, new, held = [], [], 0
+            for row, raw, packed in packed_ids(enc, b):
+                ids = np.frombuffer(packed, "<u4")
+                text = enc.decode(ids) if any(w.startswith("decoded") for w in wanted) else ""
                 every = {"ids": lambda: ids, "decoded": lambda: text, "n_tokens": lambda: len(ids), "ids_sha256": lambda: _sha(enc.spelled(ids)), "decoded_sha256": lambda: _sha(text)}  # noqa: B023
+                rows.append(row)
                 new.append({w: every[w]() for w in wanted})
                 held += len(raw) + 200
                 if held > wh.PIECE:
-                    yield result(b, first, new)
-                    first, new, held = row + 1, [], 0
+                    yield result(b, rows, new)
+                    rows, new, held = [], [], 0
             if new:
-                yield result(b, first, new)
+                yield result(b, rows, new)
 
     return run
 
@@ -351,29 +448,36 @@ def _sha(s: str) -> str:
 def encode(docs: DataFrame, path: str | None = None, wanted: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """``docs`` with the ``wanted`` results in place of ``text``: any of ``RESULTS``.
 
-    Null and empty texts have no ids and decode to the empty string; rows that
-    repeat, also under one id, each get their own result; rows without an id
-    are encoded without reuse. Other columns pass through (names that start
-    with ``_`` excepted), those of a wanted name are replaced.
+    Null and empty texts have no ids and decode to the empty string; a long
+    text is cut in pieces and its joins are repaired in time that follows its
+    length; rows that repeat, also under one id, each get their own result;
+    rows without an id are encoded without reuse; an empty table gives no rows.
+    Other columns pass through, whatever their names, those of a wanted name
+    are replaced.
     """
     docs = docs.drop(*wanted)
     spark, path = docs.sparkSession, path or public_tokenizers.path(TOKENIZER)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(_chunk_rows, CHUNKS.format(id=id_type))
+    by_words = encoder(path).by_words
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    d = docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in extra)).alias("rest")] if extra else []))
+    id_type = d.schema["doc_id"].dataType.simpleString()
+    known = d.select("doc_id", "text").where(F.col("doc_id").isNotNull() if by_words else F.lit(False))
+    rows = known.mapInArrow(_chunk_rows, CHUNKS.format(id=id_type))
     shared = stored(rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("slot").alias("slot"), F.min("doc_id").alias("owner")).where("n > 1").drop("n"), "bpe-shared")
     table = spark.sparkContext.broadcast(bloom(shared))
 
-    moving = docs.mapInArrow(_travels(table, True), docs.schema).withColumn("_key", F.col("doc_id")).where("_key is not null").repartition("_key")
-    owned = shared.groupBy(F.col("owner").alias("_key")).agg(F.collect_list("key").alias("_owned"))
-    encoded = moving.join(owned, "_key").mapInArrow(_encode_owned(path), "key binary, ids binary").dropDuplicates(["key"])
-    uses = moving.mapInArrow(lambda batches: _chunk_rows(batches, table.value), CHUNKS.format(id=id_type)).select("key", "doc_id")
-    found = uses.join(encoded, "key")
-    have = found.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct(F.col("key").alias("k"), "ids")).alias("_have"))
-    names = [f.name for f in docs.schema.fields if f.name != "text"]
-    extra = ", ".join(f"{w} {DDL[w]}" for w in wanted)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), extra])
-    alone = docs.mapInArrow(_finish(path, names, list(wanted), table), schema)
-    return alone.unionByName(moving.join(have, "_key", "left").mapInArrow(_finish(path, names, list(wanted)), schema))
+    fields = [f for f in d.schema.fields if f.name != "text"]
+    names = [f.name for f in fields]
+    schema = T.StructType([*fields, *(T.StructField(w, TYPES[w]) for w in wanted)])
+    alone = d.mapInArrow(_finish(path, names, list(wanted), table), schema)
+    with_chunks = T.StructType([*d.schema.fields, T.StructField("keys", T.BinaryType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+    moving = d.where(F.lit(by_words)).mapInArrow(_travels(table, d.columns), with_chunks).withColumn("key_id", F.col("doc_id")).repartition("key_id")
+    owned = shared.groupBy(F.col("owner").alias("key_id")).agg(F.collect_list("key").alias("owned"))
+    encoded = moving.join(owned, "key_id").mapInArrow(_encode_owned(path), "key binary, ids binary").dropDuplicates(["key"])
+    found = moving.mapInArrow(_uses(table), f"key binary, doc_id {id_type}").join(encoded, "key")
+    have = found.groupBy(F.col("doc_id").alias("key_id")).agg(F.collect_set(F.struct(F.col("key").alias("k"), "ids")).alias("have"))
+    out = alone.unionByName(moving.join(have, "key_id", "left").mapInArrow(_finish(path, names, list(wanted)), schema))
+    return out.select(*(F.col(c) if c == "doc_id" else F.col(f"rest.`{c}`") for c in docs.columns if c != "text"), *wanted)
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -165,9 +165,55 @@ def test_stitched_chunks_equal_the_whole(seed):
     rng = random.Random(seed)
     raw = (prose(rng, 60) + "x" * rng.randrange(300) + " it's <|endoftext|> " + prose(rng, 40)).encode()
     at = sorted({0, len(raw), *(k for k in rng.sample(range(1, len(raw)), 25) if raw[k] & 0xC0 != 0x80)})
-    parts = [(bytes([k]), a, b) for k, (a, b) in enumerate(zip(at, at[1:]))]
-    have = {k: enc.whole(raw[a:b]) for k, a, b in parts if rng.random() < 0.5}
-    assert enc.stitch(raw, parts, have) == enc.whole(raw)
+    keys, ends = [bytes([k]) for k in range(len(at) - 1)], at[1:]
+    have = {k: enc.whole(raw[a:b]) for k, a, b in zip(keys, at, ends) if rng.random() < 0.5}
+    assert enc.stitch(raw, keys, ends, have) == enc.whole(raw)
+
+
+def test_long_text_is_stitched_in_time_that_follows_its_length(monkeypatch):
+    import time
+
+    import public_tokenizers
+
+    monkeypatch.setattr(wordhash, "PIECE", 1 << 14)
+    enc, took = bpe.Encoder(public_tokenizers.path(bpe.TOKENIZER)), []
+    rng = random.Random(1)
+    some = prose(rng, 30_000)
+    for n in (1, 8):
+        raw = (some * n).encode()
+        import numpy as np
+
+        ends = bpe.cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
+        keys = [raw[a:b] for a, b in zip([0, *ends], ends)]
+        have = {k: enc.encode(k) for k in keys}
+        began = time.process_time()
+        ids = enc.stitch(raw, keys, ends, have)
+        took.append(time.process_time() - began)
+        assert ids == enc.whole(raw)
+    assert took[1] < 20 * took[0]
+
+
+def test_bpe_with_another_tokenizer(spark):
+    t = library_tokens("byte_bpe_50k.json")
+    import public_tokenizers
+
+    rows = [(i, x) for i, x in corpus()[:40]]
+    got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.encode(spark.createDataFrame(rows, DOC), public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    for i, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        assert got[i] == (ids, t.decode(ids, skip_special_tokens=False))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_words_and_parts_agree_with_the_library(seed):
+    import public_tokenizers
+
+    enc, rng = bpe.Encoder(public_tokenizers.path(bpe.TOKENIZER)), random.Random(seed)
+    assert enc.by_words and enc.joins_tokens
+    odd = ["a", "É", "ñ", "ß", "x", "9", "12", "'", "'s", "-", "!!", "<", "|", "<|", ".", "\u0301", "\u00d7", "\u00aa", "\u0130", "\u00a0", "日", "\x1c", " ", " ", "\n"]
+    for _ in range(400):
+        x = "".join(rng.choices(odd, k=rng.randrange(1, 14)))
+        assert enc.encode(x.encode()) == enc.whole(x.encode()), repr(x)
 
 
 # --- 3 toxicity
