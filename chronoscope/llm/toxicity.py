@@ -1,13 +1,13 @@
 """Toxicity: a factorisation machine over hashed terms.
 
 A document's terms are its distinct words and the beginnings of longer ones,
-hashed. On a bounded sample of
-labelled rows Spark counts in how many documents of either label each hash cell
-occurs; the cells that tell most are the model's inputs. The machine has a
-weight and a short vector for each of them, so it learns how pairs of terms
-interact beyond the sum of their weights. It is trained by iterative parameter
-mixing: in each round every task runs over its rows from the common parameters,
-and the driver averages the results, whose size is fixed.
+hashed to cells. On a bounded sample of labelled rows Spark counts in how many
+documents of either label each cell occurs; the cells that tell most are the
+machine's inputs. It has a weight and a short vector for each, so it learns how
+pairs of terms interact beyond the sum of their weights. It is trained by
+iterative parameter mixing: in each round every part of the
+sample, whose rows depend on their ids alone, is gone over from the common
+parameters, and the driver averages the results, whose size is fixed.
 """
 
 from __future__ import annotations
@@ -16,17 +16,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import wordhash as wh
-from .shared import arrow_schema, stored
+from .shared import stored
 
 #: Labelled rows at most that the machine is fitted on: those whose hashed doc_id is smallest.
 SAMPLE = 30_000
 CELLS, INPUTS, FACTORS = 1 << 18, 2048, 4
 #: Lengths in bytes of the beginnings of words that are terms too.
 STEMS = (4, 5, 6)
-#: Tasks, rounds and passes of a task in each round.
-TASKS, ROUNDS, PASSES = 4, 10, 3
+#: Parts of the sample, rounds and passes over a part in each round.
+PARTS, ROUNDS, PASSES = 4, 10, 3
 RATE, DECAY, BATCH = 0.15, 1e-4, 32
 #: How much more a toxic row counts than another, as these are rare.
 WEIGHT = 4.0
@@ -52,26 +54,26 @@ def held_out():
 
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """``text, toxic`` of at most ``limit`` labelled documents that are not held out."""
+    """``doc_id, text, toxic`` of at most ``limit`` labelled documents that are not held out."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "toxic")
 
 
 def _cell_rows(batches):
     for b in batches:
-        y = b.column(b.schema.names.index("toxic"))
+        ids, y = (b.column(b.schema.names.index(c)) for c in ("doc_id", "toxic"))
         for i, row, cell in terms(b):
             start = np.searchsorted(row, np.arange(int(row[-1]) + 2 if len(row) else 1))
             n = len(start) - 1
             if n:
-                yield pa.RecordBatch.from_arrays([y.slice(i, n), pa.array([cell[x:z].astype(np.int32).tobytes() for x, z in zip(start[:-1], start[1:], strict=True)], pa.binary())], ["toxic", "cells"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, n).cast(pa.int64()), y.slice(i, n), pa.array([cell[x:z].astype(np.int32).tobytes() for x, z in zip(start[:-1], start[1:], strict=True)], pa.binary())], ["doc_id", "toxic", "cells"])
 
 
 def _tally(batches):
     n = np.zeros((2, CELLS + 1), np.int64)
     for b in batches:
-        for y, c in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+        for y, c in zip(*(b.column(b.schema.names.index(k)).to_pylist() for k in ("toxic", "cells")), strict=True):
             n[y, np.frombuffer(c, np.int32)] += 1
             n[y, CELLS] += 1
     at = np.flatnonzero(n.sum(axis=0))
@@ -79,7 +81,7 @@ def _tally(batches):
 
 
 def inputs(rows: DataFrame) -> np.ndarray:
-    """The cells whose documents differ most in label, at most ``INPUTS``, by the G statistic."""
+    """The cells whose documents differ most in label, at most ``INPUTS``, by the G statistic; where there are no more, all that three documents have."""
     n = rows.mapInArrow(_tally, "cell long, n0 long, n1 long").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = n.where(f"cell = {CELLS}").first()
     if total is None:
@@ -90,27 +92,35 @@ def inputs(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["cell"] for r in best.select("cell").collect()], np.int64))
 
 
-def raw_scores(x: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray):
-    s = x @ v
-    return w0 + x @ w + 0.5 * ((s**2).sum(axis=1) - (x @ v**2).sum(axis=1)), s
+def places(cells: np.ndarray) -> np.ndarray:
+    """For each cell its place among the inputs; all others have the last one, whose weight and factors are 0."""
+    out = np.full(CELLS, len(cells), np.int64)
+    out[cells] = np.arange(len(cells))
+    return out
+
+
+def raw_scores(cells: np.ndarray, start: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray):
+    """The machine's sums for rows whose cells begin at ``start``, none empty, and the sums of their factors."""
+    x = v[cells]
+    s = np.add.reduceat(x, start)
+    return w0 + np.add.reduceat(w[cells], start) + 0.5 * ((s**2).sum(axis=1) - np.add.reduceat((x**2).sum(axis=1), start)), s
+
+
+def fresh(n: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """The parameters that training begins with, for ``n`` inputs and a last one that stays 0."""
+    v = np.random.default_rng(0).normal(0, 0.05, (n + 1, FACTORS))
+    v[n] = 0
+    return -2.0, np.zeros(n + 1), v
 
 
 def _train(state, seed: int):
-    """One round of a task: AdaGrad over its rows from the common parameters."""
+    """One round on a part: AdaGrad over its rows, in the order of their ids and texts, from the common parameters."""
 
-    def run(batches):
-        cells, w0, w, v = state.value
-        xs, ys = [], []
-        for b in batches:
-            for y, c in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
-                c = np.frombuffer(c, np.int32)
-                at = np.searchsorted(cells, c)
-                at = at[(at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == c)]
-                xs.append(at)
-                ys.append(y)
-        if not xs:
-            return
-        y = np.array(ys, np.float64)
+    def run(t: pa.Table) -> pa.Table:
+        chosen, w0, w, v = state.value
+        place = places(chosen)
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("doc_id", "cells", "toxic")), strict=True))
+        xs, y = [place[np.frombuffer(c, np.int32)] for _, c, _ in rows], np.array([k for _, _, k in rows], np.float64)
         w, v = w.copy(), v.copy()
         g0, gw, gv = 1e-2, np.full_like(w, 1e-2), np.full_like(v, 1e-2)
         rng = np.random.default_rng(seed)
@@ -118,53 +128,59 @@ def _train(state, seed: int):
             order = rng.permutation(len(xs))
             for at in range(0, len(order), BATCH):
                 pick = order[at : at + BATCH]
-                x = np.zeros((len(pick), len(w)))
-                for r, p in enumerate(pick):
-                    x[r, xs[p]] = 1
-                z, s = raw_scores(x, w0, w, v)
+                size = np.array([len(xs[p]) for p in pick])
+                start = np.cumsum(size) - size
+                cells = np.concatenate([xs[p] for p in pick])
+                z, s = raw_scores(cells, start, w0, w, v)
                 d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) * np.where(y[pick] > 0, WEIGHT, 1.0) / len(pick)
-                d0, dw = d.sum(), x.T @ d + DECAY * w
-                dv = x.T @ (d[:, None] * s) - v * (x.T @ d)[:, None] + DECAY * v
-                g0, gw, gv = g0 + d0**2, gw + dw**2, gv + dv**2
-                w0 -= RATE * d0 / g0**0.5
-                w -= RATE * dw / gw**0.5
-                v -= 0.3 * RATE * dv / gv**0.5
-        yield pa.RecordBatch.from_arrays([pa.array([len(xs)], pa.int64()), pa.array([np.concatenate([[w0], w, v.ravel()]).tobytes()], pa.binary())], ["n", "p"])
+                each = np.repeat(d, size)
+                mine, back = np.unique(cells, return_inverse=True)
+                sums = np.bincount(back, each)
+                dw = sums + DECAY * w[mine]
+                pulled = np.repeat(d[:, None] * s, size, axis=0)
+                dv = np.stack([np.bincount(back, pulled[:, f]) for f in range(FACTORS)], axis=1) - v[mine] * sums[:, None] + DECAY * v[mine]
+                own = mine < len(chosen)
+                mine, dw, dv = mine[own], dw[own], dv[own]
+                g0 += d.sum() ** 2
+                gw[mine] += dw**2
+                gv[mine] += dv**2
+                w0 -= RATE * d.sum() / g0**0.5
+                w[mine] -= RATE * dw / gw[mine] ** 0.5
+                v[mine] -= 0.3 * RATE * dv / gv[mine] ** 0.5
+        part = t.column("part")[0].as_py()
+        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(xs)], pa.int64()), "p": pa.array([np.concatenate([[w0], w, v.ravel()]).astype(np.float32).tobytes()], pa.binary())})
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE):
-    """The machine's cells and parameters; without labelled rows, one that scores everything alike."""
+    """The machine's inputs and parameters; without labelled rows it has no inputs."""
     spark = docs.sparkSession
-    rows = stored(sample(docs, labels, limit).mapInArrow(_cell_rows, "toxic int, cells binary").repartition(TASKS, F.xxhash64("cells")), "toxic-sample")
-    cells = inputs(rows)
-    w0, w, v = -2.0, np.zeros(len(cells)), np.random.default_rng(0).normal(0, 0.05, (len(cells), FACTORS))
+    rows = sample(docs, labels, limit).mapInArrow(_cell_rows, "doc_id long, toxic int, cells binary").where(F.octet_length("cells") > 0)
+    rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), "toxic-sample")
+    chosen = inputs(rows)
+    w0, w, v = fresh(len(chosen))
     for k in range(ROUNDS):
-        state = spark.sparkContext.broadcast((cells, w0, w, v))
-        got = [(r["n"], np.frombuffer(r["p"])) for r in rows.mapInArrow(_train(state, k), "n long, p binary").collect()]
+        state = spark.sparkContext.broadcast((chosen, w0, w, v))
+        got = rows.groupBy("part").applyInArrow(_train(state, k), "part int, n long, p binary").collect()
         if not got:
             break
+        got = [(r["n"], np.frombuffer(r["p"], np.float32).astype(np.float64)) for r in sorted(got, key=lambda r: r["part"])]
         p = sum(n * p for n, p in got) / sum(n for n, _ in got)
-        w0, w, v = p[0], p[1 : 1 + len(w)], p[1 + len(w) :].reshape(v.shape)
-    return cells, w0, w, v
+        w0, w, v = float(p[0]), p[1 : 1 + len(w)], p[1 + len(w) :].reshape(v.shape)
+    return chosen, w0, w, v
 
 
 def _score(model, schema: pa.Schema):
     def run(batches):
-        cells, w0, w, v = model.value
-        place = np.full(CELLS, -1, np.int64)
-        place[cells] = np.arange(len(cells))
+        chosen, w0, w, v = model.value
+        place = places(chosen)
         for b in batches:
             z = np.full(b.num_rows, w0, np.float64)
             for i, row, cell in terms(b):
-                at = place[cell]
-                row, at = row[at >= 0] + i, at[at >= 0]
-                if not len(at):
-                    continue
-                z += np.bincount(row, w[at], b.num_rows)
-                for f in range(v.shape[1]):
-                    z += 0.5 * (np.bincount(row, v[at, f], b.num_rows) ** 2 - np.bincount(row, v[at, f] ** 2, b.num_rows))
+                if len(row):
+                    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                    z[i + row[start]] = raw_scores(place[cell], start, w0, w, v)[0]
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.names.index(n)).cast(schema.field(n).type) for n in schema.names[:-1]), pa.array(score)], schema=schema)
 
@@ -174,15 +190,16 @@ def _score(model, schema: pa.Schema):
 def score(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """``docs`` without ``text`` and with ``score`` added, from 0 to 1.
 
-    Null and empty texts have no terms and get the machine's base rate; rows
-    that repeat get equal scores; labels other than 0 and 1 are not used, and of
+    Null and empty texts have no terms and get the machine's base rate; a long
+    text counts whole; rows that repeat get equal scores, and scores don't
+    depend on how rows are dealt; an empty table gives no rows; labels other than 0 and 1 are not used, and of
     several labels of one document the larger counts. Other columns pass through, one named
     ``score`` is replaced.
     """
     docs = docs.drop("score")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"), "score double"])
-    return docs.mapInArrow(_score(model, arrow_schema(ddl)), ddl)
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "text"), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(_score(model, to_arrow_schema(schema)), schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
