@@ -6,10 +6,11 @@ neighbours are joined depends only on themselves, so equal passages get equal
 symbols but near their ends; each symbol knows the span of words that decided
 it. A window of words that holds such a span can only repeat if that symbol
 repeats, so symbols found in one document alone rule out nearly all windows.
-The remaining windows are verified by 96-bit fingerprints of their words, and
-each learns the least document that has it.
+The remaining windows are verified by 96-bit fingerprints, 64 bits from one hash
+of each word and 32 from another that is independent of it, and each learns the
+least document that has it.
 
-Documents are dealt into cells by their ids. Spark shuffles the texts once, and
+Documents are dealt into cells by their ids, as many as keep a cell's size. Spark shuffles the texts once, and
 then packed arrays: symbols to buckets, shared symbols back to their cells,
 windows to buckets, and windows with their least document back to the cells. A
 symbol or window that fills the corpus travels once for each cell.
@@ -24,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import wordhash as wh
 from .packed import deal, group_starts, merged, ranges, rows
-from .shared import arrow_schema, buckets
+from .shared import spread
 
 #: Rounds of pair naming, and words that a symbol spans at least to be tested.
 ROUNDS, SPAN = 3, 3
@@ -94,16 +97,16 @@ class Symbols:
 
 
 def blocks(b: pa.RecordBatch):
-    """(first row, word fingerprints, word bounds, raw bytes, offsets) of the blocks of a batch."""
+    """(first row, word fingerprints by two functions, word bounds, bytes and where rows and words begin and end) of the blocks of a batch."""
     data, off = wh.text_buffers(b.column(b.schema.names.index("text")))
     for i, j in wh.pieces(off):
         d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         s, e, bounds = wh.word_bounds(d, o, "space")
-        yield i, wh.word_hashes(d, s, e), bounds, (d, o, s, e)
+        yield i, (wh.word_hashes(d, s, e), wh.word_hashes(d, s, e, seed=1)), bounds, (d, o)
 
 
-def symbols(h: np.ndarray, bounds: np.ndarray) -> Symbols:
-    s = Symbols(h, bounds)
+def symbols(h: tuple[np.ndarray, np.ndarray], bounds: np.ndarray) -> Symbols:
+    s = Symbols(h[0], bounds)
     s.name_runs()
     for k in range(ROUNDS):
         s.name_pairs(k + 1)
@@ -171,9 +174,9 @@ def _shared_symbols(t: pa.Table) -> pa.Table:
     return _by_cell(cell[keep], k=key[keep] & ~wh.U(1))
 
 
-def _possible(h: np.ndarray, bounds: np.ndarray, shared: np.ndarray, width: int) -> np.ndarray:
+def _possible(h: tuple[np.ndarray, np.ndarray], bounds: np.ndarray, shared: np.ndarray, width: int) -> np.ndarray:
     """First words of the windows that hold no unshared symbol."""
-    n = len(h)
+    n = len(h[0])
     name, _, lo, hi = symbols(h, bounds).tested(width)
     name = name & ~wh.U(1)
     at = np.minimum(np.searchsorted(shared, name), max(len(shared) - 1, 0))
@@ -187,13 +190,12 @@ def _possible(h: np.ndarray, bounds: np.ndarray, shared: np.ndarray, width: int)
     return np.flatnonzero(out & (np.arange(n) + width <= bounds[1:][row])) if n else np.zeros(0, np.int64)
 
 
-def fingerprints(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of 64 and of 32 more bits of the windows that start at ``at``."""
+def fingerprints(h: tuple[np.ndarray, np.ndarray], at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of 64 and of 32 more bits of the windows that start at ``at``, each from its own hash of the words."""
     flat = [np.full(len(at), 0x9E3779B97F4A7C15 * k % (1 << 64), wh.U) for k in (1, 2)]
     for j in range(width):
-        word = h[at + j]
         for k, m in ((0, 0xFF51AFD7ED558CCD), (1, 0xC4CEB9FE1A85EC53)):
-            flat[k] = (flat[k] ^ (flat[k] >> wh.U(29))) * wh.U(m) + (wh.mix(word) if k else word)
+            flat[k] = (flat[k] ^ (flat[k] >> wh.U(29))) * wh.U(m) + h[k][at + j]
     return wh.mix(flat[0]), (wh.mix(flat[1]) >> wh.U(32)).astype(np.uint32)
 
 
@@ -251,10 +253,10 @@ def _covered(width: int, finish, schema: pa.Schema):
             ids, valid = _documents(b)
             new: list = []
             for i, h, bounds, raw in blocks(b):
-                gone = np.zeros(len(h) + 1, np.int64)
+                gone = np.zeros(len(h[0]) + 1, np.int64)
                 row = wh.row_of(bounds)
-                if len(key) and len(h):
-                    at = np.flatnonzero((np.arange(len(h)) + width <= bounds[1:][row]) & valid[i + row])
+                if len(key) and len(h[0]):
+                    at = np.flatnonzero((np.arange(len(h[0])) + width <= bounds[1:][row]) & valid[i + row])
                     f, f2 = fingerprints(h, at, width)
                     lo = np.minimum(np.searchsorted(key, f), len(key) - 1)
                     seen = np.flatnonzero(key[lo] == f)
@@ -281,7 +283,7 @@ def _result(b: pa.RecordBatch, new: list, schema: pa.Schema) -> pa.RecordBatch:
 
 def _kept_words(bounds, gone, raw):
     """(words, removed words, kept words joined by one space) of each row of a block."""
-    d, o, _, _ = raw
+    d, o = raw
     removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[bounds])
     for r in range(len(bounds) - 1):
         ws = d[o[r] : o[r + 1]].tobytes().split()
@@ -300,22 +302,29 @@ def deduplicate(docs: DataFrame, width: int = 13, digests: bool = False, cells:
 
     A word goes if a window of ``width`` words over it also starts in a
     document of smaller id; windows are those of the input. Null and empty
-    texts have no words; texts of fewer words than a window keep all; rows of
-    one id don't count against each other; rows without an id keep all and
-    count against none. An empty table gives no rows. Other columns pass
-    through (``_cell`` excepted).
+    texts have no words; texts of fewer words than a window keep all; a long
+    text is read in one piece; rows of one id don't count against each other;
+    rows without an id keep all and count against none. An empty table gives no
+    rows. Other columns pass through, whatever their names; those of a name
+    that is added are replaced.
     """
-    n = buckets(docs.sparkSession)
-    cells = cells or n
-    dealt = docs.withColumn("_cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells))).repartition(cells, "_cell")
+    spark = docs.sparkSession
+    docs = docs.drop("_n_words", "_n_removed", "_kept")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells, n = cells or spread(spark, size), spread(spark, 2 * size)
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    d = docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in extra)).alias("rest")] if extra else []))
+    dealt = d.withColumn("_cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells))).repartition(cells, "_cell")
     found = dealt.mapInArrow(_symbol_rows(width, n), SYMBOLS)
     shared = found.groupBy("bucket").applyInArrow(_shared_symbols, "_cell long, k binary")
     by_cell = dealt.groupBy("_cell")
     windows = by_cell.cogroup(shared.groupBy("_cell")).applyInArrow(_window_rows(width, n), WINDOWS)
     least = windows.groupBy("bucket").applyInArrow(_least, LEAST)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _n_words long, _n_removed long, _kept string"
+    added = [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType()), T.StructField("_kept", T.StringType())]
+    schema = T.StructType([*d.schema.fields, *added])
     finish = _digested if digests else _kept_words
-    return by_cell.cogroup(least.groupBy("_cell")).applyInArrow(_covered(width, finish, arrow_schema(ddl)), ddl)
+    out = by_cell.cogroup(least.groupBy("_cell")).applyInArrow(_covered(width, finish, to_arrow_schema(schema)), schema)
+    return out.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in docs.columns), "_n_words", "_n_removed", "_kept")
 
 
 def digest(docs: DataFrame) -> DataFrame:
