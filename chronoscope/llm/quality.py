@@ -37,9 +37,10 @@ def grams(ws: Column, cells: int) -> Column:
 def base_columns(docs: DataFrame, text: str = "_text", ws: str = "_ws") -> DataFrame:
     """Adds the base counts, from a text and its word array.
 
-    Words of repeated 3-word windows are found without grouping rows: windows
-    are sorted by fingerprint within their array, those equal to a neighbour
-    give their places, and sorted places cover min(3, gap) words each.
+    Words of repeated 3-word windows are found without grouping rows: where a
+    text's windows aren't all different, they are sorted by fingerprint within
+    their array, those equal to a neighbour give their places, and sorted places
+    cover min(3, gap) words each.
     """
     t = F.col(text)
     plain = t
@@ -47,17 +48,20 @@ def base_columns(docs: DataFrame, text: str = "_text", ws: str = "_ws") -> DataF
         plain = F.replace(plain, F.lit(c), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     w = F.col(ws)
-    windows = F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda c, i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), c).alias("h"), i.alias("p")))
+    hashes = F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda c, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), c))
     docs = once(
         docs, n_words=F.size(ws).cast("long"), word_chars=F.length(F.array_join(ws, "")).cast("long"),
-        n_symbols=(F.length(t) - F.length(plain)).cast("long"), _lines=lines, _win=F.sort_array(windows),
+        n_symbols=(F.length(t) - F.length(plain)).cast("long"), _lines=lines, _hash=hashes,
     )
+    h = F.col("_hash")
+    found = F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))))
+    docs = once(docs, _win=found).drop("_hash")
     s = F.col("_win")
     twice = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]).eqNullSafe(True) | (x["h"] == F.get(s, i + 1)["h"]).eqNullSafe(True))
     docs = once(docs, _at=F.sort_array(F.transform(twice, lambda x: x["p"])))
     at = F.col("_at")
     covered = F.aggregate(F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return once(docs, n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), n_repeat_words=covered.cast("long")).drop("_lines", "_win", "_at")
+    return once(docs, n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long")).drop("_lines", "_win", "_at")
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -87,31 +91,38 @@ def log_ratio(t: Column, n: Column, all_t: Column, all_n: Column, alpha: float =
     return F.log((t + alpha) / (n * scale + alpha))
 
 
-def held_out() -> Column:
-    """The score that a document of the target would have outside it: its own n-grams leave the target, not the corpus.
+def mean_ratio(items: Column, ratios: Column) -> Column:
+    """The mean of the ratios of an array's cells; null for an empty one."""
+    return F.aggregate(items, F.lit(0.0), lambda a, g: a + F.get(ratios, g)) / F.nullif(F.size(items), F.lit(0))
 
-    Runs of ``_sorted`` start at the places ``_starts`` and are the cells with their counts.
-    """
-    s, at, m = F.col("_sorted"), F.col("_starts"), F.col("_m")
-    rest = m["all_t"] - F.size(s)
 
-    def part(p: Column, i: Column) -> Column:
-        own, c = F.coalesce(F.get(at, i + 1), F.size(s)) - p, F.get(s, p)
-        return own * log_ratio(F.get(m["t"], c) - own, F.get(m["n"], c), rest, m["all_n"])
+def held_out(cells: Column, size: Column, t: Column, n: Column, all_t: int, all_n: int) -> Column:
+    """The score that a document of the target would have outside it: its own n-grams leave the target, not the corpus.
 
-    return F.aggregate(F.transform(at, part), F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(s), F.lit(0))
+    ``cells`` are its runs of equal cells: ``c`` the cell, ``own`` its count; ``size`` counts all n-grams.
+    """
+    each = F.transform(cells, lambda r: r["own"] * log_ratio(F.get(t, r["c"]) - r["own"], F.get(n, r["c"]), all_t - size, F.lit(all_n)))
+    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.nullif(size, F.lit(0))
 
 
 def scored(docs: DataFrame, labels: DataFrame, cells: int = CELLS) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``score`` and ``_held`` added, the score with the document's own n-grams held out of the target."""
     target = trusted(labels)
-    counts = cell_counts(docs, target, cells).select(F.struct("n", "t", "all_n", "all_t", F.transform(F.arrays_zip("t", "n"), lambda x: log_ratio(x["t"], x["n"], F.col("all_t"), F.col("all_n"))).alias("ratios")))
+    counts = stored(cell_counts(docs, target, cells), "quality-counts")
+    sums = counts.select("all_t", "all_n").first()
+    ratios = counts.select(F.transform(F.arrays_zip("t", "n"), lambda x: log_ratio(x["t"], x["n"], F.col("all_t"), F.col("all_n"))))
     out = base_columns(once(marked(docs, target), _text=F.coalesce("text", F.lit("")), _ws=words(F.col("text"))))
-    out = once(out, _grams=grams(F.col("_ws"), cells)).drop("_text", "_ws").withColumn("_m", counts.scalar())
-    out = once(out, _sorted=F.when(F.col("_good"), F.sort_array("_grams")), score=F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(F.col("_m.ratios"), g)) / F.nullif(F.size("_grams"), F.lit(0))).drop("_grams")
+    out = once(out, _grams=grams(F.col("_ws"), cells)).drop("_text", "_ws")
+    # each array of the model is a column used once, right where it is made: the optimiser puts it in its place, and it is part of no row
+    out = out.withColumn("_ratios", ratios.scalar()).withColumn("score", mean_ratio(F.col("_grams"), F.col("_ratios"))).drop("_ratios")
+    out = once(out, _sorted=F.when(F.col("_good"), F.sort_array("_grams"))).drop("_grams")
     s = F.col("_sorted")
     out = once(out, _starts=F.filter(F.transform(s, lambda x, i: F.when(x.eqNullSafe(F.get(s, i - 1)), None).otherwise(i)), lambda i: i.isNotNull()))
-    out = once(out, _held=F.when(F.col("_good"), held_out()).otherwise(F.col("score"))).drop("_sorted", "_starts", "_m", "_good")
+    at = F.col("_starts")
+    runs = F.transform(at, lambda p, i: F.struct(F.get(s, p).alias("c"), (F.coalesce(F.get(at, i + 1), F.size(s)) - p).alias("own")))
+    out = once(out, _runs=runs, _size=F.size(s)).drop("_sorted", "_starts")
+    out = out.withColumns({"_t": counts.select("t").scalar(), "_n": counts.select("n").scalar()})
+    out = out.withColumn("_held", F.when(F.col("_good"), held_out(F.col("_runs"), F.col("_size"), F.col("_t"), F.col("_n"), sums["all_t"], sums["all_n"])).otherwise(F.col("score"))).drop("_runs", "_size", "_good", "_t", "_n")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return out.withColumn("base_failed", failed)
 
