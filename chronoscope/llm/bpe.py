@@ -41,9 +41,9 @@ MOST = 1 << 16
 #: Bits of the Bloom filter: 16 MB, whatever the corpus; where it fills up, more documents travel.
 BLOOM_BITS = 1 << 27
 #: Words that a worker keeps encoded in each of two generations, and the longest such word in bytes.
-CACHED, CACHED_BYTES = 100_000, 64
-#: Parts of words that go to the library as one text.
-JOINED = 256
+CACHED, CACHED_BYTES = 150_000, 64
+#: Words that go to the library as one text.
+JOINED = 512
 CHUNKS = "key binary, slot long, doc_id {id}, n long"
 ROLLED = 16
 
@@ -139,9 +139,12 @@ def _chunk_rows(batches):
 
 
 LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
-#: Letters, digits one by one, and punctuation; words with an apostrophe or the mark of a special token go to the library whole.
-PARTS = re.compile(f"[{LATIN}]+|[0-9]|[!-&(-/:-@[-`{{-~]+")
-PLAIN = re.compile(f"(?:[{LATIN}]+|[0-9]|[!-&(-/:-@[-`{{-~]+)+")
+#: What the tokenizer treats alone within plain words: letters, digits one by one, and punctuation.
+PARTS = re.compile(f"[{LATIN}]+|[0-9]|[!-&(-/:-@[-`{{-~]+| ")
+#: The bytes of plain words: ASCII without the apostrophe, and letters of two bytes.
+PLAIN = bytes(x for x in range(0x21, 0x7F) if x != 0x27) + bytes([0xC3, *range(0x80, 0xC0)])
+#: What else words may not hold that go to the library together: the signs among those letters, and the mark of a special token.
+APART = re.compile(b"\xc3\x97|\xc3\xb7|<\\|")
 # The normaliser and the splitting pattern for which the above holds.
 NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -177,8 +180,12 @@ class Encoder:
         self.ends_word = np.array([bool(mark) and (x or "").endswith(mark) for x in self.token])
         self.joins_tokens = made.get("decoder") is None
 
+    def library(self, text: str) -> bytes:
+        (made,) = self.t.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(made.ids, "<u4").tobytes()
+
     def whole(self, raw: bytes) -> bytes:
-        return np.array(self.t.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return self.library(raw.decode())
 
     def encode(self, raw: bytes) -> bytes:
         """The ids of a text as packed 32-bit integers."""
@@ -192,38 +199,33 @@ class Encoder:
         return b"".join(got)
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that aren't among the young: from the older ones, their parts, or the library."""
-        young, old, out, split = self.young, self.old, {}, {}
-        for w in words:
-            if (g := old.get(w)) is not None:
-                out[w] = g
-            else:
-                s = w.decode()
-                split[w] = [p.encode() for p in PARTS.findall(s.lower())] if PLAIN.fullmatch(s) and "<|" not in s else None
-        parts = {p for ps in split.values() if ps for p in ps}
-        ids = {p: g for p in parts if (g := young.get(p) or old.get(p)) is not None}
-        ids |= self.fresh([p for p in parts if p not in ids])
-        for w, ps in split.items():
-            out[w] = self.whole(w) if ps is None else b"".join([ids[p] for p in ps])
-        for made in (ids, out):
-            young.update((w, g) for w, g in made.items() if len(w) <= CACHED_BYTES)
-        if len(young) > CACHED:
-            self.old, self.young = young, {}
+        """The ids of words that aren't among the young: from the older ones, or the library."""
+        out = {w: g for w in words if (g := self.old.get(w)) is not None}
+        new = [w for w in words if w not in out] if out else list(words)
+        plain = [w for w in new if not w.translate(None, PLAIN)]
+        if APART.search(b" ".join(plain)):
+            plain = [w for w in plain if not APART.search(w)]
+        for at in range(0, len(plain), JOINED):
+            out |= self.together(plain[at : at + JOINED])
+        for w in new:
+            if w not in out:
+                out[w] = self.whole(w)
+        self.young.update(out if max(map(len, words)) <= CACHED_BYTES else {w: g for w, g in out.items() if len(w) <= CACHED_BYTES})
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
         return out
 
-    def fresh(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of parts of words, many of which make one text: each ends with the token that ends a word."""
-        out = {}
-        for at in range(0, len(parts), JOINED):
-            some = parts[at : at + JOINED]
-            ids = np.array(self.t.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends_word[ids]) + 1 if len(ids) else ids
-            if len(cut) == len(some):
-                packed, e = ids.tobytes(), (4 * cut).tolist()
-                out |= {p: packed[x:y] for p, x, y in zip(some, [0, *e], e, strict=False)}
-            else:
-                out |= {p: self.whole(p) for p in some}
-        return out
+    def together(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of plain words that make one text: each of their parts ends with a token that ends a word."""
+        text = b" ".join(words).decode()
+        gaps = np.flatnonzero([p == " " for p in PARTS.findall(text + " ")])
+        parts = gaps - np.arange(len(gaps))  # parts up to each word's end
+        ids = np.frombuffer(self.library(text), "<u4")
+        cut = np.flatnonzero(self.ends_word[ids]) + 1 if len(ids) else ids
+        if len(gaps) != len(words) or len(cut) != parts[-1]:
+            return {w: self.whole(w) for w in words}
+        packed, e = ids.tobytes(), (4 * cut[parts - 1]).tolist()
+        return {w: packed[x:y] for w, x, y in zip(words, [0, *e], e, strict=False)}
 
     def stitch(self, raw: bytes, keys: list[bytes], ends: list[int], have: dict[bytes, bytes]) -> bytes:
         """The ids of a whole text from those of its chunks; ``have`` holds some chunks' ids."""

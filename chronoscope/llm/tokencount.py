@@ -16,6 +16,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "piece_bpe_32k.model"
 #: Entries of the broadcast table, and how many bytes each pre-token in it has at most: together its size bound.
@@ -131,15 +132,15 @@ def _count(path: str, table):
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` without ``text`` and with ``n_tokens`` added.
 
-    Null and empty texts have no tokens; rows that repeat are counted alike;
+    Null and empty texts have no tokens; a long text is counted whole, by its
+    parts; rows that repeat are counted alike; an empty table gives no rows;
     other columns pass through, one named ``n_tokens`` is replaced.
     """
     path = path or public_tokenizers.path(MODEL)
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path))
     docs = docs.drop("n_tokens")
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return docs.mapInArrow(_count(path, table), f"{schema}, n_tokens long" if rest else "n_tokens long")
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "text"), T.StructField("n_tokens", T.LongType())])
+    return docs.mapInArrow(_count(path, table), schema)
 
 
 def digest(docs: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:
