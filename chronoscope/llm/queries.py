@@ -50,6 +50,32 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.digest(table(spark, sf, "documents"))
 
 
+SQL["op10_near_duplicates"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[p : p + 2] AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id <= coalesce(least, doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+SQL["op7_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, p, ws[p : p + 12] AS win FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 12, 0) + 1)) AS p FROM d)),
+f AS (SELECT win, min(doc_id) AS lo FROM w GROUP BY win),
+h AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM w JOIN f USING (win) WHERE lo < doc_id),
+g AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM d) ANTI JOIN h USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.digest(table(spark, sf, "pages"))
 
@@ -77,6 +103,8 @@ def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.digest(table(spark, sf, "documents"), licenses.templates(spark))
 
 
+SQL["op9_licenses"] = licenses.sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_warc, op2_bpe, op3_toxicity, op4_url_filters, op5_quality, op6_token_counts, op7_substring_dedup, op8_decontaminate, op9_licenses, op10_near_duplicates)

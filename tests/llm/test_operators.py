@@ -429,7 +429,8 @@ def test_licenses(spark, empty):
         for j in range(4):
             i = 10 * k + j
             rows.append((i, prose(rng, j * 23) + " " + text + " " + prose(rng, j * 11)))
-            want[i] = name
+            want[i] = plain_scan(rows[-1][1])[0]
+            assert name in want[i].split(",")
     rows += [(900, None), (901, ""), (902, prose(rng, 300)), (903, "released under the license")]
     got = {r["doc_id"]: r["licenses"] for r in licenses.digest(spark.createDataFrame(rows, DOC), t).collect()}
     assert got == {i: want.get(i, "") for i, _ in rows}
@@ -437,6 +438,41 @@ def test_licenses(spark, empty):
     assert licenses.digest(spark.createDataFrame(rows, DOC), t.where("false")).where("n_licenses > 0").count() == 0
 
 
+def plain_scan(text):
+    """Every window of every template, by sets of words."""
+    import re
+
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    ws, best = split(text), {}
+    for name, t in licenses.NOTICES.items():
+        t = split(t)
+        k, step = min(licenses.SHINGLE, len(t)), max(1, len(t) // 4)
+        own = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+        sh = [tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)]
+        for first in range(0, len(sh), step):
+            share = len(own & set(sh[first : first + len(t) + step - k])) / len(own)
+            if share >= licenses.CONTAINED:
+                best[name] = max(best.get(name, 0), share)
+    return ",".join(sorted(best)), max(best.values(), default=None)
+
+
+def test_licenses_against_every_window(spark):
+    """Whole and edited license texts, across window borders, twice, and around the threshold."""
+    rng, rows = random.Random(11), []
+    for text in licenses.NOTICES.values():
+        w = text.split()
+        for k in (0, 1, 2, 3, 5, 8, 12):
+            x = list(w)
+            for at in rng.sample(range(len(w)), min(k, len(w) - 1)):
+                x[at] = rng.choice(VOCAB)
+            rows.append((len(rows), prose(rng, rng.randrange(60)) + " ".join(x) + " " + prose(rng, rng.randrange(60)) + (" ".join(x) if k == 2 else "")))
+    rows.append((len(rows), prose(rng, 60_000) + " " + licenses.NOTICES["isc-text"]))
+    rows += [(i, t) for i, t in corpus() if i > 100]
+    got = {r["doc_id"]: (r["licenses"], r["containment"]) for r in licenses.digest(spark.createDataFrame(rows, DOC), licenses.templates(spark)).collect()}
+    for i, t in rows:
+        assert got[i] == plain_scan(t), t[:200]
+
+
 # --- 10 near duplicates
 
 
@@ -526,3 +562,27 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 200: 100}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- extra columns, long texts
+
+
+def test_odd_columns_pass_and_long_texts_are_whole(spark):
+    """Columns named as an operator's own, a struct with an odd field, repeated rows, and a text of megabytes."""
+    rng = random.Random(3)
+    long = prose(rng, 400_000)
+    rows = [(1, long), (2, "head " + long), (2, "head " + long), (3, None), (4, ""), (5, prose(rng, 100))]
+    df = spark.createDataFrame(rows, DOC).withColumns({c: F.lit("x") for c in ("_key", "_have", "_owned", "_cell", "keys", "ends", "have", "rest", "key_id", "print", "my col")}).withColumn("s", F.struct(F.lit(1).alias("a b")))
+    odd = [c for c in df.columns if c not in ("doc_id", "text")]
+    t = library_tokens()
+    out = bpe.encode(df, wanted=("n_tokens",))
+    assert out.columns == ["doc_id", *odd, "n_tokens"]
+    assert sorted((r["doc_id"], r["n_tokens"], r["my col"], r["s"]["a b"]) for r in out.collect()) == sorted((i, len(t.encode(x or "", add_special_tokens=False).ids), "x", 1) for i, x in rows)
+    n = len(long.split())
+    out = substrings.deduplicate(df)
+    assert out.columns == [*df.columns, "_n_words", "_n_removed", "_kept"]
+    assert sorted((r["doc_id"], r["_n_words"], r["_n_removed"]) for r in out.collect()) == [(1, n, 0), (2, n + 1, n), (2, n + 1, n), (3, 0, 0), (4, 0, 0), (5, 100, 0)]
+    assert sorted(r["doc_id"] for r in neardup.survivors(df).collect()) == [1, 3, 4, 5]
+    assert tokencount.count_tokens(df).columns == ["doc_id", *odd, "n_tokens"]
+    scores = toxicity.score(df, spark.createDataFrame([(5, 1)], "doc_id long, toxic int"))
+    assert scores.columns == ["doc_id", *odd, "score"] and scores.where("doc_id = 2").select("score").distinct().count() == 1
