@@ -55,3 +55,114 @@ def matches_exe(target: str, path, name):
 def match_mode(target: str) -> str:
     """How ``auto`` reads a target: as a program if it looks like one, else as a title."""
     return "exe" if target.lower().endswith(".exe") or "/" in target or "\\" in target else "title"
+
+
+def matches_title(target: str, title):
+    return title.contains(target)
+
+
+def same_program(a, b):
+    """Two window contexts of one program, whatever their titles; unknown windows match nothing."""
+    return F.coalesce(a["exe_path"] == b["exe_path"], F.lit(False))
+
+
+def same_process(a, b):
+    return F.coalesce(a["pid"] == b["pid"], F.lit(False))
+
+
+# Programs of the system, titles of controls, and generic titles that are no windows to record.
+SYSTEM_PROGRAMS = ["explorer.exe", "searchhost.exe", "shellexperiencehost.exe", "textinputhost.exe", "systemsettings.exe", "applicationframehost.exe", "lockapp.exe", "startmenuexperiencehost.exe", "searchui.exe", "widgets.exe", "widgetservice.exe"]
+CONTROL_TITLES = [
+    "MSCTFIME UI", "Default IME", "IME", "MediaContextNotificationWindow", "Dismiss", "View Update", "Tree View", "ShellView", "Navigation buttons", "Up band toolbar", "Address band toolbar",
+    "SearchEditBox", "Ribbon", "UIRibbonDockTop", "UIRibbonDockBottom", "UIRibbonDockLeft", "UIRibbonDockRight", "Edit", "Button", "Static", "ComboBox", "ListBox",
+]
+
+
+def recordable(title, exe_name, width, height, visible):
+    """Whether a window may be recorded: visible, 100 by 50 pixels or more, titled, and neither a control nor a program of the system. An unknown size or visibility passes."""
+    sized = F.coalesce((width >= 100) & (height >= 50), F.lit(True))
+    titled = F.coalesce((F.length(title) >= 2) & ~title.isin(CONTROL_TITLES), F.lit(False))
+    return F.coalesce(visible, F.lit(True)) & sized & titled & F.coalesce(~F.lower(exe_name).isin(SYSTEM_PROGRAMS), F.lit(False))
+
+
+def _seconds4(us):
+    """Microseconds as seconds with four decimals, half up."""
+    n = F.floor((us + 50) / 100)
+    return F.concat(F.floor(n / 10_000).cast("string"), F.lit("."), F.lpad((n % 10_000).cast("string"), 4, "0"))
+
+
+def interval_key(start_us, end_us):
+    """``start-end`` in seconds with four decimals each."""
+    return F.concat(_seconds4(start_us), F.lit("-"), _seconds4(end_us))
+
+
+def scaled(x, of, to):
+    """A coordinate of a frame of size ``of`` in a video of size ``to``, cut to an integer; an unknown frame size leaves it."""
+    return F.when(F.coalesce(of, F.lit(0)) == 0, x.cast("int")).otherwise((x * (to / of)).cast("int"))
+
+
+def fade(age, duration):
+    """Opacity of what fades: 1 at its end, 0 after ``duration``; more than 1 before its end."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - age / duration)
+
+
+def scroll_fade(age, duration):
+    """Opacity of a scroll, which stays 1 until its end."""
+    return F.when(age < 0, 1.0).otherwise(fade(age, duration))
+
+
+def line_width(opacity):
+    return F.greatest(F.lit(1), (opacity * 3).cast("int"))
+
+
+def end_radius(opacity):
+    return F.greatest(F.lit(3), (opacity * 6).cast("int"))
+
+
+def ring_radius(age, duration):
+    return (F.lit(10) + age / duration * 20).cast("int")
+
+
+def trail_shown(t, end, duration):
+    return t - end <= duration
+
+
+def click_shown(t, at, duration):
+    return (t - at >= 0) & (t - at <= duration)
+
+
+key_shown = click_shown
+
+
+def scroll_shown(t, start, end, duration):
+    return (t >= start) & (t <= end + duration)
+
+
+def time_offset(video_start, first_event):
+    """What a video's clock begins at: its own start if that is a Unix time, else the first event."""
+    return F.when(video_start > 1_000_000_000, video_start).otherwise(F.coalesce(first_event, F.lit(0.0)))
+
+
+def even_quarter(n):
+    """A quarter of a length, cut to an even number."""
+    q = F.floor(n / 4)
+    return (q - q % 2).cast("int")
+
+
+def width_480p(width, height):
+    """The width at a height of 480, raised to an even number."""
+    w = (width * (F.lit(480) / height)).cast("int")
+    return w + w % 2
+
+
+def normalised_pixel(value, mean: float = 0.5, std: float = 0.5):
+    return (value / 255.0 - mean) / std
+
+
+def frame_bytes(frames, width, height, channels: int = 3, item: int = 1):
+    return frames.cast("long") * width * height * channels * item
+
+
+def natural_id(*parts):
+    """An id that follows from what it names: SHA-256 of its parts."""
+    return F.sha2(F.to_json(F.array(*(p.cast("string") for p in parts)), {"ignoreNullFields": "false"}), 256)

@@ -7,18 +7,57 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import overflow_eta
 
+#: Microseconds that one group of a running sum covers.
+BUCKET = 3_600_000_000
 
-def levels(flow: DataFrame, key: str = "stage", at: str = "us", tie: str = "event_id") -> DataFrame:
-    """Adds ``level``: the running sum that never falls below 0, in closed form from the plain running sum and its least value."""
-    w = Window.partitionBy(key).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
-    s = flow.withColumn("_s", F.sum("net").over(w))
-    return s.withColumn("level", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).drop("_s")
 
+def levels(flow: DataFrame, key: str = "stage", at: str = "us", tie: str = "event_id", bucket_us: int = BUCKET) -> DataFrame:
+    """Adds ``level``: the running sum that never falls below 0, in closed form from the plain running sum and its least value.
 
-def rates(flow: DataFrame, window_us: int, key: str = "stage", at: str = "us") -> DataFrame:
-    """Adds ``rate``: net bytes a second over the window that ends now, its older end left out."""
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-(window_us - 1), 0)
-    return flow.withColumns({"rate": F.sum("net").over(w) / (window_us / 1_000_000), "n_window": F.count("*").over(w), "span_us": F.col(at) - F.min(at).over(w)})
+    Sums run within buckets of time, so that a stage's rows are many groups; a
+    bucket's total and least sum carry over to those after it.
+    """
+    f = flow.withColumn("_b", F.floor(F.col(at) / bucket_us))
+    w = Window.partitionBy(key, "_b").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
+    f = f.withColumn("_s", F.sum("net").over(w)).withColumn("_m", F.min("_s").over(w))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = f.groupBy(key, "_b").agg(F.sum("net").alias("_total"), F.min("_s").alias("_low"))
+    sums = sums.withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0)))
+    sums = sums.withColumn("_least", F.coalesce(F.min(F.col("_start") + F.col("_low")).over(before), F.lit(0)))
+    out = f.join(sums.select(key, "_b", "_start", "_least"), [key, "_b"])
+    level = F.col("_start") + F.col("_s") - F.least(F.lit(0), F.col("_least"), F.col("_start") + F.col("_m"))
+    return out.withColumn("level", level).select(*flow.columns, "level")
+
+
+def rates(flow: DataFrame, window_us: int, key: str = "stage", at: str = "us", bucket_us: int = BUCKET) -> DataFrame:
+    """Adds ``rate``: net bytes a second over the window that ends now, its older end left out; also its rows and its span.
+
+    Every row of the window counts, however many there are. Rows are grouped by
+    buckets of time, and those that a later bucket's windows still see are read there too.
+    """
+    size = max(bucket_us, window_us)
+    own = F.floor(F.col(at) / size)
+    seen = F.sequence(own, F.floor((F.col(at) + (window_us - 1)) / size))
+    f = flow.withColumn("_own", own).withColumn("_b", F.explode(seen))
+    w = Window.partitionBy(key, "_b").orderBy(at).rangeBetween(-(window_us - 1), 0)
+    f = f.withColumns({"rate": F.sum("net").over(w) / (window_us / 1_000_000), "n_window": F.count("*").over(w), "span_us": F.col(at) - F.min(at).over(w)})
+    return f.where("_own = _b").drop("_own", "_b")
+
+
+def transitions(moves: DataFrame, size: str = "bytes") -> DataFrame:
+    """``page_id, seq, stage, net`` of pages that change state: a page's bytes enter the pending and the retained stage and leave them again."""
+    held = lambda c: F.when(F.col(c).isin("PENDING_TRIAGE", "TRIAGING"), "pending").when(F.col(c).isin("INTERESTING_RETAINED", "REFINING"), "intret")
+    m = moves.withColumns({"_from": held("was"), "_to": held("state")}).where(~F.col("_from").eqNullSafe(F.col("_to")))
+    each = F.array(F.struct(F.col("_from").alias("stage"), (-F.col(size)).alias("net")), F.struct(F.col("_to").alias("stage"), F.col(size).alias("net")))
+    return m.select("page_id", "seq", F.inline(each)).where("stage is not null")
+
+
+def shed(rated: DataFrame, stale_pages: DataFrame, stage: str, threshold: float, least_us: int, n: int = 2) -> DataFrame:
+    """The ``n`` oldest stale pages, if the stage's last rate shows that it fills too fast."""
+    last = rated.where(F.col("stage") == stage).orderBy(F.desc("us"), F.desc("event_id")).limit(1)
+    now = unsustainable(last, threshold, least_us).where("unsustainable").select(F.lit(True).alias("_on"))
+    oldest = stale_pages.orderBy(F.desc("age"), "page_id").limit(n)
+    return oldest.join(F.broadcast(now), F.col("_on"), "left_semi")
 
 
 def unsustainable(rated: DataFrame, threshold: float, least_us: int) -> DataFrame:

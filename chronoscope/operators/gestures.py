@@ -33,9 +33,9 @@ def key_holds(presses: DataFrame, key: list[str], at: str = "us") -> DataFrame:
 
 
 def as_of(events: DataFrame, samples: DataFrame, value: str, key: str = "session_id", at: str = "us") -> DataFrame:
-    """Events with the latest sample of their key at or before them (null before the first), in one sort of both."""
+    """Events with the latest sample of their key at or before them (null before the first), in one sort of both; of samples of one time the largest counts."""
     both = events.withColumn("_side", F.lit(1)).unionByName(samples.select(key, at, value).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy(at, "_side", F.when(F.col("_side") == 0, F.col(value))).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_side = 1").drop("_side")
 
 
@@ -51,21 +51,26 @@ def trajectories(moves: DataFrame, interval: float = 0.0111, timeout: float = 0.
     """Mouse trajectories of ``session_id, ts, x, y, button`` rows.
 
     A state machine, not a session window: a change of button ends a trajectory
-    and begins one at the same point; the timeout is tested on small moves
-    only. Fewer than two points, or a path under ``least`` pixels, give nothing.
-    A session's moves arrive sorted and are read in batches, so only the open
-    trajectory is held.
+    and begins one at the new point, which the old one does not get; the timeout
+    is tested on small moves only. Positions are sampled at ``interval``, still
+    ones too. A trajectory ends at the time of the event that ends it, the last
+    of a session at its last event. Fewer than two points, or a path under
+    ``least`` pixels, give nothing. Events of one time are taken by ``event_id``
+    where there is one, else by place. A session's moves arrive sorted and are
+    read in batches, so only the open trajectory is held.
     """
-    ordered = moves.repartition("session_id").sortWithinPartitions("session_id", "ts")
+    tie = ["event_id"] if "event_id" in moves.columns else ["x", "y", "button"]
+    ordered = moves.repartition("session_id").sortWithinPartitions("session_id", "ts", *tie).select("session_id", "ts", "x", "y", "button")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = Trajectory(interval, timeout, least)
+        names = [c.split()[0] for c in TRAJECTORY.split(", ")]
         for b in batches:
-            out = [r for m in b[["session_id", "ts", "x", "y", "button"]].itertuples(index=False) if (r := state.feed(*m))]
+            out = [r for m in b.itertuples(index=False) for r in state.feed(*m) if r]
             if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in TRAJECTORY.split(", ")])
-        if last := state.finish():
-            yield pd.DataFrame([last], columns=[c.split()[0] for c in TRAJECTORY.split(", ")])
+                yield pd.DataFrame(out, columns=names)
+        if last := state.finish(state.seen):
+            yield pd.DataFrame([last], columns=names)
 
     return ordered.mapInPandas(run, TRAJECTORY)
 
@@ -75,46 +80,64 @@ class Trajectory:
 
     def __init__(self, interval: float, timeout: float, least: float):
         self.interval, self.timeout, self.least = interval, timeout, least
-        self.session, self.points = None, []
+        self.session, self.seen, self.points = None, None, []
 
     def feed(self, session, ts, x, y, button):
+        """What the event ends: a trajectory of the session before, or of this one."""
         button, done = (None if button is None or button != button else button), None
-        if session != self.session or not self.points:
-            done = self.finish() if self.points else None
+        if session != self.session:
+            done = self.finish(self.seen)
             self._start(session, ts, x, y, button)
-            return done
-        if button != self.button:
-            self._add(ts, x, y)
-            done = self.finish()
+        elif not self.points:
             self._start(session, ts, x, y, button)
-            return done
-        step = ((x - self.last[0]) ** 2 + (y - self.last[1]) ** 2) ** 0.5
-        self.last = (x, y)
-        if step < 2:
-            if ts - self.moved > self.timeout:
-                return self.finish()
-            return None
-        self.moved = ts
-        if ts - self.sampled >= self.interval:
-            self._add(ts, x, y)
-        return None
+        elif button != self.button:
+            done = self.finish(ts)
+            self._start(session, ts, x, y, button)
+        elif self._still(x, y) and ts - self.moved > self.timeout:
+            done = self.finish(ts)
+        else:
+            if not self._still(x, y):
+                self.moved = ts
+            if ts - self.sampled >= self.interval:
+                self.points.append((int(x), int(y)))
+                self.sampled = ts
+            self.last = (x, y)
+        self.seen = ts
+        return [done]
+
+    def _still(self, x, y) -> bool:
+        return ((x - self.last[0]) ** 2 + (y - self.last[1]) ** 2) ** 0.5 < 2
 
     def _start(self, session, ts, x, y, button):
-        self.session, self.button, self.points = session, button, []
-        self.last, self.moved = (x, y), ts
-        self._add(ts, x, y)
-
-    def _add(self, ts, x, y):
-        self.points.append((ts, int(x), int(y)))
-        self.sampled = ts
+        self.session, self.button, self.points = session, button, [(int(x), int(y))]
+        self.began = self.moved = self.sampled = ts
+        self.last = (x, y)
 
-    def finish(self):
+    def finish(self, at):
         p, self.points = self.points, []
         if len(p) < 2:
             return None
-        path = sum(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 for a, b in zip(p, p[1:], strict=False))
+        path = sum(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a, b in zip(p, p[1:], strict=False))
         if path < self.least:
             return None
-        direct = ((p[0][1] - p[-1][1]) ** 2 + (p[0][2] - p[-1][2]) ** 2) ** 0.5
+        direct = ((p[0][0] - p[-1][0]) ** 2 + (p[0][1] - p[-1][1]) ** 2) ** 0.5
         linear = 1.0 if len(p) < 3 or direct < 1 or path == 0 else direct / path
-        return (self.session, p[0][0], p[-1][0], p[0][1], p[0][2], p[-1][1], p[-1][2], self.button, path, linear, [[a[1], a[2]] for a in p[::5]])
+        return (self.session, self.began, at, *p[0], *p[-1], self.button, path, linear, [list(a) for a in p[::5]])
+
+
+def held(presses: DataFrame, buttons: list[str], key: str = "session_id", at: str = "us") -> DataFrame:
+    """Adds ``held``: the sorted buttons whose last action (``P`` or ``R``) up to the event is a press; a release without press holds nothing."""
+    w = Window.partitionBy(key).orderBy(at, "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    down = [F.when(F.last(F.when(F.col("button") == b, F.col("action")), ignorenulls=True).over(w) == "P", F.lit(b)) for b in sorted(buttons)]
+    return presses.withColumn("held", F.array_compact(F.array(*down)))
+
+
+def focused_gestures(ticks: DataFrame, gap: int, key: str = "session_id", at: str = "us") -> DataFrame:
+    """Scroll gestures of ticks with a ``focused`` flag: a tick without focus ends the open gesture and is no part of any."""
+    w = Window.partitionBy(key).orderBy(at, "event_id")
+    lost = F.sum(F.when(F.coalesce("focused", F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    kept = ticks.withColumn("_span", lost).where("focused")
+    inside = Window.partitionBy(key, "_span").orderBy(at, "event_id")
+    kept = kept.withColumn("_new", F.coalesce(F.col(at) - F.lag(at).over(inside) > gap, F.lit(True)).cast("int"))
+    kept = kept.withColumn("gesture", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return kept.groupBy(key, "gesture").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.sum("dy").alias("total_dy"), F.count("*").alias("n_ticks"))

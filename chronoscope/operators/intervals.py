@@ -58,3 +58,11 @@ def frames_around(marks: DataFrame, frames: DataFrame, at: str, reach: int, key:
     """For each mark the first and last frame number within ``reach`` of it; spans of one frame are left out."""
     near = band_join(pad(marks.select(key, "mark_id", at), at, reach, reach).drop(at), frames.select(key, at, "idx"), at, 2 * reach, key)
     return near.groupBy(key, "mark_id").agg(F.min("idx").alias("lo"), F.max("idx").alias("hi")).where("lo < hi")
+
+
+def keyed(topology: DataFrame, key: str = "session_id") -> DataFrame:
+    """A map's entries of a topology: ``interval`` and its ids. Of intervals whose keys agree, the later one stays."""
+    from ..functions.scalars import interval_key
+
+    t = topology.withColumn("interval", interval_key(F.col("start"), F.col("end")))
+    return t.groupBy(key, "interval").agg(F.max_by("event_ids", "start").alias("event_ids"), F.max("start").alias("start"))

@@ -45,10 +45,6 @@ def alive(frames: DataFrame, events: DataFrame, before: int, after: int, key: st
     return out.withColumns({"start": F.col("_s"), "end": F.col("_e"), "age": F.col(at) - F.col("_e")}).drop("_s", "_e")
 
 
-def opacity(age, duration):
-    return F.least(F.greatest(F.lit(1.0) - age / duration, F.lit(0.0)), F.lit(1.0))
-
-
 def last_keys(frames: DataFrame, presses: DataFrame, within: int, n: int = 8, key: str = "session_id") -> DataFrame:
     """The last ``n`` presses shown at each frame, newest first."""
     shown = alive(frames, presses.withColumn("end", F.col("start")), 0, within, key)

@@ -166,3 +166,10 @@ def hierarchical_search(frames: DataFrame, threshold: float = 1.0, branching: in
         return [(session, page, i, score[i], -z, "cooperative_search_spike") for z, _, i in sorted(events)]
 
     return _paged(search, frames)
+
+
+def across_kernels(scores: DataFrame, threshold: float, key: list[str]) -> DataFrame:
+    """Each page over all its kernels: the largest novelty, whether any kernel finds it interesting, and the kernels that do, sorted."""
+    hit = F.col("z") > threshold
+    kernels = F.array_sort(F.collect_set(F.when(hit, F.col("kernel"))))
+    return scores.groupBy(*key).agg(F.max("z").alias("z"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("interesting"), kernels.alias("kernels"))

@@ -468,10 +468,10 @@ def q_heatmap(spark, sf):
     return overlay.normalised(overlay.heatmap(p, 100, 100, ["screen"])).withColumn("norm", F.round("norm", 6))
 
 
-@query("SELECT conv_id, turn, 'Text at ' || turn::VARCHAR || ': ' || left(text, 20) AS line FROM conversations WHERE role = 'user' AND text IS NOT NULL AND turn IS NOT NULL")
+@query("SELECT conv_id, turn, 'Text at ' || turn::VARCHAR || ': ' || text AS line FROM conversations WHERE role = 'user' AND text IS NOT NULL AND turn IS NOT NULL")
 def q_transcript(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user' and text is not null and turn is not null")
-    return c.select("conv_id", "turn", F.concat(F.lit("Text at "), F.col("turn").cast("string"), F.lit(": "), F.left("text", F.lit(20))).alias("line"))
+    return c.select("conv_id", "turn", F.concat(F.lit("Text at "), F.col("turn").cast("string"), F.lit(": "), F.col("text")).alias("line"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN w * h <= 262144 THEN w ELSE floor((w / h) * floor(sqrt(262144 / (w / h))))::INTEGER END AS width, CASE WHEN w * h <= 262144 THEN h ELSE floor(sqrt(262144 / (w / h)))::INTEGER END AS height FROM (SELECT o_orderkey, (300 + o_orderkey % 1700)::INTEGER AS w, (200 + o_custkey % 1000)::INTEGER AS h FROM orders)""")
@@ -486,3 +486,124 @@ def q_frame_rates(spark, sf):
     return e.select("session_id", "n", F.round(paging.frame_rate(F.col("n"), F.col("a"), F.col("b")), 9).alias("fps"))
 
 
+# --- rules of windows, overlays and sizes
+
+
+def _four(x: str) -> str:
+    return f"((({x} + 50) // 100) // 10000)::VARCHAR || '.' || lpad(((({x} + 50) // 100) % 10000)::VARCHAR, 4, '0')"
+
+
+@query(f"""WITH {TL}, bp AS (SELECT DISTINCT session_id, t FROM (SELECT session_id, s AS t FROM tl UNION ALL SELECT session_id, e FROM tl)),
+iv AS (SELECT session_id, t AS a, lead(t) OVER (PARTITION BY session_id ORDER BY t) AS b FROM bp),
+tp AS (SELECT iv.session_id, a, {_four("a")} || '-' || {_four("b")} AS interval, count(*) AS n FROM iv JOIN tl ON tl.session_id = iv.session_id AND s <= a AND e > a WHERE b IS NOT NULL GROUP BY iv.session_id, a, b)
+SELECT session_id, interval, arg_max(n, a) AS n_active FROM tp GROUP BY session_id, interval""")
+def q_topology_map(spark, sf):
+    t = intervals.keyed(intervals.topology(src.timeline(spark, sf)))
+    return t.select("session_id", "interval", F.size("event_ids").cast("long").alias("n_active"))
+
+
+@query("""SELECT c_custkey AS id, c_name LIKE '%00001%' AS titled, c_acctbal >= 100 AND c_custkey % 90 >= 50 AND length(c_name) >= 2 AND lower(CASE WHEN c_custkey % 5 = 0 THEN 'Explorer.EXE' ELSE c_name END) <> 'explorer.exe' AND c_custkey % 3 > 0 AS recordable FROM customer""")
+def q_windows(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    exe = F.when(F.col("c_custkey") % 5 == 0, "Explorer.EXE").otherwise(F.col("c_name"))
+    ok = scalars.recordable(F.col("c_name"), exe, F.col("c_acctbal"), F.col("c_custkey") % 90, F.col("c_custkey") % 3 > 0)
+    return c.select(F.col("c_custkey").alias("id"), scalars.matches_title("00001", F.col("c_name")).alias("titled"), ok.alias("recordable"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, event_type AS exe, event_id % 3 AS pid FROM events), l AS (SELECT *, lag(exe) OVER w AS exe0, lag(pid) OVER w AS pid0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, coalesce(exe = exe0, false) AS program, coalesce(pid = pid0, false) AS process FROM l""")
+def q_same_window(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    e = src.events(spark, sf).withColumn("win", F.struct(F.col("event_type").alias("exe_path"), (F.col("event_id") % 3).alias("pid"))).withColumn("was", F.lag("win").over(w))
+    return e.select("event_id", scalars.same_program(F.col("win"), F.col("was")).alias("program"), scalars.same_process(F.col("win"), F.col("was")).alias("process"))
+
+
+@query(f"""WITH {TL}, a AS (SELECT event_id, s / 1e6 AS s, e / 1e6 AS e, (s + (event_id % 9) * 500000) / 1e6 AS t FROM tl)
+SELECT event_id, t - e <= 2 AS trail, t - s BETWEEN 0 AND 1 AS click, t - s BETWEEN 0 AND 2 AS key, t >= s AND t <= e + 1 AS scroll, round(greatest(0, 1 - (t - e) / 2), 6) AS trail_opacity, round(CASE WHEN t < e THEN 1 ELSE greatest(0, 1 - (t - e)) END, 6) AS scroll_opacity FROM a""")
+def q_shown(spark, sf):
+    s, e, t = F.col("s"), F.col("e"), F.col("t")
+    a = src.timeline(spark, sf).select("event_id", (F.col("start") / 1e6).alias("s"), (F.col("end") / 1e6).alias("e"), ((F.col("start") + F.col("event_id") % 9 * 500_000) / 1e6).alias("t"))
+    return rounded(a.select(
+        "event_id", scalars.trail_shown(t, e, 2.0).alias("trail"), scalars.click_shown(t, s, 1.0).alias("click"), scalars.key_shown(t, s, 2.0).alias("key"), scalars.scroll_shown(t, s, e, 1.0).alias("scroll"),
+        scalars.fade(t - e, 2.0).alias("trail_opacity"), scalars.scroll_fade(t - e, 1.0).alias("scroll_opacity"),
+    ), "trail_opacity", "scroll_opacity")
+
+
+@query("""WITH c AS (SELECT event_id, (event_id % 5) / 4.0 AS age, (event_id % 1900)::INTEGER AS x FROM events WHERE event_type = 'click'), f AS (SELECT *, greatest(0, 1 - age) AS o FROM c)
+SELECT event_id, trunc(x * (1280 / 1920.0::DOUBLE))::INTEGER AS x, greatest(1, trunc(3 * o))::INTEGER AS line, greatest(3, trunc(6 * o))::INTEGER AS dot, trunc(10 + 20 * age)::INTEGER AS ring FROM f""")
+def q_marks(spark, sf):
+    age = F.col("event_id") % 5 / 4.0
+    o = scalars.fade(age, 1.0)
+    return src.events(spark, sf).where("event_type = 'click'").select(
+        "event_id", scalars.scaled((F.col("event_id") % 1900).cast("int"), F.lit(1920.0), F.lit(1280.0)).alias("x"), scalars.line_width(o).alias("line"), scalars.end_radius(o).alias("dot"), scalars.ring_radius(age, 1.0).alias("ring")
+    )
+
+
+@query("SELECT user_id AS session_id, CASE WHEN user_id % 2 = 0 THEN 1700000000.5 ELSE min(epoch_us(ts)) / 1e6 END AS time_offset FROM events GROUP BY user_id")
+def q_time_offset(spark, sf):
+    e = src.events(spark, sf).groupBy(F.col("user_id").alias("session_id")).agg((F.min("us") / 1e6).alias("first"))
+    start = F.when(F.col("session_id") % 2 == 0, 1_700_000_000.5).otherwise(0.0)
+    return e.select("session_id", scalars.time_offset(start, F.col("first")).alias("time_offset"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, (300 + o_orderkey % 1700)::INTEGER AS w, (200 + o_custkey % 1000)::INTEGER AS h FROM orders)
+SELECT id, (w // 4 - (w // 4) % 2)::INTEGER AS quarter, (trunc(w * (480 / h::DOUBLE)) + trunc(w * (480 / h::DOUBLE)) % 2)::INTEGER AS wide, (w::BIGINT * h * 3 * 480) AS bytes, round((w % 256 / 255.0::DOUBLE - 0.5) / 0.5, 9) AS pixel FROM o""")
+def q_sizes(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 1700 + 300).cast("int").alias("w"), (F.col("o_custkey") % 1000 + 200).cast("int").alias("h"))
+    return o.select("id", scalars.even_quarter(F.col("w")).alias("quarter"), scalars.width_480p(F.col("w"), F.col("h")).alias("wide"), scalars.frame_bytes(F.lit(480), F.col("w"), F.col("h")).alias("bytes"), F.round(scalars.normalised_pixel(F.col("w") % 256), 9).alias("pixel"))
+
+
+@query("""SELECT event_id, sha256('["' || user_id::VARCHAR || '","' || event_type || '","' || epoch_us(ts)::VARCHAR || '"]') AS natural_id FROM events""")
+def q_natural_ids(spark, sf):
+    return src.events(spark, sf).select("event_id", scalars.natural_id(F.col("user_id"), F.col("event_type"), F.col("us")).alias("natural_id"))
+
+
+# --- buttons, focus, kernels, flow of pages
+
+
+BUTTONS = ["b0", "b1", "b2"]
+PRESSES = """pr AS (SELECT user_id AS session_id, event_id, ts, 'b' || (event_id % 3)::VARCHAR AS button, CASE WHEN json_extract_string(props, '$.k')::INTEGER % 2 = 0 THEN 'P' ELSE 'R' END AS action FROM events)"""
+DOWN = " || ".join(f"CASE WHEN last_value(CASE WHEN button = '{b}' THEN action END IGNORE NULLS) OVER w = 'P' THEN '{b} ' ELSE '' END" for b in BUTTONS)
+
+
+@query(f"WITH {PRESSES} SELECT event_id, rtrim({DOWN}) AS held FROM pr WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def q_held_buttons(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = src.events(spark, sf).select(F.col("user_id").alias("session_id"), "event_id", "us", F.concat(F.lit("b"), (F.col("event_id") % 3).cast("string")).alias("button"), F.when(k % 2 == 0, "P").otherwise("R").alias("action"))
+    return gestures.held(e, BUTTONS).select("event_id", F.array_join("held", " ").alias("held"))
+
+
+@query(f"""WITH {TICKS}, f AS (SELECT *, event_id % 4 > 0 AS focused FROM tk), g AS (SELECT *, sum(CASE WHEN focused THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY us, event_id) AS span FROM f),
+h AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY session_id, span ORDER BY us, event_id) <= {6 * HOUR} THEN 0 ELSE 1 END AS fresh FROM g WHERE focused),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY us, event_id) AS gesture FROM h)
+SELECT session_id, min(us) AS start_us, max(us) AS end_us, sum(dy)::BIGINT AS total_dy, count(*) AS n_ticks FROM k GROUP BY session_id, gesture""")
+def q_focused_scrolls(spark, sf):
+    t = src.ticks(spark, sf).withColumn("focused", F.col("event_id") % 4 > 0)
+    return gestures.focused_gestures(t, 6 * HOUR).select("session_id", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "total_dy", "n_ticks")
+
+
+@query("""WITH s AS (SELECT user_id AS page, 'k' || (event_id % 3)::VARCHAR AS kernel, value / 100 AS z FROM events)
+SELECT page, max(z) AS z, bool_or(z > 1.9) AS interesting, coalesce(string_agg(DISTINCT kernel, ',' ORDER BY kernel) FILTER (z > 1.9), '') AS kernels FROM s GROUP BY page""")
+def q_kernels(spark, sf):
+    s = src.events(spark, sf).select(F.col("user_id").alias("page"), F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string")).alias("kernel"), (F.col("value") / 100).alias("z"))
+    return triage.across_kernels(s, 1.9, ["page"]).withColumn("kernels", F.array_join("kernels", ","))
+
+
+STAGE = "CASE WHEN {0} IN ('PENDING_TRIAGE', 'TRIAGING') THEN 'pending' WHEN {0} IN ('INTERESTING_RETAINED', 'REFINING') THEN 'intret' END"
+
+
+@query(f"""WITH m AS (SELECT user_id AS page_id, event_id, {NAMES} AS state, lag({NAMES}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events),
+s AS (SELECT page_id, event_id, {STAGE.format("was")} AS a, {STAGE.format("state")} AS b FROM m)
+SELECT page_id, event_id, stage, net FROM (SELECT page_id, event_id, a AS stage, -(1000 + event_id) AS net FROM s WHERE a IS DISTINCT FROM b UNION ALL SELECT page_id, event_id, b, 1000 + event_id FROM s WHERE a IS DISTINCT FROM b) WHERE stage IS NOT NULL""")
+def q_page_flow(spark, sf):
+    state = F.element_at(F.array(*[F.lit(s) for s in scheduling.STATES]), (F.col("event_id") % 7 + 1).cast("int"))
+    m = src.events(spark, sf).select(F.col("user_id").alias("page_id"), F.struct("us", "event_id").alias("seq"), state.alias("state"), (F.col("event_id") + 1000).alias("bytes"))
+    return flow.transitions(scheduling.replay(m)).select("page_id", F.col("seq.event_id").alias("event_id"), "stage", "net")
+
+
+@query(f"""WITH {LEVELS}, last AS (SELECT nw >= 2 AND span >= 0.8 * {HOUR // 4} AND rate > -100 AS u FROM ra WHERE stage = 'view' ORDER BY us DESC, event_id DESC LIMIT 1)
+SELECT page_id, age FROM (SELECT event_id AS page_id, {NOW} - epoch_us(ts) AS age FROM events WHERE event_id % 7 = 3 AND {NOW} - epoch_us(ts) > {10 * HOUR} ORDER BY age DESC, page_id LIMIT 2) WHERE (SELECT u FROM last)""")
+def q_shed_pages(spark, sf):
+    rated = flow.rates(src.flow_events(spark, sf), HOUR)
+    stale = scheduling.stale(_pages_state(spark, sf), NOW, 10 * HOUR).select("page_id", "age")
+    return flow.shed(rated, stale, "view", -100.0, HOUR // 4)

@@ -66,14 +66,74 @@ def test_focus_gate(spark):
     assert rows(gestures.focus_gate(e, s).select("us", "focused"), "us") == [(5, True), (8, False)]
 
 
+def plain_trajectories(moves, interval=0.0111, timeout=0.2):
+    """The state machine, event by event."""
+    out, cur = [], None
+
+    def end(at):
+        p = cur["p"]
+        path = sum(np.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(p, p[1:]))
+        if len(p) > 1 and path >= 10:
+            direct = np.hypot(p[0][0] - p[-1][0], p[0][1] - p[-1][1])
+            out.append((cur["t0"], at, p[0][0], p[-1][0], cur["b"], path, direct / path if len(p) > 2 and direct >= 1 else 1.0))
+
+    new = lambda t, x, y, b: {"t0": t, "p": [(x, y)], "b": b, "last": (x, y), "moved": t, "sampled": t}
+    for t, x, y, b in moves:
+        if cur is None:
+            cur = new(t, x, y, b)
+            continue
+        if b != cur["b"]:
+            end(t)
+            cur = new(t, x, y, b)
+            continue
+        if np.hypot(x - cur["last"][0], y - cur["last"][1]) < 2:
+            if t - cur["moved"] > timeout:
+                end(t)
+                cur = None
+                continue
+        else:
+            cur["moved"] = t
+        if t - cur["sampled"] >= interval:
+            cur["p"].append((x, y))
+            cur["sampled"] = t
+        cur["last"] = (x, y)
+    if cur:
+        end(moves[-1][0])
+    return out
+
+
 def test_trajectories(spark):
-    m = [(0, 0.0, 0, 0, None), (0, 0.1, 30, 0, None), (0, 0.2, 60, 0, None), (0, 0.3, 60, 0, "left"), (0, 5.0, 200, 0, "left"), (0, 5.1, 200, 1, "left"), (0, 5.5, 200, 1, "left"), (1, 0.0, 0, 0, None), (1, 0.1, 3, 0, None)]
-    got = rows(gestures.trajectories(spark.createDataFrame(m, "session_id long, ts double, x int, y int, button string")).select("session_id", "start", "end", "x0", "x1", "button", "distance", "linearity"), "start")
-    # the change of button ends the first; the long pause before a jump does not split the second; three pixels are jitter
-    assert got == [(0, 0.0, 0.3, 0, 60, None, 60.0, 1.0), (0, 0.3, 5.0, 60, 200, "left", 140.0, 1.0)]
+    rng = random.Random(6)
+    every, want = [], {}
+    for s in range(4):
+        t, x, y, b, own = 0.0, 0, 0, None, []
+        for _ in range(300):
+            t = round(t + rng.choice([0.0, 0.005, 0.012, 0.05, 0.3]), 4)
+            if rng.random() < 0.7:
+                x, y = x + rng.randrange(-9, 12), y + rng.randrange(-9, 12)
+            if rng.random() < 0.05:
+                b = None if b else "left"
+            own.append((t, x, y, b))
+        every += [(s, *m, i) for i, m in enumerate(own)]
+        want[s] = plain_trajectories(own)
+    rng.shuffle(every)
+    df = spark.createDataFrame(every, "session_id long, ts double, x int, y int, button string, event_id int")
+    got = rows(gestures.trajectories(df).select("session_id", "start", "end", "x0", "x1", "button", "distance", "linearity"), "session_id", "start")
+    flat = [(s, *r) for s in want for r in sorted(want[s], key=lambda r: r[0])]
+    assert len(got) == len(flat) > 20
+    for a, b in zip(got, flat):
+        assert a[:6] == b[:6] and a[6:] == pytest.approx(b[6:])
+
+
+def test_flow_buckets_do_not_matter(spark):
+    rng = random.Random(7)
+    f = spark.createDataFrame([(rng.choice("ab"), i, rng.randrange(-200, 400), rng.randrange(-9, 9)) for i in range(400)], "stage string, event_id int, us long, net long")
+    one, many = (rows(flow.levels(f, bucket_us=b).select("event_id", "level"), "event_id") for b in (10**6, 7))
+    assert one == many
+    one, many = (rows(flow.rates(f, 30, bucket_us=b).select("event_id", "rate", "n_window", "span_us"), "event_id") for b in (10**6, 7))
+    assert one == many
 
 
-@pytest.mark.parametrize("n", [1, 7, 8, 16])
 def test_pages(spark, n):
     f = spark.range(n).select(F.lit(0).alias("session_id"), F.col("id").alias("us"), F.col("id").alias("event_id"))
     assert paging.pages(f, 8).count() == n // 8 * 8
