@@ -48,8 +48,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids, and the digest of what these decode to."""
-    return bpe.encode(docs.select("doc_id", "text", "lang", "source"), wanted=("n_tokens", "ids", "decoded_sha256"))
+    """The documents with their token ids, and the digest of what these decode to, in place of the text; all other columns stay but those of these names."""
+    return bpe.encode(docs, wanted=("n_tokens", "ids", "decoded_sha256"))
 
 
 STAGES = [
