@@ -371,7 +371,8 @@ def prefix_pairs(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     tokens that a prefix doesn't show. Whether two may be similar depends on
     their profiles alone. Profiles are rounded to cells, of which a token has
     a bounded number for each leader, however many classes have it: cells are
-    paired first, components of cells that pass next, and classes of these last.
+    paired first, components of cells that pass next, and classes of these last,
+    each pair at one token alone.
     """
     rows = rows.join(comp, "rep")
     share = lambda c: F.floor(F.col(c) * 50 / F.col("n"))
@@ -386,11 +387,21 @@ def prefix_pairs(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     groups = rows.select("tok", "cell", "comp").distinct()
     met = met.join(groups.toDF("tok", "cell_1", "comp_1"), ["tok", "cell_1"]).join(groups.toDF("tok", "cell_2", "comp_2"), ["tok", "cell_2"])
     met = met.where("comp_1 < comp_2 or cell_1 <> cell_2 and comp_1 <> comp_2")
-    met = met.join(rows.select("tok", *(F.col(c).alias(f"{c}_1") for c in rows.columns[1:])), ["tok", "cell_1", "comp_1"])
-    met = met.join(rows.select("tok", *(F.col(c).alias(f"{c}_2") for c in rows.columns[1:])), ["tok", "cell_2", "comp_2"]).where(_may(u, v, percent, True))
+    lists = rows.groupBy("rep").agg(F.collect_list(F.when(~F.col("inside"), F.col("tok"))).alias("outs"), F.collect_list(F.when(F.col("inside"), F.col("tok"))).alias("ins"))
+    some = rows.join(met.select("tok", F.col("cell_2").alias("cell"), F.col("comp_2").alias("comp")).distinct(), ["tok", "cell", "comp"], "left_semi")
+    left = met.join(_named(rows, ["tok"], "_1"), ["tok", "cell_1", "comp_1"]).join(_named(lists, [], "_1"), "rep_1")
+    right = _named(some.join(lists, "rep"), ["tok"], "_2")
+    met = left.join(right, ["tok", "cell_2", "comp_2"]).where(_may(u, v, percent, True) & (F.col("tok") == _meeting(u, v)))
     return met.select(F.least("rep_1", "rep_2").alias("a"), F.greatest("rep_1", "rep_2").alias("b")).distinct()
 
 
+def _meeting(u, v):
+    """The one token at which two classes meet: of those that both prefixes share, the least that a common leader lacks, else the least."""
+    shared = lambda x, y: F.array_min(F.array_intersect(x, y))
+    every = shared(F.concat(u("outs"), u("ins")), F.concat(v("outs"), v("ins")))
+    return F.when(u("lead") == v("lead"), F.coalesce(shared(u("outs"), v("outs")), shared(u("ins"), v("ins")))).otherwise(every)
+
+
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """``comp`` (each class's component, and other columns) after links between classes join components."""
     name = comp.select("rep", "comp")
