@@ -473,7 +473,7 @@ def encode(docs: DataFrame, path: str | None = None, wanted: tuple[str, ...] = (
     schema = T.StructType([*fields, *(T.StructField(w, TYPES[w]) for w in wanted)])
     alone = d.mapInArrow(_finish(path, names, list(wanted), table), schema)
     with_chunks = T.StructType([*d.schema.fields, T.StructField("keys", T.BinaryType()), T.StructField("ends", T.ArrayType(T.LongType()))])
-    moving = d.where(F.lit(by_words)).mapInArrow(_travels(table, d.columns), with_chunks).withColumn("key_id", F.col("doc_id")).repartition("key_id")
+    moving = d.where(F.lit(by_words)).mapInArrow(_travels(table, d.columns), with_chunks).withColumn("key_id", F.col("doc_id")).where("key_id is not null").repartition("key_id")
     owned = shared.groupBy(F.col("owner").alias("key_id")).agg(F.collect_list("key").alias("owned"))
     encoded = moving.join(owned, "key_id").mapInArrow(_encode_owned(path), "key binary, ids binary").dropDuplicates(["key"])
     found = moving.mapInArrow(_uses(table), f"key binary, doc_id {id_type}").join(encoded, "key")
