@@ -113,46 +113,67 @@ def fresh(n: int) -> tuple[float, np.ndarray, np.ndarray]:
     return -2.0, np.zeros(n + 1), v
 
 
-def _train(state, seed: int):
-    """One round on a part: AdaGrad over its rows, in the order of their ids and texts, from the common parameters."""
+PACKED = "part int, sizes binary, cells binary, y binary"
+
+
+def _pack(chosen):
+    """A part's rows in the order of their ids and terms, as one row: how many inputs each has, these, and the labels."""
 
     def run(t: pa.Table) -> pa.Table:
-        chosen, w0, w, v = state.value
-        place = places(chosen)
+        n, place = len(chosen.value), places(chosen.value)
         rows = sorted(zip(*(t.column(c).to_pylist() for c in ("doc_id", "cells", "toxic")), strict=True))
-        xs, y = [place[np.frombuffer(c, np.int32)] for _, c, _ in rows], np.array([k for _, _, k in rows], np.float64)
-        w, v = w.copy(), v.copy()
-        g0, gw, gv = 1e-2, np.full_like(w, 1e-2), np.full_like(v, 1e-2)
-        rng = np.random.default_rng(seed)
-        for _ in range(PASSES):
-            order = rng.permutation(len(xs))
-            for at in range(0, len(order), BATCH):
-                pick = order[at : at + BATCH]
-                size = np.array([len(xs[p]) for p in pick])
-                start = np.cumsum(size) - size
-                cells = np.concatenate([xs[p] for p in pick])
-                z, s = raw_scores(cells, start, w0, w, v)
-                d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) * np.where(y[pick] > 0, WEIGHT, 1.0) / len(pick)
-                each = np.repeat(d, size)
-                mine, back = np.unique(cells, return_inverse=True)
-                sums = np.bincount(back, each)
-                dw = sums + DECAY * w[mine]
-                pulled = np.repeat(d[:, None] * s, size, axis=0)
-                dv = np.stack([np.bincount(back, pulled[:, f]) for f in range(FACTORS)], axis=1) - v[mine] * sums[:, None] + DECAY * v[mine]
-                own = mine < len(chosen)
-                mine, dw, dv = mine[own], dw[own], dv[own]
-                g0 += d.sum() ** 2
-                gw[mine] += dw**2
-                gv[mine] += dv**2
-                w0 -= RATE * d.sum() / g0**0.5
-                w[mine] -= RATE * dw / gw[mine] ** 0.5
-                v[mine] -= 0.3 * RATE * dv / gv[mine] ** 0.5
-        part = t.column("part")[0].as_py()
-        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([len(xs)], pa.int64()), "p": pa.array([np.concatenate([[w0], w, v.ravel()]).astype(np.float32).tobytes()], pa.binary())})
+        xs = [place[np.frombuffer(c, np.int32)] for _, c, _ in rows]
+        xs = [x[x < n] if (x < n).any() else x[:1] for x in xs]
+        packed = (np.array([len(x) for x in xs], np.int32), np.concatenate(xs).astype(np.int32), np.array([y for _, _, y in rows], np.int8))
+        return pa.table({"part": t.column("part").slice(0, 1), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in zip(("sizes", "cells", "y"), packed, strict=True)}})
+
+    return run
+
+
+def _train(state, seed: int):
+    """One round on each part that a task has: AdaGrad over the part's rows from the common parameters."""
+
+    def run(batches):
+        for b in batches:
+            for part, sizes, cells, y in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("part", "sizes", "cells", "y")), strict=True):
+                ends = np.cumsum(np.frombuffer(sizes, np.int32))
+                p = _epochs(np.split(np.frombuffer(cells, np.int32), ends[:-1]), np.frombuffer(y, np.int8).astype(np.float64), *state.value, seed)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(ends)], pa.int64()), pa.array([p], pa.binary())], ["part", "n", "p"])
 
     return run
 
 
+def _epochs(xs: list[np.ndarray], y: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray, seed: int) -> bytes:
+    """The parameters after some passes over rows."""
+    w, v = w.copy(), v.copy()
+    g0, gw, gv = 1e-2, np.full_like(w, 1e-2), np.full_like(v, 1e-2)
+    rng = np.random.default_rng(seed)
+    for _ in range(PASSES):
+        order = rng.permutation(len(xs))
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
+            size = np.array([len(xs[p]) for p in pick])
+            start = np.cumsum(size) - size
+            cells = np.concatenate([xs[p] for p in pick])
+            z, s = raw_scores(cells, start, w0, w, v)
+            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) * np.where(y[pick] > 0, WEIGHT, 1.0) / len(pick)
+            each = np.repeat(d, size)
+            mine, back = np.unique(cells, return_inverse=True)
+            sums = np.bincount(back, each)
+            dw = sums + DECAY * w[mine]
+            pulled = np.repeat(d[:, None] * s, size, axis=0)
+            dv = np.stack([np.bincount(back, pulled[:, f]) for f in range(FACTORS)], axis=1) - v[mine] * sums[:, None] + DECAY * v[mine]
+            own = mine < len(w) - 1
+            mine, dw, dv = mine[own], dw[own], dv[own]
+            g0 += d.sum() ** 2
+            gw[mine] += dw**2
+            gv[mine] += dv**2
+            w0 -= RATE * d.sum() / g0**0.5
+            w[mine] -= RATE * dw / gw[mine] ** 0.5
+            v[mine] -= 0.3 * RATE * dv / gv[mine] ** 0.5
+    return np.concatenate([[w0], w, v.ravel()]).astype(np.float32).tobytes()
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE):
     """The machine's inputs and parameters; without labelled rows it has no inputs."""
     spark = docs.sparkSession
@@ -160,9 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE):
     rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), "toxic-sample")
     chosen = inputs(rows)
     w0, w, v = fresh(len(chosen))
+    rows = stored(rows.groupBy("part").applyInArrow(_pack(spark.sparkContext.broadcast(chosen)), PACKED), "toxic-parts")
     for k in range(ROUNDS):
-        state = spark.sparkContext.broadcast((chosen, w0, w, v))
-        got = rows.groupBy("part").applyInArrow(_train(state, k), "part int, n long, p binary").collect()
+        state = spark.sparkContext.broadcast((w0, w, v))
+        got = rows.mapInArrow(_train(state, k), "part int, n long, p binary").collect()
         if not got:
             break
         got = [(r["n"], np.frombuffer(r["p"], np.float32).astype(np.float64)) for r in sorted(got, key=lambda r: r["part"])]
