@@ -347,16 +347,20 @@ def _most(u, v, each: bool):
     own = F.least(u("n_hi") - u("q_lo"), v("n_hi") - v("q_lo"))
     only = (lambda x, y: sum(F.bit_count(y("lacks")[k].bitwiseAND(F.bitwise_not(x("lacks")[k]))) for k in range(LACKS))) if each else lambda x, y: 0
     theirs = F.least(u("a_hi") - only(u, v), v("a_hi") - only(v, u))  # of the leader's tokens; bits that one alone has are tokens that it alone lacks
-    return F.when((u("lead") == v("lead")) & u("inside") & v("inside"), F.least(own, theirs + hidden)).otherwise(own)
+    beside = F.when(u("inside"), hidden).otherwise(F.least(u("o_hi"), v("o_hi")))  # at a token that their leader lacks, any that it lacks may be common
+    return F.when(u("lead") == v("lead"), F.least(own, theirs + beside)).otherwise(own)
 
 
 def _may(u, v, percent: int, each: bool = False):
-    """Whether any two classes of such profiles may be similar; profiles have bounds of ``n``, ``a``, ``x`` and ``q``."""
+    """Whether any two classes of such profiles may be similar; profiles have bounds of ``n``, ``a``, ``x``, ``o`` and ``q``."""
     most = _most(u, v, each)
     return most * 100 >= (u("n_lo") + v("n_lo") - most) * percent
 
 
-_BOUNDS = {"n_lo": F.min, "n_hi": F.max, "a_lo": F.min, "a_hi": F.max, "x_hi": F.max, "q_lo": F.min}
+_BOUNDS = {"n_lo": F.min, "n_hi": F.max, "a_lo": F.min, "a_hi": F.max, "x_hi": F.max, "o_hi": F.max, "q_lo": F.min}
+
+#: Profiles are rounded to cells in steps of 1 in this many; the coarser, the more pairs of classes just below the threshold are looked at.
+STEPS = 200
 
 
 def _named(df: DataFrame, keys: list[str], suffix: str) -> DataFrame:
@@ -375,8 +379,9 @@ def prefix_pairs(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     each pair at one token alone.
     """
     rows = rows.join(comp, "rep")
-    share = lambda c: F.floor(F.col(c) * 50 / F.col("n"))
-    rows = rows.withColumn("cell", F.xxhash64("lead", "inside", F.floor(F.log("n") * 50), share("a"), share("q"), share("x")))
+    rows = rows.withColumn("o", F.greatest(F.col("n") - F.col("a") - F.col("q"), F.lit(0)))  # others have them, the leader doesn't; 0 for the leader itself
+    share = lambda c: F.floor(F.col(c) * STEPS / F.col("n"))
+    rows = rows.withColumn("cell", F.xxhash64("lead", "inside", F.floor(F.log("n") * STEPS), share("a"), share("q"), share("x")))
     rows = rows.select("tok", "cell", "comp", "rep", "lead", "inside", "lacks", *(F.col(c[0]).alias(c) for c in _BOUNDS))
     rows = stored(rows, "profiles")
     cells = rows.groupBy("tok", "cell", "lead", "inside").agg(*(f(c).alias(c) for c, f in _BOUNDS.items()), F.min("comp").alias("least"), F.max("comp").alias("last"))

@@ -501,6 +501,23 @@ def test_near_duplicates_without_a_common_centre(spark):
     assert sorted(tuple(r) for r in neardup.near_duplicates(df, 3, 85).collect()) == brute.near(rows, 3, 85)
 
 
+def test_near_duplicates_that_share_edits(spark):
+    """Copies about the threshold from their base, some with the same edits, so that they have in common what a leader lacks."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    places = rng.sample(range(0, 120, 4), 12)
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(places, rng.randrange(2, 6)):
+            w[at] = f"s{at}x{rng.randrange(2)}"
+        for at in rng.sample(range(120), rng.randrange(3)):
+            w[at] = f"o{i}x{at}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, DOC).repartition(4)
+    assert sorted(tuple(r) for r in neardup.near_duplicates(df, 3, 85).collect()) == brute.near(rows, 3, 85)
+
+
 def test_near_duplicates_ids(spark):
     t = " ".join(VOCAB[:20])
     df = spark.createDataFrame([(3, t), (3, t), (5, t), (None, t), (None, None)], DOC)
