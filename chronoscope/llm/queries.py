@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, neardup, quality, substrings, tokencount, toxicity, urlfilter, warc
+from . import bpe, decontaminate, licenses, neardup, quality, substrings, tokencount, tokenfiles, toxicity, urlfilter, warc
 from .shared import table
 
 SQL: dict[str, str] = {}
@@ -105,7 +105,12 @@ def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["op9_licenses"] = licenses.sql()
 
+
+def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenfiles.digest(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_bpe, op3_toxicity, op4_url_filters, op5_quality, op6_token_counts, op7_substring_dedup, op8_decontaminate, op9_licenses, op10_near_duplicates)
+    for f in (op1_warc, op2_bpe, op3_toxicity, op4_url_filters, op5_quality, op6_token_counts, op7_substring_dedup, op8_decontaminate, op9_licenses, op10_near_duplicates, op11_token_files)
 }
