@@ -46,6 +46,8 @@ CACHED, CACHED_CHARS = 200_000, 48
 TOGETHER = 1 << 22
 #: Characters that any library may take for white space, for a character class.
 WHITE = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Widths whose packed ids are numpy's own integers.
+WHOLE = (8, 16, 32)
 MANIFEST = "path string, part int, seq int, doc long, docs long, at long, ids long"
 
 
@@ -56,12 +58,16 @@ def width_of(size: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Ids in ``width`` bits each, the lowest bit first, filled up to a whole byte."""
+    if width in WHOLE:
+        return ids.astype(f"<u{width // 8}").tobytes()
     bits = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
 def unpack(data: bytes, width: int, n: int) -> np.ndarray:
     """The first ``n`` ids of packed bytes."""
+    if width in WHOLE:
+        return np.frombuffer(data, f"<u{width // 8}", n).astype("<u4")
     bits = np.zeros((n, 32), np.uint8)
     bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
     return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
@@ -126,14 +132,13 @@ class Encoder:
         """Ids of different parts, from the cache or else from the library."""
         if len(self.new) > CACHED:
             self.old, self.new = self.new, {}
-        old, out = self.old.get, list(map(self.new.get, parts))
-        missing = []
-        for k, v in enumerate(out):
-            if v is None:
-                if (v := old(parts[k])) is None:
-                    missing.append(k)
-                else:
+        out = list(map(self.new.get, parts))
+        missing = [k for k, v in enumerate(out) if v is None]
+        if self.old:
+            for k in missing:
+                if (v := self.old.get(parts[k])) is not None:
                     out[k] = self.new[parts[k]] = v
+            missing = [k for k in missing if out[k] is None]
         if missing:
             rest = [parts[k] for k in missing]
             for k, p, v in zip(missing, rest, self.joined(rest), strict=True):
@@ -151,11 +156,11 @@ class Encoder:
         heads = self.library(flat.take(pa.array(offsets[:-1])).to_pylist())
         coded = flat.dictionary_encode()
         at, values = coded.indices.to_numpy(), self.known(coded.dictionary.to_pylist())
-        ids, sizes = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
-        starts, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ids, sizes = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int32, len(values)) // 4
+        starts, n = (np.cumsum(sizes, dtype=np.int32) - sizes)[at], sizes[at]
         n[offsets[:-1]] = 0  # a head has no space before it, and is encoded by itself
-        ends = np.cumsum(n)
-        all_ids = ids[np.repeat(starts - ends + n, n) + np.arange(ends[-1])]
+        ends = np.cumsum(n, dtype=np.int32)
+        all_ids = ids[np.repeat(starts - ends + n, n) + np.arange(ends[-1], dtype=np.int32)]
         bounds = np.r_[0, ends[offsets[1:] - 1]].tolist()
         return [np.concatenate([h, all_ids[i:j]]) for h, i, j in zip(heads, bounds, bounds[1:], strict=False)]
 
