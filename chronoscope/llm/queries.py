@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, neardup, quality, substrings, tokencount, tokenfiles, toxicity, urlfilter, warc
+from . import bpe, decontaminate, licenses, neardup, quality, resample, spelling, substrings, tokencount, tokenfiles, toxicity, urlfilter, warc
 from .shared import table
 
 SQL: dict[str, str] = {}
@@ -110,7 +110,62 @@ def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return tokenfiles.digest(table(spark, sf, "documents"))
 
 
+def _crc_steps() -> str:
+    """The CRC-32 remainders of the sixteen half-bytes, as an SQL list."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return str(out)
+
+
+def _crc32(x: str) -> str:
+    """SQL for the CRC-32 of a string's UTF-8: half-bytes, the low one first."""
+    halves = f"string_split(regexp_replace(hex(encode({x})), '(.)(.)', '\\2\\1', 'g'), '')"
+    step = f"xor(c >> 4, ({_crc_steps()}::BIGINT[])[(xor(c, b) & 15) + 1])"
+    return f"xor(list_reduce(list_transform({halves}, lambda h: ('0x' || h)::BIGINT), lambda c, b: {step}, 4294967295::BIGINT), 4294967295)::BIGINT"
+
+
+def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resample.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+SQL["op12_resampling"] = f"""
+WITH w AS (SELECT kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT 0 AS kind, doc_id, text FROM documents UNION ALL SELECT 1, item_id::BIGINT, text FROM benchmark)),
+f AS (SELECT kind, doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda p: ws[p] || ' ' || ws[p + 1]))) AS f FROM w),
+g AS (SELECT kind, f, count(*) AS n FROM f GROUP BY ALL),
+b AS (SELECT f, {_crc32('f')} % 10000 AS b FROM (SELECT DISTINCT f FROM g)),
+c AS (SELECT b, sum(CASE kind WHEN 0 THEN n ELSE 0 END)::BIGINT AS s, sum(CASE kind WHEN 1 THEN n ELSE 0 END)::BIGINT AS t FROM g JOIN b USING (f) GROUP BY b),
+a AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM c),
+gain AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM c, a),
+d AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN b USING (f) JOIN gain USING (b) WHERE kind = 0 GROUP BY doc_id),
+h AS (SELECT doc_id, len(ws) AS n_words, ('0x' || substr(sha256('7:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM w WHERE kind = 0),
+s AS (SELECT doc_id, n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h LEFT JOIN d USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM s WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM s LEFT JOIN r USING (doc_id)
+"""
+
+
+def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.digest(table(spark, sf, "documents"))
+
+
+SQL["op13_spelling"] = f"""
+WITH RECURSIVE o AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+k AS (SELECT w, {_crc32("doc_id::VARCHAR || ':' || w")} AS h, count(*) AS n FROM o WHERE length(w) >= 6 GROUP BY doc_id, w),
+c AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n)::BIGINT AS n FROM k GROUP BY ALL),
+v AS (SELECT word, n FROM c WHERE length(word) >= 6 AND n >= 5),
+x AS (SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM v)),
+e AS (SELECT a.word, b.word AS near, b.n FROM x a JOIN x b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+ UNION SELECT v.word, x.word, x.n FROM v JOIN x ON x.rest = v.word UNION SELECT x.word, v.word, v.n FROM v JOIN x ON x.rest = v.word),
+m AS (SELECT word, near, n AS best_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS place FROM e),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * v.n THEN near END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN m ON m.word = v.word AND place = 1),
+r AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.up)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word WHERE r.up IS NULL
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_bpe, op3_toxicity, op4_url_filters, op5_quality, op6_token_counts, op7_substring_dedup, op8_decontaminate, op9_licenses, op10_near_duplicates, op11_token_files)
+    for f in (op1_warc, op2_bpe, op3_toxicity, op4_url_filters, op5_quality, op6_token_counts, op7_substring_dedup, op8_decontaminate, op9_licenses, op10_near_duplicates, op11_token_files, op12_resampling, op13_spelling)
 }
