@@ -32,7 +32,7 @@ CELL = 12 << 20
 #: What each byte becomes: letters A to Z in lower case, what separates words 0.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 0 for b in range(256)], np.uint8)
 SENT = "part long, cell long, target boolean, strings binary, sizes binary, counts binary"
-ANSWERS = "cell long, part long, codes binary, sums binary, first int"
+ANSWERS = "cell long, part long, data binary, first int"
 WEIGHED = "doc_id long, n_words long, n_features long, weight long"
 
 
@@ -118,7 +118,7 @@ def _send(grams: int, parts: int, target: bool):
 
 
 def _dictionary(buckets: int):
-    """Counts a part's strings over all cells, hashes each once, adds up its buckets, and answers the cells."""
+    """Counts a part's strings over all cells, hashes each once, adds up its buckets, and answers the cells; a cell below 0 is none, and holds the part's sums."""
 
     def run(key, table):
         part = key[0].as_py()
@@ -141,8 +141,8 @@ def _dictionary(buckets: int):
         own = [code[of[ends[k] - len(sizes[k]) : ends[k]]].tobytes() for k in asked]
         m = len(asked)
         return pa.table({
-            "cell": pa.array([*(cells[k] for k in asked), -1 - part], pa.int64()), "part": pa.array([part] * (m + 1), pa.int64()), "codes": pa.array([*own, None], pa.binary()),
-            "sums": pa.array([None] * m + [sums.tobytes()], pa.binary()), "first": pa.array([int(part == 0)] * (m + 1), pa.int32()),
+            "cell": pa.array([*(cells[k] for k in asked), -1 - part], pa.int64()), "part": pa.array([part] * (m + 1), pa.int64()),
+            "data": pa.array([*own, sums.tobytes()], pa.binary()), "first": pa.array([int(part == 0)] * (m + 1), pa.int32()),
         })
 
     return run
@@ -152,8 +152,9 @@ def _sums(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         for b in batches:
-            for x in b.column(b.schema.names.index("sums")).drop_null().to_pylist():
-                total += np.frombuffer(x, "<i8").reshape(2, buckets)
+            for cell, x in zip(*(b.column(b.schema.names.index(c)) for c in ("cell", "data")), strict=True):
+                if cell.as_py() < 0:
+                    total += np.frombuffer(x.as_py(), "<i8").reshape(2, buckets)
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0, at]), pa.array(total[1, at])], ["code", "s", "t"])
 
@@ -166,7 +167,7 @@ def _weigh(grams: int, parts: int, buckets: int):
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_features": pa.array([], pa.int64()), "weight": pa.array([], pa.int64())})
         cell = Cell(docs.column("text").combine_chunks(), grams, parts)
         gains, codes, kind = None, np.zeros(len(cell.order), np.int64), "<u2" if buckets <= 1 << 16 else "<u4"
-        for p, own, made in zip(*(answers.column(c).to_pylist() for c in ("part", "codes", "gains")), strict=True):
+        for p, own, made in zip(*(answers.column(c).to_pylist() for c in ("part", "data", "gains")), strict=True):
             codes[cell.order[cell.starts[p] : cell.starts[p + 1]]] = np.frombuffer(own, kind)
             if made is not None:
                 gains = np.zeros(buckets, np.int64)
@@ -208,11 +209,11 @@ def weights(docs: DataFrame, target: DataFrame, grams: int = GRAMS, buckets: int
     sent = own.groupBy("cell").applyInArrow(_send(grams, n, False), SENT).unionByName(theirs.groupBy("cell").applyInArrow(_send(grams, n, True), SENT))
     answers = sent.groupBy("part").applyInArrow(_dictionary(buckets), ANSWERS).repartition(n, "cell")
     sums = answers.mapInArrow(_sums(buckets), "code int, s long, t long").groupBy("code").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    whole = sums.agg(F.sum("s").alias("_s"), F.sum("t").alias("_t"), F.collect_list(F.struct("code", "s", "t")).alias("_all"))
+    whole = sums.agg(F.sum("s").alias("_s"), F.sum("t").alias("_t"), F.collect_list(F.struct("code", "s", "t")).alias("_all"), F.least(F.count("*"), F.lit(1)).cast("int").alias("first"))
     m = float(buckets)
     gain = lambda x: F.floor(1000 * F.log(((x["t"] + 1).cast("double") * (F.col("_s") + m)) / ((x["s"] + 1).cast("double") * (F.col("_t") + m))))
-    gains = whole.select(F.lit(1).alias("first"), F.transform("_all", lambda x: F.struct(x["code"].alias("code"), gain(x).alias("gain"))).alias("gains"))
-    told = answers.join(F.broadcast(gains), "first", "left").select("cell", "part", "codes", "gains")
+    gains = whole.select("first", F.transform("_all", lambda x: F.struct(x["code"].alias("code"), gain(x).alias("gain"))).alias("gains"))
+    told = answers.join(F.broadcast(gains), "first", "left").select("cell", "part", "data", "gains")
     return own.groupBy("cell").cogroup(told.groupBy("cell")).applyInArrow(_weigh(grams, n, buckets), WEIGHED)
 
 
