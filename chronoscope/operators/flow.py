@@ -55,9 +55,9 @@ def transitions(moves: DataFrame, size: str = "bytes") -> DataFrame:
 def shed(rated: DataFrame, stale_pages: DataFrame, stage: str, threshold: float, least_us: int, n: int = 2) -> DataFrame:
     """The ``n`` oldest stale pages, if the stage's last rate shows that it fills too fast."""
     last = rated.where(F.col("stage") == stage).orderBy(F.desc("us"), F.desc("event_id")).limit(1)
-    now = unsustainable(last, threshold, least_us).where("unsustainable").select(F.lit(True).alias("_on"))
+    now = unsustainable(last, threshold, least_us).agg(F.coalesce(F.bool_or("unsustainable"), F.lit(False)))
     oldest = stale_pages.orderBy(F.desc("age"), "page_id").limit(n)
-    return oldest.join(F.broadcast(now), F.col("_on"), "left_semi")
+    return oldest.where(now.scalar())
 
 
 def unsustainable(rated: DataFrame, threshold: float, least_us: int) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine_distance, dot
+from ..functions.vectors import cosine_distance
 
 
 def drift(latents: DataFrame, key: list[str], order: str = "frame") -> DataFrame:
@@ -38,91 +36,24 @@ def pooled(tokens: DataFrame, key: list[str]) -> DataFrame:
     return parts.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("embedding"))
 
 
-def pca_mahalanobis(latents: DataFrame, k: int = 16) -> DataFrame:
-    """Adds ``score``: the Mahalanobis distance in the space of the first ``k`` principal components of all rows."""
+def pca_mahalanobis(latents: DataFrame, k: int = 16, share: float = 0.95) -> DataFrame:
+    """Adds ``score``: the Mahalanobis distance in the space of the first principal components of all rows.
+
+    Of ``k`` components as many count as hold ``share`` of the variance of these.
+    """
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
     v = latents.withColumn("_v", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(v)
     centred = scaler.transform(v)
     model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-    total = centred.select(F.posexplode(vector_to_array("_c")).alias("i", "x")).groupBy("i").agg(F.var_samp("x").alias("s")).agg(F.sum("s")).first()[0]
-    variance = F.array(*[F.lit(float(r) * total + 1e-8) for r in model.explainedVariance])
-    p = vector_to_array(F.col("_p"))
+    total = float(sum(v.select(Summarizer.variance(F.col("_v")).alias("s")).first()["s"]))
+    ratio, used = [float(r) for r in model.explainedVariance], 0
+    while used < len(ratio) and sum(ratio[:used]) < share * sum(ratio):
+        used += 1
+    variance = F.array(*[F.lit(r * total + 1e-8) for r in ratio[:used]])
+    p = F.slice(vector_to_array(F.col("_p")), 1, used)
     out = model.transform(centred)
     return out.withColumn("score", F.sqrt(F.aggregate(F.zip_with(p, variance, lambda x, s: x * x / s), F.lit(0.0), lambda a, x: a + x))).drop("_v", "_c", "_p")
-
-
-class IncrementalPCA:
-    """Principal components of a stream of batches, by merging each with the components so far."""
-
-    def __init__(self, k: int):
-        self.k, self.n, self.mean, self.components, self.singular = k, 0, None, None, None
-
-    def update(self, x: np.ndarray) -> None:
-        m, batch = len(x), x.mean(axis=0)
-        rows = x - batch
-        if self.n:
-            gap = np.sqrt(self.n * m / (self.n + m)) * (self.mean - batch)
-            rows = np.vstack([self.singular[:, None] * self.components, rows, gap])
-            self.mean = (self.n * self.mean + m * batch) / (self.n + m)
-        else:
-            self.mean = batch
-        _, s, vt = np.linalg.svd(rows, full_matrices=False)
-        self.n += m
-        self.singular, self.components = s[: self.k], vt[: self.k]
-
-    def distance(self, x: np.ndarray, share: float = 0.95) -> np.ndarray:
-        """Mahalanobis distances over as many components as hold ``share`` of the variance; zeros before it is fitted."""
-        if self.n <= self.k:
-            return np.zeros(len(x))
-        var = self.singular**2 / (self.n - 1)
-        use = int(np.searchsorted(np.cumsum(var / var.sum()), share)) + 1
-        p = (x - self.mean) @ self.components[:use].T
-        return np.sqrt((p**2 / (var[:use] + 1e-8)).sum(axis=1))
-
-
-def tracked(latents: DataFrame, k: int = 16) -> DataFrame:
-    """``session_id, page, frame, score``: each page is scored by the components of the pages before it, then joins them.
-
-    A session's pages arrive in order and in batches; only the components and
-    the open page are held.
-    """
-    schema = "session_id long, page long, frame long, score double"
-
-    def run(batches):
-        state, held, at = None, [], (None, None)
-
-        def close():
-            nonlocal held
-            if not held:
-                return None
-            x = np.array([np.asarray(r[3], float) for r in held])
-            out = pd.DataFrame({"session_id": at[0], "page": at[1], "frame": [r[2] for r in held], "score": state.distance(x)})
-            state.update(x)
-            held = []
-            return out
-
-        for b in batches:
-            for r in b[["session_id", "page", "frame", "embedding"]].itertuples(index=False):
-                if (r[0], r[1]) != at:
-                    if (out := close()) is not None:
-                        yield out
-                    if r[0] != at[0]:
-                        state = IncrementalPCA(k)
-                    at = (r[0], r[1])
-                held.append(r)
-        if (out := close()) is not None:
-            yield out
-
-    ordered = latents.select("session_id", "page", "frame", "embedding").repartition("session_id").sortWithinPartitions("session_id", "page", "frame")
-    return ordered.mapInPandas(run, schema)
-
-
-def squared_norm(c):
-    return dot(c, c)
-
-
-#: Scoring strategies by name: frames with embeddings to frames with ``score``.
-STRATEGIES = {"naive_cos_dissimilarity": lambda df: drift(df, ["session_id"]), "pca_mahalanobis": pca_mahalanobis}

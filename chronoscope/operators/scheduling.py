@@ -27,6 +27,29 @@ def next_work(items: DataFrame, n: int = 1, only: str | None = None) -> DataFram
     return i.orderBy("priority", "created_at", "page_id").limit(n)
 
 
+def waiting(moves: DataFrame, key: list[str]) -> DataFrame:
+    """``key, us, delta`` of replayed moves: a page that begins to be retained waits (1), one that no longer is stops (-1)."""
+    kept = lambda c: F.coalesce(F.col(c) == "INTERESTING_RETAINED", F.lit(False))
+    return moves.where(kept("state") != kept("was")).select(*key, "us", F.when(kept("state"), 1).otherwise(-1).alias("delta"))
+
+
+def forced_refinement(times: DataFrame, changes: DataFrame, rated: DataFrame, key: list[str], many: int = 3, some: int = 2, rate: float = 10 * 1024**2) -> DataFrame:
+    """Adds ``waiting``, ``rate`` and ``forced`` to each of ``times``: whether refinement must go before triage.
+
+    It must if ``many`` pages wait, or ``some`` while what they hold grows faster
+    than ``rate``. ``changes`` has ``us, delta``, ``rated`` has ``us, event_id,
+    rate``; those of a time count at that time, the last rate by ``event_id``.
+    No change yet is none waiting, no rate yet is a rate of null, which forces
+    nothing. One sort of all three by key and time.
+    """
+    every = times.withColumn("_side", F.lit(2)).unionByName(changes.select(*key, "us", "delta", F.lit(0).alias("_side")), allowMissingColumns=True)
+    every = every.unionByName(rated.select(*key, "us", F.col("event_id").alias("_tie"), F.col("rate").alias("_rate"), F.lit(1).alias("_side")), allowMissingColumns=True)
+    w = Window.partitionBy(*key).orderBy("us", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    out = every.withColumns({"waiting": F.coalesce(F.sum("delta").over(w), F.lit(0)), "rate": F.last("_rate", ignorenulls=True).over(w)}).where("_side = 2")
+    forced = (F.col("waiting") >= many) | ((F.col("waiting") >= some) & F.coalesce(F.col("rate") > rate, F.lit(False)))
+    return out.withColumn("forced", forced).drop("_side", "_tie", "_rate", "delta")
+
+
 def stale(pages: DataFrame, now: int, max_age: int) -> DataFrame:
     """Retained pages that nothing has touched for longer than ``max_age``, with their age."""
     p = pages.withColumn("age", F.lit(now) - F.col("last_activity"))

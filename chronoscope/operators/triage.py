@@ -1,12 +1,7 @@
-"""Coarse-then-fine triage of frame pages, and hierarchical search."""
+"""Coarse triage of frame pages by window functions; ``search`` has the forms that keep a tracker's state."""
 
 from __future__ import annotations
 
-import heapq
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,125 +44,6 @@ def top_spans(spans: DataFrame, top: int, lazy: int, page_key: tuple[str, ...] =
     return s.where(F.col("rank") <= F.when(F.col("_any"), top).otherwise(lazy)).drop("_any")
 
 
-def _grid(a: int, b: int, k: int) -> list[int]:
-    return [a + math.floor(i * (b - a) / (k - 1)) for i in range(k)] if k > 1 else [a]
-
-
-class Moments:
-    """Running mean and population deviation of the scores seen."""
-
-    def __init__(self):
-        self.n, self.mean, self.m2 = 0, 0.0, 0.0
-
-    def z(self, scores: np.ndarray) -> np.ndarray:
-        """Adds the scores but NaN, then returns their z; 0 where nothing deviates."""
-        for s in scores[~np.isnan(scores)]:
-            self.n += 1
-            d = s - self.mean
-            self.mean += d / self.n
-            self.m2 += d * (s - self.mean)
-        std = (self.m2 / self.n) ** 0.5 if self.n > 1 else 0.0
-        return (scores - self.mean) / (std + 1e-8) if std > 0 else np.zeros(len(scores))
-
-
-KEYFRAMES = "session_id long, page long, frame_index int, score double, z double, reason string"
-
-
-def _paged(search, frames: DataFrame, **lists: DataFrame) -> DataFrame:
-    """Keyframes of ``search(moments, session, page, scores by idx, *lists)`` on each page.
-
-    A session's pages arrive in order, and its moments live over all of them.
-    ``lists`` are further rows of a page, in the order of their columns; a page
-    has a fixed number of frames, so its row is bounded.
-    """
-    parts = {"_score": frames.select("session_id", "page", F.struct("idx", "score").alias("_v"))}
-    parts |= {n: d.select("session_id", "page", F.struct(*[c for c in d.columns if c not in ("session_id", "page")]).alias("_v")) for n, d in lists.items()}
-    every = None
-    for n, d in parts.items():
-        own = d.select("session_id", "page", *[(F.col("_v") if m == n else F.lit(None).cast(o.schema["_v"].dataType)).alias(m) for m, o in parts.items()])
-        every = own if every is None else every.unionByName(own)
-    pages = every.groupBy("session_id", "page").agg(*[F.sort_array(F.collect_list(m)).alias(m) for m in parts])
-    pages = pages.select("session_id", "page", F.col("_score.score").alias("_score"), *lists)
-
-    def run(batches):
-        session, seen = None, Moments()
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False, name=None):
-                if r[0] != session:
-                    session, seen = r[0], Moments()
-                out += search(seen, r[0], r[1], np.asarray(r[2], float), *r[3:])
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in KEYFRAMES.split(", ")])
-
-    return pages.repartition("session_id").sortWithinPartitions("session_id", "page").mapInPandas(run, KEYFRAMES)
-
-
-def refine(frames: DataFrame, hot: DataFrame, share: float = 0.15, z: float = 0.3, branch: int = 4, coarse: DataFrame | None = None) -> DataFrame:
-    """Keyframes found by halving the hot spans of each page within a budget of frames.
-
-    ``frames`` has ``session_id, page, idx, score``, ``hot`` has ``session_id,
-    page, lo, hi``. The budget is tested before a span, so it may be exceeded
-    by a branch less one. Moments run over a session's pages in order; the
-    scores of a page's coarse triage (``session_id, page, ordinal, score``)
-    join them before the page is refined.
-    """
-
-    def search(seen, session, page, score, spans, sentinels=()):
-        seen.z(np.array([c["score"] for c in sentinels], float))
-        queue, used, out = [(h["lo"], h["hi"]) for h in spans], 0, []
-        budget = int(len(score) * share)
-        while queue and used < budget:
-            a, b = queue.pop(0)
-            idx = [(a + b) // 2] if b - a < branch else _grid(a, b, branch)
-            idx = [i for i in idx if i < len(score)]
-            used += len(idx)
-            zs = seen.z(score[idx])
-            out += [(session, page, i, score[i], v, "fine_refinement") for i, v in zip(idx, zs, strict=True) if v > z]
-            if b - a > 8:
-                queue += [(i, j) for (i, u), (j, v) in zip(zip(idx, zs, strict=True), list(zip(idx, zs, strict=True))[1:], strict=False) if (u > z or v > z) and j - i > 2]
-        return out
-
-    lists = {"_hot": hot.select("session_id", "page", "lo", "hi")}
-    if coarse is not None:
-        lists["_coarse"] = coarse.select("session_id", "page", "ordinal", "score")
-    return _paged(search, frames, **lists)
-
-
-def hierarchical_search(frames: DataFrame, threshold: float = 1.0, branching: int = 8, top: tuple[int, int] = (1, 4), lazy: tuple[int, int] = (1, 2), share: float = 0.33) -> DataFrame:
-    """Keyframes of each page by a best-first search over spans.
-
-    ``top`` and ``lazy`` are (spans kept, depth) for spans with and without a
-    novel end. Events are published in order of z, ties in order of discovery.
-    Moments run over a session's pages in order.
-    """
-
-    def search(seen, session, page, score):
-        n, used, events, made = len(score), 0, [], 0
-        queue = [(0, n - 1, 0, True)]
-        while queue and used < int(n * share):
-            a, b, depth, hot = queue.pop(0)
-            keep, deepest = top if hot else lazy
-            if depth >= deepest or b <= a:
-                continue
-            idx = _grid(a, b, branching)
-            used += len(idx)
-            zs = seen.z(score[idx])
-            spans = []
-            for o in range(len(idx) - 1):
-                is_hot, zmax = bool(zs[o] > threshold or zs[o + 1] > threshold), max(zs[o], zs[o + 1])
-                spans.append((-zmax, o, is_hot))
-                at = o if zs[o] > zs[o + 1] else o + 1
-                if is_hot and zs[at] > threshold:
-                    heapq.heappush(events, (-zs[at], made, idx[at]))
-                    made += 1
-            spans.sort(key=lambda s: s[:2])
-            keep = top[0] if any(s[2] for s in spans) else lazy[0]
-            queue += [(idx[o], idx[o + 1], depth + 1, h) for _, o, h in spans[:keep]]
-        return [(session, page, i, score[i], -z, "cooperative_search_spike") for z, _, i in sorted(events)]
-
-    return _paged(search, frames)
-
-
 def across_kernels(scores: DataFrame, threshold: float, key: list[str]) -> DataFrame:
     """Each page over all its kernels: the largest novelty, whether any kernel finds it interesting, and the kernels that do, sorted."""
     hit = F.col("z") > threshold

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, vectors
-from ..operators import consolidate, flow, gestures, intervals, novelty, overlay, paging, scheduling, triage
+from ..operators import consolidate, flow, gestures, intervals, novelty, overlay, paging, scheduling, search, triage
 from ..sources import timeline as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -265,7 +265,7 @@ def q_sentinels(spark, sf):
     return triage.sentinels(pages).select("page", "ordinal", "idx")
 
 
-TRIAGE = f"""{LATENTS}, fr AS (SELECT *, page % 2 AS session_id, row_number() OVER (PARTITION BY page ORDER BY frame) - 1 AS idx, count(*) OVER (PARTITION BY page) AS n FROM lt),
+TRIAGE = f"""{LATENTS}, fr AS (SELECT *, page // 8 AS session_id, row_number() OVER (PARTITION BY page ORDER BY frame) - 1 AS idx, count(*) OVER (PARTITION BY page) AS n FROM lt),
 sn AS (SELECT session_id, page, i AS ordinal, idx, frame, v FROM fr, range(6) r(i) WHERE idx = (i * (n - 1)) // 5),
 sc AS (SELECT *, lag(v) OVER (PARTITION BY session_id ORDER BY page * 6 + ordinal) AS p FROM sn),
 s2 AS (SELECT *, CASE WHEN p IS NULL THEN 0.0 ELSE 1 - least(greatest(list_cosine_similarity(v, p), -1), 1) END AS score FROM sc),
@@ -275,8 +275,13 @@ s5 AS (SELECT *, lead(idx) OVER w AS next_idx, lead(z) OVER w AS nz FROM s4 WIND
 tri AS (SELECT *, coalesce(z > 0.3 OR nz > 0.3, false) AS hot, greatest(z, nz) AS span_z FROM s5)"""
 
 
+def _session():
+    """Eight pages make a session, so sessions grow in number with the data."""
+    return F.expr("page div 8")
+
+
 def _spans(spark, sf):
-    return triage.coarse_triage(src.latents(spark, sf).withColumn("session_id", F.pmod("page", F.lit(2))))
+    return triage.coarse_triage(src.latents(spark, sf).withColumn("session_id", _session()))
 
 
 @query(f"WITH {TRIAGE} SELECT session_id, page, round(max(z), 4) + 0.0 AS max_z, max(z) > 0.3 AS interesting, sum(hot::INTEGER)::BIGINT AS n_hot FROM tri GROUP BY session_id, page")
@@ -302,21 +307,40 @@ def q_published(spark, sf):
     return p.select("session_id", "page", "frame", F.col("place").cast("long").alias("place"))
 
 
-def _scored(spark, sf):
-    d = novelty.drift(src.latents(spark, sf), ["page"]).withColumn("session_id", F.pmod("page", F.lit(2)))
-    return d.withColumn("idx", F.pmod("frame", F.lit(50))).select("session_id", "page", "idx", "score")
+def _share(step):
+    return scalars.scheduled(step, F.lit(0.05), F.lit(0.33), F.lit(1), F.lit(4))
+
+
+KERNELS = f"""{LATENTS}, kl AS (SELECT page // 8 AS session_id, page, frame, unnest(['first', 'last']) AS kernel, unnest([v[1:32], v[33:64]]) AS v FROM lt),
+kf AS (SELECT *, row_number() OVER (PARTITION BY page, kernel ORDER BY frame) - 1 AS idx, count(*) OVER (PARTITION BY page, kernel) AS n FROM kl),
+ks AS (SELECT kf.*, i AS ordinal FROM kf, range(6) r(i) WHERE idx = (i * (n - 1)) // 5),
+kd AS (SELECT *, lag(v) OVER w AS p, row_number() OVER w AS nth FROM ks WINDOW w AS (PARTITION BY session_id, kernel ORDER BY page, ordinal)),
+kc AS (SELECT *, CASE WHEN nth = 1 THEN 0.0 ELSE 1 - least(greatest(list_cosine_similarity(v, p), -1), 1) END AS d FROM kd),
+kz AS (SELECT *, count(d) OVER b AS c, avg(d) OVER b AS m, stddev_pop(d) OVER b AS sd FROM kc WINDOW b AS (PARTITION BY session_id, kernel ORDER BY page RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kj AS (SELECT *, CASE WHEN c > 1 AND sd > 0 THEN (d - m) / (sd + 1e-8) ELSE 0.0 END AS z, coalesce(c > 1 AND sd > 0 AND d > m + 0.3 * sd, false) AS novel FROM kz),
+kp AS (SELECT *, lead(idx) OVER s AS next, novel OR lead(novel) OVER s AS hot, max(z) OVER (PARTITION BY page, kernel) AS top FROM kj WINDOW s AS (PARTITION BY page, kernel ORDER BY ordinal))"""
+
+
+@query(f"""WITH {KERNELS} SELECT session_id, page, round(max(top), 4) + 0.0 AS max_z, max(top) > 0.3 AS interesting, coalesce(string_agg(kernel || ':' || idx || '-' || next, ',' ORDER BY kernel, ordinal) FILTER (WHERE next IS NOT NULL AND hot AND top > 0.3), '') AS hot FROM kp GROUP BY session_id, page""")
+def q_verdicts(spark, sf):
+    v = search.verdicts(src.kernels(spark, sf), "naive_cos_dissimilarity", share=0.0)
+    hot = F.array_join(F.transform("hot", lambda h: F.concat(h["kernel"], F.lit(":"), h["lo"], F.lit("-"), h["hi"])), ",")
+    return v.select("session_id", "page", (F.round("max_z", 4) + F.lit(0.0)).alias("max_z"), "interesting", hot.alias("hot"))
 
 
 @query()
 def q_refine(spark, sf):
-    spans = _spans(spark, sf)
-    hot = spans.where("hot and next_idx is not null").select("session_id", "page", F.col("idx").alias("lo"), F.col("next_idx").alias("hi"))
-    return triage.refine(_scored(spark, sf), hot, coarse=spans)
+    return search.refined(src.kernels(spark, sf))
 
 
 @query()
 def q_hierarchical_search(spark, sf):
-    return triage.hierarchical_search(_scored(spark, sf))
+    return search.searched(src.kernels(spark, sf), schedule={"share": _share})
+
+
+@query()
+def q_search_log(spark, sf):
+    return search.search_log(src.kernels(spark, sf), schedule={"share": _share})
 
 
 @query()
@@ -326,7 +350,7 @@ def q_pca_mahalanobis(spark, sf):
 
 @query()
 def q_incremental_pca(spark, sf):
-    return novelty.tracked(src.latents(spark, sf).withColumn("session_id", F.pmod("page", F.lit(2))))
+    return search.tracked(src.kernels(spark, sf))
 
 
 @query(f"WITH {LATENTS} SELECT page, pos::INTEGER AS pos, round(avg(x), 6) + 0.0 AS x FROM (SELECT page, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS x FROM lt) GROUP BY page, pos")
@@ -432,11 +456,13 @@ def q_timeouts(spark, sf):
     return scheduling.timeouts(b, 6 * HOUR).select("block", "last_seen", "n_signs")
 
 
-@query("""SELECT step, round(CASE WHEN step < 2 THEN 0.05 WHEN step < 26 THEN 0.05 + (0.12 - 0.05) * (step - 2) / 24.0 ELSE 0.12 END, 6) AS max_share, CASE WHEN step < 10 THEN 8.0 ELSE 4.0 END AS branching FROM range(60) r(step)""")
+@query(f"""WITH {LATENTS}, st AS (SELECT DISTINCT page // 8 AS session_id, page, dense_rank() OVER (PARTITION BY page // 8 ORDER BY page) - 1 AS step FROM lt)
+SELECT session_id, page, step, round(CASE WHEN step < 1 THEN 0.05 WHEN step < 5 THEN 0.05 + (0.33 - 0.05) * (step - 1) / 4.0 ELSE 0.33 END, 6) AS max_share, CASE WHEN step < 3 THEN 8.0 ELSE 4.0 END AS branching FROM st""")
 def q_schedule(spark, sf):
-    s = spark.range(60).withColumnRenamed("id", "step")
-    at = lambda *a: scalars.scheduled(F.col("step"), *map(F.lit, a))
-    return s.select("step", F.round(at(0.05, 0.12, 2, 24), 6).alias("max_share"), at(8.0, 4.0, 10, 0).alias("branching"))
+    pages = src.latents(spark, sf).select(_session().alias("session_id"), "page").distinct()
+    s = pages.withColumn("step", (F.row_number().over(Window.partitionBy("session_id").orderBy("page")) - 1).cast("long"))
+    branching = scalars.scheduled(F.col("step"), F.lit(8.0), F.lit(4.0), F.lit(3), F.lit(0))
+    return s.select("session_id", "page", "step", F.round(_share(F.col("step")), 6).alias("max_share"), branching.alias("branching"))
 
 
 # --- overlay
@@ -607,3 +633,22 @@ def q_shed_pages(spark, sf):
     rated = flow.rates(src.flow_events(spark, sf), HOUR)
     stale = scheduling.stale(_pages_state(spark, sf), NOW, 10 * HOUR).select("page_id", "age")
     return flow.shed(rated, stale, "view", -100.0, HOUR // 4)
+
+
+@query(f"""WITH m AS (SELECT user_id AS page_id, user_id // 16 AS run, event_id, epoch_us(ts) AS us, {NAMES} AS state, lag({NAMES}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events),
+ch AS (SELECT run, us, CASE WHEN state = 'INTERESTING_RETAINED' THEN 1 ELSE -1 END AS delta FROM m WHERE (state = 'INTERESTING_RETAINED') <> coalesce(was = 'INTERESTING_RETAINED', false)),
+nf AS (SELECT user_id // 16 AS run, event_id, epoch_us(ts) AS us, CASE WHEN event_id % 2 = 1 THEN -round(value * 100)::BIGINT ELSE round(value * 100)::BIGINT END AS net FROM events),
+rt AS (SELECT run, us, event_id, sum(net) OVER (PARTITION BY run ORDER BY us RANGE BETWEEN {24 * HOUR - 1} PRECEDING AND CURRENT ROW) / {24 * 3600.0} AS rate FROM nf),
+lr AS (SELECT run, us, arg_max(rate, event_id) AS rate FROM rt GROUP BY ALL),
+t AS (SELECT run, event_id, us, (SELECT coalesce(sum(delta), 0) FROM ch WHERE ch.run = d.run AND ch.us <= d.us)::BIGINT AS waiting FROM m d WHERE event_id % 5 = 0)
+SELECT t.run, event_id, waiting, round(rate, 6) + 0.0 AS rate, waiting >= 3 OR (waiting >= 2 AND coalesce(rate > 0.1, false)) AS forced FROM t ASOF LEFT JOIN lr ON t.run = lr.run AND t.us >= lr.us""")
+def q_forced_refinement(spark, sf):
+    state = F.element_at(F.array(*[F.lit(s) for s in scheduling.STATES]), (F.col("event_id") % 7 + 1).cast("int"))
+    run = F.expr("user_id div 16").alias("run")
+    e = src.events(spark, sf)
+    moves = scheduling.replay(e.select(F.col("user_id").alias("page_id"), run, "us", F.struct("us", "event_id").alias("seq"), state.alias("state")))
+    cents = F.round(F.col("value") * 100).cast("long")
+    net = e.select(run, "event_id", "us", F.when(F.pmod("event_id", F.lit(2)) == 1, -cents).otherwise(cents).alias("net"))
+    rated = flow.rates(net, 24 * HOUR, key="run")
+    f = scheduling.forced_refinement(e.where("event_id % 5 = 0").select(run, "event_id", "us"), scheduling.waiting(moves, ["run"]), rated, ["run"], rate=0.1)
+    return f.select("run", "event_id", "waiting", (F.round("rate", 6) + F.lit(0.0)).alias("rate"), "forced")

@@ -64,3 +64,10 @@ def latents(spark: SparkSession, sf: str, page: int = 50) -> DataFrame:
     """Frame embeddings in pages."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     return e.select((F.col("vec_id") / page).cast("long").alias("page"), F.col("vec_id").alias("frame"), "embedding", "label")
+
+
+def kernels(spark: SparkSession, sf: str, session: int = 8) -> DataFrame:
+    """Frames of pages in sessions of eight, ten a second, by two kernels: the halves of their embeddings."""
+    half = lambda name, at: F.struct(F.lit(name).alias("kernel"), F.slice("embedding", at, 32).alias("embedding"))
+    rows = latents(spark, sf).select((F.col("page") / session).cast("long").alias("session_id"), "page", "frame", (F.col("frame") / 10).alias("ts"), F.explode(F.array(half("first", 1), half("last", 33))).alias("_k"))
+    return rows.select("session_id", "page", "_k.kernel", "frame", "ts", "_k.embedding")

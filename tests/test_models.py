@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoscope.functions import scalars, vectors
-from chronoscope.operators import consolidate, flow, gestures, intervals, novelty, overlay, paging, scheduling, triage
+from chronoscope.operators import consolidate, flow, gestures, intervals, novelty, overlay, paging, scheduling, trackers
 from chronoscope.sources import timeline
 
 
@@ -171,8 +171,8 @@ def test_drift_of_zero_and_first_vectors(spark):
 
 def test_incremental_pca_agrees_with_svd():
     x = np.random.default_rng(3).normal(size=(200, 12))
-    p = novelty.IncrementalPCA(12)
-    assert (p.distance(x) == 0).all()
+    p = trackers.PcaTracker(12)
+    assert (p.scores(x) == 0).all()
     for i in range(0, 200, 40):
         p.update(x[i : i + 40])
     s = np.linalg.svd(x - x.mean(0), compute_uv=False)
@@ -185,7 +185,11 @@ def test_batch_pca_mahalanobis(spark):
     got = [r["score"] for r in novelty.pca_mahalanobis(d, 3).orderBy("frame").collect()]
     c = x - x.mean(0)
     _, s, vt = np.linalg.svd(c, full_matrices=False)
-    assert np.allclose(got, np.sqrt(((c @ vt[:3].T) ** 2 / (s[:3] ** 2 / 59 + 1e-8)).sum(1)))
+    plain = lambda k: np.sqrt(((c @ vt[:k].T) ** 2 / (s[:k] ** 2 / 59 + 1e-8)).sum(1))
+    assert np.allclose(got, plain(3))
+    assert (s[:2] ** 2).sum() / (s**2).sum() < 0.67 <= (s[:3] ** 2).sum() / (s**2).sum()
+    some = [r["score"] for r in novelty.pca_mahalanobis(d, 5, 0.67).orderBy("frame").collect()]
+    assert np.allclose(some, plain(3))
 
 
 def test_levels_never_fall_below_zero(spark):
@@ -222,71 +226,6 @@ def test_linspace(spark, k):
         assert x == np.linspace(0, n - 1, k, dtype=int).tolist()
 
 
-def test_refine_budget_and_spans(spark):
-    frames = spark.createDataFrame([(0, 0, i, 1.0 if i == 20 else 0.0) for i in range(40)], "session_id long, page long, idx int, score double")
-    hot = spark.createDataFrame([(0, 0, 19, 21), (0, 0, 10, 30)], "session_id long, page long, lo int, hi int")
-    got = rows(triage.refine(frames, hot).select("frame_index", "reason"), "frame_index")
-    assert all(r == "fine_refinement" for _, r in got) and len(got) <= 6 + 3
-
-
-def paged(seed):
-    rng = random.Random(seed)
-    return {(s, p): [round(rng.random() * (1 + p), 3) for _ in range(40)] for s in (0, 1) for p in range(s, 8, 2)}
-
-
-def z_of(seen, new):
-    seen += new
-    m, d = np.mean(seen), np.std(seen)
-    return [(x - m) / (d + 1e-8) if d > 0 else 0.0 for x in new]
-
-
-def same_keyframes(got, want):
-    got = sorted((r["session_id"], r["page"], r["frame_index"], r["z"]) for r in got.collect())
-    assert want and [g[:3] for g in got] == [w[:3] for w in sorted(want)]
-    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)])
-
-
-FRAME = "session_id long, page long, idx int, score double"
-
-
-def test_refine_keeps_moments_over_a_sessions_pages(spark):
-    pages, spans, want, seen = paged(11), [(0, 7), (7, 15), (23, 31), (31, 33)], [], {0: [], 1: []}
-    for (s, p), score in sorted(pages.items()):
-        z_of(seen[s], [score[i] for i in (0, 39)])
-        queue, used = list(spans), 0
-        while queue and used < 6:
-            a, b = queue.pop(0)
-            idx = [(a + b) // 2] if b - a < 4 else [a + (b - a) * i // 3 for i in range(4)]
-            used += len(idx)
-            zs = z_of(seen[s], [score[i] for i in idx])
-            want += [(s, p, i, z) for i, z in zip(idx, zs) if z > 0.3]
-            if b - a > 8:
-                queue += [(idx[i], idx[i + 1]) for i in range(len(idx) - 1) if max(zs[i], zs[i + 1]) > 0.3 and idx[i + 1] - idx[i] > 2]
-    frames = spark.createDataFrame([(s, p, i, x) for (s, p), v in pages.items() for i, x in enumerate(v)], FRAME)
-    hot = spark.createDataFrame([(*k, *h) for k in pages for h in spans], "session_id long, page long, lo int, hi int")
-    coarse = spark.createDataFrame([(*k, o, v[i]) for k, v in pages.items() for o, i in enumerate((0, 39))], "session_id long, page long, ordinal int, score double")
-    same_keyframes(triage.refine(frames, hot, coarse=coarse), want)
-
-
-def test_hierarchical_search_keeps_moments_over_a_sessions_pages(spark):
-    pages, want, seen = paged(12), [], {0: [], 1: []}
-    for (s, p), score in sorted(pages.items()):
-        queue, used = [(0, 39, 0, True)], 0
-        while queue and used < 13:
-            a, b, depth, was_hot = queue.pop(0)
-            if depth >= (4 if was_hot else 2) or b <= a:
-                continue
-            idx = [a + (b - a) * i // 7 for i in range(8)]
-            used += 8
-            zs = z_of(seen[s], [score[i] for i in idx])
-            pairs = [(max(u, v), i, max(u, v) > 1) for i, (u, v) in enumerate(zip(zs, zs[1:]))]
-            want += [(s, p, idx[i + (zs[i] <= zs[i + 1])], m) for m, i, h in pairs if h]
-            m, i, h = max(pairs, key=lambda x: (x[0], -x[1]))
-            queue.append((idx[i], idx[i + 1], depth + 1, h))
-    frames = spark.createDataFrame([(s, p, i, x) for (s, p), v in pages.items() for i, x in enumerate(v)], FRAME)
-    same_keyframes(triage.hierarchical_search(frames), want)
-
-
 def test_heatmap_takes_the_largest(spark):
     p = spark.createDataFrame([(0, 5, 5, 2, 1.0), (0, 6, 5, 1, 5.0), (0, 0, 0, 2, 1.0)], "k int, x int, y int, radius int, weight double")
     got = {(x, y): v for _, x, y, v in rows(overlay.heatmap(p, 8, 8, ["k"]), "x")}
