@@ -28,7 +28,7 @@ from .shared import stored
 #: Words in an n-gram at most; buckets; documents drawn of a hundred; words that a document needs to be drawn; the seed of the noise.
 GRAMS, BUCKETS, PERCENT, LEAST_WORDS, SEED = 2, 10_000, 25, 20, 7
 #: Bytes of text in a cell.
-CELL = 12 << 20
+CELL = 6 << 20
 #: What each byte becomes: letters A to Z in lower case, what separates words 0.
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 0 for b in range(256)], np.uint8)
 SENT = "part long, cell long, target boolean, strings binary, sizes binary, counts binary"
@@ -117,19 +117,29 @@ def _send(grams: int, parts: int, target: bool):
     return run
 
 
+def _hashed(strings: pa.Array, buckets: int) -> np.ndarray:
+    """The bucket of each string."""
+    out = np.empty(len(strings), "<u2" if buckets <= 1 << 16 else "<u4")
+    for at in range(0, len(strings), 1 << 16):
+        some = strings.slice(at, 1 << 16).to_pylist()
+        out[at : at + len(some)] = np.fromiter(map(zlib.crc32, some), np.uint32, len(some)) % buckets
+    return out
+
+
 def _dictionary(buckets: int):
     """Counts a part's strings over all cells, hashes each once, adds up its buckets, and answers the cells; a cell below 0 is none, and holds the part's sums."""
 
     def run(key, table):
         part = key[0].as_py()
         cells, target = table.column("cell").to_pylist(), table.column("target").to_pylist()
-        sizes = [np.frombuffer(_unzipped(x), "<u4") for x in table.column("sizes").to_pylist()]
-        counts = [np.frombuffer(_unzipped(x), "<u8") for x in table.column("counts").to_pylist()]
-        data = b"".join(map(_unzipped, table.column("strings").to_pylist()))
+        sizes = [np.frombuffer(_unzipped(x.as_py()), "<u4") for x in table.column("sizes")]
+        counts = [np.frombuffer(_unzipped(x.as_py()), "<u8") for x in table.column("counts")]
+        data = b"".join(_unzipped(x.as_py()) for x in table.column("strings"))
         bounds = np.r_[0, np.cumsum(np.concatenate(sizes), dtype=np.int64)]
         coded = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data)]).dictionary_encode()
         of = coded.indices.to_numpy()
-        code = (np.fromiter(map(zlib.crc32, coded.dictionary.to_pylist()), np.uint32, len(coded.dictionary)) % buckets).astype("<u2" if buckets <= 1 << 16 else "<u4")
+        del data
+        code = _hashed(coded.dictionary, buckets)
         ends = np.cumsum([len(s) for s in sizes])
         sums = np.zeros((2, buckets), "<i8")
         for kind in (False, True):
