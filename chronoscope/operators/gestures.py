@@ -17,11 +17,16 @@ def sessions(ticks: DataFrame, gap: int, key: str = "session_id", at: str = "us"
 
 
 def scroll_gestures(ticks: DataFrame, gap: int, key: str = "session_id", at: str = "us") -> DataFrame:
-    """Scroll gestures: ends at the last tick; a reversal is a change of sign between ticks, zero being a sign."""
-    s = sessions(ticks, gap, key, at)
+    """Scroll gestures: ends at the last tick; a reversal is a change of sign between ticks, zero being a sign.
+
+    Where ticks have a ``dx``, gestures have its total, and a tick that moves
+    neither way is none: it neither joins a gesture nor keeps it open.
+    """
+    across = "dx" in ticks.columns
+    s = sessions(ticks.where("dx <> 0 or dy <> 0") if across else ticks, gap, key, at)
     w = Window.partitionBy(key, "session_no").orderBy(at, "event_id")
     s = s.withColumn("_turn", F.coalesce(F.signum("dy") != F.lag(F.signum("dy")).over(w), F.lit(False)).cast("int"))
-    return s.groupBy(key, "session_no").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.sum("dy").alias("total_dy"), F.count("*").alias("n_ticks"), F.sum("_turn").alias("reversals"))
+    return s.groupBy(key, "session_no").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.sum("dy").alias("total_dy"), F.count("*").alias("n_ticks"), F.sum("_turn").alias("reversals"), *([F.sum("dx").alias("total_dx")] if across else []))
 
 
 def key_holds(presses: DataFrame, key: list[str], at: str = "us") -> DataFrame:
@@ -57,10 +62,13 @@ def trajectories(moves: DataFrame, interval: float = 0.0111, timeout: float = 0.
     of a session at its last event. Fewer than two points, or a path under
     ``least`` pixels, give nothing. Events of one time are taken by ``event_id``
     where there is one, else by place. A session's moves arrive sorted and are
-    read in batches, so only the open trajectory is held.
+    read in batches, so only the open trajectory is held. A move whose
+    ``focused`` is false, where there is such a column, is part of none, but ends
+    the open one at its time; so a loss of focus acts at the next move.
     """
     tie = ["event_id"] if "event_id" in moves.columns else ["x", "y", "button"]
-    ordered = moves.repartition("session_id").sortWithinPartitions("session_id", "ts", *tie).select("session_id", "ts", "x", "y", "button")
+    focused = F.coalesce("focused", F.lit(False)) if "focused" in moves.columns else F.lit(True)
+    ordered = moves.repartition("session_id").sortWithinPartitions("session_id", "ts", *tie).select("session_id", "ts", "x", "y", "button", focused.alias("focused"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = Trajectory(interval, timeout, least)
@@ -75,6 +83,15 @@ def trajectories(moves: DataFrame, interval: float = 0.0111, timeout: float = 0.
     return ordered.mapInPandas(run, TRAJECTORY)
 
 
+def focused_trajectories(moves: DataFrame, samples: DataFrame, **settings: float) -> DataFrame:
+    """Mouse trajectories while the target has the focus by the last of ``session_id, ts, focused`` samples; none before the first."""
+    return trajectories(as_of(moves, samples, "focused", at="ts"), **settings)
+
+
+#: An open trajectory: when it began, last moved and was last sampled, its last place and button, its session's last event, its points flat.
+OPEN = "began double, moved double, sampled double, x double, y double, button string, seen double, points array<int>"
+
+
 class Trajectory:
     """The open trajectory of the session that is being read."""
 
@@ -82,10 +99,24 @@ class Trajectory:
         self.interval, self.timeout, self.least = interval, timeout, least
         self.session, self.seen, self.points = None, None, []
 
-    def feed(self, session, ts, x, y, button):
+    def dump(self) -> tuple:
+        """The open trajectory as a row of ``OPEN``."""
+        p = [c for q in self.points for c in q]
+        return (*((self.began, self.moved, self.sampled, *map(float, self.last)) if p else (0.0,) * 5), self.button if p else None, self.seen, p)
+
+    def load(self, session, state: tuple) -> None:
+        self.session, (self.began, self.moved, self.sampled, x, y, self.button, self.seen), p = session, state[:7], list(state[7])
+        self.last, self.points = (x, y), [(int(a), int(b)) for a, b in zip(p[::2], p[1::2], strict=True)]
+
+    def feed(self, session, ts, x, y, button, focused=True):
         """What the event ends: a trajectory of the session before, or of this one."""
         button, done = (None if button is None or button != button else button), None
-        if session != self.session:
+        if not focused:
+            if session != self.session:
+                done, self.session = self.finish(self.seen), session
+            else:
+                done = self.finish(ts)
+        elif session != self.session:
             done = self.finish(self.seen)
             self._start(session, ts, x, y, button)
         elif not self.points:
