@@ -85,10 +85,31 @@ def recordable(title, exe_name, width, height, visible):
     return F.coalesce(visible, F.lit(True)) & sized & titled & F.coalesce(~F.lower(exe_name).isin(SYSTEM_PROGRAMS), F.lit(False))
 
 
+def seconds(us, places: int):
+    """Whole microseconds as seconds with so many decimals, half up."""
+    step, unit = 10 ** (6 - places), 10**places
+    n = F.floor((us + step // 2) / step)
+    return F.concat(F.floor(n / unit).cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), places, "0"))
+
+
 def _seconds4(us):
-    """Microseconds as seconds with four decimals, half up."""
-    n = F.floor((us + 50) / 100)
-    return F.concat(F.floor(n / 10_000).cast("string"), F.lit("."), F.lpad((n % 10_000).cast("string"), 4, "0"))
+    return seconds(us, 4)
+
+
+def clip_name(start_us, quality):
+    """The file of a clip: when it begins, and its quality."""
+    return F.concat(F.lit("clip_"), seconds(start_us, 2), F.lit("_"), quality, F.lit(".mp4"))
+
+
+def still_path(kind, us):
+    """The file of a still, from a run's folder on."""
+    return F.concat(F.lit("stills/"), kind, F.lit("_"), seconds(us, 4), F.lit(".png"))
+
+
+def merged(base, over):
+    """A map with the entries of ``over`` in place of those of ``base``; a null map has none."""
+    base, over = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (base, over))
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
 
 
 def interval_key(start_us, end_us):
@@ -123,8 +144,10 @@ def ring_radius(age, duration):
     return (F.lit(10) + age / duration * 20).cast("int")
 
 
-def trail_shown(t, end, duration):
-    return t - end <= duration
+def trail_shown(t, end, duration, ahead=None):
+    """Whether a path is shown: until ``duration`` after its end, and, unless ``ahead`` is None, from so long before it."""
+    shown = t - end <= duration
+    return shown if ahead is None else shown & (t - end >= -ahead)
 
 
 def click_shown(t, at, duration):

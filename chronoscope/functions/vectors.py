@@ -14,7 +14,8 @@ def norm(a):
 
 
 def normalise(a):
-    return F.transform(a, lambda x: x.cast("double") / norm(a))
+    """Each element over the norm, which is computed once a vector."""
+    return F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: x.cast("double") / n)
 
 
 def cosine_distance(a, b):

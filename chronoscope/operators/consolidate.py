@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,11 @@ def write_consolidated(df: DataFrame, path: str, rows_per_file: int = 10_000) ->
     df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
 
 
+def read_consolidated(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_consolidated`` wrote, columns of the journal's tail included."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in an order; deterministic if the order is total."""
     from pyspark.sql import Window

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import key_label, key_text
+from ..functions.scalars import key_label, key_text, time_offset
 
 PAYLOAD = "type string, start_pos array<int>, end_pos array<int>, sample_points array<array<int>>, button string, x int, y int, key string, total_dx int, total_dy int, linearity double"
 INPUT, TRAJECTORY, CLICK, KEY, SCROLL = "USER_INPUT", "mouse_trajectory", "mouse_click", "key", "scroll_trajectory"
@@ -36,6 +36,12 @@ def mouse_paths(p: DataFrame) -> DataFrame:
     return p.where(F.col("p.type") == TRAJECTORY).select("event_id", "start", "end", points.alias("points"), F.coalesce("p.linearity", F.lit(1.0)).alias("linearity"))
 
 
+def time_offsets(p: DataFrame, recordings: DataFrame, key: str = "session_id") -> DataFrame:
+    """``key, time_offset``: a recording's start if it is a Unix time, else its session's first path, click or key; scrolls don't count, and nothing at all is 0."""
+    first = p.where(F.col("p.type").isin(TRAJECTORY, CLICK, KEY)).groupBy(key).agg(F.min("start").alias("_first"))
+    return recordings.join(first, key, "left").select(key, time_offset(F.col("video_start"), F.col("_first")).alias("time_offset"))
+
+
 def alive(frames: DataFrame, events: DataFrame, before: int, after: int, key: str = "session_id", at: str = "us") -> DataFrame:
     """Events that are shown at each frame: ``start - before <= t <= end + after``, with their age."""
     from .intervals import band_join

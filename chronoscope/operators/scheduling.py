@@ -50,6 +50,27 @@ def forced_refinement(times: DataFrame, changes: DataFrame, rated: DataFrame, ke
     return out.withColumn("forced", forced).drop("_side", "_tie", "_rate", "delta")
 
 
+#: The states as a status line writes them.
+SHORT = dict(zip(STATES, ["PendT", "Triage", "BorEvict", "IntRet", "Refine", "EncInt", "Evict"], strict=True))
+
+
+def status(moves: DataFrame, key: list[str]) -> DataFrame:
+    """``active, pending, triaged, evicted, states`` of each key's pages after replayed moves.
+
+    Active pages are not evicted yet, pending ones wait for triage or are kept;
+    ``triaged`` counts triage's decisions and ``evicted`` those for boring pages;
+    ``states`` lists how many pages are in each state that has any, in the
+    states' order.
+    """
+    last = moves.groupBy(*key, "page_id").agg(F.max_by("state", "seq").alias("state"))
+    now = last.groupBy(*key).agg(*[F.count_if(F.col("state") == s).alias(SHORT[s]) for s in STATES])
+    decided = (F.col("was") == "TRIAGING") & F.col("state").isin("BORING_EVICTING", "INTERESTING_RETAINED")
+    done = moves.groupBy(*key).agg(F.count_if(decided).alias("triaged"), F.count_if(decided & (F.col("state") == "BORING_EVICTING")).alias("evicted"))
+    parts = [F.when(F.col(n) > 0, F.concat(F.lit(f"{n}:"), F.col(n).cast("string"))) for n in SHORT.values()]
+    active = sum((F.col(n) for n in list(SHORT.values())[1:-1]), F.col("PendT"))
+    return now.join(done, key).select(*key, active.alias("active"), (F.col("PendT") + F.col("IntRet")).alias("pending"), "triaged", "evicted", F.concat_ws(" ", *parts).alias("states"))
+
+
 def stale(pages: DataFrame, now: int, max_age: int) -> DataFrame:
     """Retained pages that nothing has touched for longer than ``max_age``, with their age."""
     p = pages.withColumn("age", F.lit(now) - F.col("last_activity"))

@@ -652,3 +652,92 @@ def q_forced_refinement(spark, sf):
     rated = flow.rates(net, 24 * HOUR, key="run")
     f = scheduling.forced_refinement(e.where("event_id % 5 = 0").select(run, "event_id", "us"), scheduling.waiting(moves, ["run"]), rated, ["run"], rate=0.1)
     return f.select("run", "event_id", "waiting", (F.round("rate", 6) + F.lit(0.0)).alias("rate"), "forced")
+
+
+def _named(us: str, places: int) -> str:
+    """SQL for whole microseconds as seconds with decimals, half up."""
+    step, unit = 10 ** (6 - places), 10**places
+    return f"(({us} + {step // 2}) // {step} // {unit})::VARCHAR || '.' || lpad((({us} + {step // 2}) // {step} % {unit})::VARCHAR, {places}, '0')"
+
+
+@query(f"SELECT event_id, 'clip_' || {_named('epoch_us(ts)', 2)} || '_' || event_type || '.mp4' AS clip, 'stills/' || event_type || '_' || {_named('epoch_us(ts)', 4)} || '.png' AS still FROM events")
+def q_archive_names(spark, sf):
+    e = src.events(spark, sf)
+    return e.select("event_id", scalars.clip_name(F.col("us"), F.col("event_type")).alias("clip"), scalars.still_path(F.col("event_type"), F.col("us")).alias("still"))
+
+
+@query(f"""WITH tk AS (SELECT user_id AS session_id, event_id, epoch_us(ts) AS us, sign(json_extract_string(props, '$.k')::INTEGER - 50)::INTEGER AS dy, (event_id % 3 - 1)::INTEGER AS dx FROM events),
+n AS (SELECT *, CASE WHEN us - lag(us) OVER w > {HOUR // 2} OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM tk WHERE dx <> 0 OR dy <> 0 WINDOW w AS (PARTITION BY session_id ORDER BY us, event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS k FROM n),
+t AS (SELECT *, CASE WHEN dy <> lag(dy) OVER (PARTITION BY session_id, k ORDER BY us, event_id) THEN 1 ELSE 0 END AS turn FROM g)
+SELECT session_id, k AS session_no, min(us) AS start_us, max(us) AS end_us, sum(dx)::BIGINT AS total_dx, sum(dy)::BIGINT AS total_dy, count(*) AS n_ticks, sum(turn)::BIGINT AS reversals FROM t GROUP BY session_id, k""")
+def q_scroll_gestures(spark, sf):
+    return gestures.scroll_gestures(src.ticks(spark, sf, True), HOUR // 2).withColumnsRenamed({"start": "start_us", "end": "end_us"})
+
+
+INPUTS = """inp AS (SELECT event_id, user_id AS session_id, event_type, epoch_us(ts) / 1e6 AS s, json_extract_string(props, '$.k')::INTEGER AS k, event_id % 3 > 0 AS given FROM events WHERE event_type <> 'error')"""
+
+
+@query(f"""WITH {INPUTS} SELECT event_id::VARCHAR AS event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'path' WHEN 'purchase' THEN 'key' ELSE 'scroll' END AS kind,
+CASE event_type WHEN 'click' THEN (CASE WHEN given THEN 'left' ELSE 'unknown' END) || '@' || k || ',' || CASE WHEN given THEN k * 2 ELSE 0 END
+ WHEN 'view' THEN CASE WHEN given THEN '2' ELSE '0' END WHEN 'purchase' THEN CASE WHEN given THEN upper(chr(97 + k % 26)) ELSE 'SHIFT' END
+ ELSE (CASE WHEN given THEN k ELSE 0 END) || ',' || (k - 50) END AS what, round(s, 6) AS start_s FROM inp""")
+def q_typed_split(spark, sf):
+    p = overlay.parsed(src.inputs(spark, sf))
+    text = lambda *c: F.concat(*[x.cast("string") if not isinstance(x, str) else F.lit(x) for x in c])
+    lists = [
+        (overlay.clicks(p), "click", text(F.col("button"), "@", F.col("x"), ",", F.col("y"))), (overlay.mouse_paths(p), "path", text(F.size("points"))),
+        (overlay.keys(p), "key", F.col("label")), (overlay.scrolls(p), "scroll", text(F.col("dx"), ",", F.col("dy"))),
+    ]
+    out = None
+    for df, kind, what in lists:
+        own = df.select("event_id", F.lit(kind).alias("kind"), what.alias("what"), F.round("start", 6).alias("start_s"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""WITH {INPUTS}, f AS (SELECT session_id, min(s) AS first FROM inp WHERE event_type <> 'signup' GROUP BY session_id)
+SELECT u.session_id, CASE WHEN u.session_id % 5 = 0 THEN 1700000000.5 ELSE coalesce(first, 0.0) END AS time_offset FROM (SELECT DISTINCT user_id AS session_id FROM events) u LEFT JOIN f USING (session_id)""")
+def q_time_offsets(spark, sf):
+    i = src.inputs(spark, sf)
+    recordings = i.select("session_id").distinct().withColumn("video_start", F.when(F.col("session_id") % 5 == 0, 1_700_000_000.5).otherwise(12.5))
+    return overlay.time_offsets(overlay.parsed(i), recordings)
+
+
+@query("""SELECT event_id, coalesce(CASE WHEN event_type = 'view' THEN k END, '0') AS of_view, coalesce(CASE WHEN event_type = 'click' THEN k END, '1') AS of_click, CASE WHEN event_type IN ('view', 'click') THEN 2 ELSE 3 END::INTEGER AS n
+FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)""")
+def q_merged_settings(spark, sf):
+    base = F.create_map(F.lit("view"), F.lit("0"), F.lit("click"), F.lit("1"))
+    m = src.events(spark, sf).select("event_id", scalars.merged(base, F.create_map("event_type", F.get_json_object("props", "$.k"))).alias("m"))
+    return m.select("event_id", F.col("m")["view"].alias("of_view"), F.col("m")["click"].alias("of_click"), F.size("m").alias("n"))
+
+
+@query("SELECT p_partkey AS id, (p_size * 3)::INTEGER AS width, (p_size + 100)::INTEGER AS height FROM part")
+def q_split_sizes(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    size = scalars.size_of(F.concat_ws("x", F.col("p_size") * 3, F.col("p_size") + 100))
+    return p.select(F.col("p_partkey").alias("id"), size["width"].alias("width"), size["height"].alias("height"))
+
+
+@query(f"""WITH {TL} SELECT a.event_id, count(*) AS n_shown FROM tl a JOIN tl b ON a.session_id = b.session_id AND a.s - b.e <= {2 * HOUR} AND a.s - b.e >= -{2 * HOUR} WHERE a.value > 150 GROUP BY a.event_id""")
+def q_trails(spark, sf):
+    t = src.timeline(spark, sf)
+    frames = t.where("value > 150").select("session_id", F.col("event_id").alias("frame_id"), F.col("start").alias("us"))
+    near = intervals.band_join(t.select("session_id", F.col("end").alias("of"), (F.col("end") - 2 * HOUR).alias("start"), (F.col("end") + 2 * HOUR).alias("end")), frames, "us", 4 * HOUR)
+    shown = near.where(scalars.trail_shown(F.col("us"), F.col("of"), F.lit(2 * HOUR), F.lit(2 * HOUR)))
+    return shown.groupBy(F.col("frame_id").alias("event_id")).agg(F.count("*").alias("n_shown"))
+
+
+SHORT = "CASE state " + " ".join(f"WHEN '{s}' THEN '{n}'" for s, n in scheduling.SHORT.items()) + " END"
+PLACE = "CASE state " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(scheduling.STATES)) + " END"
+
+
+@query(f"""WITH m AS (SELECT user_id AS page_id, user_id // 16 AS run, event_id, ts, {NAMES} AS state, lag({NAMES}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events),
+n AS (SELECT run, state, count(*) AS n FROM m WHERE back = 1 GROUP BY ALL),
+l AS (SELECT run, sum(CASE WHEN state <> 'EVICTED' THEN n ELSE 0 END)::BIGINT AS active, sum(CASE WHEN state IN ('PENDING_TRIAGE', 'INTERESTING_RETAINED') THEN n ELSE 0 END)::BIGINT AS pending, string_agg({SHORT} || ':' || n, ' ' ORDER BY {PLACE}) AS states FROM n GROUP BY run),
+d AS (SELECT run, count(*) FILTER (WHERE was = 'TRIAGING' AND state IN ('BORING_EVICTING', 'INTERESTING_RETAINED')) AS triaged, count(*) FILTER (WHERE was = 'TRIAGING' AND state = 'BORING_EVICTING') AS evicted FROM m GROUP BY run)
+SELECT run, active, pending, triaged, evicted, states FROM l JOIN d USING (run)""")
+def q_status(spark, sf):
+    state = F.element_at(F.array(*[F.lit(s) for s in scheduling.STATES]), (F.col("event_id") % 7 + 1).cast("int"))
+    m = src.events(spark, sf).select(F.col("user_id").alias("page_id"), F.expr("user_id div 16").alias("run"), F.struct("us", "event_id").alias("seq"), state.alias("state"))
+    return scheduling.status(scheduling.replay(m), ["run"])

@@ -54,10 +54,26 @@ def flow_events(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).select(F.col("event_type").alias("stage"), "event_id", "us", F.when(F.pmod("event_id", F.lit(2)) == 1, -cents).otherwise(cents).alias("net"))
 
 
-def ticks(spark: SparkSession, sf: str) -> DataFrame:
-    """Scroll ticks: the payload number's side of 50 is the direction."""
+def ticks(spark: SparkSession, sf: str, across: bool = False) -> DataFrame:
+    """Scroll ticks: the payload number's side of 50 is the direction; sideways, the event's number decides."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return events(spark, sf).select(F.col("user_id").alias("session_id"), "event_id", "us", F.signum(k - 50).cast("int").alias("dy"))
+    dx = [(F.pmod("event_id", F.lit(3)) - 1).cast("int").alias("dx")] if across else []
+    return events(spark, sf).select(F.col("user_id").alias("session_id"), "event_id", "us", F.signum(k - 50).cast("int").alias("dy"), *dx)
+
+
+def inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as recorded input with JSON payloads, some of whose fields are missing; errors are no input."""
+    e = events(spark, sf).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    of = lambda kind, **fields: F.to_json(F.struct(F.lit(kind).alias("type"), *[c.alias(n) for n, c in fields.items()]))
+    k, some = F.col("k"), F.col("event_id") % 3 > 0
+    payload = (
+        F.when(F.col("event_type") == "click", of("mouse_click", button=F.when(some, F.lit("left")), x=k, y=F.when(some, k * 2)))
+        .when(F.col("event_type") == "view", of("mouse_trajectory", sample_points=F.when(some, F.array(F.array(k, k), F.array(k + 1, k))), linearity=F.when(some, k / 100)))
+        .when(F.col("event_type") == "purchase", of("key", key=F.when(some, F.concat(F.lit("'"), F.chr(97 + k % 26), F.lit("'"))).otherwise(F.lit("Key.shift"))))
+        .otherwise(of("scroll_trajectory", total_dx=F.when(some, k), total_dy=k - 50))
+    )
+    stream = F.when(F.col("event_type") == "error", F.lit("SYSTEM")).otherwise(F.lit("USER_INPUT"))
+    return e.select(F.col("user_id").alias("session_id"), F.col("event_id").cast("string").alias("event_id"), stream.alias("stream_type"), (F.col("us") / 1e6).alias("start_timestamp"), (F.col("k") / 10).alias("delta_timestamp"), payload.alias("payload_json"))
 
 
 def latents(spark: SparkSession, sf: str, page: int = 50) -> DataFrame:
