@@ -11,7 +11,7 @@ Everything runs as DataFrame expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import SPACE, once, stored, words
@@ -23,6 +23,10 @@ CELLS = 1 << 15
 ALPHA = 1.0
 #: A document passes from this mean log ratio on where labels of one kind are missing; see ``parting``.
 THRESHOLD = -0.08
+#: Scores are counted in so many steps a unit, so that the threshold follows from counts alone.
+STEPS = 4096
+#: Up to so many trusted ids are broadcast; more are joined by a shuffle of ids and texts.
+MARKS = 2_000_000
 #: The share of good documents that may fall below the threshold, and of bad ones that may lie above the edge of their scores.
 LOST = 0.01
 
@@ -70,8 +74,9 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """``docs`` with ``_good``: whether the document is in the target."""
-    marks = target.select(F.col("doc_id").alias("_id")).hint("shuffle_hash")  # texts are dealt by id, not sorted
+    """``docs`` with ``_good``: whether the document is in the target; texts move only where its ids are too many to broadcast."""
+    marks = target.select(F.col("doc_id").alias("_id"))
+    marks = F.broadcast(marks) if target.count() <= MARKS else marks.hint("shuffle_hash")  # texts are dealt by id, not sorted
     return docs.join(marks, F.col("doc_id") == F.col("_id"), "left").withColumn("_good", F.col("_id").isNotNull()).drop("_id")
 
 
@@ -107,7 +112,7 @@ def held_out(cells: Column, size: Column, t: Column, n: Column, all_t: int, all_
 
 def scored(docs: DataFrame, labels: DataFrame, cells: int = CELLS) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``score`` and ``_held`` added, the score with the document's own n-grams held out of the target."""
-    target = trusted(labels)
+    target = stored(trusted(labels), "quality-trusted")
     counts = stored(cell_counts(docs, target, cells), "quality-counts")
     sums = counts.select("all_t", "all_n").first()
     ratios = counts.select(F.transform(F.arrays_zip("t", "n"), lambda x: log_ratio(x["t"], x["n"], F.col("all_t"), F.col("all_n"))))
@@ -133,13 +138,17 @@ def parting(scores: DataFrame, labels: DataFrame, lost: float = LOST) -> DataFra
     It is midway between the score below which ``lost`` of the good documents
     lie, held out, and the one above which ``lost`` of the bad ones lie; where
     these overlap it is the former, so plain text stays if there is too little
-    to tell it from junk.
+    to tell it from junk. Scores are counted in steps, of which there are few
+    whatever the table's size, and a step's lower edge stands for good scores in
+    it, its upper one for bad ones: the threshold is the same for any layout.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_q"))
     each = scores.where(~F.col("base_failed") & F.col("_held").isNotNull()).select("doc_id", "_held").join(known, "doc_id")
-    low = F.percentile_approx(F.when(F.col("_q") == 1, F.col("_held")), F.lit(lost), F.lit(10_000))
-    high = F.percentile_approx(F.when(F.col("_q") == 0, F.col("_held")), F.lit(1 - lost), F.lit(10_000))
-    edges = each.agg(low.alias("low"), high.alias("high"))
+    steps = each.groupBy("_q", F.floor(F.col("_held") * STEPS).alias("_step")).agg(F.count("*").alias("_n"))
+    of_kind = Window.partitionBy("_q")
+    steps = steps.withColumns({"_so_far": F.sum("_n").over(of_kind.orderBy("_step")), "_all": F.sum("_n").over(of_kind)})
+    first = lambda q, share: F.min(F.when((F.col("_q") == q) & (F.col("_so_far") >= F.col("_all") * share), F.col("_step")))
+    edges = steps.agg((first(1, lost) / STEPS).alias("low"), ((first(0, 1 - lost) + 1) / STEPS).alias("high"))
     alone = F.least(F.col("low"), F.lit(THRESHOLD))
     return edges.select(F.when(F.col("low").isNull() | F.col("high").isNull(), alone).when(F.col("high") < F.col("low"), (F.col("low") + F.col("high")) / 2).otherwise(F.col("low")))
 
@@ -154,15 +163,22 @@ def verdicts(scores: DataFrame, labels: DataFrame, threshold: float | None = Non
     return scores.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= limit, F.lit(False))).drop("_held")
 
 
+#: The columns that ``judge`` adds.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
 def judge(docs: DataFrame, labels: DataFrame, cells: int = CELLS, threshold: float | None = None) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``score`` and ``kept`` added.
 
     Null and empty texts have no words, fail the base rules and have no score;
-    without trusted labels all ratios are 0;
-    rows that repeat are judged alike; other columns pass through (names that
-    start with ``_`` excepted), those of a name that is added are replaced.
+    without trusted labels all ratios are 0; a long text is one row, judged
+    whole; rows that repeat are judged alike; no rows give no rows; other columns
+    pass through whatever their names, those of a name that is added are replaced.
     """
-    return verdicts(scored(docs, labels, cells), labels, threshold)
+    other = [c for c in docs.columns if c not in ("doc_id", "text", *ADDED)]
+    packed = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in other]).alias("_rest")] if other else []))
+    out = verdicts(scored(packed, labels, cells), labels, threshold)
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
