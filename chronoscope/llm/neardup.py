@@ -41,7 +41,7 @@ def collection_size(percent: int) -> int:
 
 
 def shingle_sets(b: pa.RecordBatch, k: int, column: str = "text"):
-    """Blocks of rows of a batch: (first row, sets as one array, a second fingerprint of each shingle, n + 1 bounds). Each set is sorted."""
+    """Blocks of rows of a batch: (first row, sets as one array, a second fingerprint of each shingle, n + 1 bounds). Each set is sorted; shingles are one if both fingerprints agree."""
     data, off = wh.text_buffers(b.column(b.schema.names.index(column)))
     for i, j in wh.pieces(off):
         d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
@@ -55,8 +55,12 @@ def shingle_sets(b: pa.RecordBatch, k: int, column: str = "text"):
         order = np.lexsort((w, row))
         w, w2, row = w[order], w2[order], row[order]
         if len(w):
+            near = (w[1:] == w[:-1]) & (row[1:] == row[:-1])
+            if (near & (w2[1:] != w2[:-1])).any():  # shingles that differ agree in their first fingerprint
+                order = np.lexsort((w2, w, row))
+                w, w2, row = w[order], w2[order], row[order]
             keep = np.ones(len(w), bool)
-            keep[1:] = (w[1:] != w[:-1]) | (row[1:] != row[:-1])
+            keep[1:] = (w[1:] != w[:-1]) | (w2[1:] != w2[:-1]) | (row[1:] != row[:-1])
             w, w2, row = w[keep], w2[keep], row[keep]
         yield i, w, w2, np.searchsorted(row, np.arange(j - i + 1))
 

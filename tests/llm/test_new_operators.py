@@ -372,3 +372,25 @@ def test_no_text_is_exchanged(spark):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     plan = quality.scored(d.select("doc_id", "text"), labels)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+# --- 10 near duplicates
+
+
+def test_words_of_one_fingerprint_are_two(spark):
+    """Two words made to agree in the first fingerprint still count as two, and link nothing by it."""
+    from chronoscope.llm import decontaminate, neardup, substrings, wordhash
+
+    one, two = "abcdefghijklmnop", "jwzfsqpbre]}u\\5e"
+    data, off = wordhash.text_buffers(pa.array([f"{one} {two}"]))
+    start, end, _ = wordhash.word_bounds(data, off, "space")
+    assert len(set(wordhash.word_hashes(data, start, end, 0, fold=True).tolist())) == 1 < len(set(wordhash.word_hashes(data, start, end, 1, fold=True).tolist()))
+    tail = " ".join(f"t{k}" for k in range(12))
+    rows = [(1, f"{one} p q {two} p q"), (2, f"{one} a b"), (3, f"{two} a b"), (4, f"{one} {tail}"), (5, f"{two} {tail}"), (6, f"{one} p q {two} p q")]
+    d = spark.createDataFrame(rows, DOC)
+    got = sorted(tuple(r) for r in neardup.digest(d).collect())
+    assert got == brute.near(rows, 3, 85) and got[0][1] == 4
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.digest(d).collect()} == {i: gone for i, _, gone, _ in brute.substrings(rows)}
+    bench = [("x", f"{one} {tail}"), ("y", "zz")]
+    hit = {r["doc_id"]: r["n_hit"] for r in decontaminate.digest(d, spark.createDataFrame(bench, "item_id string, text string")).collect()}
+    assert hit == {i: h for i, _, h, _ in brute.hits(rows, bench)}
