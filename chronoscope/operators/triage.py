@@ -37,6 +37,13 @@ def interesting(spans: DataFrame, z: float = 0.3, page_key: tuple[str, ...] = ("
     return spans.groupBy(*page_key, "page").agg(F.max("z").alias("max_z"), (F.max("z") > z).alias("interesting"), F.sum(F.col("hot").cast("int")).alias("n_hot"))
 
 
+def peaks(spans: DataFrame) -> DataFrame:
+    """``peak`` of each hot span: the frame of its end with the larger z, of equal ones the later."""
+    w = Window.partitionBy("session_id", "page").orderBy("ordinal")
+    both = spans.withColumns({"_frame": F.lead("frame").over(w), "_z": F.lead("z").over(w)})
+    return both.where("hot and next_idx is not null").withColumn("peak", F.when(F.col("z") > F.col("_z"), F.col("frame")).otherwise(F.col("_frame"))).drop("_frame", "_z")
+
+
 def top_spans(spans: DataFrame, top: int, lazy: int, page_key: tuple[str, ...] = ("session_id",)) -> DataFrame:
     """The best spans of each page by z: ``top`` of them where one is hot, else ``lazy``; ties by ordinal."""
     w = Window.partitionBy(*page_key, "page")

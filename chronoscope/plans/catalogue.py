@@ -741,3 +741,24 @@ def q_status(spark, sf):
     state = F.element_at(F.array(*[F.lit(s) for s in scheduling.STATES]), (F.col("event_id") % 7 + 1).cast("int"))
     m = src.events(spark, sf).select(F.col("user_id").alias("page_id"), F.expr("user_id div 16").alias("run"), F.struct("us", "event_id").alias("seq"), state.alias("state"))
     return scheduling.status(scheduling.replay(m), ["run"])
+
+
+@query(f"WITH {TRIAGE}, e AS (SELECT *, lead(frame) OVER w AS nf FROM tri WINDOW w AS (PARTITION BY session_id, page ORDER BY ordinal)) SELECT session_id, page, idx AS lo, CASE WHEN round(z, 9) > round(nz, 9) THEN frame ELSE nf END AS peak FROM e WHERE hot AND next_idx IS NOT NULL")
+def q_span_peaks(spark, sf):
+    return triage.peaks(_spans(spark, sf).withColumn("z", F.round("z", 9))).select("session_id", "page", F.col("idx").alias("lo"), "peak")
+
+
+@query("""WITH e AS (SELECT user_id AS session_id, floor(value * 2)::INTEGER AS x, json_extract_string(props, '$.k')::INTEGER * 5 AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+p AS (SELECT session_id, list(x ORDER BY n) AS xs, list(y ORDER BY n) AS ys FROM e WHERE n <= 1 + session_id % 24 GROUP BY session_id),
+d AS (SELECT *, len(xs) AS k, list_sum(list_transform(range(1, len(xs)), lambda i: sqrt((xs[i + 1] - xs[i]) ** 2 + (ys[i + 1] - ys[i]) ** 2))) AS way, sqrt((xs[1] - xs[-1]) ** 2 + (ys[1] - ys[-1]) ** 2) AS direct FROM p)
+SELECT session_id, k AS n_points, round(coalesce(way, 0), 6) + 0.0 AS distance, round(CASE WHEN k < 3 OR direct < 1 OR way = 0 THEN 1.0 ELSE direct / way END, 6) + 0.0 AS linearity, k >= 2 AND coalesce(way, 0) >= 10 AS kept,
+ array_to_string(list_transform(range(0, k, 5), lambda i: xs[i + 1] || ',' || ys[i + 1]), ' ') AS sampled FROM d""")
+def q_path_shapes(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    e = src.events(spark, sf).withColumn("n", F.row_number().over(w)).where("n <= 1 + user_id % 24")
+    at = F.array(F.floor(F.col("value") * 2).cast("int"), F.get_json_object("props", "$.k").cast("int") * 5)
+    p = e.groupBy(F.col("user_id").alias("session_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("n", at.alias("at")))), lambda x: x["at"]).alias("p"))
+    way = vectors.path_length(F.col("p"))
+    sampled = F.array_join(F.transform(vectors.strided(F.col("p"), 5), lambda q: F.concat_ws(",", q[0], q[1])), " ")
+    out = p.select("session_id", F.size("p").cast("long").alias("n_points"), way.alias("distance"), vectors.linearity(F.col("p")).alias("linearity"), ((F.size("p") >= 2) & (way >= 10)).alias("kept"), sampled.alias("sampled"))
+    return rounded(out, "distance", "linearity")
