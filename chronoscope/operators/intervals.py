@@ -38,15 +38,26 @@ def pad(points: DataFrame, at: str, before: int, after: int) -> DataFrame:
     return points.withColumns({"start": F.col(at) - before, "end": F.col(at) + after})
 
 
+#: Buckets of a level that an interval covers at most, and how many times wider the next level's are.
+FAN = 16
+
+
 def band_join(intervals: DataFrame, points: DataFrame, at: str, width: int, key: str = "session_id") -> DataFrame:
     """Points within ``[start, end]`` of the intervals of their key, both ends included.
 
-    Intervals are expanded over buckets of ``width``; the join is an equality on
-    key and bucket, checked exactly after it.
+    Intervals are expanded over buckets of ``width``, longer ones over buckets
+    that are ``FAN`` times as wide for each level, so that no interval has more
+    than ``FAN`` + 1 rows; points have a row for each level up to the highest.
+    The join is an equality on key, level and bucket, checked exactly after it.
     """
-    bucket = lambda c: F.floor(F.col(c) / width)
-    wide = intervals.withColumn("_b", F.explode(F.sequence(bucket("start"), bucket("end"))))
-    return wide.join(points.withColumn("_b", bucket(at)), [key, "_b"]).where(F.col(at).between(F.col("start"), F.col("end"))).drop("_b")
+    span = F.floor(F.col("end") / width) - F.floor(F.col("start") / width) + 1
+    level = F.greatest(F.ceil(F.log(float(FAN), span / FAN)), F.lit(0)).cast("int")
+    bucket = lambda c: F.floor(F.col(c) / (F.lit(width) * F.pow(F.lit(FAN), F.col("_l")).cast("long")))
+    levelled = intervals.withColumn("_l", level)
+    wide = levelled.withColumn("_b", F.explode(F.sequence(bucket("start"), bucket("end"))))
+    top = levelled.agg(F.coalesce(F.max("_l"), F.lit(0))).scalar()
+    each = points.withColumn("_l", F.explode(F.sequence(F.lit(0), top))).withColumn("_b", bucket(at))
+    return wide.join(each, [key, "_l", "_b"]).where(F.col(at).between(F.col("start"), F.col("end"))).drop("_l", "_b")
 
 
 def breakpoints(events: DataFrame, key: str = "session_id") -> DataFrame:

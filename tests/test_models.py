@@ -43,6 +43,16 @@ def test_band_join_is_inclusive(spark):
     assert sorted(tuple(r) for r in got.select("session_id", "start", "end", "us").collect()) == sorted((s, a, b, t) for s, a, b in iv for q, t in pt if s == q and a <= t <= b)
 
 
+def test_band_join_of_long_intervals(spark):
+    rng = random.Random(8)
+    spans = [(0, i, a, a + rng.choice([0, 1, 10, 300, 5_000, 10**6])) for i in range(60) for a in [rng.randint(-2000, 2000)]]
+    points = [(0, rng.randint(-3000, 10**6)) for _ in range(300)]
+    iv, p = spark.createDataFrame(spans, "session_id int, id int, start long, end long"), spark.createDataFrame(points, "session_id int, us long")
+    got = sorted((r["id"], r["us"]) for r in intervals.band_join(iv, p, "us", 10).collect())
+    assert got == sorted((i, t) for _, i, a, b in spans for _, t in points if a <= t <= b)
+    assert intervals.band_join(iv.where("false"), p, "us", 10).count() == 0
+
+
 def test_consolidate(spark):
     chunk = spark.createDataFrame([("a", 1), ("b", 2)], "event_id string, v int")
     tail = spark.createDataFrame([("b", 2, "w"), ("c", 3, "w")], "event_id string, v int, ctx string")
