@@ -42,13 +42,19 @@ NOTICES = {
     "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 
+# The license of each wording; a wording that several licenses of a family share is the family's.
+LICENSE = {
+    "bsd-notice": "bsd", "bsd-2-clause-text": "bsd", "mit-grant": "mit", "mit-text": "mit", "isc-text": "isc", "zlib-text": "zlib",
+    "apache-2.0-notice": "apache-2.0", "gpl-3.0-notice": "gpl-3.0", "unlicense-text": "unlicense",
+}
+
 
 def sql() -> str:
     """The scan of ``NOTICES`` in DuckDB's SQL: every window of every template, without bands."""
-    rows = ", ".join(f"('{i}', '{t.replace(chr(39), chr(39) * 2)}')" for i, t in NOTICES.items())
+    rows = ", ".join(f"('{i}', '{LICENSE.get(i, i)}', '{t.replace(chr(39), chr(39) * 2)}')" for i, t in NOTICES.items())
     split = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
     return f"""
-WITH n(license_id, text) AS (VALUES {rows}),
+WITH n(license_id, of, text) AS (VALUES {rows}),
 t AS (SELECT license_id, ws, len(ws) AS n, least({SHINGLE}, len(ws)) AS k, greatest(1, len(ws) // 4) AS step FROM (SELECT license_id, {split} AS ws FROM n)),
 ts AS (SELECT DISTINCT license_id, n, k, step, ws[p : p + k - 1] AS sh FROM (SELECT *, unnest(range(1, n - k + 2)) AS p FROM t)),
 tn AS (SELECT license_id, count(*) AS size FROM ts GROUP BY ALL),
@@ -57,13 +63,16 @@ ds AS (SELECT doc_id, k, p - 1 AS p, ws[p : p + k - 1] AS sh FROM (SELECT doc_id
 hit AS (SELECT doc_id, license_id, sh, unnest(range(greatest(-((n + step - k - 1 - p) // step), 0), p // step + 1)) AS s FROM ds JOIN ts USING (k, sh)),
 hits AS (SELECT doc_id, license_id, s, count(DISTINCT sh) / any_value(size)::DOUBLE AS share FROM hit JOIN tn USING (license_id) GROUP BY ALL),
 best AS (SELECT doc_id, license_id, max(share) AS share FROM hits WHERE share >= {CONTAINED} GROUP BY ALL),
-found AS (SELECT doc_id, string_agg(license_id, ',' ORDER BY license_id) AS licenses, count(*) AS n_licenses, max(share) AS containment FROM best GROUP BY doc_id)
-SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(n_licenses, 0)::BIGINT AS n_licenses, containment FROM d LEFT JOIN found USING (doc_id)
+lic AS (SELECT doc_id, of, max(share) AS share FROM best JOIN n USING (license_id) GROUP BY ALL),
+found AS (SELECT doc_id, string_agg(of, ',' ORDER BY of) AS license_ids, count(*) AS n_licenses, max(share) AS containment FROM lic GROUP BY doc_id),
+texts AS (SELECT doc_id, string_agg(license_id, ',' ORDER BY license_id) AS licenses FROM best GROUP BY doc_id)
+SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(license_ids, '') AS license_ids, coalesce(n_licenses, 0)::BIGINT AS n_licenses, containment FROM d LEFT JOIN found USING (doc_id) LEFT JOIN texts USING (doc_id)
 """
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(NOTICES.items()), "license_id string, text string")
+    """``license_id, text, license`` of each wording: its own id, its words, and the license that it stands for."""
+    return spark.createDataFrame([(i, t, LICENSE.get(i, i)) for i, t in NOTICES.items()], "license_id string, text string, license string")
 
 
 def tokens(c: Column) -> Column:
@@ -136,7 +145,21 @@ def scan(docs: DataFrame, notices: DataFrame, contained: float = CONTAINED, limi
     return places.groupBy("doc_id", "license_id").agg(F.count("*").alias("places"), F.max("_share").alias("containment"))
 
 
+def by_license(found: DataFrame, notices: DataFrame) -> DataFrame:
+    """``doc_id, license, template, templates, containment`` of ``scan``'s rows: each license once, with its wordings that were found, the longest of them, and the best containment.
+
+    Where notices have no ``license``, each wording is a license of its own.
+    """
+    named = notices.select("license_id", (F.col("license") if "license" in notices.columns else F.col("license_id")).alias("license"), F.size(tokens(F.col("text"))).alias("_len"))
+    each = found.join(F.broadcast(named), "license_id").groupBy("doc_id", "license")
+    return each.agg(F.max_by("license_id", F.struct("_len", "license_id")).alias("template"), F.collect_set("license_id").alias("templates"), F.max("containment").alias("containment"))
+
+
 def digest(docs: DataFrame, notices: DataFrame) -> DataFrame:
-    """For each document: ``licenses`` (sorted, comma-joined), ``n_licenses`` and ``containment`` of the best."""
-    f = scan(docs, notices).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("license_id")), ",").alias("licenses"), F.count("*").alias("n_licenses"), F.max("containment").alias("containment"))
-    return docs.select("doc_id").join(f, "doc_id", "left").select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_licenses", F.lit(0)).alias("n_licenses"), "containment")
+    """For each document: ``licenses`` (the wordings found) and ``license_ids`` (what they stand for), both sorted and comma-joined, ``n_licenses`` of the latter and ``containment`` of the best."""
+    f = by_license(scan(docs, notices), notices).groupBy("doc_id").agg(
+        F.array_join(F.sort_array(F.flatten(F.collect_list("templates"))), ",").alias("licenses"), F.array_join(F.sort_array(F.collect_list("license")), ",").alias("license_ids"),
+        F.count("*").alias("n_licenses"), F.max("containment").alias("containment"),
+    )
+    none = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return docs.select("doc_id").join(f, "doc_id", "left").select("doc_id", none("licenses"), none("license_ids"), F.coalesce("n_licenses", F.lit(0)).alias("n_licenses"), "containment")

@@ -394,3 +394,18 @@ def test_words_of_one_fingerprint_are_two(spark):
     bench = [("x", f"{one} {tail}"), ("y", "zz")]
     hit = {r["doc_id"]: r["n_hit"] for r in decontaminate.digest(d, spark.createDataFrame(bench, "item_id string, text string")).collect()}
     assert hit == {i: h for i, _, h, _ in brute.hits(rows, bench)}
+
+
+# --- 9 licenses
+
+
+def test_each_license_counts_once(spark):
+    from chronoscope.llm import licenses
+
+    names = list(licenses.NOTICES)
+    d = spark.createDataFrame([(k, f"Some words before. {licenses.NOTICES[n]} And some after.") for k, n in enumerate(names)], DOC)
+    got = {names[r["doc_id"]]: (r["license_ids"], r["n_licenses"]) for r in licenses.digest(d, licenses.templates(spark)).collect()}
+    assert got == {n: (licenses.LICENSE.get(n, n), 1) for n in names}
+    found = licenses.by_license(licenses.scan(d, licenses.templates(spark)), licenses.templates(spark)).collect()
+    longest = {names[r["doc_id"]]: r["template"] for r in found}
+    assert longest["mit-text"] == "mit-text" and longest["bsd-2-clause-text"] == "bsd-2-clause-text"
