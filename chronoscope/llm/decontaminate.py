@@ -172,9 +172,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str =
     """``docs`` with ``n_words``, ``n_hit`` and ``items`` (sorted array) added.
 
     Null and empty texts have no words and no hits; an empty benchmark gives
-    no hits; rows that repeat are judged one by one; all other columns pass
-    through (``_text``, ``_bits``, ``_items``, ``_n`` excepted), those of a
-    name that is added are replaced.
+    no hits, and no documents give no rows; a long text is one row, marked whole;
+    rows that repeat are judged one by one; all other columns pass through
+    whatever their names, those of a name that is added are replaced.
     """
     spark = docs.sparkSession
     windows = item_windows(benchmark, width, item_col, item_text_col)
@@ -182,13 +182,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, width: int = 13, text_col: str =
     total = windows.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
     kept = [c for c in docs.columns if c not in ("n_words", "n_hit", "items")]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.lit(None).cast("binary").alias("_bits"), F.lit(None).cast(f"array<{item_type.simpleString()}>").alias("_items"), F.lit(0).cast("long").alias("_n"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_kept"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.lit(None).cast("binary").alias("_bits"), F.lit(None).cast(f"array<{item_type.simpleString()}>").alias("_items"), F.lit(0).cast("long").alias("_n"))
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     for k in range(blocks):
         block = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k)
         found = rare_first(block, texts, spark)
         out = out.mapInArrow(_marker(spark.sparkContext.broadcast(found)), out.schema)
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("_n").alias("n_words"), _popcount("_bits").alias("n_hit"), F.coalesce("_items", F.array().cast(f"array<{item_type.simpleString()}>")).alias("items"))
+    return out.select(*[F.col(f"_kept.`{c}`") for c in kept], F.col("_n").alias("n_words"), _popcount("_bits").alias("n_hit"), F.coalesce("_items", F.array().cast(f"array<{item_type.simpleString()}>")).alias("items"))
 
 
 def _popcount(c: str):

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +16,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
-    Where the session has no such setting (tests), a local folder is set for
-    it; on a cluster the setting must name a folder that all machines see.
+    A session on one machine that has no such setting (tests) gets a local
+    folder; on a cluster the setting must name a folder that all machines see.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
+        elif not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             base = tempfile.mkdtemp(prefix="spark-shared-")
             spark.sparkContext.setCheckpointDir(base)
@@ -77,20 +77,6 @@ def once(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], F.inline(F.array(made)))
 
 
-Batches = Iterator[pa.RecordBatch]
-
-
-def by_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Batches], Batches]:
-    """For mapInArrow: ``f`` on each batch."""
-
-    def run(batches: Batches) -> Batches:
-        for b in batches:
-            if b.num_rows:
-                yield f(b)
-
-    return run
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

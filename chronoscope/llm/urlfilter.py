@@ -45,20 +45,30 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     """``captures`` with ``host``, ``blocked``, ``lists``, ``n_active`` and ``listed_since`` added.
 
     A capture without host or fetch day is not blocked; rows that repeat are
-    judged alike; without entries nothing is blocked. Other columns pass through
-    (names that start with ``_`` excepted), those of a name that is added are
-    replaced.
+    judged alike; without entries nothing is blocked, and without captures there
+    are no rows; a long URL is one like any other. Other columns pass through
+    whatever their names, those of a name that is added are replaced.
+
+    Days meet intervals of their domain within a month, so the history of a
+    domain that has many hosts is spread over its months.
     """
-    captures = captures.drop("host", "blocked", "lists", "n_active", "listed_since")
-    c = captures.withColumn("host", host_of(F.col(url))).withColumn("_day", F.col(fetched).cast("date"))
+    kept = [c for c in captures.columns if c not in ("host", "blocked", "lists", "n_active", "listed_since")]
+    c = captures.select(F.struct(*[F.col(f"`{x}`") for x in kept]).alias("_row"), host_of(F.col(url)).alias("host"), F.col(fetched).cast("date").alias("_day"))
     pairs = c.where("host <> '' and _day is not null").select("host", "_day").distinct()
-    keys = pairs.select("host", "_day", F.explode(domains_of(F.col("host"))).alias("domain"))
-    active = keys.join(intervals(entries), "domain").where((F.col("since") <= F.col("_day")) & (F.col("_day") < F.col("until")))
+    keys = pairs.select("host", "_day", _month(F.col("_day")).alias("_m"), F.explode(domains_of(F.col("host"))).alias("domain"))
+    seen = pairs.agg(F.min(_month(F.col("_day"))).alias("lo"), F.max(_month(F.col("_day"))).alias("hi"))
+    first, last = F.greatest(_month(F.col("since")), seen.select("lo").scalar()), F.least(_month(F.date_sub("until", 1)), seen.select("hi").scalar())
+    monthly = intervals(entries).withColumn("_m", F.explode(F.when(first <= last, F.sequence(first, last))))
+    active = keys.join(monthly, ["domain", "_m"]).where((F.col("since") <= F.col("_day")) & (F.col("_day") < F.col("until")))
     verdict = active.groupBy("host", "_day").agg(F.sort_array(F.collect_set("list")).alias("_lists"), F.count("*").alias("_n"), F.max("since").alias("_since"))
     verdict = verdict.select(F.col("host").alias("_host"), F.col("_day").alias("_on"), "_lists", "_n", "_since")
     out = c.join(verdict, (F.col("host") == F.col("_host")) & (F.col("_day") == F.col("_on")), "left")
-    kept = [F.col(f"`{x}`") for x in captures.columns]
-    return out.select(*kept, "host", F.col("_n").isNotNull().alias("blocked"), F.array_join(F.coalesce("_lists", F.array().cast("array<string>")), ",").alias("lists"), F.coalesce("_n", F.lit(0)).alias("n_active"), F.col("_since").alias("listed_since"))
+    own = [F.col(f"_row.`{x}`") for x in kept]
+    return out.select(*own, "host", F.col("_n").isNotNull().alias("blocked"), F.array_join(F.coalesce("_lists", F.array().cast("array<string>")), ",").alias("lists"), F.coalesce("_n", F.lit(0)).alias("n_active"), F.col("_since").alias("listed_since"))
+
+
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
 
 
 # --- the registered query: pages carry no fetch time and no list comes with them, so both are made from the rows themselves

@@ -27,6 +27,8 @@ from .shared import shared_dir, stored
 
 #: Bytes of a chunk; of payloads from which on equal ones are revisits; of an archive, and of a stretch of it that one reader takes.
 CHUNK, REVISIT_FROM, ARCHIVE, STRETCH = 1 << 16, 1000, 1 << 28, 1 << 22
+#: Up to so many revisits are broadcast; more meet the pages by a join that moves payloads.
+REVISITS = 500_000
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "path string, start long, length long, records long"
 RECORDS = "record_id string, record_type string, uri string, refers_to string, chunk long, last boolean, size long, sha1 string, stated string, stated_size long, payload binary"
@@ -48,7 +50,8 @@ def chunked(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """A row for each chunk of each record's payload; revisits and empty payloads have one empty chunk."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload).alias("sha1"))
-    r = revisits(pages).select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "refers_to")
+    r = stored(revisits(pages), "warc-revisits").select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "refers_to")
+    r = F.broadcast(r) if r.count() <= REVISITS else r
     p = p.join(r, (F.col("page_id") == F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left")
     size = F.octet_length("html").cast("long")
     n = F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(size / chunk), F.lit(1))).otherwise(1)

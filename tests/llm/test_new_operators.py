@@ -409,3 +409,47 @@ def test_each_license_counts_once(spark):
     found = licenses.by_license(licenses.scan(d, licenses.templates(spark)), licenses.templates(spark)).collect()
     longest = {names[r["doc_id"]]: r["template"] for r in found}
     assert longest["mit-text"] == "mit-text" and longest["bsd-2-clause-text"] == "bsd-2-clause-text"
+
+
+# --- names, long texts and repeated rows of operators 1, 4 and 8
+
+
+def test_columns_of_any_name_pass(spark):
+    from chronoscope.llm import decontaminate, urlfilter
+
+    rows, d = odd(spark)
+    for c in ("_text", "_bits", "_items", "_n", "_kept", "items"):
+        d = d.withColumn(c, F.lit("y"))
+    bench = spark.createDataFrame([("a", "one two three one two three one two three one two three one"), ("b", "word7x")], "item_id string, text string")
+    out = decontaminate.mark(d, bench)
+    plain = brute.hits(rows, [tuple(r) for r in bench.collect()])
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in out.collect()) == sorted((str(i), n, h) for i, n, h, _ in plain)
+    assert out.select("_text", "_bits", "_kept", "tie").distinct().collect() == [("y", "y", "y", "x")] and set(d.columns) <= set(out.columns)
+    pages = spark.createDataFrame([(1, "http://a.b.c/" + "x" * 100_000, "2024-01-31"), (1, "http://a.b.c/", "2024-02-01"), (1, "http://a.b.c/", "2024-02-01"), (2, None, None)], "page_id long, url string, fetched string")
+    for c in ("_day", "_row", "_m", "_host", "_on", "host", "lists"):
+        pages = pages.withColumn(c, F.lit("z"))
+    entries = spark.createDataFrame([("l", "b.c", "2023-06-01", True), ("l", "b.c", "2024-02-01", False), ("m", "a.b.c", "2024-02-01", True)], "list string, domain string, since string, listed boolean")
+    got = sorted((r["page_id"], str(r["fetched"]), r["lists"], r["n_active"], r["_day"], r["_m"]) for r in urlfilter.judge(pages, entries).collect())
+    assert got == [(1, "2024-01-31", "l", 1, "z", "z"), (1, "2024-02-01", "m", 1, "z", "z"), (1, "2024-02-01", "m", 1, "z", "z"), (2, "None", "", 0, "z", "z")]
+    assert urlfilter.judge(pages.where("false"), entries).count() == 0
+
+
+def test_revisits_by_a_join_of_payloads(spark, monkeypatch):
+    from chronoscope.llm import warc
+    from tests.llm.test_operators import pages_table
+
+    _, df = pages_table(spark)
+    few = sorted(map(tuple, warc.digest(df).collect()), key=str)
+    monkeypatch.setattr(warc, "REVISITS", 0)
+    assert sorted(map(tuple, warc.digest(df.withColumn("sha1", F.lit(1))).collect()), key=str) == few
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from chronoscope.llm import shared
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d: None)})
+        sparkContext = type("X", (), {"master": "spark://host", "_jsc": type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))})})
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared.shared_dir(Session, "x")
