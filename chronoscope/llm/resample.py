@@ -93,13 +93,23 @@ class Cell:
 
 
 def _zipped(x: bytes) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(x, asbytes=True)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(x, asbytes=True)
 
 
 def _unzipped(x: bytes) -> bytes:
     return pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs, after a byte that tells how many."""
+    width = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _numbers(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+
+
 def _send(grams: int, parts: int, target: bool):
     def run(key, table):
         cell = Cell(table.column("text").combine_chunks(), grams, parts)
@@ -109,7 +119,7 @@ def _send(grams: int, parts: int, target: bool):
         for p, (i, j) in enumerate(zip(cell.starts, cell.starts[1:], strict=False)):
             if i < j or p == 0:  # part 0 is always asked, as it answers with the gains too
                 held = data[int(ends[i]) : int(ends[j])] if i < j else b""
-                rows.append((p, *map(_zipped, (bytes(held), np.diff(ends[i : j + 1]).astype("<u4").tobytes(), cell.counts[i:j].astype("<u8").tobytes()))))
+                rows.append((p, *map(_zipped, (bytes(held), _narrow(np.diff(ends[i : j + 1])), _narrow(cell.counts[i:j])))))
         cols = list(zip(*rows, strict=True))
         n = len(rows)
         return pa.table({"part": pa.array(cols[0], pa.int64()), "cell": pa.array([key[0].as_py()] * n, pa.int64()), "target": pa.array([target] * n), **{c: pa.array(x, pa.binary()) for c, x in zip(("strings", "sizes", "counts"), cols[1:], strict=True)}})
@@ -132,8 +142,8 @@ def _dictionary(buckets: int):
     def run(key, table):
         part = key[0].as_py()
         cells, target = table.column("cell").to_pylist(), table.column("target").to_pylist()
-        sizes = [np.frombuffer(_unzipped(x.as_py()), "<u4") for x in table.column("sizes")]
-        counts = [np.frombuffer(_unzipped(x.as_py()), "<u8") for x in table.column("counts")]
+        sizes = [_numbers(_unzipped(x.as_py())) for x in table.column("sizes")]
+        counts = [_numbers(_unzipped(x.as_py())) for x in table.column("counts")]
         data = b"".join(_unzipped(x.as_py()) for x in table.column("strings"))
         bounds = np.r_[0, np.cumsum(np.concatenate(sizes), dtype=np.int64)]
         coded = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data)]).dictionary_encode()
