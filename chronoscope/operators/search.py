@@ -6,8 +6,9 @@ sampled before it. Only frames that a step asks for are scored. A session is
 one ordered group: its frames arrive sorted and only the open page is held.
 
 All functions take ``session_id, page, kernel, frame, ts, embedding`` with ``ts``
-in seconds; frames without an embedding are left out, frames of one number are
-taken by ``ts``, other columns are not read, and no rows give no rows.
+in seconds; frames without an embedding, or with a null in it, are left out,
+frames of one number are taken by ``ts``, embeddings of one kernel and page must
+be of one length, other columns are not read, and no rows give no rows.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def ordered(latents: DataFrame, work: Page, schema: str, strategy: str, schedule
     its session from 0.
     """
     schedule, kind = schedule or {}, STRATEGIES[strategy]
-    rows = latents.where("embedding is not null").select(F.col("session_id").cast("long"), F.col("page").cast("long"), "kernel", F.col("frame").cast("long"), F.col("ts").cast("double"), F.col("embedding").cast("array<double>"))
+    rows = latents.where("embedding is not null and not exists(embedding, x -> x is null)").select(F.col("session_id").cast("long"), F.col("page").cast("long"), "kernel", F.col("frame").cast("long"), F.col("ts").cast("double"), F.col("embedding").cast("array<double>"))
     if schedule:
         step = F.dense_rank().over(Window.partitionBy("session_id").orderBy("page")) - 1
         rows = rows.withColumn("_step", step).select("*", *[f(F.col("_step")).cast("double").alias(f"_set_{n}") for n, f in schedule.items()]).drop("_step")

@@ -25,6 +25,15 @@ def _batches(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
 
 
+def _drop(spark: SparkSession, folder: str, below: int) -> None:
+    """Deletes what batches before ``below`` left in the folder; a restart repeats the last batch at most."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for b in _batches(spark, folder):
+        if b < below:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={b}"), True)
+
+
 def _before(spark: SparkSession, folder: str, batch: int) -> DataFrame | None:
     """What the last whole batch before ``batch`` left in the folder."""
     earlier = [b for b in _batches(spark, folder) if b < batch]
@@ -40,9 +49,10 @@ class Admission:
     pages that arrive are then admitted by age while there is room, and the
     rest is shed, the newest first to go. Last, while the queue holds more than
     ``most_bytes``, its least novel pages are shed, of equal ones the oldest.
-    A page that comes twice in a batch, or again while it waits, counts once.
-    Rows need ``page_id, created_at, priority, novelty, bytes``; a null novelty
-    is 0, null bytes are 0. Decisions are in ``<folder>/decisions`` as
+    A page that comes twice in a batch, or again while it waits, counts once, by
+    its first row in order of all columns; rows without a page are left out. Rows
+    need ``page_id, created_at, priority, novelty, bytes``; a null novelty is 0,
+    null bytes are 0. Decisions are in ``<folder>/decisions`` as
     ``page_id, verdict``, the queue after each batch in ``<folder>/queue``.
     """
 
@@ -55,7 +65,8 @@ class Admission:
 
     def __call__(self, pages: DataFrame, batch: int) -> None:
         spark = pages.sparkSession
-        arrived = pages.select(*self.COLUMNS).withColumns({"novelty": F.coalesce("novelty", F.lit(0.0)), "bytes": F.coalesce("bytes", F.lit(0))}).dropDuplicates(["page_id"])
+        arrived = pages.select(*self.COLUMNS).where("page_id is not null").withColumns({"novelty": F.coalesce("novelty", F.lit(0.0)), "bytes": F.coalesce("bytes", F.lit(0))})
+        arrived = arrived.groupBy("page_id").agg(F.min(F.struct(*self.COLUMNS[1:])).alias("_p")).select("page_id", "_p.*")
         queue = _before(spark, f"{self.folder}/queue", batch)
         queue = (spark.createDataFrame([], arrived.schema) if queue is None else queue.select(*self.COLUMNS)).persist()
         claimed = queue.orderBy("priority", "created_at", "page_id").limit(self.take)
@@ -66,7 +77,7 @@ class Admission:
         shed = new.join(admitted.select("page_id"), "page_id", "left_anti")
         if self.most_bytes is not None:  # the queue is bounded, so one window over it is too
             best = Window.orderBy(F.desc("novelty"), F.desc("created_at"), F.desc("page_id")).rowsBetween(Window.unboundedPreceding, 0)
-            summed = waiting.withColumn("_fits", F.sum("bytes").over(best) <= self.most_bytes).persist()
+            summed = waiting.withColumn("_fits", F.sum("bytes").over(best) <= self.most_bytes)
             waiting, over = summed.where("_fits").drop("_fits"), summed.where("not _fits").drop("_fits")
         else:
             over = waiting.where("false")
@@ -77,6 +88,7 @@ class Admission:
             decided = own if decided is None else decided.unionByName(own)
         decided.write.mode("overwrite").parquet(f"{self.folder}/decisions/batch={batch}")
         waiting.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/queue/batch={batch}")  # last: the batch is whole with it
+        _drop(spark, f"{self.folder}/queue", batch - 1)
         for df in (queue, new, admitted):
             df.unpersist()
 
@@ -94,7 +106,8 @@ class Chunks:
     the batches before left over; each ``size`` of them are a chunk, written by
     one task to ``<folder>/chunks/chunk=<number>``, and what remains waits in
     ``<folder>/pending``. A batch that failed is repeated with the same chunk
-    numbers, and overwrites them. ``close`` writes the last, short chunk.
+    numbers, and overwrites them. ``close`` writes the last, short chunk; a stream
+    that goes on after it fills that chunk up.
     """
 
     folder: str
@@ -131,6 +144,8 @@ class Chunks:
         rest = rows.where(F.col("_at") >= full).withColumn("_at", F.col("_at") - full).withColumn("_next", F.lit(following).cast("long"))
         mark = spark.createDataFrame([(following,)], "_next long")  # keeps the number where nothing waits
         rest.unionByName(mark, allowMissingColumns=True).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/pending/batch={batch}")
+        _drop(spark, f"{self.folder}/pending", batch - 1)
+        _drop(spark, f"{self.folder}/staged", batch + 1)
 
     def _numbered(self, events: DataFrame, staged: str) -> DataFrame:
         """Events with ``_at``, their place in order from 0: parts by range are counted, then rows within each part."""

@@ -121,6 +121,14 @@ def test_roll_over_of_a_batch_that_fails_once(spark, tmp_path, monkeypatch, when
     c.close(spark)
     got = chunks_of(spark, c.folder)
     assert got == {k: want[k * 10 : k * 10 + 10] for k in range(-(-len(want) // 10))}
+    more = [(f"6-{i}", 60 + rng.random(), "x") for i in range(15)]
+    spark.createDataFrame(more, EVENT).coalesce(1).write.parquet(f"{tmp_path}/tmp6")
+    next((tmp_path / "tmp6").glob("part-*")).rename(tmp_path / "in" / "0006.parquet")
+    start().awaitTermination(240)
+    c.close(spark)
+    want = sorted(want + [(t, e) for e, t, _ in more])
+    assert chunks_of(spark, c.folder) == {k: want[k * 10 : k * 10 + 10] for k in range(-(-len(want) // 10))}
+    assert len(list((tmp_path / "c" / "pending").glob("batch=*"))) <= 2 and not list((tmp_path / "c" / "staged").glob("batch=*"))
 
 
 def test_gauges_agree_with_a_group_by(spark, tmp_path):
