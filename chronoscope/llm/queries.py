@@ -1,4 +1,10 @@
-"""The registered queries of this subpackage and their DuckDB SQL."""
+"""The registered queries of this subpackage and their DuckDB SQL.
+
+Each query reads its whole tables. A null text (or html) is an empty one, rows
+that repeat are rows of their own unless an operator says otherwise, long texts
+are taken whole, empty tables give no rows, and other columns of the tables are
+not read; each operator's docstring has its own cases.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +19,7 @@ SQL: dict[str, str] = {}
 
 
 def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' words in windows of benchmark items; a text without words has no hits, repeated rows are marked each."""
     return decontaminate.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
@@ -31,22 +38,27 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 
 
 def op2_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of whole texts and what they decode to; an empty or null text has none, repeated rows are encoded each."""
     return bpe.digest(table(spark, sf, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Base counts and the verdict; empty and null texts fail, repeated rows are judged alike."""
     return quality.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of whole texts; empty and null texts have none, repeated rows are counted each."""
     return tokencount.digest(table(spark, sf, "documents"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of shingle sets and components; empty and null texts are linked with nothing."""
     return neardup.digest(table(spark, sf, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of each text without windows that a smaller id has; empty and null texts stay empty."""
     return substrings.digest(table(spark, sf, "documents"))
 
 
@@ -77,6 +89,7 @@ FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
 
 
 def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of all pages, read back from their archives; null html is an empty payload, repeated rows are written each."""
     return warc.digest(table(spark, sf, "pages"))
 
 
@@ -89,10 +102,12 @@ CASE WHEN n >= 1000 AND top > page_id THEN top END AS refers_to FROM q
 
 
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of whole texts; empty and null texts are scored too, documents without a label are not learnt."""
     return toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
 def op4_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with the lists that held their host when they were fetched; null URLs and those without a host are not blocked."""
     return urlfilter.digest(table(spark, sf, "pages"))
 
 
@@ -100,6 +115,7 @@ SQL["op4_url_filters"] = urlfilter.SQL
 
 
 def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Licenses in whole texts; empty and null texts hold none, documents of one id count as one."""
     return licenses.digest(table(spark, sf, "documents"), licenses.templates(spark))
 
 
@@ -107,6 +123,7 @@ SQL["op9_licenses"] = licenses.sql()
 
 
 def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' places, tokens and checksums, read back from token files; an empty or null text has the end id alone."""
     return tokenfiles.digest(table(spark, sf, "documents"))
 
 
@@ -128,6 +145,7 @@ def _crc32(x: str) -> str:
 
 
 def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights, scores and ranks of all documents; empty and null texts have no features and are not drawn."""
     return resample.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
@@ -148,6 +166,7 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN
 
 
 def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Words with their near words, forms and roots; null texts and tables without words give none."""
     return spelling.digest(table(spark, sf, "documents"))
 
 
