@@ -2,7 +2,8 @@
 
 Each stage takes the documents that the stage before it kept, as they were
 left, and its decisions take effect in what it returns. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``, whatever other columns these have. A long
+text is one row and is taken whole; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -42,13 +43,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth is in windows of benchmark items."""
+    """Documents of whose words less than a twentieth is in windows of benchmark items; null and empty texts stay, rows that repeat are judged one by one."""
     marked = decontaminate.mark(_packed(docs), table(spark, sf_dir, "benchmark"))
     return _unpacked(marked.where(~decontaminate.contaminated()), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids, and the digest of what these decode to, in place of the text; all other columns stay but those of these names."""
+    """The documents with their token ids, and the digest of what these decode to, in place of the text; all other columns stay but those of these names. Null and empty texts have no ids, rows that repeat are encoded each."""
     return bpe.encode(docs, wanted=("n_tokens", "ids", "decoded_sha256"))
 
 
