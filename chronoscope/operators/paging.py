@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,17 @@ def decimate(frames: DataFrame, target: float, key: str = "session_id", at: str
     f = f.withColumn("_n", F.row_number().over(w.orderBy(at, tie)) - 1).withColumn("_all", F.count("*").over(w))
     step = F.when((F.col("_all") < 2) | (F.col("_fps") <= target), 1).otherwise(F.ceil(F.col("_fps") / target))
     return f.withColumn("step", step.cast("long")).where("_n % step = 0").drop("_fps", "_n", "_all")
+
+
+def numbered(rows: DataFrame, order: list[str], bucket: Column) -> DataFrame:
+    """Adds ``_at``: each row's place in an order of all rows, from 0.
+
+    ``bucket`` must not fall along the order. Buckets are counted first, then
+    rows are numbered within theirs, so no task sorts them all. Nulls come first.
+    """
+    b = rows.withColumn("_bucket", bucket)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = b.groupBy("_bucket").agg(F.count("*").alias("_n")).select(F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    joined = b.withColumn("_own", own).join(base, F.col("_bucket").eqNullSafe(F.col("_of")))
+    return joined.withColumn("_at", F.col("_base") + F.col("_own")).drop("_bucket", "_of", "_base", "_own")

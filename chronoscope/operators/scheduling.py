@@ -98,6 +98,15 @@ def timeouts(blocks: DataFrame, limit: int, at: str = "us") -> DataFrame:
     return last.withColumn("now", blocks.agg(F.max(at)).scalar()).where(F.col("now") - F.col("last_seen") > limit)
 
 
+def silences(signs: DataFrame, limit: float, end: float, at: str = "us") -> DataFrame:
+    """``block, last_seen, n_signs`` for each time a block gave no sign for longer than ``limit``, up to ``end``; signs are counted since the silence before."""
+    w = Window.partitionBy("block").orderBy(at)
+    after = F.coalesce(F.lead(at).over(w), F.lit(end))
+    s = signs.select("block", at, (after - F.col(at) > limit).alias("_silent"))
+    s = s.withColumn("_run", F.sum(F.col("_silent").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_silent").cast("int"))
+    return s.groupBy("block", "_run").agg(F.max(at).alias("last_seen"), F.count("*").alias("n_signs"), F.bool_or("_silent").alias("_ends")).where("_ends").drop("_run", "_ends")
+
+
 def admitted(jobs: DataFrame, depth: int, capacity: int, key: list[str], order: list[str]) -> DataFrame:
     """The jobs that a queue of ``depth`` waiting still takes, in order; the rest are shed."""
     w = Window.partitionBy(*key).orderBy(*order)

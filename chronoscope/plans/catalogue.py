@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars, vectors
 from ..operators import consolidate, flow, gestures, intervals, novelty, overlay, paging, scheduling, search, triage
 from ..sources import timeline as src
+from ..streaming import gauges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -762,3 +763,25 @@ def q_path_shapes(spark, sf):
     sampled = F.array_join(F.transform(vectors.strided(F.col("p"), 5), lambda q: F.concat_ws(",", q[0], q[1])), " ")
     out = p.select("session_id", F.size("p").cast("long").alias("n_points"), way.alias("distance"), vectors.linearity(F.col("p")).alias("linearity"), ((F.size("p") >= 2) & (way >= 10)).alias("kept"), sampled.alias("sampled"))
     return rounded(out, "distance", "linearity")
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1)::BIGINT AS place, ((row_number() OVER (ORDER BY ts, event_id) - 1) // 500)::BIGINT AS chunk FROM events")
+def q_chunk_numbers(spark, sf):
+    n = paging.numbered(src.events(spark, sf).select("event_id", "us"), ["us", "event_id"], F.floor(F.col("us") / (24 * HOUR)))
+    return n.select("event_id", F.col("_at").alias("place"), F.floor(F.col("_at") / 500).alias("chunk"))
+
+
+@query(f"""WITH s AS (SELECT user_id AS block, epoch_us(ts) AS us, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts), {NOW}) - epoch_us(ts) > {48 * HOUR} AS silent FROM events),
+r AS (SELECT *, sum(silent::INTEGER) OVER (PARTITION BY block ORDER BY us ROWS UNBOUNDED PRECEDING) - silent::INTEGER AS run FROM s)
+SELECT block, max(us) AS last_seen, count(*) AS n_signs FROM r GROUP BY block, run HAVING bool_or(silent)""")
+def q_silences(spark, sf):
+    return scheduling.silences(src.events(spark, sf).select(F.col("user_id").alias("block"), "us"), 48 * HOUR, NOW)
+
+
+@query(f"""WITH m AS (SELECT user_id AS page_id, {NAMES} AS state, lag({NAMES}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)
+SELECT page_id, count(*) AS moves, count(*) FILTER (WHERE was = 'TRIAGING' AND state IN ('BORING_EVICTING', 'INTERESTING_RETAINED')) AS triaged, count(*) FILTER (WHERE was = 'TRIAGING' AND state = 'INTERESTING_RETAINED') AS retained,
+count(*) FILTER (WHERE state = 'BORING_EVICTING' AND coalesce(was, '') <> 'BORING_EVICTING') AS evicted_boring, count(*) FILTER (WHERE state = 'EVICTED' AND coalesce(was, '') <> 'EVICTED') AS evicted FROM m GROUP BY page_id""")
+def q_counters(spark, sf):
+    state = F.element_at(F.array(*[F.lit(s) for s in scheduling.STATES]), (F.col("event_id") % 7 + 1).cast("int"))
+    m = src.events(spark, sf).select(F.col("user_id").alias("page_id"), F.struct("us", "event_id").alias("seq"), state.alias("state"))
+    return scheduling.replay(m).groupBy("page_id").agg(*gauges.counters())

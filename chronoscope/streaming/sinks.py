@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.paging import numbered
+
 
 def _batches(spark: SparkSession, folder: str) -> list[int]:
     """The batches that a folder has, in order; its files system is the one that Spark uses for it."""
@@ -102,7 +104,8 @@ def admit(pages: DataFrame, admission: Admission, checkpoint: str) -> StreamingQ
 class Chunks:
     """Rolls events over into numbered chunks of ``size`` rows.
 
-    Events are taken in order of ``order`` within a micro-batch, after those that
+    Events are taken in order of ``order``, whose first column is a number, within
+    a micro-batch (numbered by stretches of ``stretch`` of it), after those that
     the batches before left over; each ``size`` of them are a chunk, written by
     one task to ``<folder>/chunks/chunk=<number>``, and what remains waits in
     ``<folder>/pending``. A batch that failed is repeated with the same chunk
@@ -113,6 +116,7 @@ class Chunks:
     folder: str
     size: int = 10_000
     order: tuple[str, ...] = ("start_timestamp", "event_id")
+    stretch: float = 60.0
 
     def __call__(self, events: DataFrame, batch: int) -> None:
         self._roll(events, batch, False)
@@ -130,7 +134,7 @@ class Chunks:
         start = int(held.agg(F.max("_next")).first()[0] or 0) if held is not None else 0
         waiting = held.where("_at is not null").drop("_next") if held is not None else None
         n = waiting.count() if waiting is not None else 0
-        rows = self._numbered(events, f"{self.folder}/staged/batch={batch}").withColumn("_at", F.col("_at") + n)
+        rows = numbered(events, list(self.order), F.floor(F.col(self.order[0]) / self.stretch)).withColumn("_at", F.col("_at") + n)
         total = n + rows.count()
         if waiting is not None:
             rows = rows.unionByName(waiting, allowMissingColumns=True)
@@ -145,18 +149,6 @@ class Chunks:
         mark = spark.createDataFrame([(following,)], "_next long")  # keeps the number where nothing waits
         rest.unionByName(mark, allowMissingColumns=True).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/pending/batch={batch}")
         _drop(spark, f"{self.folder}/pending", batch - 1)
-        _drop(spark, f"{self.folder}/staged", batch + 1)
-
-    def _numbered(self, events: DataFrame, staged: str) -> DataFrame:
-        """Events with ``_at``, their place in order from 0: parts by range are counted, then rows within each part."""
-        spark = events.sparkSession
-        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        events.repartitionByRange(n, *self.order).withColumn("_part", F.spark_partition_id()).write.mode("overwrite").parquet(staged)
-        rows = spark.read.parquet(staged)
-        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        parts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-        own = F.row_number().over(Window.partitionBy("_part").orderBy(*self.order)) - 1
-        return rows.withColumn("_own", own).join(F.broadcast(parts), "_part").withColumn("_at", F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
 
 
 def roll(events: DataFrame, chunks: Chunks, checkpoint: str) -> StreamingQuery:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoscope.operators import gestures
+from chronoscope.operators import gestures, scheduling
 from chronoscope.streaming import timers
 
 T0 = dt.datetime(2024, 1, 1)
@@ -155,3 +155,5 @@ def test_a_silent_block_is_given_out_once(store, tmp_path):
     base = T0.replace(tzinfo=dt.timezone.utc).timestamp()
     got = sorted((r["block"], round(r["last_seen"] - base, 3), r["n_signs"]) for r in store.read.parquet(str(tmp_path / "out")).collect())
     assert got == plain_abandoned(signs, t + 500) and (50, 3.0, 1) in got and (51, 34.0, 2) in got
+    batch = scheduling.silences(store.createDataFrame(signs, "block long, us double"), 30.0, t + 500)
+    assert got == sorted((r["block"], r["last_seen"], r["n_signs"]) for r in batch.collect())
