@@ -43,7 +43,7 @@ class Frames:
 
     def __init__(self, kernel: str, pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.kernel = kernel
-        self.frame, self.ts, self._embedding = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        self.frame, self.ts, self._embedding = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*pieces, strict=True))
 
     def __len__(self) -> int:
         return len(self.frame)
