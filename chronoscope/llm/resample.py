@@ -220,12 +220,12 @@ def weights(docs: DataFrame, target: DataFrame, grams: int = GRAMS, buckets: int
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cells = max(2 * n, -(-size // CELL))
 
-    def dealt(df: DataFrame, first, many: int) -> DataFrame:
-        keyed = df.select(first.cast("long").alias("doc_id"), "text")
-        return keyed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text"), F.lit(many))).repartition(n, "cell")
+    def dealt(df: DataFrame, first, key: list[str], many: int) -> DataFrame:
+        cell = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in key]), F.lit(many))
+        return df.select(first.cast("long").alias("doc_id"), "text", cell.alias("cell")).repartition(n, "cell")
 
-    own = dealt(docs, F.col("doc_id"), cells)
-    theirs = dealt(target, F.lit(None), max(n, -(-(target.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CELL)))
+    own = dealt(docs, F.col("doc_id"), ["doc_id", "text"], cells)
+    theirs = dealt(target, F.lit(None), [c for c, kind in target.dtypes if "map<" not in kind], max(n, -(-(target.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CELL)))
     sent = own.groupBy("cell").applyInArrow(_send(grams, n, False), SENT).unionByName(theirs.groupBy("cell").applyInArrow(_send(grams, n, True), SENT))
     answers = sent.groupBy("part").applyInArrow(_dictionary(buckets), ANSWERS).repartition(n, "cell")
     sums = answers.mapInArrow(_sums(buckets), "code int, s long, t long").groupBy("code").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))

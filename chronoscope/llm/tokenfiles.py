@@ -40,6 +40,8 @@ TOKENIZER, END = "byte_bpe_50k.json", 2
 MAGIC, HEADER, TAIL = b"BITTOKS1", "<8sII", "<QQQ8s"
 #: Ids of a block (a multiple of 8, so that blocks are whole bytes); of a stretch that one reader takes, and of a file, at least.
 BLOCK, STRETCH, FILE = 1 << 15, 1 << 22, 1 << 27
+#: Documents of a file at most: a writer and a reader hold their keys and places.
+DOCUMENTS = 1 << 20
 #: Parts of texts that a worker keeps encoded in each of two generations, and the longest such part in characters.
 CACHED, CACHED_CHARS = 200_000, 48
 #: Bytes of texts that are encoded together.
@@ -208,7 +210,7 @@ class Writer:
             self.flush(self.n_held // BLOCK)
         if self.at - self.mark[1] >= STRETCH:
             self.stretch()
-        if self.at >= FILE:
+        if self.at >= FILE or len(self.keys) >= DOCUMENTS:
             self.close()
 
     def flush(self, blocks: int) -> None:
