@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .trackers import STRATEGIES
+from .trackers import NOVEL, STRATEGIES
 
-#: Settings of triage and refinement; ``novel`` is the z that makes a frame novel, ``keep`` the one that makes its page worth keeping.
-TRIAGE = {"sentinels": 6, "keep": 0.3, "novel": 0.3, "share": 0.15, "branching": 4, "least_span": 8}
+# The settings where none are given. ``novel``, the z that makes a frame novel, is that of the strategy.
+#: Settings of triage and refinement; ``keep`` is the z that makes a page worth keeping.
+TRIAGE = {"sentinels": 6, "keep": 0.3, "share": 0.15, "branching": 4, "least_span": 8}
 #: Settings of the search: spans kept and depth below a hot span and below any other, share of frames sampled, seconds around another kernel's find.
-SEARCH = {"branching": 8, "top": 1, "depth": 4, "top_lazy": 1, "depth_lazy": 2, "share": 0.33, "novel": 1.0, "around": 1.0}
+SEARCH = {"branching": 8, "top": 1, "depth": 4, "top_lazy": 1, "depth_lazy": 2, "share": 0.33, "around": 1.0}
 
 VERDICT = "session_id long, page long, max_z double, interesting boolean, hot array<struct<kernel:string,lo:int,hi:int>>"
 KEYFRAME = "session_id long, page long, type string, kernel string, frame long, frame_index int, ts double, score double, z double, reason string, place int"
@@ -164,9 +165,9 @@ def _fine(tracker, frames: Frames, hot: list[tuple[str, int, int]], s: dict) ->
     return out
 
 
-def _triaged(keyframes: bool, settings: dict) -> Page:
+def _triaged(keyframes: bool, strategy: str, settings: dict) -> Page:
     def work(session, page, trackers, frames, given):
-        s = TRIAGE | settings | given
+        s = TRIAGE | {"novel": NOVEL[strategy]} | settings | given
         found = [_coarse(trackers[f.kernel], f, s) for f in frames]
         top, hot = max(z for z, _ in found), [h for _, spans in found for h in spans]
         fine = [(f, k) for f in frames for k in _fine(trackers[f.kernel], f, hot, s)] if top > s["keep"] else []
@@ -183,12 +184,12 @@ def verdicts(latents: DataFrame, strategy: str = "pca_mahalanobis", schedule=Non
     A page that is kept is refined before the next one comes, and trackers learn
     what both steps sampled.
     """
-    return ordered(latents, _triaged(False, settings), VERDICT, strategy, schedule, **(tracker or {}))
+    return ordered(latents, _triaged(False, strategy, settings), VERDICT, strategy, schedule, **(tracker or {}))
 
 
 def refined(latents: DataFrame, strategy: str = "pca_mahalanobis", schedule=None, tracker: dict | None = None, **settings) -> DataFrame:
     """``KEYFRAME`` rows of the pages that triage keeps, in the order of their discovery; each kernel refines the hot spans of all."""
-    return ordered(latents, _triaged(True, settings), KEYFRAME, strategy, schedule, **(tracker or {}))
+    return ordered(latents, _triaged(True, strategy, settings), KEYFRAME, strategy, schedule, **(tracker or {}))
 
 
 class Agent:
@@ -241,9 +242,9 @@ class Agent:
             self.log.append(("queue_span", depth + 1, best_z))
 
 
-def _searched(log: bool, exchange: bool, settings: dict, own: dict[str, dict]) -> Page:
+def _searched(log: bool, exchange: bool, strategy: str, settings: dict, own: dict[str, dict]) -> Page:
     def work(session, page, trackers, frames, given):
-        s, finds = SEARCH | settings | given, []
+        s, finds = SEARCH | {"novel": NOVEL[strategy]} | settings | given, []
         agents = [Agent(f, trackers[f.kernel], s | own.get(f.kernel, {}), finds, exchange) for f in frames]
         while any(a.queue for a in agents):
             for a in agents:
@@ -268,12 +269,12 @@ def searched(latents: DataFrame, strategy: str = "pca_mahalanobis", schedule=Non
     has settings of single kernels; ``schedule`` those that change with the step.
     A sentinel between two hot spans is found by both, and both finds count.
     """
-    return ordered(latents, _searched(False, exchange, settings, own or {}), KEYFRAME, strategy, schedule, **(tracker or {}))
+    return ordered(latents, _searched(False, exchange, strategy, settings, own or {}), KEYFRAME, strategy, schedule, **(tracker or {}))
 
 
 def search_log(latents: DataFrame, strategy: str = "pca_mahalanobis", schedule=None, tracker: dict | None = None, exchange: bool = True, own: dict[str, dict] | None = None, **settings) -> DataFrame:
     """``LOG`` rows of ``searched``: the spans that each kernel queued, and the branches that ended at their depth."""
-    return ordered(latents, _searched(True, exchange, settings, own or {}), LOG, strategy, schedule, **(tracker or {}))
+    return ordered(latents, _searched(True, exchange, strategy, settings, own or {}), LOG, strategy, schedule, **(tracker or {}))
 
 
 def tracked(latents: DataFrame, strategy: str = "pca_mahalanobis", **tracker) -> DataFrame:

@@ -110,3 +110,5 @@ class PcaTracker:
 
 #: Trackers by the name of their strategy.
 STRATEGIES = {"naive_cos_dissimilarity": CosineTracker, "pca_mahalanobis": PcaTracker}
+#: By strategy, the z from which on a frame is novel.
+NOVEL = {"naive_cos_dissimilarity": 0.5, "pca_mahalanobis": 0.1}

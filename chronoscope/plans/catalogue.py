@@ -308,8 +308,12 @@ def q_published(spark, sf):
     return p.select("session_id", "page", "frame", F.col("place").cast("long").alias("place"))
 
 
-def _share(step):
-    return scalars.scheduled(step, F.lit(0.05), F.lit(0.33), F.lit(1), F.lit(4))
+# The schedule's first and last values, the steps that it holds the first, and those that it then takes.
+SCHEDULE = {"share": (0.05, 0.12, 2, 24), "novel": (0.75, 0.01, 4, 24)}
+
+
+def _scheduled() -> dict:
+    return {n: lambda step, v=v: scalars.scheduled(step, *map(F.lit, v)) for n, v in SCHEDULE.items()}
 
 
 KERNELS = f"""{LATENTS}, kl AS (SELECT page // 8 AS session_id, page, frame, unnest(['first', 'last']) AS kernel, unnest([v[1:32], v[33:64]]) AS v FROM lt),
@@ -318,7 +322,7 @@ ks AS (SELECT kf.*, i AS ordinal FROM kf, range(6) r(i) WHERE idx = (i * (n - 1)
 kd AS (SELECT *, lag(v) OVER w AS p, row_number() OVER w AS nth FROM ks WINDOW w AS (PARTITION BY session_id, kernel ORDER BY page, ordinal)),
 kc AS (SELECT *, CASE WHEN nth = 1 THEN 0.0 ELSE 1 - least(greatest(list_cosine_similarity(v, p), -1), 1) END AS d FROM kd),
 kz AS (SELECT *, count(d) OVER b AS c, avg(d) OVER b AS m, stddev_pop(d) OVER b AS sd FROM kc WINDOW b AS (PARTITION BY session_id, kernel ORDER BY page RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-kj AS (SELECT *, CASE WHEN c > 1 AND sd > 0 THEN (d - m) / (sd + 1e-8) ELSE 0.0 END AS z, coalesce(c > 1 AND sd > 0 AND d > m + 0.3 * sd, false) AS novel FROM kz),
+kj AS (SELECT *, CASE WHEN c > 1 AND sd > 0 THEN (d - m) / (sd + 1e-8) ELSE 0.0 END AS z, coalesce(c > 1 AND sd > 0 AND d > m + 0.5 * sd, false) AS novel FROM kz),
 kp AS (SELECT *, lead(idx) OVER s AS next, novel OR lead(novel) OVER s AS hot, max(z) OVER (PARTITION BY page, kernel) AS top FROM kj WINDOW s AS (PARTITION BY page, kernel ORDER BY ordinal))"""
 
 
@@ -336,12 +340,12 @@ def q_refine(spark, sf):
 
 @query()
 def q_hierarchical_search(spark, sf):
-    return search.searched(src.kernels(spark, sf), schedule={"share": _share})
+    return search.searched(src.kernels(spark, sf), schedule=_scheduled())
 
 
 @query()
 def q_search_log(spark, sf):
-    return search.search_log(src.kernels(spark, sf), schedule={"share": _share})
+    return search.search_log(src.kernels(spark, sf), schedule=_scheduled())
 
 
 @query()
@@ -457,13 +461,17 @@ def q_timeouts(spark, sf):
     return scheduling.timeouts(b, 6 * HOUR).select("block", "last_seen", "n_signs")
 
 
-@query(f"""WITH {LATENTS}, st AS (SELECT DISTINCT page // 8 AS session_id, page, dense_rank() OVER (PARTITION BY page // 8 ORDER BY page) - 1 AS step FROM lt)
-SELECT session_id, page, step, round(CASE WHEN step < 1 THEN 0.05 WHEN step < 5 THEN 0.05 + (0.33 - 0.05) * (step - 1) / 4.0 ELSE 0.33 END, 6) AS max_share, CASE WHEN step < 3 THEN 8.0 ELSE 4.0 END AS branching FROM st""")
+def _schedule_sql(first: float, last: float, held: int, taken: int) -> str:
+    return f"round(CASE WHEN step < {held} THEN {first} WHEN step < {held + taken} THEN {first} + ({last} - {first}) * (step - {held}) / {taken}.0 ELSE {last} END, 6) + 0.0"
+
+
+@query(f"""WITH s AS (SELECT event_id, user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events)
+SELECT event_id, session_id, step, {_schedule_sql(*SCHEDULE["share"])} AS max_share, {_schedule_sql(*SCHEDULE["novel"])} AS novel, CASE WHEN step < 10 THEN 8.0 ELSE 4.0 END AS branching FROM s""")
 def q_schedule(spark, sf):
-    pages = src.latents(spark, sf).select(_session().alias("session_id"), "page").distinct()
-    s = pages.withColumn("step", (F.row_number().over(Window.partitionBy("session_id").orderBy("page")) - 1).cast("long"))
-    branching = scalars.scheduled(F.col("step"), F.lit(8.0), F.lit(4.0), F.lit(3), F.lit(0))
-    return s.select("session_id", "page", "step", F.round(_share(F.col("step")), 6).alias("max_share"), branching.alias("branching"))
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")) - 1
+    s = src.events(spark, sf).select("event_id", F.col("user_id").alias("session_id"), step.cast("long").alias("step"))
+    at = {n: (F.round(f(F.col("step")), 6) + F.lit(0.0)).alias(a) for (n, f), a in zip(_scheduled().items(), ("max_share", "novel"), strict=True)}
+    return s.select("*", *at.values(), scalars.scheduled(F.col("step"), F.lit(8.0), F.lit(4.0), F.lit(10), F.lit(0)).alias("branching"))
 
 
 # --- overlay

@@ -107,6 +107,7 @@ def judge(seen, scores, z):
     return ([x > m + z * d for x in scores], [(x - m) / (d + 1e-8) for x in scores]) if d > 0 else ([False] * len(scores), [0.0] * len(scores))
 
 
+NOVEL = {"naive_cos_dissimilarity": 0.5, "pca_mahalanobis": 0.1}
 PLAIN = {"naive_cos_dissimilarity": PlainCosine, "pca_mahalanobis": lambda: PlainPca(4)}
 
 
@@ -123,8 +124,8 @@ def states(t, strategy):
         yield s, p, ks, {k: held[s, k] for k in ks}
 
 
-def plain_triage(t, strategy, keep=0.3, novel=0.3, share=0.15):
-    verdicts, keyframes = [], []
+def plain_triage(t, strategy, keep=0.3, share=0.15):
+    verdicts, keyframes, novel = [], [], NOVEL[strategy]
     for s, p, ks, tr in states(t, strategy):
         tops, hot = [], []
         for k in sorted(ks):
@@ -155,8 +156,8 @@ def plain_triage(t, strategy, keep=0.3, novel=0.3, share=0.15):
     return verdicts, keyframes
 
 
-def plain_search(t, strategy, exchange=True, share=lambda step: 0.33, novel=1.0, window=1.0):
-    out, step = [], {}
+def plain_search(t, strategy, exchange=True, share=lambda step: 0.33, novel=None, window=1.0):
+    out, step, novel = [], {}, NOVEL[strategy] if novel is None else novel
     for s, p, ks, tr in states(t, strategy):
         now = step.get(s, 0)
         step[s] = now + 1
@@ -234,6 +235,7 @@ def test_search_with_and_without_exchange(spark, strategy, exchange):
     for seed in (3, 4):
         t = table(seed)
         same(keyframes(search.searched(frames(spark, t), strategy, exchange=exchange, **SMALL)), plain_search(t, strategy, exchange))
+        same(keyframes(search.searched(frames(spark, t), strategy, exchange=exchange, novel=1.0, **SMALL)), plain_search(t, strategy, exchange, novel=1.0))
 
 
 def test_exchange_matters(spark):
@@ -255,10 +257,10 @@ def test_only_sampled_frames_are_read(monkeypatch):
     monkeypatch.setattr(search.Frames, "vectors", lambda self, at: read.extend(at) or whole(self, at))
     rng = np.random.default_rng(1)
     f = search.Frames("a", [(np.arange(400), np.arange(400) / 10, rng.normal(size=(400, 5)))])
-    search._searched(False, True, {}, {})(0, 0, {"a": trackers.PcaTracker(4)}, [f], {})
+    search._searched(False, True, "pca_mahalanobis", {}, {})(0, 0, {"a": trackers.PcaTracker(4)}, [f], {})
     assert 0 < len(read) < 400 * 0.33 + 8
     read.clear()
-    search._triaged(False, {})(0, 0, {"a": trackers.CosineTracker()}, [f], {})
+    search._triaged(False, "naive_cos_dissimilarity", {})(0, 0, {"a": trackers.CosineTracker()}, [f], {})
     assert read == grid(0, 399, 6)
 
 
