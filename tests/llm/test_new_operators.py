@@ -453,3 +453,17 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint.dir"):
         shared.shared_dir(Session, "x")
+
+
+def test_the_last_stage_keeps_other_columns(spark):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows, d = odd(spark)
+    d = d.drop("n_tokens")
+    out = corpus_pipeline.tokens(spark, d, "")
+    assert set(d.columns) - {"text"} <= set(out.columns) and out.select("tie", "cell", "_ws", "_rest").distinct().collect() == [("x", "x", "x", "x")]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in out.collect()) == Counter((i, tuple(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows)
+    assert corpus_pipeline.tokens(spark, d.where("false"), "").count() == 0
