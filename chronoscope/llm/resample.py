@@ -229,7 +229,7 @@ def weights(docs: DataFrame, target: DataFrame, grams: int = GRAMS, buckets: int
     sent = own.groupBy("cell").applyInArrow(_send(grams, n, False), SENT).unionByName(theirs.groupBy("cell").applyInArrow(_send(grams, n, True), SENT))
     answers = sent.groupBy("part").applyInArrow(_dictionary(buckets), ANSWERS).repartition(n, "cell")
     sums = answers.mapInArrow(_sums(buckets), "code int, s long, t long").groupBy("code").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    whole = sums.agg(F.sum("s").alias("_s"), F.sum("t").alias("_t"), F.collect_list(F.struct("code", "s", "t")).alias("_all"), F.least(F.count("*"), F.lit(1)).cast("int").alias("first"))
+    whole = sums.agg(F.sum("s").alias("_s"), F.sum("t").alias("_t"), F.collect_list(F.struct("code", "s", "t")).alias("_all"), (F.least(F.count("*"), F.lit(0)) + 1).cast("int").alias("first"))  # 1 even where there are no features
     m = float(buckets)
     gain = lambda x: F.floor(1000 * F.log(((x["t"] + 1).cast("double") * (F.col("_s") + m)) / ((x["s"] + 1).cast("double") * (F.col("_t") + m))))
     gains = whole.select("first", F.transform("_all", lambda x: F.struct(x["code"].alias("code"), gain(x).alias("gain"))).alias("gains"))
