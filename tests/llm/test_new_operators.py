@@ -216,6 +216,8 @@ def test_resampling_edges(spark, empty, docs):
     assert resampled(d, target) == plain_resample(rows, ["one two"])
     assert resampled(docs, none) == plain_resample(corpus(), [])
     assert resample.digest(empty, target).count() == 0
+    blank = [(1, None), (2, ""), (3, " .,; ")]
+    assert resampled(spark.createDataFrame(blank, DOC), target) == plain_resample(blank, ["one two"])
 
 
 def test_ranks_of_equal_scores(spark):
