@@ -157,13 +157,12 @@ class Encoder:
         offsets, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
         heads = self.library(flat.take(pa.array(offsets[:-1])).to_pylist())
         coded = flat.dictionary_encode()
-        at, values = coded.indices.to_numpy(), self.known(coded.dictionary.to_pylist())
-        ids, sizes = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int32, len(values)) // 4
-        starts, n = (np.cumsum(sizes, dtype=np.int32) - sizes)[at], sizes[at]
-        n[offsets[:-1]] = 0  # a head has no space before it, and is encoded by itself
-        ends = np.cumsum(n, dtype=np.int32)
-        all_ids = ids[np.repeat(starts - ends + n, n) + np.arange(ends[-1], dtype=np.int32)]
-        bounds = np.r_[0, ends[offsets[1:] - 1]].tolist()
+        values, at = self.known(coded.dictionary.to_pylist()), coded.indices.to_numpy().copy()
+        at[offsets[:-1]] = len(values)  # a head has no space before it, and is encoded by itself
+        taken = pa.array([*values, b""], pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] // 4
+        all_ids = np.frombuffer(taken.buffers()[2] or b"", "<u4")
+        bounds = ends[offsets].tolist()
         return [np.concatenate([h, all_ids[i:j]]) for h, i, j in zip(heads, bounds, bounds[1:], strict=False)]
 
 
