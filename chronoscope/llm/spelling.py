@@ -187,7 +187,10 @@ def _pairs(key, table):
 
 
 def _best(key, table):
-    out = [(w, len(near), *max(zip(counts, near, strict=True), key=lambda x: (x[0], [-ord(c) for c in x[1]], -len(x[1])))) for w, _, near, counts in _near(key, table)]
+    out = []
+    for w, _, near, counts in _near(key, table):
+        n, best = min((-n, v) for n, v in zip(counts, near, strict=True))
+        out.append((w, len(near), -n, best))
     cols = list(zip(*out, strict=True)) or [()] * 4
     return pa.table({"word": pa.array(cols[0], pa.string()), "n_near": pa.array(cols[1], pa.int64()), "best_n": pa.array(cols[2], pa.int64()), "best": pa.array(cols[3], pa.string())})
 

@@ -337,6 +337,19 @@ def test_long_chains_of_forms(spark):
     assert [(r[1], r[2]) for r in got if r[0] == "straßen"] == [("straßeen", "straßeeeen")]
 
 
+def test_of_near_words_as_frequent_the_first_in_code_point_order(spark):
+    """A word that begins another comes before it, whether both are found in one automaton or in two."""
+    n = {"abcdefg": 5, "abcdef": 50, "abcdefz": 50, "abcdefgh": 50, "zzzzzza": 5, "zzzzzz": 40, "zzzzzzaa": 40, "ÿéøabcd": 6, "ÿéøabc": 30, "ÿéøabce": 30}
+    rows = [(k, f"{w} " * c) for k, (w, c) in enumerate(n.items())]
+    want = plain_variants(n)
+    assert {r[0]: r[1] for r in want if r[1]} == {"abcdefg": "abcdef", "zzzzzza": "zzzzzz", "ÿéøabcd": "ÿéøabc"}
+    got = spelling.variants(spark.createDataFrame(rows, DOC), slips=0).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == want
+    words = spark.createDataFrame(list(n.items()), "word string, n long")
+    for block, shard in ((100_000, 20_000), (1, 5)):
+        assert {r["word"]: r["best"] for r in spelling.nearest(words, block, shard).collect()} == {w: min((v for v in n if one_apart(w, v)), key=lambda v: (-n[v], v)) for w in n}
+
+
 def test_spelling_edges(spark, empty):
     rows, d = odd(spark)
     more = rows + [(None, "Nothing nothing nothing NOTHING nothing")] * 2
