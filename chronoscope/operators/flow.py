@@ -30,18 +30,30 @@ def levels(flow: DataFrame, key: str = "stage", at: str = "us", tie: str = "even
 
 
 def rates(flow: DataFrame, window_us: int, key: str = "stage", at: str = "us", bucket_us: int = BUCKET) -> DataFrame:
-    """Adds ``rate``: net bytes a second over the window that ends now, its older end left out; also its rows and its span.
+    """Adds ``rate``: net bytes (whole numbers) a second over the window that ends now, its older end left out; also its rows and its span.
 
     Every row of the window counts, however many there are. Rows are grouped by
     buckets of time, and those that a later bucket's windows still see are read there too.
+    A row enters the sums at its time and leaves them a window later, so a group takes
+    one pass however many rows a window has; a row that leaves names the time after
+    its own, and the latest one named is where the window begins.
     """
     size = max(bucket_us, window_us)
-    own = F.floor(F.col(at) / size)
-    seen = F.sequence(own, F.floor((F.col(at) + (window_us - 1)) / size))
-    f = flow.withColumn("_own", own).withColumn("_b", F.explode(seen))
-    w = Window.partitionBy(key, "_b").orderBy(at).rangeBetween(-(window_us - 1), 0)
-    f = f.withColumns({"rate": F.sum("net").over(w) / (window_us / 1_000_000), "n_window": F.count("*").over(w), "span_us": F.col(at) - F.min(at).over(w)})
-    return f.where("_own = _b").drop("_own", "_b")
+    bucket = lambda t: F.floor(t / size)
+    f = flow.withColumn("_own", bucket(F.col(at)))
+    f = f.withColumn("_b", F.explode(F.sequence("_own", bucket(F.col(at) + (window_us - 1)))))
+    f = f.withColumn("_next", F.lead(at).over(Window.partitionBy(key, "_b").orderBy(at)))
+    change = lambda t, sign, begins: F.struct(t.alias("_t"), F.lit(sign).alias("_n"), begins.alias("_begins"))
+    leaves = F.col(at) + window_us
+    enters = F.array(change(F.col(at).cast("long"), 1, F.lit(None).cast("long")))
+    both = F.concat(enters, F.array(change(leaves.cast("long"), -1, F.col("_next").cast("long"))))
+    f = f.select("*", F.inline(F.when(bucket(leaves) == F.col("_b"), both).otherwise(enters)))
+    w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.sum(F.when(F.col("net").isNotNull(), F.col("_n"))).over(w)
+    net = F.when(known > 0, F.sum(F.col("net") * F.col("_n")).over(w))
+    begins = F.coalesce(F.max("_begins").over(w), F.min("_t").over(w))
+    f = f.withColumns({"rate": net / (window_us / 1_000_000), "n_window": F.sum("_n").over(w), "span_us": F.col(at) - begins})
+    return f.where("_n = 1 and _own = _b").drop("_own", "_b", "_next", "_t", "_n", "_begins")
 
 
 def transitions(moves: DataFrame, size: str = "bytes") -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from chronoscope.functions import scalars, vectors
 from chronoscope.operators import consolidate, flow, gestures, intervals, novelty, overlay, paging, scheduling, trackers
+from chronoscope.plans import catalogue
 from chronoscope.sources import timeline
+from conftest import SF
 
 
 def rows(df, *order):
@@ -144,6 +146,28 @@ def test_flow_buckets_do_not_matter(spark):
     assert one == many
 
 
+@pytest.mark.parametrize("window", [1, 2, 9, 30])
+def test_rates_against_plain_windows(spark, window):
+    """Times that repeat, gaps longer than a window, nets that are null, and buckets as long as a window or longer."""
+    rng = random.Random(window)
+    every = [(rng.choice("ab"), i, rng.choice([rng.randrange(-50, 60), 7, 300 + rng.randrange(9)]), rng.choice([None, *range(-9, 9)])) for i in range(300)]
+    f = spark.createDataFrame(every, "stage string, event_id int, us long, net long")
+    want = []
+    for stage, i, us, _ in every:
+        own = [(t, n) for s, _, t, n in every if s == stage and us - window < t <= us]
+        known = [n for _, n in own if n is not None]
+        want.append((i, sum(known) / (window / 1_000_000) if known else None, len(own), us - min(t for t, _ in own)))
+    for b in (1, 7, 64, 10**6):
+        assert rows(flow.rates(f, window, bucket_us=b).select("event_id", "rate", "n_window", "span_us"), "event_id") == want
+
+
+@pytest.mark.parametrize("name", ["q_flow_rate", "q_unsustainable", "q_overflow_eta", "q_shed_pages", "q_forced_refinement"])
+def test_rates_take_one_pass(spark, name):
+    """A frame that slides adds up its rows anew for each row."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, unboundedpreceding" in plan and "RangeFrame, -" not in plan
+
+
 @pytest.mark.parametrize("n", [1, 7, 8, 16])
 def test_pages(spark, n):
     f = spark.range(n).select(F.lit(0).alias("session_id"), F.col("id").alias("us"), F.col("id").alias("event_id"))
