@@ -581,6 +581,54 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_few_edges_take_no_round(spark, monkeypatch, seed):
+    """A chain and a graph at random: one block holds them; where blocks are small, rounds of stars join what these find."""
+    rng, rounds, star, root = random.Random(seed), [], components._star, {}
+    names = rng.sample(range(-5000, 5000), 400)
+    edges = list(zip(names[:80], names[1:80], strict=False)) + [tuple(rng.choices(names[100:], k=2)) for _ in range(170)]
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b) if a != b else top(a)
+        root[max(a, b)] = min(a, b)
+    want = sorted((x, top(x)) for x in {x for a, b in edges if a != b for x in (a, b)})
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    monkeypatch.setattr(components, "_star", lambda e, large: (rounds.append(large), star(e, large))[1])
+    assert sorted(tuple(r) for r in components.components(df).collect()) == want
+    assert not rounds
+    monkeypatch.setattr(components, "BLOCK", 40)
+    assert sorted(tuple(r) for r in components.components(df).collect()) == want
+    assert rounds
+
+
+def test_plans_of_near_duplicates_are_of_bounded_size(spark, monkeypatch):
+    """The driver holds a plan, and posts all of it after each of its stages: what it needs follows the largest one."""
+    largest, plain = [], neardup.stored
+
+    def seen(df, name):
+        largest.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return plain(df, name)
+
+    monkeypatch.setattr(neardup, "stored", seen)
+    monkeypatch.setattr(components, "stored", seen)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(200), 4 if i % 3 else 12):
+            w[at] = f"d{i}x{at}"
+        rows.append((i, " ".join(w)))
+    got = sorted(tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, DOC).repartition(5), 3, 85).collect())
+    assert got == brute.near(rows, 3, 85)
+    assert max(largest) <= 24, largest
+
+
 # --- extra columns, long texts
 
 
